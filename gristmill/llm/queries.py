@@ -6,19 +6,59 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .ngram_join import ngram_jaccard_components
+from . import byte_bpe, fingerprints, ngram_join, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def pattern() -> str:
+    """What cuts a text into pre-tokens."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ngram_join.ngram_jaccard_components(_documents(spark, sf_dir))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_budget(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), 1024)
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip_digests(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), pattern())
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.shared_folder(spark)
+    token_files.write_token_files(_documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), 2, folder)
+    return token_files.read_token_files(spark, folder)
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_token_counts": op2_token_counts,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op4_token_files": op4_token_files,
+    "op7_fingerprints": op7_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {}
