@@ -72,7 +72,8 @@ def scanned(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates
 
     n = F.size("w")
     grams = F.when(n >= K, F.transform(F.sequence(F.lit(1), n - K + 1), lambda i: F.xxhash64(*(F.element_at("w", i + j) for j in range(K)))))
-    each = words.withColumn("grams", grams).select("doc_id", "key", F.posexplode("grams").alias("pos", "gram"))
+    # the outer form: the other one filters by the array first, which would be made again for each use in that filter
+    each = words.withColumn("grams", grams).select("doc_id", "key", F.posexplode_outer("grams").alias("pos", "gram"))
     hits = each.join(F.broadcast(template_grams(spark, phrases, templates)), "gram")  # the templates' size is fixed
     hits = hits.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "key", "template", "base", "label", "n", "pos", "at").withColumn("diagonal", F.col("pos") - F.col("at"))
 

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 FEATURES = 1 << 12
 SIZES = (3, 4)
-#: Rule-labelled URLs that the query's model learns from, at most.
+#: URLs allowed by a rule that the query's model learns from, at most.
 SAMPLE = 2000
-SEED_WEIGHT = 10.0
+SEED_WEIGHT = 3.0
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -93,9 +93,13 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], model: LogisticR
 
 
 def judged_by_rules_and_model(pages: DataFrame, rules: list[tuple[str, str, str]], sample: int = SAMPLE) -> DataFrame:
-    """judged() with a model trained from the seed table and at most sample distinct URLs of pages that a rule decides."""
+    """judged() with a model trained from the seed table and at most sample distinct URLs of pages that a rule allows.
+
+    The seed table alone says what to block: a rule against a section of a site
+    tells nothing about other sites.
+    """
     host, path = parts("url")
-    ruled = with_rule(pages.select("url", host.alias("host"), path.alias("path")), rules).where("ruled is not null and url is not null")
-    ruled = ruled.select("url", (F.col("ruled") == "block").cast("int").alias("label"), F.lit(1.0).alias("weight")).distinct()
+    ruled = with_rule(pages.select("url", host.alias("host"), path.alias("path")), rules).where("ruled = 'allow' and url is not null")
+    ruled = ruled.select("url", F.lit(0).alias("label"), F.lit(1.0).alias("weight")).distinct()
     ruled = ruled.orderBy(F.xxhash64("url"), "url").limit(sample)
     return judged(pages, rules, train(ruled.union(seed_table(pages.sparkSession))))
