@@ -1,4 +1,15 @@
 """All registered queries and their SQL."""
 
+from __future__ import annotations
+
+import importlib
+
+#: Modules with QUERIES and ORACLE_SQL.
+MODULES = ["indicator_queries"]
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _name in MODULES:
+    _module = importlib.import_module(f"{__package__}.{_name}")
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
