@@ -36,7 +36,7 @@ def with_returns(bars: DataFrame) -> DataFrame:
 
 def moving_averages(bars: DataFrame, lengths: tuple[int, ...] = (20, 50, 200)) -> DataFrame:
     """WIN2: averages of the close over full frames; null before."""
-    return bars.select("symbol", "d", *(r6(full(F.avg("close").over(last(n)), n), f"ma{n}") for n in lengths))
+    return bars.select("symbol", "d", *(F.round(full(F.avg("close").over(last(n)), n), 8).alias(f"ma{n}") for n in lengths))
 
 
 def realized_volatility(bars: DataFrame, short: int = 20, long: int = 252) -> DataFrame:
@@ -177,8 +177,8 @@ def anchored_vwap(bars: DataFrame) -> DataFrame:
         F.min_by("d", F.when(F.col("age") < 60, F.struct("low", "d"))).alias("low60"),
         F.max(F.when((F.col("age") < 30) & (F.col("open") > F.col("prior") * 1.02), F.col("d"))).alias("gap"),
     )
-    kinds = at.select("symbol", F.explode(F.array(*(F.struct(F.lit(k).alias("anchor"), F.col(k).alias("at")) for k in ("low252", "low60", "gap")))).alias("a")).select("symbol", "a.*").where("at is not null")
-    got = df.join(kinds, "symbol").where(F.col("d") >= F.col("at")).groupBy("symbol", "anchor", "at")
+    kinds = at.select("symbol", F.explode(F.array(*(F.struct(F.lit(k).alias("anchor"), F.col(k).alias("since")) for k in ("low252", "low60", "gap")))).alias("a")).select("symbol", "a.*").where("since is not null")
+    got = df.join(kinds, "symbol").where(F.col("d") >= F.col("since")).groupBy("symbol", "anchor", "since")
     return got.agg(r6(F.sum(F.col("tp") * F.col("volume")) / F.sum("volume"), "vwap"))
 
 

@@ -82,7 +82,7 @@ _SWINGS = f"""(SELECT *, n = 11 AND high >= hi AS is_high, n = 11 AND low <= lo
 
 ORACLE_SQL = {
     "src01_bars": oracle("bars", "SELECT * FROM bars"),
-    "agg01_weekly_bars": oracle("bars", "SELECT symbol, CAST(DATE_TRUNC('week', d) AS DATE) AS wk, ARG_MIN(open, d) AS open, MAX(high) AS high, MIN(low) AS low, ARG_MAX(close, d) AS close, SUM(volume) AS volume FROM bars GROUP BY 1, 2"),
+    "agg01_weekly_bars": oracle("bars", "SELECT symbol, CAST(DATE_TRUNC('week', d) AS DATE) AS wk, ARG_MIN(open, d) AS open, MAX(high) AS high, MIN(low) AS low, ARG_MAX(close, d) AS close, CAST(SUM(volume) AS BIGINT) AS volume FROM bars GROUP BY 1, 2"),
     "agg02_day_of_week_drift": oracle("bars", RET + " SELECT symbol, CAST(ISODOW(d) - 1 AS INT) AS wd, ROUND(AVG(ret), 6) AS mean, ROUND(STDDEV_SAMP(ret), 6) AS sd, COUNT(*) AS n FROM ret WHERE ret IS NOT NULL GROUP BY 1, 2"),
     "agg03_month_of_year_drift": oracle("bars", "SELECT symbol, m, ROUND(AVG(r), 6) AS mean, ROUND(MEDIAN(r), 6) AS median, COUNT(*) AS n FROM (SELECT symbol, YEAR(d) AS y, CAST(MONTH(d) AS INT) AS m, ARG_MAX(close, d) / ARG_MIN(close, d) - 1 AS r FROM bars GROUP BY 1, 2, 3) x GROUP BY 1, 2"),
     "agg05_volume_profile": oracle("bars", """, x AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY d DESC) AS age FROM bars) a WHERE age <= 60),
@@ -92,7 +92,7 @@ g AS (SELECT s.symbol, CAST(b.bin AS INT) AS bin, COALESCE(f.volume, 0) AS volum
 SELECT symbol, bin, CAST(volume AS BIGINT) AS volume, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY volume DESC, bin) = 1 AS is_poc,
  COALESCE(volume >= 1.5 * AVG(volume) OVER (PARTITION BY symbol) AND volume >= LAG(volume) OVER (PARTITION BY symbol ORDER BY bin) AND volume >= LEAD(volume) OVER (PARTITION BY symbol ORDER BY bin), FALSE) AS is_node FROM g"""),
     "win01_returns": oracle("bars", RET + " SELECT symbol, d, ROUND(ret, 6) AS ret, ROUND(logret, 6) AS logret FROM ret"),
-    "win02_moving_averages": oracle("bars", "SELECT symbol, d, " + ", ".join(_r(_full(f"AVG(close) {_rows(n)}", n), f"ma{n}") for n in (20, 50, 200)) + " FROM bars"),
+    "win02_moving_averages": oracle("bars", "SELECT symbol, d, " + ", ".join(_r(_full(f"AVG(close) {_rows(n)}", n), f"ma{n}", 8) for n in (20, 50, 200)) + " FROM bars"),
     "win03_realized_vol": oracle("bars", RET + f", v AS (SELECT symbol, d, {_full('STDDEV_SAMP(ret) ' + _rows(20), 20, 'ret')} AS a, {_full('STDDEV_SAMP(ret) ' + _rows(252), 252, 'ret')} AS b FROM ret) SELECT symbol, d, ROUND(a, 6) AS sd_short, ROUND(b, 6) AS sd_long, ROUND(a / b, 6) AS sd_ratio, ROUND(a * SQRT(252), 6) AS vol_annual FROM v"),
     "win04_log_vol": oracle("bars", RET + f", v AS (SELECT symbol, d, CASE WHEN COUNT(logret) {_rows(30)} >= 2 THEN STDDEV_SAMP(logret) {_rows(30)} * SQRT(252) END AS v FROM ret) SELECT symbol, d, ROUND(CASE WHEN v <= 5 THEN v END, 6) AS vol FROM v"),
     "win05_atr": oracle("bars", f", t AS (SELECT *, GREATEST(high - low, ABS(high - LAG(close) OVER ({W})), ABS(low - LAG(close) OVER ({W}))) AS tr FROM bars) SELECT symbol, d, ROUND(tr, 6) AS tr, " + ", ".join(_r(_full(f"AVG(tr) {_rows(n)}", n), f"atr{n}") for n in (14, 20)) + " FROM t"),
@@ -108,8 +108,8 @@ SELECT symbol, bin, CAST(volume AS BIGINT) AS volume, ROW_NUMBER() OVER (PARTITI
     "win16_swings": oracle("bars", f"SELECT symbol, d, is_high, is_low FROM {_SWINGS} WHERE is_high OR is_low"),
     "win17_swing_counts": oracle("bars", f", s AS (SELECT *, LAST_VALUE(CASE WHEN is_high THEN high END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ph, LAST_VALUE(CASE WHEN is_low THEN low END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pl FROM {_SWINGS}) SELECT symbol, d, CAST(SUM(CASE WHEN is_high AND high > ph THEN 1 ELSE 0 END) {_rows(60)} AS BIGINT) AS higher_highs, CAST(SUM(CASE WHEN is_low AND low > pl THEN 1 ELSE 0 END) {_rows(60)} AS BIGINT) AS higher_lows FROM s"),
     "win18_anchored_vwap": oracle("bars", f""", b AS (SELECT *, LAG(close) OVER ({W}) AS prior, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY d DESC) - 1 AS age, (high + low + close) / 3 AS tp FROM bars),
-k AS (SELECT symbol, 'low252' AS anchor, ARG_MIN(d, (low, d)) AS at FROM b WHERE age < 252 GROUP BY symbol UNION ALL SELECT symbol, 'low60', ARG_MIN(d, (low, d)) FROM b WHERE age < 60 GROUP BY symbol UNION ALL SELECT symbol, 'gap', MAX(d) FROM b WHERE age < 30 AND open > prior * 1.02 GROUP BY symbol)
-SELECT k.symbol, anchor, at, ROUND(SUM(tp * volume) / SUM(volume), 6) AS vwap FROM b JOIN k ON b.symbol = k.symbol AND b.d >= k.at GROUP BY 1, 2, 3"""),
+k AS (SELECT symbol, 'low252' AS anchor, ARG_MIN(d, (low, d)) AS since FROM b WHERE age < 252 GROUP BY symbol UNION ALL SELECT symbol, 'low60', ARG_MIN(d, (low, d)) FROM b WHERE age < 60 GROUP BY symbol UNION ALL SELECT symbol, 'gap', MAX(d) FROM b WHERE age < 30 AND open > prior * 1.02 GROUP BY symbol)
+SELECT k.symbol, anchor, since, ROUND(SUM(tp * volume) / SUM(volume), 6) AS vwap FROM b JOIN k ON b.symbol = k.symbol AND b.d >= k.since GROUP BY 1, 2, 3"""),
     "win19_unfilled_gaps": oracle("bars", f""", g AS (SELECT symbol, d, low, high, LAG(high) OVER ({W}) AS ph, LAG(low) OVER ({W}) AS pl, MIN(low) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS fl, MAX(high) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS fh, CAST(COUNT(*) OVER (PARTITION BY symbol) - ROW_NUMBER() OVER ({W}) AS INT) AS age FROM bars),
 u AS (SELECT *, low > ph * 1.005 AND COALESCE(fl, low) > ph AS up, high < pl * 0.995 AND COALESCE(fh, high) < pl AS down FROM g)
 SELECT symbol, d, CASE WHEN up THEN 'up' ELSE 'down' END AS side, CASE WHEN up THEN ph ELSE pl END AS edge, age FROM u WHERE age < 60 AND (up OR down)"""),
