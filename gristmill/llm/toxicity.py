@@ -220,3 +220,16 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(work, "doc_id long, score double")
     return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def kept(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns kept, whose text scores below 0.5; no shuffle."""
+    spark = docs.sparkSession
+    T.small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in T.chunks(batches):
+            yield batch.filter(pa.array(logits(shared.value, *T.buffer(T.column(batch, "text"))) < 0))
+
+    return docs.mapInArrow(work, docs.schema)
