@@ -1,0 +1,91 @@
+"""Text functions as Column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, functions as F
+
+BLOCKS = r"<script[^>]*>[\s\S]*?</script>|<style[^>]*>[\s\S]*?</style>|<svg[^>]*>[\s\S]*?</svg>|<!--[\s\S]*?-->"
+TAG = r"<[^>]*>"
+ENTITY = r"&[a-zA-Z#0-9]+;"
+GAPS = r"[ \t\r\n]+"
+
+
+def visible_text(html: Column) -> Column:
+    """STR-A: the text a reader sees: no scripts, styles, drawings, comments, tags or entities; single spaces."""
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), BLOCKS, " "), TAG, " "), ENTITY, " ")
+    return F.trim(F.regexp_replace(text, GAPS, " "))
+
+
+def visible_text_sql(html: str) -> str:
+    return f"TRIM(REGEXP_REPLACE(REGEXP_REPLACE(REGEXP_REPLACE(REGEXP_REPLACE(COALESCE({html}, ''), '{BLOCKS}', ' ', 'g'), '{TAG}', ' ', 'g'), '{ENTITY}', ' ', 'g'), '{GAPS}', ' ', 'g'))"
+
+
+def space_words(text: Column) -> Column:
+    """Words between single spaces."""
+    return F.when(text == "", 0).otherwise(F.size(F.split(text, " ")))
+
+
+def long_words(text: Column, least: int = 2) -> Column:
+    """STR-B: runs of ASCII letters, digits, apostrophes and hyphens of at least two characters."""
+    return F.size(F.filter(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9_'-]+)")), lambda w: F.char_length(w) >= least))
+
+
+def host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z]+://([^/?#]*)", 1))
+
+
+def path(url: Column) -> Column:
+    """The path without query and fragment; / if there is none."""
+    p = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)
+    return F.when(p == "", "/").otherwise(p)
+
+
+HOST_SQL = "LOWER(REGEXP_EXTRACT(COALESCE(url, ''), '^[a-zA-Z]+://([^/?#]*)', 1))"
+PATH_SQL = "COALESCE(NULLIF(REGEXP_EXTRACT(COALESCE(url, ''), '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), ''), '/')"
+
+
+def slug(text: Column) -> Column:
+    """STR-V: lower-case letters and digits with single hyphens, 60 characters at most."""
+    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", ""), 1, 60)
+
+
+def short_hash(*columns: Column | str, n: int = 16) -> Column:
+    """STR-X: the first hex digits of SHA-256 over the fields with | between."""
+    return F.substring(F.sha2(F.concat_ws("|", *columns), 256), 1, n)
+
+
+def keyword_score(tokens: Column, up: list[str], down: list[str]) -> Column:
+    """STR-N: (ups - downs) / (ups + downs); null without any."""
+    u = F.size(F.filter(tokens, lambda t: t.isin(up)))
+    d = F.size(F.filter(tokens, lambda t: t.isin(down)))
+    return F.when(u + d > 0, (u - d) / (u + d))
+
+
+def message_class(tokens: Column, up: list[str], down: list[str]) -> Column:
+    """STR-O: bullish or bearish where one side leads by more than one hit, else neutral."""
+    u = F.size(F.filter(tokens, lambda t: t.isin(up)))
+    d = F.size(F.filter(tokens, lambda t: t.isin(down)))
+    return F.when(u - d > 1, "bullish").when(d - u > 1, "bearish").otherwise("neutral")
+
+
+def cashtags(text: Column, most: int = 5) -> Column:
+    """STR-P: distinct $ABC tickers of two to five letters, the first five."""
+    return F.slice(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\$([A-Za-z]{2,5})\b")), lambda t: F.upper(t))), 1, most)
+
+
+def option_symbol(s: Column) -> Column:
+    """STR-Q: root, expiry, side and strike of an OSI symbol (ROOTyymmddC00000000); null if it isn't one."""
+    part = lambda i: F.regexp_extract(s, r"^([A-Z]{1,6}) *(\d{6})([CP])(\d{8})$", i)
+    return F.when(s.rlike(r"^[A-Z]{1,6} *\d{6}[CP]\d{8}$"), F.struct(part(1).alias("root"), F.to_date(part(2), "yyMMdd").alias("expiry"), part(3).alias("side"), (part(4).cast("double") / 1000).alias("strike")))
+
+
+def source_tier(name: Column) -> Column:
+    """STR-R: 1 for .gov, .edu and .mil hosts, 2 for .org, 3 for .com, else 4."""
+    return F.when(name.rlike(r"\.(gov|edu|mil)$"), 1).when(name.rlike(r"\.org$"), 2).when(name.rlike(r"\.com$"), 3).otherwise(4)
+
+
+def front_matter(text: Column) -> Column:
+    """STR-J: the key: value lines between the first two --- lines, as a map; empty without such a block."""
+    block = F.regexp_extract(text, r"^---\n([\s\S]*?)\n---", 1)
+    lines = F.filter(F.split(block, "\n"), lambda x: x.rlike(r"^\w+:"))
+    return F.map_from_entries(F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^(\w+):", 1).alias("k"), F.trim(F.regexp_replace(x, r"^\w+:", "")).alias("v"))))
