@@ -6,7 +6,9 @@ and its distinct words in rows by word hash.  Those rows are shuffled, so all
 blocks' copies of a word meet in one hash bucket and it is encoded once there;
 the ids go back to the blocks by a second shuffle and are set in by position.
 What is moved is the distinct words of the blocks, not a row for each
-pre-token, and a frequent word costs one entry a block, so no key is hot.
+pre-token, and a frequent word costs one entry a block, so no key is hot.  The
+texts are read twice, for words and for positions, so that positions are moved
+once only; docs must therefore be stable, like a file or a checkpoint.
 """
 
 from __future__ import annotations
@@ -62,13 +64,12 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "block", "part", "payload", "doc_ids", "known", "counts"])
 
 
-def _explode(n_buckets: int):
-    """Documents to blocks: distinct words by hash bucket, and the word number at each position."""
+def _explode(n_buckets: int, words_wanted: bool):
+    """Documents to blocks: their distinct words by hash bucket, or else the word number at each position."""
 
-    def block_rows(held: list[tuple], name: str) -> Iterator[pa.RecordBatch]:
+    def block_rows(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         # held: the code points, offsets, ids of slices of documents
-        words, keys, spans = {}, [], []
-        hashes, texts = [], []
+        hashes, texts, spans = [], [], []
         for cps, at, _ in held:
             starts, ends = pretokens(cps, at)
             h = T.span_hashes(point_values(cps), starts, ends)
@@ -86,9 +87,12 @@ def _explode(n_buckets: int):
         by = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
         where = np.searchsorted(starts_of, first, "right") - 1
-        del words, keys
         out = []
-        for k in np.flatnonzero(np.diff(cut)):
+        ids = pa.concat_arrays([i for _, _, i in held])
+        # the name tells the contents, so words never meet another block's positions, and equal blocks may share them
+        inside = np.array([T.mix(every + np.arange(len(every), dtype=np.uint64)).sum(), len(every)], np.uint64)
+        name = hashlib.sha256(b"".join([inside.tobytes(), np.concatenate(spans).tobytes(), np.asarray(ids.fill_null(0)).tobytes(), np.asarray(ids.is_valid()).tobytes()])).hexdigest()
+        for k in np.flatnonzero(np.diff(cut)) if words_wanted else ():
             got = []
             for i in by[cut[k] : cut[k + 1]].tolist():
                 cps, s, e = texts[where[i]]
@@ -99,27 +103,26 @@ def _explode(n_buckets: int):
             if len(out) >= 64:
                 yield _rows(out)
                 out = []
+        if words_wanted:
+            if out:
+                yield _rows(out)
+            return
         kind = np.uint16 if len(distinct) < 1 << 16 else np.uint32
-        ids = pa.concat_arrays([i for _, _, i in held])
         known = np.asarray(ids.is_valid())
-        home = int(hashlib.sha256(name.encode()).hexdigest()[:8], 16) % n_buckets
-        out.append((home, name, -1, _pack(slot[back].astype(kind), bucket.astype(np.uint32), np.array([kind().itemsize])), np.asarray(ids.fill_null(0)).tobytes(), known.tobytes(), np.concatenate(spans).astype(np.int64).tobytes()))
+        out.append((-1, name, -1, _pack(slot[back].astype(kind), bucket.astype(np.uint32), np.array([kind().itemsize])), np.asarray(ids.fill_null(0)).tobytes(), known.tobytes(), np.concatenate(spans).astype(np.int64).tobytes()))
         yield _rows(out)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        held, size, n = [], 0, 0
+        held, size = [], 0
         for batch in T.chunks(batches):
             buf, off = T.buffer(T.column(batch, "text"))
             held.append((*codepoints(buf, off), T.column_raw(batch, "doc_id")))
             size += int(off[-1])
             if size >= BLOCK:
-                yield from block_rows(held, f"{part}-{n}")
-                held, size, n = [], 0, n + 1
+                yield from block_rows(held)
+                held, size = [], 0
         if held:
-            yield from block_rows(held, f"{part}-{n}")
+            yield from block_rows(held)
 
     return work
 
@@ -137,17 +140,16 @@ def _encode(path: str, pattern: str):
                 if bucket != now:
                     known.clear()
                     now = bucket
-                if part >= 0:
-                    text, lengths = _unpack(payload)
-                    ends = np.cumsum(np.frombuffer(lengths, np.uint32)).tolist()
-                    ids = []
-                    for a, b in zip([0, *ends[:-1]], ends, strict=True):
-                        word = text[a:b]
-                        got = known.get(word)
-                        if got is None:
-                            got = known[word] = np.array(encode(word.decode()), np.uint32).tobytes()
-                        ids.append(got)
-                    payload = _pack(b"".join(ids), np.fromiter(map(len, ids), np.uint32, len(ids)) // 4)
+                text, lengths = _unpack(payload)
+                ends = np.cumsum(np.frombuffer(lengths, np.uint32)).tolist()
+                ids = []
+                for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                    word = text[a:b]
+                    got = known.get(word)
+                    if got is None:
+                        got = known[word] = np.array(encode(word.decode()), np.uint32).tobytes()
+                    ids.append(got)
+                payload = _pack(b"".join(ids), np.fromiter(map(len, ids), np.uint32, len(ids)) // 4)
                 out.append((bucket, block, part, payload, *rest))
             yield _rows(out)
 
@@ -157,8 +159,14 @@ def _encode(path: str, pattern: str):
 def _assemble(path: str, digest: bool):
     """Rows sorted by (block, part): the ids of each document by position, and what they decode to."""
 
-    def finish(texts: tuple, coded: list[bytes]) -> Iterator[pa.RecordBatch]:
-        payload, doc_ids, known, counts = texts
+    def finish(texts: list[tuple], coded: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+        if not texts:
+            raise ValueError("a block lost its positions: the input must be the same each time it is read")
+        for one in texts:  # more than one only if blocks are equal
+            yield from document_rows(one, [coded[k] for k in sorted(coded)])
+
+    def document_rows(text: tuple, coded: list[bytes]) -> Iterator[pa.RecordBatch]:
+        payload, doc_ids, known, counts = text
         raw, bucket, size = _unpack(payload)
         slots = np.frombuffer(raw, np.uint16 if np.frombuffer(size, np.int64)[0] == 2 else np.uint32).astype(np.int64)
         order = np.argsort(np.frombuffer(bucket, np.uint32), kind="stable")
@@ -170,7 +178,7 @@ def _assemble(path: str, digest: bool):
             lengths.append(np.frombuffer(n, np.uint32).astype(np.int64))
         flat, lengths = np.concatenate(flat), np.concatenate(lengths)
         if len(lengths) != len(order):
-            raise ValueError("a block lost words on its way")
+            raise ValueError("a block lost words: the input must be the same each time it is read")
         begin = np.empty(len(order), np.int64)
         length = np.empty(len(order), np.int64)
         begin[order] = np.cumsum(lengths) - lengths
@@ -200,17 +208,17 @@ def _assemble(path: str, digest: bool):
         yield pa.record_batch([ids, pa.array(n_tokens.astype(np.int64)), pa.array(one), pa.array(two)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, texts, coded = None, None, []
+        now, texts, coded = None, [], {}
         for batch in batches:
             for _, block, part, payload, *rest in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if block != now:
                     if now is not None:
                         yield from finish(texts, coded)
-                    now, texts, coded = block, None, []
+                    now, texts, coded = block, [], {}
                 if part < 0:
-                    texts = (payload, *rest)
+                    texts.append((payload, *rest))
                 else:
-                    coded.append(payload)
+                    coded[part] = payload
         if now is not None:
             yield from finish(texts, coded)
 
@@ -221,8 +229,9 @@ def _encoded(docs: DataFrame, path: str, pattern: str, digest: bool, schema: str
     spark = docs.sparkSession
     T.small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_explode(3 * parts), SHUFFLED)
-    rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode(path, pattern), SHUFFLED)
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    words = docs.mapInArrow(_explode(3 * parts, True), SHUFFLED).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode(path, pattern), SHUFFLED)
+    rows = words.union(docs.mapInArrow(_explode(3 * parts, False), SHUFFLED))
     return rows.repartition(parts, "block").sortWithinPartitions("block", "part").mapInArrow(_assemble(path, digest), schema)
 
 
