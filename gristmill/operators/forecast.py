@@ -17,7 +17,7 @@ def bands(bars: DataFrame, every: int = 21, short: int = 60, long: int = 252) ->
     0.6) and a long one (0.4); a frame that is not complete yet leaves its
     weight to the other.  Only bars up to the forecast's own are used.
     """
-    df = I.with_returns(bars).withColumn("rn", F.row_number().over(I.BY))
+    df = I.with_returns(bars).withColumn("rn", F.row_number().over(I.in_order()))
     for n, k in ((short, "a"), (long, "b")):
         df = df.withColumn(f"mu_{k}", I.full(F.avg("logret").over(I.last(n)), n, "logret")).withColumn(f"sd_{k}", I.full(F.stddev_samp("logret").over(I.last(n)), n, "logret"))
     w = F.when(F.col("sd_b").isNull(), 1.0).otherwise(0.6)
@@ -34,10 +34,10 @@ def resolved(forecasts: DataFrame, bars: DataFrame) -> DataFrame:
     One equi-join on symbol and bar number for the end; the excursions come
     from frames over the bars, so no range join is needed.
     """
-    df = bars.withColumn("rn", F.row_number().over(I.BY))
+    df = bars.withColumn("rn", F.row_number().over(I.in_order()))
     for h in HORIZONS:
-        ahead = I.BY.rowsBetween(1, h)
-        df = df.withColumn(f"hi{h}", F.max("high").over(ahead)).withColumn(f"lo{h}", F.min("low").over(ahead)).withColumn(f"end{h}", F.lead("close", h).over(I.BY))
+        ahead = I.in_order().rowsBetween(1, h)
+        df = df.withColumn(f"hi{h}", F.max("high").over(ahead)).withColumn(f"lo{h}", F.min("low").over(ahead)).withColumn(f"end{h}", F.lead("close", h).over(I.in_order()))
     pick = lambda p: F.coalesce(*(F.when(F.col("horizon") == h, F.col(f"{p}{h}")) for h in HORIZONS))
     got = forecasts.join(df.drop("d", "open", "high", "low", "close", "volume"), ["symbol", "rn"])
     got = got.withColumn("actual", pick("end")).withColumn("top", pick("hi")).withColumn("bottom", pick("lo")).where("actual is not null")
@@ -85,11 +85,11 @@ def patterns(bars: DataFrame) -> DataFrame:
     shoulders: the middle one of three beyond both others by 2 % and those
     within 3 % of each other.  A pattern counts from the bar that completes its last swing.
     """
-    df = I.swings(bars).withColumn("rn", F.row_number().over(I.BY)).withColumn("known", F.lead("d", 5).over(I.BY))
+    df = I.swings(bars).withColumn("rn", F.row_number().over(I.in_order())).withColumn("known", F.lead("d", 5).over(I.in_order()))
     out = None
     for side, flag, sign, double, shoulders in (("high", "is_high", 1, "double_top", "head_shoulders"), ("low", "is_low", -1, "double_bottom", "inverse_head_shoulders")):
         p = df.where(F.col(flag)).select("symbol", "d", "rn", "known", F.col(side).alias("v"))
-        one, two = F.lag(F.struct("v", "rn"), 1).over(I.BY), F.lag(F.struct("v", "rn"), 2).over(I.BY)
+        one, two = F.lag(F.struct("v", "rn"), 1).over(I.in_order()), F.lag(F.struct("v", "rn"), 2).over(I.in_order())
         p = p.withColumn("one", one).withColumn("two", two)
         is_double = (F.abs(F.col("v") / F.col("one.v") - 1) <= 0.02) & (F.col("rn") - F.col("one.rn")).between(10, 60)
         head = sign * (F.col("one.v") / F.greatest("v", "two.v") - 1) > 0.02 if sign > 0 else sign * (F.col("one.v") / F.least("v", "two.v") - 1) > 0.02
@@ -102,7 +102,7 @@ def patterns(bars: DataFrame) -> DataFrame:
 
 def pattern_outcomes(found: DataFrame, bars: DataFrame, least: int = 10) -> DataFrame:
     """DOM22, AGG15: forward returns after each pattern was known, hits (bearish ones fall, bullish ones rise), in and out of the sample's first half by date."""
-    fwd = bars.select("symbol", F.col("d").alias("known"), (F.lead("close", 20).over(I.BY) / F.col("close") - 1).alias("fwd"))
+    fwd = bars.select("symbol", F.col("d").alias("known"), (F.lead("close", 20).over(I.in_order()) / F.col("close") - 1).alias("fwd"))
     got = found.join(fwd, ["symbol", "known"]).where("fwd is not null")
     bearish = F.col("pattern").isin("double_top", "head_shoulders")
     got = got.withColumn("hit", F.when(bearish, F.col("fwd") < 0).otherwise(F.col("fwd") > 0).cast("double"))

@@ -6,14 +6,17 @@ one sort serve every indicator that a query combines.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-BY = Window.partitionBy("symbol").orderBy("d")
+
+def in_order() -> WindowSpec:
+    """The bars of each symbol by date."""
+    return Window.partitionBy("symbol").orderBy("d")
 
 
 def last(n: int):
     """The frame of the current and the n - 1 bars before it."""
-    return BY.rowsBetween(-(n - 1), 0)
+    return in_order().rowsBetween(-(n - 1), 0)
 
 
 def full(value: Column, n: int, of: str = "close") -> Column:
@@ -22,7 +25,7 @@ def full(value: Column, n: int, of: str = "close") -> Column:
 
 
 def back(c: str | Column, n: int = 1) -> Column:
-    return F.lag(c, n).over(BY)
+    return F.lag(c, n).over(in_order())
 
 
 def r6(c: Column, name: str) -> Column:
@@ -77,14 +80,14 @@ def ewm(value: str, alpha: float) -> Column:
     1 / (1 - alpha) a bar; a symbol may have about 700 * log(10) / -log(1 - alpha)
     bars before they leave the range of a double (over 4,000 at alpha 2 / 13).
     """
-    i = F.sum(F.when(F.col(value).isNotNull(), 1).otherwise(0)).over(BY)
+    i = F.sum(F.when(F.col(value).isNotNull(), 1).otherwise(0)).over(in_order())
     growth = F.pow(F.lit(1 / (1 - alpha)), i - 1)
-    total = F.sum(F.when(F.col(value).isNotNull(), F.col(value) * F.when(F.col("_i_" + value) == 1, F.lit(1.0)).otherwise(F.lit(alpha) * F.pow(F.lit(1 / (1 - alpha)), F.col("_i_" + value) - 1)))).over(BY)
+    total = F.sum(F.when(F.col(value).isNotNull(), F.col(value) * F.when(F.col("_i_" + value) == 1, F.lit(1.0)).otherwise(F.lit(alpha) * F.pow(F.lit(1 / (1 - alpha)), F.col("_i_" + value) - 1)))).over(in_order())
     return total / growth
 
 
 def with_ewm(df: DataFrame, value: str, alpha: float, out: str) -> DataFrame:
-    df = df.withColumn("_i_" + value, F.sum(F.when(F.col(value).isNotNull(), 1).otherwise(0)).over(BY))
+    df = df.withColumn("_i_" + value, F.sum(F.when(F.col(value).isNotNull(), 1).otherwise(0)).over(in_order()))
     return df.withColumn(out, F.when(F.col("_i_" + value) > 0, ewm(value, alpha))).drop("_i_" + value)
 
 
@@ -95,14 +98,14 @@ def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
     df = df.withColumn("gain", F.when(F.col("chg").isNotNull(), F.col("gain"))).withColumn("loss", F.when(F.col("chg").isNotNull(), F.col("loss")))
     df = with_ewm(with_ewm(df, "gain", 1 / n, "g"), "loss", 1 / n, "l")
     value = F.when(F.col("l") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("g") / F.col("l")))
-    return df.select("symbol", "d", F.round(F.when(F.row_number().over(BY) > n, value), 4).alias("rsi"))
+    return df.select("symbol", "d", F.round(F.when(F.row_number().over(in_order()) > n, value), 4).alias("rsi"))
 
 
 def macd(bars: DataFrame) -> DataFrame:
     """WIN8: exponential averages of 12 and 26 bars, their gap, its average of 9, and the histogram from bar 35 on."""
     df = with_ewm(with_ewm(bars, "close", 2 / 13, "fast"), "close", 2 / 27, "slow").withColumn("macd", F.col("fast") - F.col("slow"))
     df = with_ewm(df, "macd", 2 / 10, "signal")
-    on = F.row_number().over(BY) >= 35
+    on = F.row_number().over(in_order()) >= 35
     return df.select("symbol", "d", *(F.round(F.when(on, F.col(c)), 5).alias(c) for c in ("macd", "signal")), F.round(F.when(on, F.col("macd") - F.col("signal")), 5).alias("hist"))
 
 
@@ -115,7 +118,7 @@ def max_drawdown(bars: DataFrame, n: int = 60) -> DataFrame:
 
 def trend_slope(bars: DataFrame, n: int = 50, fit: int = 60) -> DataFrame:
     """WIN10, WIN11: least-squares slope over n bars by their mean; slope in % a day and fit (R2) over another frame."""
-    df = bars.withColumn("rn", F.row_number().over(BY).cast("double"))
+    df = bars.withColumn("rn", F.row_number().over(in_order()).cast("double"))
     slope = lambda k: F.regr_slope("close", "rn").over(last(k))
     return df.select("symbol", "d", r6(full(slope(n) / F.avg("close").over(last(n)), n), "slope"), r6(full(slope(fit) / F.avg("close").over(last(fit)) * 100, fit), "slope_pct"), r6(full(F.regr_r2("close", "rn").over(last(fit)), fit), "r2"))
 
@@ -146,14 +149,14 @@ def accumulation(bars: DataFrame, n: int = 20) -> DataFrame:
     """WIN15: close location x volume summed over n bars, with expansion (5 over 20 bars above 1.2) and contraction (below 0.8)."""
     span = F.col("high") - F.col("low")
     df = bars.withColumn("mf", F.when(span > 0, ((F.col("close") - F.col("low")) - (F.col("high") - F.col("close"))) / span * F.col("volume")).otherwise(0.0))
-    df = df.withColumn("ad", F.sum("mf").over(BY)).withColumn("rn", F.row_number().over(BY).cast("double"))
+    df = df.withColumn("ad", F.sum("mf").over(in_order())).withColumn("rn", F.row_number().over(in_order()).cast("double"))
     ratio = F.avg("volume").over(last(5)) / F.avg("volume").over(last(n))
     return df.select("symbol", "d", F.round(full(F.regr_slope("ad", "rn").over(last(n)) / F.avg("volume").over(last(n)), n), 5).alias("ad_slope"), full(ratio > 1.2, n).alias("expansion"), full(ratio < 0.8, n).alias("contraction"))
 
 
 def swings(bars: DataFrame, k: int = 5) -> DataFrame:
     """WIN16: swing highs and lows: not below (above) any of the k bars on either side."""
-    around = BY.rowsBetween(-k, k)
+    around = in_order().rowsBetween(-k, k)
     whole = F.count("*").over(around) == 2 * k + 1
     return bars.withColumn("is_high", whole & (F.col("high") >= F.max("high").over(around))).withColumn("is_low", whole & (F.col("low") <= F.min("low").over(around)))
 
@@ -162,7 +165,7 @@ def swing_counts(bars: DataFrame, n: int = 60) -> DataFrame:
     """WIN17: higher swing highs and higher swing lows among the last n bars."""
     df = swings(bars)
     for side, of in (("high", "is_high"), ("low", "is_low")):
-        prior = F.last(F.when(F.col(of), F.col(side)), True).over(BY.rowsBetween(Window.unboundedPreceding, -1))
+        prior = F.last(F.when(F.col(of), F.col(side)), True).over(in_order().rowsBetween(Window.unboundedPreceding, -1))
         df = df.withColumn(f"_{side}", F.when(F.col(of) & (F.col(side) > prior), 1).otherwise(0))
     return df.select("symbol", "d", F.sum("_high").over(last(n)).alias("higher_highs"), F.sum("_low").over(last(n)).alias("higher_lows"))
 
@@ -184,8 +187,8 @@ def anchored_vwap(bars: DataFrame) -> DataFrame:
 
 def unfilled_gaps(bars: DataFrame, n: int = 60) -> DataFrame:
     """WIN19: gaps of 0.5 % or more within the last n bars that no later bar has closed, with their age in bars."""
-    after = BY.rowsBetween(1, Window.unboundedFollowing)
-    df = bars.select("symbol", "d", "low", "high", back("high").alias("ph"), back("low").alias("pl"), F.min("low").over(after).alias("fl"), F.max("high").over(after).alias("fh"), (F.count("*").over(Window.partitionBy("symbol")) - F.row_number().over(BY)).cast("int").alias("age"))
+    after = in_order().rowsBetween(1, Window.unboundedFollowing)
+    df = bars.select("symbol", "d", "low", "high", back("high").alias("ph"), back("low").alias("pl"), F.min("low").over(after).alias("fl"), F.max("high").over(after).alias("fh"), (F.count("*").over(Window.partitionBy("symbol")) - F.row_number().over(in_order())).cast("int").alias("age"))
     up = (F.col("low") > F.col("ph") * 1.005) & (F.coalesce("fl", "low") > F.col("ph"))
     down = (F.col("high") < F.col("pl") * 0.995) & (F.coalesce("fh", "high") < F.col("pl"))
     return df.where((F.col("age") < n) & (up | down)).select("symbol", "d", F.when(up, "up").otherwise("down").alias("side"), F.when(up, F.col("ph")).otherwise(F.col("pl")).alias("edge"), "age")
@@ -210,7 +213,7 @@ def return_quantiles(bars: DataFrame, h: int = 10) -> DataFrame:
 
 def forward_returns(bars: DataFrame, steps: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
     """WIN22: returns to the bars some steps ahead; null where they are not there yet."""
-    return bars.select("symbol", "d", *(r6(F.lead("close", n).over(BY) / F.col("close") - 1, f"fwd{n}") for n in steps))
+    return bars.select("symbol", "d", *(r6(F.lead("close", n).over(in_order()) / F.col("close") - 1, f"fwd{n}") for n in steps))
 
 
 def volatility_median(bars: DataFrame, n: int = 5) -> DataFrame:
@@ -229,7 +232,7 @@ def regime_features(bars: DataFrame, n: int = 21) -> DataFrame:
 def run_lengths(df: DataFrame, state: str) -> DataFrame:
     """WIN25: rows of (symbol, d, state) with the number of bars that the state has lasted, this one included."""
     change = F.when(F.col(state).eqNullSafe(back(state)), 0).otherwise(1)
-    df = df.withColumn("_c", change).withColumn("_run", F.sum("_c").over(BY))
+    df = df.withColumn("_c", change).withColumn("_run", F.sum("_c").over(in_order()))
     return df.withColumn("duration", F.row_number().over(Window.partitionBy("symbol", "_run").orderBy("d"))).drop("_c", "_run")
 
 

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
 from . import indicators as I
 
-SER = Window.partitionBy("series_id").orderBy("d")
+
+def series_order() -> WindowSpec:
+    """The rows of each series by date."""
+    return Window.partitionBy("series_id").orderBy("d")
 
 
 def series_features(series: DataFrame) -> DataFrame:
     """WIN27, AGG8: distance from the 200-row average, change over 3 rows and a year back by rows (252), and the z score in the series' history so far, clipped to 3."""
     v = F.col("value")
-    frame = SER.rowsBetween(-199, 0)
-    past = SER.rowsBetween(Window.unboundedPreceding, 0)
+    frame = series_order().rowsBetween(-199, 0)
+    past = series_order().rowsBetween(Window.unboundedPreceding, 0)
     z = F.when(F.stddev_pop("value").over(past) > 0, (v - F.avg("value").over(past)) / F.stddev_pop("value").over(past)).otherwise(0.0)
     ma = F.when(F.count("value").over(frame) == 200, F.avg("value").over(frame))
-    return series.select("series_id", "d", F.round(v / ma - 1, 6).alias("ma_distance"), F.round(v / F.lag("value", 3).over(SER) - 1, 6).alias("change3"), F.round(v / F.lag("value", 252).over(SER) - 1, 6).alias("yoy"), F.round(F.greatest(F.least(z, F.lit(3.0)), F.lit(-3.0)), 5).alias("z"))
+    return series.select("series_id", "d", F.round(v / ma - 1, 6).alias("ma_distance"), F.round(v / F.lag("value", 3).over(series_order()) - 1, 6).alias("change3"), F.round(v / F.lag("value", 252).over(series_order()) - 1, 6).alias("yoy"), F.round(F.greatest(F.least(z, F.lit(3.0)), F.lit(-3.0)), 5).alias("z"))
 
 
 def arrow(delta: F.Column, scale: float) -> F.Column:
@@ -87,6 +90,6 @@ def volatility_states(bars: DataFrame, k: int = 3, seed: int = 7) -> DataFrame:
 
 def transitions(states: DataFrame) -> DataFrame:
     """The transition shares between states of neighbouring bars of a symbol."""
-    pairs = states.select(F.lag("state").over(I.BY).alias("from"), F.col("state").alias("to")).where("`from` is not null")
+    pairs = states.select(F.lag("state").over(I.in_order()).alias("from"), F.col("state").alias("to")).where("`from` is not null")
     n = pairs.groupBy("from", "to").agg(F.count("*").alias("n"))
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("from")), 6))

@@ -49,14 +49,14 @@ def features(bars: DataFrame, fundamentals: DataFrame) -> DataFrame:
     lo, hi = F.min("low").over(I.last(20)), F.max("high").over(I.last(20))
     df = df.select(
         "symbol", "d", "close",
-        F.row_number().over(I.BY).alias("rn"),
+        F.row_number().over(I.in_order()).alias("rn"),
         (F.col("close") / I.back("close", 21) - 1).alias("r21"),
         (F.col("close") / I.back("close", 63) - 1).alias("r63"),
         ma50.alias("ma50"),
         (F.col("close") / ma50 - 1).alias("above_ma50"),
         I.full(F.when(hi > lo, (F.col("close") - lo) / (hi - lo) * 100), 20).alias("range_pct"),
         I.full(F.stddev_samp("ret").over(I.last(20)), 20, "ret").alias("sd20"),
-        (F.lead("close", 20).over(I.BY) / F.col("close") - 1).alias("fwd20"),
+        (F.lead("close", 20).over(I.in_order()) / F.col("close") - 1).alias("fwd20"),
     )
     return df.join(fundamentals.select("symbol", "pe", "growth"), "symbol", "left").select("symbol", "d", "rn", "close", "ma50", "fwd20", *(F.round(f, 9).alias(f) for f in FIELDS))
 
