@@ -49,7 +49,7 @@ def calibration(outcomes: DataFrame, *by: str, least: int = 30, within: float =
     """AGG16, AGG17: how often the bands held by horizon (and more columns), the mean error, and whether both coverages are near enough on enough outcomes."""
     c = lambda k: F.avg(F.col(k).cast("double"))
     near = (F.abs(c("in68") - 0.68) <= within) & (F.abs(c("in90") - 0.90) <= within)
-    return outcomes.groupBy(*by, "horizon").agg(F.count("*").alias("n"), F.round(c("in68"), 6).alias("cov68"), F.round(c("in90"), 6).alias("cov90"), F.round(F.avg("error"), 8).alias("mae"), F.round(F.avg("mfe"), 8).alias("mfe_mean"), (near & (F.count("*") >= least)).alias("calibrated"))
+    return outcomes.groupBy(*by, "horizon").agg(F.count("*").alias("n"), F.round(c("in68"), 6).alias("cov68"), F.round(c("in90"), 6).alias("cov90"), F.round(F.avg("error"), 12).alias("mae"), F.round(F.avg("mfe"), 12).alias("mfe_mean"), (near & (F.count("*") >= least)).alias("calibrated"))
 
 
 def gate(cal: DataFrame) -> DataFrame:

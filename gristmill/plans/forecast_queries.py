@@ -115,7 +115,7 @@ _OUT = _BANDS + _NUM + """, oc AS (SELECT fc.symbol, fc.d, fc.horizon, MAX(CASE
  FROM fc JOIN nb ON fc.symbol = nb.symbol AND nb.rn BETWEEN fc.rn + 1 AND fc.rn + horizon GROUP BY 1, 2, 3),
 outcomes AS (SELECT symbol, d, horizon, actual, mfe, mae, actual BETWEEN lo68 AND hi68 AS in68, actual BETWEEN lo90 AND hi90 AS in90, ROUND(ABS(actual / median - 1), 6) AS error FROM oc WHERE actual IS NOT NULL)"""
 _C = lambda k: f"AVG(CAST({k} AS DOUBLE))"
-_CAL = lambda by: f"SELECT {by}horizon, COUNT(*) AS n, ROUND({_C('in68')}, 6) AS cov68, ROUND({_C('in90')}, 6) AS cov90, ROUND(AVG(error), 8) AS mae, ROUND(AVG(mfe), 8) AS mfe_mean, ABS({_C('in68')} - 0.68) <= 0.10 AND ABS({_C('in90')} - 0.90) <= 0.10 AND COUNT(*) >= 30 AS calibrated FROM outcomes GROUP BY ALL"
+_CAL = lambda by: f"SELECT {by}horizon, COUNT(*) AS n, ROUND({_C('in68')}, 6) AS cov68, ROUND({_C('in90')}, 6) AS cov90, ROUND(AVG(error), 12) AS mae, ROUND(AVG(mfe), 12) AS mfe_mean, ABS({_C('in68')} - 0.68) <= 0.10 AND ABS({_C('in90')} - 0.90) <= 0.10 AND COUNT(*) >= 30 AS calibrated FROM outcomes GROUP BY ALL"
 _DUE = _BANDS + ", due AS (SELECT symbol, d, spot, CAST(d + CAST(FLOOR(21 * 365 / 252) AS INT) AS DATE) AS due FROM fc WHERE horizon = 21)"
 
 
