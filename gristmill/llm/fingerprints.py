@@ -16,6 +16,8 @@ SCALE = 4
 #: Rows that one window of neighbours holds, about.
 GROUP_ROWS = 4096
 SEGMENTS = 64
+#: Ids of groups' first rows that are broadcast, at most.
+HEADS_BROADCAST = 1_000_000
 
 
 def with_sketch(df: DataFrame, text: str, out: str, scale: int = SCALE) -> DataFrame:
@@ -93,7 +95,11 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     following = F.coalesce(F.array_min(F.filter("all", lambda s: s["seg"] > F.col("seg"))), F.element_at("all", 1))
     jumps = first.join(F.broadcast(turn)).select("seg", following.alias("jump"))
     to = within.join(F.broadcast(jumps), "seg").select("seg", "grp", F.coalesce("to", "jump").alias("to"))
-    heads = docs.select("seg", "grp", "doc_id", "text", *(c for c in columns if c != "text")).join(ranks, ["seg", "grp"]).where(F.col("doc_id").eqNullSafe(F.col("head")))
+    first_ids = ranks.where("head is not null").select(F.col("head").alias("doc_id"))
+    if first_ids.count() <= HEADS_BROADCAST:  # counted, so the broadcast has a known size; else both sides are shuffled
+        first_ids = F.broadcast(first_ids)
+    heads = docs.select("seg", "grp", "doc_id", "text", *(c for c in columns if c != "text"))
+    heads = heads.join(first_ids, "doc_id", "left_semi").select("seg", "grp", "text", *(c for c in columns if c != "text")).union(heads.where("doc_id is null").select("seg", "grp", "text", *(c for c in columns if c != "text")))
     heads = heads.groupBy("seg", "grp").agg(F.min_by(F.struct(*columns), F.struct(F.col("text").isNotNull(), "text")).alias("first"))
     heads = to.join(heads.select(F.struct("seg", "grp").alias("to"), "first"), "to").select("seg", "grp", "first")
     window = Window.partitionBy("seg", "grp").orderBy(*order)
