@@ -30,6 +30,9 @@ ROUNDS, STEPS = 12, 8
 #: Labelled rows that a model learns from, at most, and the longest text among them (code points).
 SAMPLE, LONGEST = 3000, 20_000
 
+#: How far a score moves from the sample's share of toxic rows to that of all labelled rows, in log odds.
+PRIOR = 0.5
+
 _WORD = np.zeros(256, bool)
 _WORD[[*range(65, 91), *range(97, 123), *range(128, 256), 0x27]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -124,8 +127,8 @@ def logits(model: Model, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(mean, np.searchsorted(text, np.arange(len(off) - 1))) + model.bias if len(off) > 1 else np.zeros(0)
 
 
-def fit(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model:
-    """Trains on whole texts with labels 0 and 1; with one class only, scores say that class."""
+def fit(texts: list[str], labels: np.ndarray, shift: float = 0.0, seed: int = 1) -> Model:
+    """Trains on whole texts with labels 0 and 1; with one class only, scores say that class.  shift is added to all logits."""
     raw = [t.encode() for t in texts]
     off = np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)]).astype(np.int64)
     if len(set(labels.tolist())) < 2:
@@ -133,7 +136,9 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model:
     buf = np.frombuffer(b"".join(raw), np.uint8)
     starts, ends, hashes, bounds = words_of(buf, off)
     _, first, word = np.unique(hashes, return_index=True, return_inverse=True)
-    flat, size = bags_of([buf[starts[i] : ends[i]].tobytes() for i in first.tolist()])
+    parts = [bags_of([buf[starts[i] : ends[i]].tobytes() for i in some.tolist()]) for some in np.array_split(first, -(-len(first) // 20_000))]
+    flat, size = np.concatenate([f.astype(np.int32) for f, _ in parts]), np.concatenate([n for _, n in parts])
+    del parts
     at = np.cumsum(size) - size
     new = fresh(hashes, bounds)
     seen = np.concatenate([[0.0], np.cumsum(new)])
@@ -182,7 +187,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 1) -> Model:
     buckets = E @ (U[:, 1] - U[:, 0])
     import hashlib
 
-    return Model(buckets, float(bias[1] - bias[0]), hashlib.sha256(buckets.tobytes()).hexdigest())
+    return Model(buckets, float(bias[1] - bias[0]) + shift, hashlib.sha256(buckets.tobytes()).hexdigest())
 
 
 def held_out() -> F.Column:
@@ -192,7 +197,9 @@ def held_out() -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from the labelled rows that are not held out: at most sample of them, in the
     order of a hash of their ids, half of them toxic if there are so many; texts of
-    at most LONGEST code points.  Null labels, ids and texts are left out.
+    at most LONGEST code points.  Null labels, ids and texts are left out.  The
+    sample has more toxic rows than the labels do, so logits are moved part of
+    the way back.
     """
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -200,7 +207,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     picked = known.where("toxic = 1").orderBy(*order).limit(sample // 2).union(known.where("toxic = 0").orderBy(*order).limit(sample // 2))
     rows = docs.join(F.broadcast(picked), "doc_id").where(f"text is not null and char_length(text) <= {LONGEST}").select("doc_id", "text", "toxic").limit(2 * sample).collect()  # the sample's size is a parameter
     rows = sorted({(r["doc_id"], r["text"], r["toxic"]) for r in rows})
-    return fit([r[1] for r in rows], np.array([r[2] for r in rows]))
+    y = np.array([r[2] for r in rows])
+    all_rows = dict(known.groupBy("toxic").count().collect())  # two rows
+    own = (y == 1).sum(), (y == 0).sum()
+    shift = float(np.log(all_rows[1] / all_rows[0]) - np.log(own[0] / own[1])) if min(own, default=0) > 0 else 0.0
+    return fit([r[1] for r in rows], y, PRIOR * shift)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
