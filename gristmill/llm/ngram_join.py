@@ -14,7 +14,7 @@ than needed keeps the guarantee for documents with at most one such group, and
 the few others write their empty signatures too.
 
 Candidates are pruned by an exact bound (a parity bitmap of the set: its
-Hamming distance never exceeds the sets' difference) and then verified on the
+Hamming distance never exceeds the sets' difference, folded or not) and then verified on the
 sets themselves.  Large signature groups are not expanded into pairs: a few
 pivots link most members, and only members still in different components are
 compared, in blocks, inside tasks that return links only.
@@ -86,6 +86,11 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def nodes(elements: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each set."""
+    return _sums(T.mix(elements), bounds).view(np.int64)
+
+
 def bitmap_bits(n: int) -> int:
     """Bits of the parity bitmap of a set of n elements: a power of two."""
     return max(64, 1 << int(np.ceil(np.log2(max(1, 5 * n // 2)))))
@@ -101,22 +106,23 @@ def _bitmaps(elements: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [packed[a // 8 : b // 8] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-SKETCH = "doc_id long, n_shingles long, h1 long, h2 long, bitmap binary"
+#: node: a 64-bit hash of the set, so equal sets are one node.
+SKETCH = "doc_id long, n_shingles long, node long, bitmap binary"
 
 
 def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in T.chunks(batches):
         elements, bounds = shingle_sets(*T.buffer(T.column(batch, "text")))
         n = np.diff(bounds)
+        maps = _bitmaps(elements, bounds)
         yield pa.record_batch(
             [
                 T.column_raw(batch, "doc_id"),
                 pa.array(n),
-                pa.array(_sums(T.mix(elements), bounds).view(np.int64)),
-                pa.array(_sums(T.mix(elements ^ np.uint64(0x5851F42D4C957F2D)), bounds).view(np.int64)),
-                pa.array(_bitmaps(elements, bounds), pa.binary()),
+                pa.array(nodes(elements, bounds)),
+                pa.array([folded([b], min(8 * len(b), max(1024, 2 * len(b)))).tobytes() for b in maps], pa.binary()),
             ],
-            names=["doc_id", "n_shingles", "h1", "h2", "bitmap"],
+            names=["doc_id", "n_shingles", "node", "bitmap"],
         )
 
 
@@ -178,11 +184,10 @@ def _packed(n_parts: int):
         seen: set[int] = set()
         held, n = [], 0
         for batch in T.chunks(batches):
-            ids = np.asarray(T.column_raw(batch, "doc_id").fill_null(-(1 << 63)))
             elements, bounds = shingle_sets(*T.buffer(T.column(batch, "text")))
-            whole = _sums(T.mix(elements), bounds)
+            ids = nodes(elements, bounds)
             fresh = np.zeros(len(ids), bool)
-            for i, h in enumerate(whole.tolist()):
+            for i, h in enumerate(ids.tolist()):
                 if h not in seen:
                     seen.add(h)
                     fresh[i] = True
@@ -210,8 +215,10 @@ def _grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def solve(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         ids = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, np.uint32)) for d, c, _, _ in held])
         signs = np.concatenate([(np.frombuffer(h, np.uint32).astype(np.uint64) << np.uint64(16)) | np.frombuffer(w, np.uint16) for _, _, h, w in held])
-        order = np.argsort(signs)
+        order = np.lexsort((ids, signs))
         ids, signs = ids[order], signs[order]
+        once = np.concatenate([[True], (signs[1:] != signs[:-1]) | (ids[1:] != ids[:-1])])
+        ids, signs = ids[once], signs[once]
         new = np.concatenate([[True], signs[1:] != signs[:-1], [True]])
         at = np.flatnonzero(new)
         size = np.diff(at)
@@ -261,7 +268,7 @@ SETS = "node long, elements array<long>"
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in T.chunks(batches):
         elements, bounds = shingle_sets(*T.buffer(T.column(batch, "text")))
-        yield pa.record_batch([T.column_raw(batch, "doc_id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(elements.view(np.int64)))], names=["node", "elements"])
+        yield pa.record_batch([pa.array(nodes(elements, bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(elements.view(np.int64)))], names=["node", "elements"])
 
 
 def folded(bitmaps: list[bytes], bits: int) -> np.ndarray:
@@ -332,12 +339,23 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from solve(held)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose sets have 100 * intersection >= 80 * union."""
+def _small(df: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """df marked for a broadcast if, counted, it is known to be small; df is a checkpoint of one long column."""
+    return F.broadcast(df) if 16 * df.count() <= broadcast_bytes else df
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """Those pairs (a, b) whose sets have 100 * intersection >= 80 * union.
+
+    Only the texts of the pairs' nodes become sets again; names has one doc_id for each node.
+    """
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = names.join(wanted, "node", "left_semi").select(F.col("doc").alias("doc_id")).distinct().checkpoint()
+    sets = docs.join(_small(wanted, broadcast_bytes), "doc_id", "left_semi").mapInArrow(_sets, SETS).checkpoint()
     one = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
     two = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
     both = F.size(F.array_intersect("ea", "eb"))
-    return pairs.join(two, "b").join(one, "a").where(100 * both >= 80 * (F.size("ea") + F.size("eb") - both)).select("a", "b")
+    return pairs.join(two, "b").join(one, "a").where(100 * both >= 80 * (F.size("ea") + F.size("eb") - both)).select("a", "b").distinct().checkpoint()
 
 
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -352,11 +370,11 @@ def ngram_jaccard_components(docs: DataFrame, broadcast_bytes: int = 32 << 20) -
     """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text).
 
     component_id is the smallest doc_id that links reach.  A null or blank text
-    has an empty set (n_shingles 0) and is linked with nothing.  Rows with the
-    same doc_id are taken as one document each for n_shingles and join one
-    component.  A row whose doc_id is null keeps component_id null.  Other
-    columns of docs are ignored.  Equal sets are one node from the start, so
-    copies cost a row each and no pairs.
+    has an empty set (n_shingles 0), is linked with nothing and has its own
+    doc_id as component_id; so does a row whose doc_id is null.  Rows stay
+    apart, repeated doc_ids too, each by its own text.  Other columns of docs
+    are ignored.  Equal sets are one node from the start, so copies cost a row
+    each and no pairs.
     """
     spark = docs.sparkSession
     T.small_batches(spark)
@@ -365,36 +383,33 @@ def ngram_jaccard_components(docs: DataFrame, broadcast_bytes: int = 32 << 20) -
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     sketch = docs.mapInArrow(_sketch, SKETCH).checkpoint()
-    rows = sketch.select("doc_id", "n_shingles", "h1", "h2")
-    known = rows.where("n_shingles > 0 and doc_id is not null")
-    # one node for each distinct set, named by its smallest doc_id
-    reps = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
-    members = known.join(reps, ["h1", "h2"]).select("doc_id", "node").distinct().checkpoint()
+    known = sketch.where("n_shingles > 0 and doc_id is not null")
+    names = known.groupBy("node").agg(F.min("doc_id").alias("doc")).checkpoint()
 
     found = docs.where("doc_id is not null").mapInArrow(_packed(parts), PACKED).repartition(parts // 2, "p").sortWithinPartitions("p").mapInArrow(_grouped, GROUPED).checkpoint()
-    first = members.select(F.col("doc_id").alias("a"), F.col("node").alias("na"))
-    second = members.select(F.col("doc_id").alias("b"), F.col("node").alias("nb"))
-    pairs = found.where("b is not null").select("a", "b").distinct().join(first, "a").join(second, "b")
-    pairs = pairs.where("na != nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
-    size = sketch.where("n_shingles > 0").join(members.select("node").distinct(), sketch.doc_id == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "bitmap").dropDuplicates(["node"])
-    one = size.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("bitmap").alias("ba"))
-    two = size.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("bitmap").alias("bb"))
-    pairs = pairs.join(one, "a").join(two, "b").where("4 * na <= 5 * nb and 4 * nb <= 5 * na")
-    close = pairs.mapInArrow(_close, "a long, b long, far long").checkpoint()
-
-    groups = found.where("sign is not null").select(F.col("a").alias("doc_id"), "sign").join(members, "doc_id").select("node", "sign").distinct()
-    wanted = close.select(F.col("a").alias("node")).union(close.select("b")).union(groups.select("node")).distinct()
-    n_wanted = wanted.count()
-    if 16 * n_wanted <= broadcast_bytes:  # counted, so the broadcast has a known size; else both sides are shuffled
+    pairs = found.where("b is not null").select("a", "b").distinct()
+    groups = found.where("sign is not null").select(F.col("a").alias("node"), "sign")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(groups.select("node")).distinct().checkpoint()
+    wanted = names.join(_small(wanted, broadcast_bytes), "node", "left_semi").withColumnRenamed("doc", "doc_id").checkpoint()
+    if 32 * wanted.count() <= broadcast_bytes:
         wanted = F.broadcast(wanted)
-    sets = docs.join(wanted, docs.doc_id == F.col("node"), "left_semi").mapInArrow(_sets, SETS).dropDuplicates(["node"]).checkpoint()
+    # by node and its doc_id, so that copies fall out before anything is moved
+    size = known.select("doc_id", "node", "n_shingles", "bitmap").join(wanted, ["doc_id", "node"], "left_semi").drop("doc_id").checkpoint()
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        one = size.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("bitmap").alias("ba"))
+        two = size.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("bitmap").alias("bb"))
+        pairs = pairs.join(one, "a").join(two, "b").where("4 * na <= 5 * nb and 4 * nb <= 5 * na")
+        return pairs.mapInArrow(_close, "a long, b long, far long")
+
+    close = plausible(pairs).checkpoint()
 
     # each node first tries its closest partner, which links almost all that can be linked
     best = close.select("a", "b", "far", F.col("a").alias("of")).union(close.select("a", "b", "far", F.col("b")))
     best = best.groupBy("of").agg(F.min(F.struct("far", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
-    links = _verified(best, sets).checkpoint()
-    labels = connected_components(links)
-    links = links.union(_verified(_labelled(close.select("a", "b"), labels), sets)).checkpoint()
+    links = _verified(best.checkpoint(), docs, names, broadcast_bytes)
+    labels = connected_components(links, rounds=1)
+    links = links.union(_verified(_labelled(close.select("a", "b"), labels).checkpoint(), docs, names, broadcast_bytes))
     labels = connected_components(links)
 
     # larger groups: members still apart are compared in blocks
@@ -405,9 +420,14 @@ def ngram_jaccard_components(docs: DataFrame, broadcast_bytes: int = 32 << 20) -
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     own = own.select("sign", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"), "node", "component")
     own = own.join(size.select("node", F.col("n_shingles").alias("n"), "bitmap"), "node")
-    more = own.repartition("sign", "x", "y").sortWithinPartitions("sign", "x", "y").mapInArrow(_blocks, "a long, b long").distinct()
-    links = links.union(_verified(more, sets)).checkpoint()
-    labels = connected_components(links)
-
-    out = members.join(labels, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
-    return rows.join(out, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    more = own.repartition("sign", "x", "y").sortWithinPartitions("sign", "x", "y").mapInArrow(_blocks, "a long, b long").distinct().checkpoint()
+    if not more.isEmpty():
+        more = _verified(more, docs, names, broadcast_bytes)
+        if not more.isEmpty():
+            labels = connected_components(links.union(more))
+
+    own = names.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = own.groupBy("component").agg(F.min("doc").alias("component_id"))
+    own = own.join(least, "component").select("node", "component_id")
+    rows = sketch.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
+    return rows.join(own, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
