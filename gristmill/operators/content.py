@@ -8,6 +8,8 @@ from ..functions import text as X
 
 SEVERITY = {"unclosed_document": "high", "no_canonical": "medium", "h1_count": "medium", "duplicate_ad": "low", "thin_page": "high", "duplicate_title": "medium", "query_url": "low"}
 THIN_WORDS = 300
+#: Sets that share a word, or slugs that share a set, that one join key holds at most.
+BLOCK = 1000
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -67,16 +69,34 @@ def broken_links(pages: DataFrame) -> DataFrame:
 def similar_slugs(paths: DataFrame, least: float = 0.5) -> DataFrame:
     """JOI20: for each (slug, words), other slugs that share at least half of all their words.
 
-    Joined on shared words; pairs that share none are never made.  Words that
-    more than a thousand slugs have are left to the others of a pair.
+    Equal word sets are one set.  Each set's words are ordered from rare to
+    frequent; two similar sets' first common word is among the first
+    n - ceil(n / 2) + 1 words of both, so sets are joined on these alone and a
+    pair is taken at that word.  Words and sets with many members are cut into
+    blocks, and each pair of blocks is a join key of its own.
     """
-    w = paths.select("slug", F.explode("words").alias("w")).distinct()
-    size = w.groupBy("slug").agg(F.count("*").alias("n"))
-    rare = w.join(w.groupBy("w").agg(F.count("*").alias("c")).where("c <= 1000"), "w").select("slug", "w")
-    both = rare.join(rare.withColumnRenamed("slug", "other"), "w").where("slug < other").select("slug", "other").distinct()
-    shared = both.join(w, "slug").join(w.withColumnRenamed("slug", "other"), ["other", "w"]).groupBy("slug", "other").agg(F.count("*").alias("k"))
-    out = shared.join(size, "slug").join(size.select(F.col("slug").alias("other"), F.col("n").alias("m")), "other")
-    return out.withColumn("jaccard", F.round(F.col("k") / (F.col("n") + F.col("m") - F.col("k")), 6)).where(F.col("jaccard") >= least).select("slug", "other", "jaccard")
+    low = least - 5e-7  # what still rounds to it
+    words = F.array_sort(F.array_distinct(F.flatten(F.collect_list("words"))))
+    slugs = paths.groupBy("slug").agg(words.alias("words")).where("size(words) > 0").withColumn("name", F.sha2(F.to_json("words"), 256))
+    sets = slugs.groupBy("name").agg(F.first("words").alias("words"), F.count("*").alias("members"))
+    w = sets.select("name", F.explode("words").alias("w"))
+    ordered = w.join(w.groupBy("w").agg(F.count("*").alias("c")), "w").groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "w"))), lambda x: x["w"]).alias("words"))
+    prefix = F.slice("words", 1, (F.size("words") - F.ceil(low * F.size("words")) + 1).cast("int"))
+    rare = ordered.select("name", "words", F.explode(prefix).alias("w"))
+    hot = rare.groupBy("w").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK)
+    rare = rare.join(hot, "w", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("c") / BLOCK), F.lit(1)))
+    rare = rare.withColumn("own", F.pmod(F.xxhash64("name"), "blocks"))
+    one = rare.select("w", F.col("own").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"), F.col("name").alias("a"), F.col("words").alias("wa"))
+    two = rare.select("w", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("x"), F.col("own").alias("y"), F.col("name").alias("b"), F.col("words").alias("wb"))
+    n, m, k = F.size("wa"), F.size("wb"), F.size("common")
+    pairs = one.join(two, ["w", "x", "y"]).where("x < y or a < b").where((n >= low * m) & (m >= low * n)).withColumn("common", F.array_intersect("wa", "wb"))
+    pairs = pairs.where(F.get("common", F.lit(0)) == F.col("w")).withColumn("jaccard", F.round(k / (n + m - k), 6)).where(F.col("jaccard") >= least).select("a", "b", "jaccard")
+    pairs = pairs.union(sets.where("members > 1").select("name", "name", F.lit(1.0)))
+    blocks = sets.select(F.col("name").alias("b"), F.ceil(F.col("members") / BLOCK).alias("blocks"))
+    others = slugs.select(F.col("name").alias("b"), F.col("slug").alias("other")).join(blocks, "b").select("b", F.pmod(F.xxhash64("other"), "blocks").alias("block"), "other")
+    out = pairs.join(slugs.select(F.col("name").alias("a"), "slug"), "a").join(blocks, "b").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    out = out.join(others, ["b", "block"]).where("a <> b or slug < other")
+    return out.select(F.least("slug", "other").alias("slug"), F.greatest("slug", "other").alias("other"), "jaccard")
 
 
 def life_cycle(nightly: DataFrame) -> DataFrame:

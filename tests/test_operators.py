@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import math
 import random
 
@@ -118,6 +119,29 @@ def test_findings_and_decisions(spark):
     assert C.claim_decision(checked).first().decision == "review"
 
 
+def slug_pairs(sets: dict) -> dict:
+    got = {}
+    for (a, x), (b, y) in itertools.combinations(sorted(sets.items()), 2):
+        if x and y and round(len(x & y) / len(x | y), 6) >= 0.5:
+            got[a, b] = round(len(x & y) / len(x | y), 6)
+    return got
+
+
+def test_similar_slugs_of_frequent_words(spark):
+    sets = {i: {"common", "often", f"a{i}", f"b{i}", f"c{i}"} for i in range(1010)} | {1010: {"common", "often"}, 1011: {"often", "common"}}
+    got = C.similar_slugs(spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "slug long, words array<string>")).collect()
+    assert len(got) == 1 and tuple(got[0]) == (1010, 1011, 1.0)
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_similar_slugs_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(C, "BLOCK", block)
+    rnd = random.Random(2)
+    sets = {i: {f"w{int(rnd.random() ** 2 * 12)}" for _ in range(rnd.randrange(7))} for i in range(150)}
+    got = C.similar_slugs(spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "slug long, words array<string>")).collect()
+    assert len(got) == len(slug_pairs(sets)) and {(r.slug, r.other): r.jaccard for r in got} == slug_pairs(sets)
+
+
 def test_lockouts_batch_and_stream_agree(spark, tmp_path):
     rnd = random.Random(3)
     base = dt.datetime(2024, 1, 1)
