@@ -22,8 +22,9 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + 2 * len(KINDS)  # none, then begin and inside of each kind
 SHAPES = 1 << 11
 DIGIT_CLASSES = 8
-#: A sequence ends at a line break or after so many words.
+#: Words after which a line is cut: in training at once, in decoding behind one of the next WINDOW words that is surely no data.
 SEQUENCE = 128
+WINDOW = 16
 
 EMAIL = re.compile(rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(rb"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -124,10 +125,15 @@ def word_features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
 _BYTE = T.byte_table(lower=False, seed=31)
 
 
+def lines(buf: np.ndarray, off: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The bounds of the lines of all texts in the list of words."""
+    ends = np.flatnonzero(buf == 0x0A)
+    return np.unique(np.concatenate([[0], np.searchsorted(starts, off), np.searchsorted(starts, ends), [len(starts)]]))
+
+
 def sequences(buf: np.ndarray, off: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The bounds of the sequences in the list of words."""
-    lines = np.flatnonzero(buf == 0x0A)
-    cuts = np.unique(np.concatenate([[0], np.searchsorted(starts, off), np.searchsorted(starts, lines), [len(starts)]]))
+    """The bounds of the sequences to train on in the list of words."""
+    cuts = lines(buf, off, starts)
     sizes = np.diff(cuts)
     pieces = -(-sizes // SEQUENCE)
     return np.append(np.repeat(cuts[:-1], pieces) + SEQUENCE * T.ragged(np.zeros(len(sizes), np.int64), pieces), len(starts))
@@ -206,14 +212,44 @@ class CRF:
                 v += 0.01 * g * g
                 param -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
+    def pieces(self, emit: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The bounds with further ones in long sequences, each behind a word whose best label is none whatever the labels outside its window are.
+
+        Such a word parts the best labels before it from those after it, so
+        that pieces decode to the same labels as whole sequences.  Where a
+        window has no such word, the piece goes on to the next window.
+        """
+        n = np.diff(bounds)
+        windows = np.maximum(n - WINDOW, 0) // SEQUENCE
+        at = np.repeat(bounds[:-1], windows) + SEQUENCE * (1 + T.ragged(np.zeros(len(n), np.int64), windows))
+        if not len(at):
+            return bounds
+        pairs, none = self.pairs.astype(np.float32), np.where(np.eye(LABELS), 0, -1e9).astype(np.float32)
+        near = emit[at[:, None] + np.arange(WINDOW)].astype(np.float32)
+        gap = np.zeros((len(at), WINDOW, LABELS), np.float32)  # what none is ahead of each label by, at least
+        best = np.repeat(none[None], len(at), 0)  # [window, first label, label]
+        for j in range(1, WINDOW):
+            best = (best[:, :, :, None] + pairs).max(2) + near[:, j, None]
+            gap[:, j] += (best[:, :, :1] - best).min(1)
+        best = np.repeat(none[None], len(at), 0)  # [window, label, last label]
+        for j in range(WINDOW - 2, 0, -1):
+            best = (pairs[:, :, None] + (near[:, j + 1, :, None] + best)[:, None]).max(2)
+            gap[:, j] += (best[:, :1] - best).min(2)
+        least = gap[:, 1:-1, 1:].min(2)
+        word = least.argmax(1)
+        sure = least[np.arange(len(at)), word] > 1e-2
+        return np.union1d(bounds, (at + word + 2)[sure])
+
     def viterbi(self, emit: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """The best label of every word, for all sequences at once."""
-        n = np.diff(bounds)
+        cuts = self.pieces(emit, bounds)
+        n = np.diff(cuts)
         order = np.argsort(-n, kind="stable")
-        n, begin = n[order], bounds[:-1][order]
+        n, begin = n[order], cuts[:-1][order]
         emit = emit.astype(np.float32)
         pairs = self.pairs.T.astype(np.float32)  # [to, from]
-        back, score = [], emit[begin] + self.first.astype(np.float32)
+        inner = ~np.isin(begin, bounds)[:, None]  # behind a word without data
+        back, score = [], emit[begin] + np.where(inner, self.pairs[0], self.first).astype(np.float32)
         final = np.zeros(len(n), np.int64)
         active = len(n)
         for t in range(1, int(n[0]) if len(n) else 0):
@@ -323,7 +359,7 @@ def crf_spans(crf: CRF, buf: np.ndarray, off: np.ndarray) -> list[tuple[int, int
     starts, ends, shape, digits = word_features(buf, off)
     if not len(starts):
         return []
-    bounds = sequences(buf, off, starts)
+    bounds = lines(buf, off, starts)
     label = crf.viterbi(crf.emissions(shape, digits, bounds), bounds)
     tagged = np.flatnonzero(label > 0)
     if not len(tagged):

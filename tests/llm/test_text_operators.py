@@ -229,6 +229,32 @@ def test_viterbi_equals_enumeration():
         assert tuple(got[a:b]) == best
 
 
+def test_spans_in_long_lines_are_found_at_every_word():
+    crf = pii.default_crf()
+    spans = lambda t: pii.crf_spans(crf, np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+    for data in ("4111 1111 1111 1112", "(555) 123-4567"):
+        want = [(k, b - a) for k, a, b in spans(f"call the {data} from the")]
+        assert want and want[0][1] >= len(data) - 2
+        for before in range(120, 132):
+            head = "see the mail at " * 40
+            head = " ".join(head.split()[:before]) + " "
+            got = spans(head + data + " from the" * 100)
+            assert [(k, b - a) for k, a, b in got] == want, (data, before)
+
+
+def test_pieces_decode_like_whole_lines(monkeypatch):
+    crf = pii.default_crf()
+    raw = " ".join(t for t, _ in pii.labelled_rows(seed=7, n=300)).encode()
+    buf, off = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+    starts, _, shape, digits = pii.word_features(buf, off)
+    bounds = pii.lines(buf, off, starts)
+    emit = crf.emissions(shape, digits, bounds)
+    assert len(bounds) == 2 and len(crf.pieces(emit, bounds)) > len(starts) / pii.SEQUENCE / 2
+    cut = crf.viterbi(emit, bounds)
+    monkeypatch.setattr(pii, "SEQUENCE", len(starts))
+    assert (cut == crf.viterbi(emit, bounds)).all() and cut.any()
+
+
 def test_url_filter(spark):
     urls = ["http://A.Example.com/en/x?q#f", "https://www.example.com/en/", "https://example.com", "ftp://x.net/es/a", "http://spam-casino.org/", None, "", "no scheme", "http://", "://h/p", "http://example.com/EN/", "http://xcom/", "http://a.b.net/fr/?x"]
     pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
