@@ -12,6 +12,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import AtomicType
 
 from gristmill.llm import byte_bpe, decontaminate, ngram_join, pii, queries, toxicity
 from gristmill.llm._text import checkpoint_dir
@@ -35,15 +36,25 @@ def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Documents without words and rows without doc_id are linked with nothing and
     stay.  Of rows alike in doc_id and text, and of texts under one doc_id that
-    fall into one group, one stays.
+    fall into one group, one stays; texts under one doc_id that fall into
+    different groups are judged apart.
     """
-    groups = ngram_join.ngram_jaccard_components(docs.select("doc_id", "text")).checkpoint()
-    first = groups.where("n_shingles > 0 and doc_id = component_id").select("doc_id").distinct()
+    groups = ngram_join.ngram_jaccard_nodes(docs.select("doc_id", "text")).checkpoint()
+    linked = groups.where("n_shingles > 0 and doc_id is not null")
+    named = linked.where("doc_id = component_id")
     blank = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     alone = docs.where(F.col("doc_id").isNull() | blank)
-    kept = docs.where(F.col("doc_id").isNotNull() & ~blank).join(first, "doc_id", "left_semi")
-    if not groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])  # moves whole rows, so only where a doc_id occurs twice
+    worded = docs.where(F.col("doc_id").isNotNull() & ~blank)
+    twice = linked.groupBy("doc_id").count().where("count > 1").select("doc_id").checkpoint()
+    if twice.isEmpty():
+        kept = worded.join(named.select("doc_id").distinct(), "doc_id", "left_semi")
+    else:  # sets are made anew and whole rows moved, so only where a doc_id occurs twice
+        first = named.groupBy("component").agg(F.min("doc_id").alias("doc_id"), F.min("node").alias("_node")).checkpoint()
+        kept = worded.join(twice, "doc_id", "left_anti").join(first.select("doc_id").distinct(), "doc_id", "left_semi")
+        own = ngram_join.with_node(worded.join(twice, "doc_id", "left_semi")).join(first, ["doc_id", "_node"], "left_semi")
+        order = ["text", *(f.name for f in docs.schema.fields if isinstance(f.dataType, AtomicType))]
+        own = own.groupBy("doc_id", "_node").agg(F.min_by(F.struct(*docs.columns), F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(order)))).alias("row"))
+        kept = kept.select(docs.columns).unionByName(own.select("row.*"))
     return kept.unionByName(alone).select(docs.columns)
 
 

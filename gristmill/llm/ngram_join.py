@@ -27,6 +27,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import _text as T
 from ._graph import connected_components
@@ -366,8 +367,28 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return got.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def _with_node(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in T.chunks(batches):
+        yield batch.append_column("_node", pa.array(nodes(*shingle_sets(*T.buffer(T.column(batch, "text"))))))
+
+
+def with_node(docs: DataFrame) -> DataFrame:
+    """The rows of docs with the hash of the text's set as _node."""
+    T.small_batches(docs.sparkSession)
+    return docs.mapInArrow(_with_node, StructType([*docs.schema.fields, StructField("_node", LongType())]))
+
+
 def ngram_jaccard_components(docs: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text).
+    """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text), as in ngram_jaccard_nodes."""
+    return ngram_jaccard_nodes(docs, broadcast_bytes).select("doc_id", "n_shingles", "component_id")
+
+
+def ngram_jaccard_nodes(docs: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """(doc_id, n_shingles, node, component, component_id) for every row of docs(doc_id, text).
+
+    node is the hash of the row's set and component the smallest node that links
+    reach, both null for a row that is linked with nothing; texts under one
+    doc_id may be in several components, which then can share a component_id.
 
     component_id is the smallest doc_id that links reach.  A null or blank text
     has an empty set (n_shingles 0), is linked with nothing and has its own
@@ -428,6 +449,6 @@ def ngram_jaccard_components(docs: DataFrame, broadcast_bytes: int = 32 << 20) -
 
     own = names.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = own.groupBy("component").agg(F.min("doc").alias("component_id"))
-    own = own.join(least, "component").select("node", "component_id")
+    own = own.join(least, "component").select("node", "component", "component_id")
     rows = sketch.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
-    return rows.join(own, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.join(own, "node", "left").select("doc_id", "n_shingles", "node", "component", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -47,6 +47,14 @@ def test_one_of_each_group_stays(stages):
     assert ids(stages[2]) == {d for d, (n, c) in groups.items() if n == 0 or d == c}
 
 
+def test_texts_that_share_a_doc_id_are_judged_apart(spark):
+    x, y, z, w = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyzw")
+    rows = [(3, y), (5, y + " more"), (5, x), (7, z), (7, w), (7, w), (7, w.upper()), (8, z), (9, " "), (9, "\t"), (10, x + " more")]
+    docs = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, source string").repartition(4)
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates_out(spark, docs, SF).collect())
+    assert got == sorted([(3, y), (5, x), (7, z), (7, w.upper()), (9, " "), (9, "\t")])
+
+
 def test_contaminated_documents_go(spark, stages):
     import re
 
