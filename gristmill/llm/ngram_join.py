@@ -9,9 +9,11 @@ every pair of parts: with more than k / 2 groups some group holds at most one
 difference, so two of its three parts agree and the pair shares a signature.
 No similar pair is missed.
 
-Signatures whose parts are empty say nothing and are left out; one group more
-than needed keeps the guarantee for documents with at most one such group, and
-the few others write their empty signatures too.
+Signatures whose parts are empty say nothing and are left out; two groups more
+than needed make a similar pair share three signatures, two at least after
+documents with one such group have left it out, and the few documents with more
+write their empty signatures too.  Small sets have one such group, or none, and
+sign everything twice.  So a pair that shares one signature only is no candidate.
 
 Candidates are pruned by an exact bound (a parity bitmap of the set: its
 Hamming distance never exceeds the sets' difference, folded or not) and then verified on the
@@ -34,6 +36,8 @@ from ._graph import connected_components
 
 WORDS = 5
 PARTS = 3
+#: From this difference on, two groups more than needed are signed.
+TWO_SPARE = 8
 #: Signature groups up to this size give all their pairs as candidates.
 SMALL_GROUP = 6
 #: Members of a larger signature group that one task compares with each other.
@@ -140,27 +144,31 @@ def signatures(elements: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
     part = (elements & np.uint64(0xFFFFF)).astype(np.int64) % PARTS
     for step in (0, 1):
         of = np.where(sizes > 0, band + step, 0)
-        spare = np.where(k[of] >= 2, 1, 0)
-        groups = np.where(sizes > 0, k[of] // 2 + 1 + spare, 0)
+        spare = np.where(k[of] >= TWO_SPARE, 2, np.where(k[of] >= 2, 1, 0))
+        groups = np.where((sizes > 0) & (k[of] > 0), k[of] // 2 + 1 + spare, 0)  # sets without a difference are one node
         at = np.concatenate([[0], np.cumsum(groups)])
-        group = np.repeat(at[:-1], sizes) + spread % np.repeat(groups, sizes)
+        group = np.repeat(at[:-1], sizes) + spread % np.repeat(np.maximum(groups, 1), sizes)
         cell = group * PARTS + part
         hashes = np.zeros(int(at[-1]) * PARTS, np.uint64)
-        np.add.at(hashes, cell, mixed)
+        signed = np.repeat(groups > 0, sizes)
+        cell = cell[signed]
+        np.add.at(hashes, cell, mixed[signed])
         filled = np.bincount(cell, minlength=len(hashes)).reshape(-1, PARTS)
         hashes = hashes.reshape(-1, PARTS)
         empty = (filled.sum(1)[:, None] - filled) == 0
         text = np.repeat(np.arange(len(sizes)), groups)
         weak = np.bincount(text[empty.any(1)], minlength=len(sizes))
-        keep = ~empty | (weak > spare)[text][:, None]
+        keep = ~empty | (weak > np.minimum(spare, 1))[text][:, None]
         name = (np.repeat(of, groups).astype(np.uint64) << np.uint64(40)) + (np.arange(len(text)) - at[text]).astype(np.uint64) * np.uint64(PARTS)
         sign = T.mix((hashes.sum(1)[:, None] - hashes) + T.mix(name[:, None] + np.arange(PARTS, dtype=np.uint64)))
-        out.append(sign[keep])
-        owner.append(np.repeat(text[:, None], PARTS, 1)[keep])
+        own = np.repeat(text[:, None], PARTS, 1)[keep]
+        once = spare[own] < 2  # signed twice, so that one shared signature counts as two
+        out += [sign[keep], T.mix(sign[keep][once])]
+        owner += [own, own[once]]
     return np.concatenate(out), np.concatenate(owner)
 
 
-PACKED = "p int, docs binary, counts binary, high binary, low binary"
+PACKED = "p int, docs binary, counts binary, signs binary"
 
 
 def _packed(n_parts: int):
@@ -168,18 +176,19 @@ def _packed(n_parts: int):
     into rows of one part of the signature space each."""
 
     def pack(ids: np.ndarray, signs: np.ndarray) -> Iterator[pa.RecordBatch]:
-        p = (signs >> np.uint64(48)).astype(np.int64) % n_parts
+        p = ((signs >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64)
         order = np.lexsort((ids, p))
-        p, ids, signs = p[order], ids[order], signs[order]
+        p, ids, signs = p[order], ids[order], signs[order].astype(np.uint32)
         cut = np.searchsorted(p, np.arange(n_parts + 1))
-        rows = {"p": [], "docs": [], "counts": [], "high": [], "low": []}
+        rows = {"p": [], "docs": [], "counts": [], "signs": []}
         for i in np.flatnonzero(np.diff(cut)):
             own = slice(cut[i], cut[i + 1])
             docs, counts = np.unique(ids[own], return_counts=True)
-            s = signs[own]
-            for key, value in (("p", i), ("docs", docs.tobytes()), ("counts", counts.astype(np.uint32).tobytes()), ("high", ((s >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()), ("low", (s & np.uint64(0xFFFF)).astype(np.uint16).tobytes())):
-                rows[key].append(value)
-        yield pa.record_batch([pa.array(rows["p"], pa.int32()), *(pa.array(rows[c], pa.binary()) for c in ("docs", "counts", "high", "low"))], names=list(rows))
+            rows["p"].append(i)
+            rows["docs"].append(docs.tobytes())
+            rows["counts"].append(counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes())
+            rows["signs"].append(signs[own].tobytes())
+        yield pa.record_batch([pa.array(rows["p"], pa.int32()), *(pa.array(rows[c], pa.binary()) for c in ("docs", "counts", "signs"))], names=list(rows))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -207,15 +216,16 @@ def _packed(n_parts: int):
     return work
 
 
-GROUPED = "a long, b long, sign long"
+GROUPED = "a long, b long, sign long, g int"
 
 
 def _grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, null): candidate pairs.  Rows (a, null, sign): members of larger groups."""
+    """Rows (a, b, null, g): pairs that share g signatures, or that are candidates anyway if g is 2.
+    Rows (a, null, sign, g): members of larger groups, of g members each."""
 
     def solve(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ids = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, np.uint32)) for d, c, _, _ in held])
-        signs = np.concatenate([(np.frombuffer(h, np.uint32).astype(np.uint64) << np.uint64(16)) | np.frombuffer(w, np.uint16) for _, _, h, w in held])
+        ids = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, np.uint8 if 8 * len(c) == len(d) else np.uint32)) for d, c, _ in held])
+        signs = np.concatenate([np.frombuffer(s, np.uint32) for _, _, s in held])
         order = np.lexsort((ids, signs))
         ids, signs = ids[order], signs[order]
         once = np.concatenate([[True], (signs[1:] != signs[:-1]) | (ids[1:] != ids[:-1])])
@@ -227,27 +237,40 @@ def _grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in range(2, SMALL_GROUP + 1):
             own = ids[at[:-1][size == g][:, None] + np.arange(g)]
             pairs += [own[:, [i, j]] for i in range(g) for j in range(i)]
+        n_small = sum(map(len, pairs))
         large = np.flatnonzero(size > SMALL_GROUP)
         member = T.ragged(at[large], size[large])
         group = np.repeat(np.arange(len(large)), size[large])
         if len(member):
-            rank = np.lexsort((T.mix(ids[member].view(np.uint64) ^ signs[member]), group))
+            # groups of the same members are one
+            name = np.add.reduceat(T.mix(ids[member].view(np.uint64)), np.searchsorted(group, np.arange(len(large))))
+            first = np.unique(name, return_index=True)[1]
+            large, name = large[first], name[first]
+            member = T.ragged(at[large], size[large])
+            group = np.repeat(np.arange(len(large)), size[large])
+            rank = np.lexsort((T.mix(ids[member].view(np.uint64) ^ name[group]), group))
             pivot = ids[member[rank[np.searchsorted(group, np.arange(len(large)))]]]
             pairs.append(np.stack([pivot[group], ids[member]], 1))
         if pairs:
             both = np.sort(np.concatenate(pairs), 1)
-            both = both[both[:, 0] != both[:, 1]]
+            shared = np.ones(len(both), np.int32)
+            shared[n_small:] = 2
+            real = both[:, 0] != both[:, 1]
+            both, shared = both[real], shared[real]
             if len(both):
-                both = np.unique(both, axis=0) if len(both) < 1000 else _unique_pairs(both)
-                yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64())], names=["a", "b", "sign"])
+                order = np.lexsort((both[:, 1], both[:, 0]))
+                both, shared = both[order], shared[order]
+                head = np.flatnonzero(np.concatenate([[True], (both[1:] != both[:-1]).any(1)]))
+                both, shared = both[head], np.minimum(np.add.reduceat(shared, head), 2)
+                yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64()), pa.array(shared.astype(np.int32))], names=["a", "b", "sign", "g"])
         if len(member):
             for i in range(0, len(member), 100_000):
-                own = member[i : i + 100_000]
-                yield pa.record_batch([pa.array(ids[own]), pa.nulls(len(own), pa.int64()), pa.array(signs[own].view(np.int64))], names=["a", "b", "sign"])
+                own, of = member[i : i + 100_000], group[i : i + 100_000]
+                yield pa.record_batch([pa.array(ids[own]), pa.nulls(len(own), pa.int64()), pa.array(name[of].view(np.int64)), pa.array(size[large][of].astype(np.int32))], names=["a", "b", "sign", "g"])
 
     held, now = [], None
     for batch in batches:
-        for p, *blobs in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for p, *blobs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if held and p != now:
                 yield from solve(held)
                 held = []
@@ -356,7 +379,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, broadcast_byt
     one = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
     two = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
     both = F.size(F.array_intersect("ea", "eb"))
-    return pairs.join(two, "b").join(one, "a").where(100 * both >= 80 * (F.size("ea") + F.size("eb") - both)).select("a", "b").distinct().checkpoint()
+    return pairs.join(two, "b").join(one, "a").where(100 * both >= 80 * (F.size("ea") + F.size("eb") - both)).select("a", "b").repartition("a", "b").distinct().checkpoint()
 
 
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -401,15 +424,15 @@ def ngram_jaccard_nodes(docs: DataFrame, broadcast_bytes: int = 32 << 20) -> Dat
     T.small_batches(spark)
     T.checkpoint_dir(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     sketch = docs.mapInArrow(_sketch, SKETCH).checkpoint()
     known = sketch.where("n_shingles > 0 and doc_id is not null")
     names = known.groupBy("node").agg(F.min("doc_id").alias("doc")).checkpoint()
 
-    found = docs.where("doc_id is not null").mapInArrow(_packed(parts), PACKED).repartition(parts // 2, "p").sortWithinPartitions("p").mapInArrow(_grouped, GROUPED).checkpoint()
-    pairs = found.where("b is not null").select("a", "b").distinct()
-    groups = found.where("sign is not null").select(F.col("a").alias("node"), "sign")
+    found = docs.where("doc_id is not null").mapInArrow(_packed(parts), PACKED).repartition(parts, "p").sortWithinPartitions("p").mapInArrow(_grouped, GROUPED).checkpoint()
+    pairs = found.where("b is not null").groupBy("a", "b").agg(F.sum("g").alias("g")).where("g >= 2").select("a", "b").checkpoint()
+    groups = found.where("sign is not null").select(F.col("a").alias("node"), "sign", "g")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(groups.select("node")).distinct().checkpoint()
     wanted = names.join(_small(wanted, broadcast_bytes), "node", "left_semi").withColumnRenamed("doc", "doc_id").checkpoint()
     if 32 * wanted.count() <= broadcast_bytes:
@@ -429,18 +452,21 @@ def ngram_jaccard_nodes(docs: DataFrame, broadcast_bytes: int = 32 << 20) -> Dat
     best = close.select("a", "b", "far", F.col("a").alias("of")).union(close.select("a", "b", "far", F.col("b")))
     best = best.groupBy("of").agg(F.min(F.struct("far", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
     links = _verified(best.checkpoint(), docs, names, broadcast_bytes)
-    labels = connected_components(links, rounds=1)
+    labels = connected_components(links)
     links = links.union(_verified(_labelled(close.select("a", "b"), labels).checkpoint(), docs, names, broadcast_bytes))
     labels = connected_components(links)
 
-    # larger groups: members still apart are compared in blocks
-    own = groups.join(labels, "node", "left").select("sign", "node", F.coalesce("component", "node").alias("component"))
-    mixed = own.groupBy("sign").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("g")).where("lo < hi")
-    own = own.join(mixed.select("sign", F.ceil(F.col("g") / BLOCK).cast("int").alias("nb")), "sign")
-    own = own.withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    own = own.select("sign", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"), "node", "component")
-    own = own.join(size.select("node", F.col("n_shingles").alias("n"), "bitmap"), "node")
+    # larger groups: members still apart are compared in blocks, groups beyond one block only if they have such
+    own = groups.join(labels, "node", "left").join(size.select("node", F.col("n_shingles").alias("n"), "bitmap"), "node")
+    own = own.select("sign", "g", "node", F.coalesce("component", "node").alias("component"), "n", "bitmap")
+    one = own.where(f"g <= {BLOCK}").select("sign", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(-1).alias("side"), "node", "component", "n", "bitmap")
+    many = groups.where(f"g > {BLOCK}").join(labels, "node", "left").select("sign", F.coalesce("component", "node").alias("component"))
+    mixed = many.groupBy("sign").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sign")
+    many = own.where(f"g > {BLOCK}").join(mixed, "sign").withColumn("nb", F.ceil(F.col("g") / BLOCK).cast("int"))
+    many = many.withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    many = many.select("sign", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"), "node", "component", "n", "bitmap")
+    own = one.union(many)
     more = own.repartition("sign", "x", "y").sortWithinPartitions("sign", "x", "y").mapInArrow(_blocks, "a long, b long").distinct().checkpoint()
     if not more.isEmpty():
         more = _verified(more, docs, names, broadcast_bytes)
