@@ -6,6 +6,8 @@ one sort serve every indicator that a query combines.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 
@@ -73,22 +75,26 @@ def support_resistance(bars: DataFrame, n: int = 20) -> DataFrame:
     return bars.select("symbol", "d", full(lo, n).alias("support"), full(hi, n).alias("resistance"), r6(full(F.when(hi > lo, (F.col("close") - lo) / (hi - lo) * 100), n), "range_pct"))
 
 
-def ewm(value: str, alpha: float) -> Column:
-    """An exponential average from the first non-null bar on, as one running sum.
+def with_ewm(df: DataFrame, value: str, alpha: float, out: str) -> DataFrame:
+    """df with out: the exponential average y[t] = (1 - alpha) y[t - 1] + alpha x[t] of the non-null values so far, from the first on.
 
-    y[t] = (1 - alpha) y[t - 1] + alpha x[t] unfolds to weights that grow by
-    1 / (1 - alpha) a bar; a symbol may have about 700 * log(10) / -log(1 - alpha)
-    bars before they leave the range of a double (over 4,000 at alpha 2 / 13).
+    The recursion unfolds to a running sum with weights that grow by
+    1 / (1 - alpha) a bar.  Weights start anew in chunks, so that they stay in
+    range on any history; a chunk takes over the one before it by its end, and
+    what is older weighs less than a double resolves.
     """
-    i = F.sum(F.when(F.col(value).isNotNull(), 1).otherwise(0)).over(in_order())
-    growth = F.pow(F.lit(1 / (1 - alpha)), i - 1)
-    total = F.sum(F.when(F.col(value).isNotNull(), F.col(value) * F.when(F.col("_i_" + value) == 1, F.lit(1.0)).otherwise(F.lit(alpha) * F.pow(F.lit(1 / (1 - alpha)), F.col("_i_" + value) - 1)))).over(in_order())
-    return total / growth
-
-
-def with_ewm(df: DataFrame, value: str, alpha: float, out: str) -> DataFrame:
-    df = df.withColumn("_i_" + value, F.sum(F.when(F.col(value).isNotNull(), 1).otherwise(0)).over(in_order()))
-    return df.withColumn(out, F.when(F.col("_i_" + value) > 0, ewm(value, alpha))).drop("_i_" + value)
+    chunk = math.ceil(40 / -math.log1p(-alpha))
+    i = F.sum(F.when(F.col(value).isNotNull(), 1).otherwise(0)).over(in_order()) - 1
+    df = df.withColumn("_i", i).withColumn("_at", F.pmod("_i", F.lit(chunk))).withColumn("_chunk", F.floor(F.col("_i") / chunk))
+    growth = F.pow(F.lit(1 / (1 - alpha)), F.col("_at"))
+    weighted = F.col(value) * F.when(F.col("_i") == 0, F.lit(1.0)).otherwise(F.lit(alpha)) * growth
+    df = df.withColumn("_own", F.sum(weighted).over(Window.partitionBy("symbol", "_chunk").orderBy("d")) / growth)
+    end = F.when((F.col("_at") == chunk - 1) & F.col(value).isNotNull(), F.struct("_chunk", "_own"))
+    before = F.last(end, True).over(in_order().rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("_before", before)
+    taken = F.when(F.col("_before._chunk") == F.col("_chunk") - 1, F.col("_before._own") * F.pow(F.lit(1 - alpha), F.col("_at") + 1))
+    df = df.withColumn(out, F.when(F.col("_i") >= 0, F.col("_own") + F.coalesce(taken, F.lit(0.0))))
+    return df.drop("_i", "_at", "_chunk", "_own", "_before")
 
 
 def rsi(bars: DataFrame, n: int = 14) -> DataFrame:

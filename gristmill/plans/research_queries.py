@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import indicators as I, research as R
+from ..operators import indicators as I, research as R, scoring
 from ..sources import ledger as L
 from ..sources.views import oracle, table, view
 from .indicator_queries import RET, W, _SWINGS, _full, _rows
@@ -69,7 +69,7 @@ def dom13_watchlist(spark, sf_dir):
 
 def dom08_sector_fit(spark, sf_dir):
     s = view(spark, sf_dir, "sectors")
-    return s.select("symbol", "sector", F.round(R.sector_fit(F.col("beta_class"), F.lit(0.35)), 6).alias("fit"))
+    return s.select("symbol", "sector", F.round(scoring.sector_fit(F.col("beta_class"), F.lit(0.35)), 6).alias("fit"))
 
 
 def dom36_deep_report(spark, sf_dir):
@@ -141,7 +141,7 @@ x AS (SELECT struct.symbol, 0.4 * CASE trend WHEN 'uptrend' THEN 100 WHEN 'trans
 SELECT symbol, ROUND(score, 9) AS score, CASE WHEN score >= 75 THEN 'A' WHEN score >= 60 THEN 'B' WHEN score >= 45 THEN 'C' WHEN score >= 30 THEN 'D' ELSE 'F' END AS grade FROM x"""),
     "dom32_volatility_regime": oracle("bars", RET + f", v AS (SELECT symbol, d, close, {_full('STDDEV_SAMP(ret) ' + _rows(20) + ' * SQRT(252)', 20, 'ret')} AS v, {_full('AVG(close) ' + _rows(200), 200)} AS ma FROM ret) SELECT symbol, d, CASE WHEN v IS NULL THEN 'n/a' WHEN v < 0.12 THEN 'calm' WHEN v < 0.2 THEN 'normal' WHEN v < 0.3 THEN 'elevated' ELSE 'stressed' END AS band, CASE WHEN ma IS NULL THEN 'n/a' WHEN close >= ma THEN 'above' ELSE 'below' END AS side FROM v"),
     "dom13_watchlist": oracle("bars", ", e AS (SELECT symbol, ARG_MAX(close, d) AS close, ARG_MIN(close, d) AS ref_price, MAX(high) AS target, MIN(low) AS risk_line FROM bars GROUP BY 1) SELECT symbol, ROUND(close / ref_price - 1, 6) AS change, ROUND(target / close - 1, 6) AS upside, CASE WHEN close / risk_line - 1 < 0 THEN 'broken' WHEN close / risk_line - 1 < 0.03 THEN 'near' ELSE 'clear' END AS risk FROM e"),
-    "dom08_sector_fit": oracle("sectors", "SELECT symbol, sector, ROUND(CASE beta_class WHEN 0 THEN 50 + 50 * 0.35E0 WHEN 2 THEN 100 - 80 * 0.35E0 ELSE 70 - 20 * 0.35E0 END, 6) AS fit FROM sectors"),
+    "dom08_sector_fit": oracle("sectors", "SELECT symbol, sector, ROUND(CASE beta_class WHEN 'defensive' THEN 0.35E0 - 0.5 WHEN 'cyclical' THEN 0.5 - 0.35E0 ELSE 0 END, 6) AS fit FROM sectors"),
     "dom36_deep_report": oracle("bars sectors", _STRUCT + _RECT + _TRI + " SELECT s.symbol, struct.trend AS trend_trend, rect.floor AS rect_floor, tri.kind AS tri_kind, CAST((struct.symbol IS NOT NULL)::INT + (rect.symbol IS NOT NULL)::INT + (tri.symbol IS NOT NULL)::INT AS INT) AS layers FROM (SELECT DISTINCT symbol FROM sectors) s LEFT JOIN struct ON s.symbol = struct.symbol LEFT JOIN rect ON s.symbol = rect.symbol LEFT JOIN tri ON s.symbol = tri.symbol"),
     "fil02_history_gate": oracle("bars", "SELECT symbol, COUNT(*) AS n FROM bars GROUP BY 1 HAVING COUNT(*) >= 230"),
     "src02_stale_keys": "SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING EPOCH(TIMESTAMP '2000-01-01 00:00:00') - EPOCH(MAX(o_orderdate)) < 24 * 90 * 3600)",

@@ -35,7 +35,7 @@ BARS = _bars("p_brand", "4E-3")
 MARKET = _bars("'MKT'", "8E-4")
 
 SECTORS = """
-  SELECT DISTINCT p_brand AS symbol, CAST(SUBSTR(p_brand, 7) AS INT) % 11 AS sector, CAST(SUBSTR(p_brand, 7) AS INT) % 3 AS beta_class FROM part"""
+  SELECT DISTINCT p_brand AS symbol, CAST(SUBSTR(p_brand, 7) AS INT) % 11 AS sector, CASE CAST(SUBSTR(p_brand, 7) AS INT) % 3 WHEN 0 THEN 'defensive' WHEN 1 THEN 'cyclical' ELSE 'neutral' END AS beta_class FROM part"""
 
 #: One row for each brand; every seventh lacks some ratios.
 FUNDAMENTALS = """
@@ -47,22 +47,48 @@ FUNDAMENTALS = """
          1 + 4 * AVG(l_discount) AS rating
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand"""
 
+#: Ratios, estimates and positions of each brand under a provider's names; every fifth reports no multiples.
+COMPANY = """
+  SELECT symbol, CASE WHEN k % 5 <> 0 THEN price / (1 + 2E1 * a / n) END AS trailing_pe, price / (2 + 2E1 * a / n) AS forward_pe, CASE WHEN k % 5 <> 1 THEN 3E0 * r / n END AS peg_ratio,
+         8E0 * r / n AS price_to_book, 6E0 * a / n AS price_to_sales, CASE WHEN k % 3 = 0 THEN -1E0 ELSE 4E1 * r / n END AS ev_to_ebitda,
+         1E0 * a / n - 1E-1 AS roe, 5E-1 * r / n - 5E-2 AS roa, 1E-2 * disc / n AS operating_margin, 1E-2 * tax / n AS profit_margin, 1E0 * a / n - 1E0 * r / n AS revenue_growth,
+         CASE WHEN k % 7 <> 0 THEN 2E0 * r / n - 3E-1 END AS earnings_growth, 1E2 * tax / (disc + 1) AS debt_to_equity, CAST(disc AS DOUBLE) AS operating_cashflow, CAST(tax - disc / 2 AS DOUBLE) AS net_income,
+         CAST(disc - tax AS DOUBLE) AS free_cashflow, CAST(qty AS DOUBLE) AS market_cap, CASE WHEN k % 4 = 0 THEN -1E0 ELSE 1E1 * a / n END AS eps, CASE WHEN k % 6 <> 0 THEN 1E2 + 1E1 * k END AS target,
+         1 + 4E0 * r / n AS analyst_rating, CAST(k % 30 AS DOUBLE) AS analyst_coverage, 5E-1 * r / n AS short_float, CASE WHEN k % 7 <> 3 THEN 2E0 * a / n END AS institutions, 1E-1 * tax / n AS insiders
+  FROM (SELECT p_brand AS symbol, CAST(SUBSTR(p_brand, 7) AS INT) AS k, COUNT(*) AS n, CAST(SUM(l_quantity) AS BIGINT) AS qty,
+               SUM(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS a, SUM(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS r,
+               SUM(CAST(ROUND(l_discount*100) AS BIGINT)) AS disc, SUM(CAST(ROUND(l_tax*100) AS BIGINT)) AS tax, SUM(CAST(ROUND(p_retailprice) AS BIGINT)) / (1E1 * COUNT(*)) AS price
+        FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) c0"""
+
+#: The next report of each brand, and what is known of its news and messages.
+SIGNALS = """
+  SELECT p_brand AS symbol, CAST(MAX(l_shipdate) AS DATE) + CAST(CAST(SUBSTR(p_brand, 7) AS INT) % 50 - 5 AS INT) AS next_report, CAST(COUNT(DISTINCT l_suppkey) % 17 AS DOUBLE) AS news_count, (SUM(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) - SUM(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)) / (1E0 * COUNT(*)) AS news_sentiment,
+         SUM(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) / (1E0 * COUNT(*)) AS bullish_share, CAST(COUNT(*) % 700 AS DOUBLE) AS messages, CAST(COUNT(DISTINCT l_suppkey) % 9 AS DOUBLE) - 4 AS revisions
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1"""
+
+#: One row: the state of the orders' series as a macro regime.
+MACRO_STATE = """
+  SELECT (up - down) / (1E0 * (up + down)) AS macro_score, down / (1E0 * (up + down)) AS bear_risk, ABS(up - down) / (1E0 * (up + down)) AS regime_confidence, (up - down) / (2E0 * (up + down)) AS credit_score,
+         CASE WHEN up > 2 * down THEN 'risk_on' WHEN up >= down THEN 'fragile_risk_on' ELSE 'risk_off' END AS regime
+  FROM (SELECT SUM(CASE WHEN o_orderpriority < '3' THEN 1 ELSE 0 END) AS up, SUM(CASE WHEN o_orderpriority < '3' THEN 0 ELSE 1 END) AS down FROM orders) m0"""
+
 #: An option chain around the last close of each symbol.
 CHAIN = """
-  SELECT underlying, spot, d AS as_of, dte, side, strike, mid * (1 - sp) AS bid, mid * (1 + sp) AS ask, mid, oi, vol, iv
+  SELECT underlying, tier, spot, d AS as_of, dte, side, strike, mid * (1 - sp) AS bid, mid * (1 + sp) AS ask, mid, oi, vol, iv
   FROM (SELECT *, (CASE WHEN side = 'C' THEN GREATEST(spot - strike, 0) ELSE GREATEST(strike - spot, 0) END)
                   + spot * iv * 4E-1 * SQRT(dte / 365E0) * EXP(-8E0 * POWER((strike - spot) / spot, 2)) AS mid
-        FROM (SELECT b.symbol AS underlying, b.close AS spot, b.d AS d, e.dte AS dte, s.side AS side, k.k AS k,
-                     ROUND(b.close) + k.k * GREATEST(ROUND(b.close * 2E-2), 1) AS strike,
+        FROM (SELECT b.symbol AS underlying, CASE CAST(SUBSTR(b.symbol, 7) AS INT) % 3 WHEN 0 THEN 'index' WHEN 1 THEN 'etf' ELSE 'stock' END AS tier, b.close AS spot, b.d AS d, e.dte AS dte, s.side AS side, k.k AS k,
+                     ROUND(b.close) + k.k * GREATEST(ROUND(b.close * 1E-2), 1) AS strike,
                      2E-1 + 1E-3 * k.k * k.k + 1E-4 * e.dte AS iv,
                      CAST((CAST(SUBSTR(b.symbol, 7) AS INT) * 37 + k.k * k.k * 11 + e.dte * 7) % 1500 AS BIGINT) AS oi,
                      CAST((CAST(SUBSTR(b.symbol, 7) AS INT) * 13 + k.k * k.k * 5 + e.dte * 3) % 400 AS BIGINT) AS vol,
-                     1E-2 + 5E-3 * ((CAST(SUBSTR(b.symbol, 7) AS INT) + k.k * k.k + e.dte) % 9) AS sp
+                     2E-3 + 4E-3 * ((CAST(SUBSTR(b.symbol, 7) AS INT) + k.k * k.k + e.dte) % 9) AS sp
               FROM (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY d DESC) AS rn FROM bars) x WHERE rn = 1) b
               CROSS JOIN (SELECT 9 AS dte UNION ALL SELECT 23 UNION ALL SELECT 44 UNION ALL SELECT 65) e
               CROSS JOIN (SELECT 'C' AS side UNION ALL SELECT 'P') s
               CROSS JOIN (SELECT -6 AS k UNION ALL SELECT -5 UNION ALL SELECT -4 UNION ALL SELECT -3 UNION ALL SELECT -2 UNION ALL SELECT -1 UNION ALL SELECT 0
-                          UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) k) q) r"""
+                          UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) k) q
+        WHERE strike > 0) r"""
 
 #: Daily sums of orders by priority, as macro series.
 SERIES = """
@@ -78,8 +104,8 @@ HOLDINGS = """
          SUM(CAST(ROUND(l_extendedprice) AS BIGINT)) AS value_usd, SUM(CAST(l_quantity AS BIGINT)) AS shares
   FROM lineitem GROUP BY 1, 2, 3, 4"""
 
-SQL = {"bars": BARS, "market": MARKET, "sectors": SECTORS, "fundamentals": FUNDAMENTALS, "chain": CHAIN, "series": SERIES, "messages": MESSAGES, "holdings": HOLDINGS}
-_NEEDS = {"bars": ["lineitem", "part"], "market": ["lineitem", "part"], "sectors": ["part"], "fundamentals": ["lineitem", "part"], "series": ["orders"], "messages": ["conversations"], "holdings": ["lineitem"]}
+SQL = {"bars": BARS, "market": MARKET, "sectors": SECTORS, "fundamentals": FUNDAMENTALS, "company": COMPANY, "signals": SIGNALS, "macro_state": MACRO_STATE, "chain": CHAIN, "series": SERIES, "messages": MESSAGES, "holdings": HOLDINGS}
+_NEEDS = {"bars": ["lineitem", "part"], "market": ["lineitem", "part"], "sectors": ["part"], "fundamentals": ["lineitem", "part"], "company": ["lineitem", "part"], "signals": ["lineitem", "part"], "macro_state": ["orders"], "series": ["orders"], "messages": ["conversations"], "holdings": ["lineitem"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
