@@ -26,8 +26,8 @@ DIGIT_CLASSES = 8
 SEQUENCE = 128
 WINDOW = 16
 
-EMAIL = re.compile(rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(rb"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+DOMAIN = re.compile(rb"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+DOTTED = re.compile(rb"[0-9]+(?:\.[0-9]+)*")
 PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 
 
@@ -63,18 +63,39 @@ def _regions(buf: np.ndarray, off: np.ndarray, inside: np.ndarray, at: np.ndarra
     return sorted(set(zip(low.tolist(), high.tolist(), strict=True)))
 
 
+def emails(raw: bytes) -> Iterator[tuple[int, int]]:
+    """The email spans of a run of email characters, one step for each @: what stands before it belongs to its local part."""
+    free = 0  # behind the last @ and the last span
+    at = raw.find(b"@")
+    while at >= 0:
+        after = raw.find(b"@", at + 1)
+        m = DOMAIN.match(raw, at + 1, after if after >= 0 else len(raw)) if at > free else None
+        if m:
+            yield free, m.end()
+        free = m.end() if m else at + 1
+        at = after
+
+
+def addresses(raw: bytes) -> Iterator[tuple[int, int]]:
+    """The ip spans of a run of digits and dots: each four groups of a chain, left to right, parts at most 255."""
+    for chain in DOTTED.finditer(raw):
+        groups = chain.group().split(b".")
+        ends = (np.cumsum([len(g) + 1 for g in groups]) - 1 + chain.start()).tolist()
+        for i in range(0, len(groups) - 3, 4):
+            if all(len(g.lstrip(b"0")) <= 3 and int(g.lstrip(b"0") or b"0") <= 255 for g in groups[i : i + 4]):
+                yield ends[i] - len(groups[i]), ends[i + 3]
+
+
 def base_spans(buf: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int]]:
     """(kind, start, end) in bytes of every base span."""
     raw = buf.tobytes()
     out = []
     for low, high in _regions(buf, off, _IN_EMAIL, np.flatnonzero(buf == 0x40)):
-        out += [(0, low + m.start(), low + m.end()) for m in EMAIL.finditer(raw[low:high])]
+        out += [(0, low + a, low + b) for a, b in emails(raw[low:high])]
     digit = _DIGIT[buf]
     dots = np.flatnonzero((buf[1:-1] == 0x2E) & digit[:-2] & digit[2:]) + 1
     for low, high in _regions(buf, off, _IN_IP, dots):
-        for m in IP.finditer(raw[low:high]):
-            if all(len(x.lstrip(b"0")) <= 3 and int(x) <= 255 for x in m.group().split(b".")):
-                out.append((1, low + m.start(), low + m.end()))
+        out += [(1, low + a, low + b) for a, b in addresses(raw[low:high])]
     at = np.flatnonzero(digit)
     if len(at):
         gap = np.diff(at)
