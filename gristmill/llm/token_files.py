@@ -202,7 +202,8 @@ def read_token_files(spark, folder: str) -> DataFrame:
     inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     at = blocks.select("part", "block", "n_ids").withColumn("in_part", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)))
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = totals.alias("x").join(totals.alias("y"), F.col("y.part") < F.col("x.part"), "left").groupBy("x.part").agg(F.coalesce(F.sum("y.n"), F.lit(0)).alias("before"))
+    # a row for each part file, so that one ordered pass over them is small
+    before = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     at = at.join(before, "part").select("part", "block", (F.col("in_part") + F.col("before")).alias("at"))
     rows = blocks.mapInArrow(work, "part int, block long, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return rows.join(at, ["part", "block"]).select("doc_id", (F.col("at") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
