@@ -17,6 +17,7 @@ SHIFT = 2
 #: The share of a template's k-grams that a verified span covers.
 COVER = 0.75
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: (label, words): the base phrases.
@@ -64,7 +65,7 @@ def scanned(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, templates
     other columns are ignored.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, UPPER.lower()).alias("text"))
     docs = docs.withColumn("key", F.xxhash64("text"))
     split = F.transform(F.filter(F.split("text", WORD_GAP), lambda w: w != ""), lambda w: F.xxhash64(w))
     words = docs.withColumn("w", split)
