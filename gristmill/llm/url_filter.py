@@ -101,5 +101,6 @@ def judged_by_rules_and_model(pages: DataFrame, rules: list[tuple[str, str, str]
     host, path = parts("url")
     ruled = with_rule(pages.select("url", host.alias("host"), path.alias("path")), rules).where("ruled = 'allow' and url is not null")
     ruled = ruled.select("url", F.lit(0).alias("label"), F.lit(1.0).alias("weight")).distinct()
-    ruled = ruled.orderBy(F.xxhash64("url"), "url").limit(sample)
-    return judged(pages, rules, train(ruled.union(seed_table(pages.sparkSession))))
+    rows = ruled.orderBy(F.xxhash64("url"), "url").limit(sample).collect()  # the sample's size is a parameter
+    known = pages.sparkSession.createDataFrame(rows, ruled.schema).union(seed_table(pages.sparkSession))  # so that the fit doesn't read pages again
+    return judged(pages, rules, train(known))
