@@ -8,6 +8,8 @@ texts are.  The smallest hash is always kept, so a text with words has a sketch.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 WORDS = 5
@@ -80,11 +82,13 @@ def grouped_by_range(docs: DataFrame, rows: int = GROUP_ROWS) -> DataFrame:
     return docs.withColumn("grp", F.when(F.col("seg") < 0, F.lit(0).cast("long")).otherwise(inside.cast("long")))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], more: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """docs with next_<column>: that column of the next row in ascending (doc_id, text) order; after the last row, of the first.
 
-    One shuffle moves the rows into groups of neighbouring ids; the first row
-    of each group, one in some thousand, is joined to the group before it.
+    more adds the columns that docs has not itself: it is applied to all rows
+    once, and to the first rows of groups after they are picked.  One shuffle
+    moves the rows into groups of neighbouring ids; the first row of each
+    group, one in some thousand, is joined to the group before it.
     """
     docs = grouped_by_range(docs)
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
@@ -98,10 +102,12 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     first_ids = ranks.where("head is not null").select(F.col("head").alias("doc_id"))
     if first_ids.count() <= HEADS_BROADCAST:  # counted, so the broadcast has a known size; else both sides are shuffled
         first_ids = F.broadcast(first_ids)
-    heads = docs.select("seg", "grp", "doc_id", "text", *(c for c in columns if c != "text"))
-    heads = heads.join(first_ids, "doc_id", "left_semi").select("seg", "grp", "text", *(c for c in columns if c != "text")).union(heads.where("doc_id is null").select("seg", "grp", "text", *(c for c in columns if c != "text")))
-    heads = heads.groupBy("seg", "grp").agg(F.min_by(F.struct(*columns), F.struct(F.col("text").isNotNull(), "text")).alias("first"))
+    plain = docs.select("seg", "grp", "doc_id", "text")
+    heads = plain.join(first_ids, "doc_id", "left_semi").union(plain.where("doc_id is null").select("doc_id", "seg", "grp", "text"))
+    heads = heads.groupBy("seg", "grp").agg(F.min_by("text", F.struct(F.col("text").isNotNull(), "text")).alias("text"))
+    heads = more(heads).select("seg", "grp", F.struct(*columns).alias("first"))
     heads = to.join(heads.select(F.struct("seg", "grp").alias("to"), "first"), "to").select("seg", "grp", "first")
+    docs = more(docs)
     window = Window.partitionBy("seg", "grp").orderBy(*order)
     docs = docs.withColumn("_next", F.lead(F.struct(*columns)).over(window)).join(heads, ["seg", "grp"], "left")
     for c in columns:
@@ -123,7 +129,7 @@ def edited_fingerprints(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     rows with equal doc_id follow each other by text; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = with_next(with_sketch(docs, "text", "sketch", scale), ["text", "sketch"])
+    docs = with_next(docs, ["text", "sketch"], lambda df: with_sketch(df, "text", "sketch", scale))
     docs = docs.withColumn("n_chars", F.char_length("text").cast("long"))
     part = F.floor(F.col("n_chars") / 4).cast("int")
     docs = docs.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - part), F.substr("next_text", F.lit(1), part)))
