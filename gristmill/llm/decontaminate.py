@@ -33,8 +33,8 @@ SHORTEST = 10
 #: The sampled places of the walk of each repetition.  The first one is the anchor word itself.
 REPEATS = [(0, 2, 5), (0, 3, 6), (0, 2, 6), (0, 3, 5)] * 2
 _PAD = 8
-#: Items that one pass over the texts takes.
-ITEM_BLOCK = 100_000
+#: Bytes of items' texts that one pass over the texts takes.
+BLOCK_BYTES = 32 << 20
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -214,6 +214,19 @@ def find(items: Items, buf: np.ndarray, off: np.ndarray) -> list[tuple[int, int,
 FOUND = "doc_id long, item_id long, distance int, item_words int, first_word long"
 
 
+def _item_blocks(benchmark: DataFrame) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(ids, words) of the items, in blocks of about BLOCK_BYTES of text: counted first, so that what goes to the tasks is bounded."""
+    items = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("item_id is not null and text is not null")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]  # one number
+    blocks = max(1, -(-int(size) // BLOCK_BYTES))
+    for b in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # a block of bounded size
+        raw = [r["text"].encode() for r in rows]
+        off = np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)]).astype(np.int64)
+        hashes, at = word_hashes(np.frombuffer(b"".join(raw), np.uint8), off)
+        yield np.array([r["item_id"] for r in rows], np.int64), [hashes[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance, item_words, first_word): each pair of docs(doc_id, text) and
     benchmark(item_id, text) where the text holds the item within int(0.2 * words) word edits.
@@ -221,21 +234,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Items of fewer than ten words count when they stand word for word; an item
     without words is never found, nor anything in a null or empty text.  first_word
     is about where the closest place begins.  Rows with the same doc_id give one
-    pair at the least distance.  The items are taken in counted blocks, so what
-    is sent to the tasks is bounded; each text is searched at every word.
+    pair at the least distance.  The items are taken in blocks of a counted size,
+    so what is sent to the tasks is bounded; each text is searched at every word.
     """
     spark = docs.sparkSession
     T.small_batches(spark)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    benchmark = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("item_id is not null and text is not null")
-    blocks = max(1, -(-benchmark.count() // ITEM_BLOCK))
     out = None
-    for b in range(blocks):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
-        raw = [r["text"].encode() for r in rows]
-        off = np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)]).astype(np.int64)
-        hashes, at = word_hashes(np.frombuffer(b"".join(raw), np.uint8), off)
-        shared = spark.sparkContext.broadcast((np.array([r["item_id"] for r in rows], np.int64), [hashes[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]))
+    for block in _item_blocks(benchmark):
+        shared = spark.sparkContext.broadcast(block)
 
         def work(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = Items(*shared.value)
@@ -250,3 +257,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         out = found if out is None else out.union(found)
     best = out.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "first_word", "item_words")).alias("b"))
     return best.select("doc_id", "item_id", "b.distance", "b.item_words", "b.first_word")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, all columns kept, whose text holds no item, as in contaminated(); nothing is shuffled."""
+    spark = docs.sparkSession
+    T.small_batches(spark)
+    out = docs
+    for block in _item_blocks(benchmark):
+        shared = spark.sparkContext.broadcast(block)
+
+        def work(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            items = Items(*shared.value)
+            for batch in T.chunks(batches):
+                keep = np.ones(batch.num_rows, bool)
+                keep[[d for d, *_ in find(items, *T.buffer(T.column(batch, "text")))]] = False
+                yield batch.filter(pa.array(keep))
+
+        out = out.mapInArrow(work, docs.schema)
+    return out
