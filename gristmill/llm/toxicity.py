@@ -34,7 +34,7 @@ SAMPLE, LONGEST = 3000, 20_000
 PRIOR = 0.5
 
 _WORD = np.zeros(256, bool)
-_WORD[[*range(65, 91), *range(97, 123), *range(128, 256), 0x27]] = True
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), 0x27]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = T.byte_table(lower=True, seed=17)
@@ -73,7 +73,7 @@ def fresh(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def words_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, hashes, bounds) of the words of each text."""
+    """(starts, ends, hashes, bounds) of the words of each text; digits belong to words, as in misspellings."""
     starts, ends = T.runs(_WORD[buf], off)
     return starts, ends, T.span_hashes(_BYTE[buf], starts, ends), np.searchsorted(starts, off)
 
@@ -203,9 +203,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = [F.xxhash64("doc_id"), "doc_id"]
+    order = [F.xxhash64("doc_id"), "doc_id"]  # a fixed choice
     picked = known.where("toxic = 1").orderBy(*order).limit(sample // 2).union(known.where("toxic = 0").orderBy(*order).limit(sample // 2))
-    rows = docs.join(F.broadcast(picked), "doc_id").where(f"text is not null and char_length(text) <= {LONGEST}").select("doc_id", "text", "toxic").limit(2 * sample).collect()  # the sample's size is a parameter
+    rows = docs.join(F.broadcast(picked), "doc_id").where(f"text is not null and char_length(text) <= {LONGEST}").select("doc_id", "text", "toxic")
+    rows = rows.orderBy(*order, F.xxhash64("text"), "text").limit(2 * sample).collect()  # the sample's size is a parameter
     rows = sorted({(r["doc_id"], r["text"], r["toxic"]) for r in rows})
     y = np.array([r[2] for r in rows])
     all_rows = dict(known.groupBy("toxic").count().collect())  # two rows

@@ -88,3 +88,38 @@ def test_token_ids(stages):
     enc = byte_bpe.encoder(queries.vocabulary("byte_bpe_50k.tiktoken"), queries.pattern())
     got = {r.doc_id: r.n_tokens for r in stages[5].collect()}
     assert got == {r.doc_id: len(enc.encode_ordinary(r.text)) for r in stages[4].collect()}
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars int, _text string, _n string, length_before string, p string, node string"
+
+
+def odd_rows() -> list[tuple]:
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    texts = [(1, a), (1, b), (1, a), (None, a), (None, b), (None, None), (2, None), (2, ""), (3, " \n\t"), (4, "mail a.b@c.example.com now"), (5, "0" * 5000 + ".1.1.1"), (6, "word " * 50_000)]
+    return [(d, t, None, "s", None if t is None else len(t), "keep", "n", "l", "p", "x") for d, t in texts]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:4]])
+def test_stage_on_odd_rows_and_empty_tables(spark, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = spark.createDataFrame(odd_rows(), ODD).repartition(3)
+    got = stage(spark, docs, SF).collect()
+    assert all(tuple(r)[5:] == ("keep", "n", "l", "p", "x") for r in got)
+    key = lambda r: (str(r[0]), str(r[1]))
+    if name == "ngram_jaccard_join":
+        assert len(got) == len(odd_rows()) - 1  # the one row that repeats another
+    else:
+        assert len(got) == len(odd_rows())
+    if name != "pii":
+        assert {key(r) for r in got} == {key(r) for r in odd_rows()}
+    else:
+        assert {r.text for r in got if r.doc_id == 4} == {"mail <email> now"} and {r.n_chars for r in got if r.doc_id == 4} == {len("mail <email> now")}
+    none = stage(spark, docs.limit(0), SF)
+    assert none.columns == docs.columns and none.count() == 0
+
+
+def test_last_stage_on_odd_rows(spark):
+    docs = spark.createDataFrame(odd_rows(), ODD).repartition(3)
+    got = corpus_pipeline.token_ids(spark, docs, SF)
+    assert got.count() == len(odd_rows()) and got.where("n_tokens = 0").count() == 3
+    assert corpus_pipeline.token_ids(spark, docs.limit(0), SF).count() == 0
