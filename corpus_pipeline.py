@@ -23,7 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that operator 8 doesn't call toxic; a row without doc_id is judged by its text too.
+    """Documents that operator 8 doesn't call toxic; a row without doc_id is judged by its text too, a null text counts as empty.
 
     The model learns from labelled rows that are not held out, as in its query;
     rows are then judged one by one, so that nothing is joined or moved.
@@ -59,24 +59,36 @@ def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def contaminated_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which operator 10 finds no benchmark item; rows without doc_id are searched too and go by their text."""
-    found = decontaminate.contaminated(docs.select(F.xxhash64("text").alias("doc_id"), "text"), _table(spark, sf_dir, "benchmark"))
-    # by the text's hash, so that rows that share a doc_id are judged apart
-    bad = found.select(F.col("doc_id").alias("_text")).distinct()
-    return docs.withColumn("_text", F.xxhash64("text")).join(bad, "_text", "left_anti").select(docs.columns)
+    """Documents in which operator 10 finds no benchmark item; each row is judged by its own text, a null text holds none."""
+    return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def _unused(name: str, docs: DataFrame) -> str:
+    """A column name that docs has not, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def personal_data_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the spans of operator 5 masked in their texts and n_chars counted anew where a text changed."""
-    masked = pii.masked(docs.withColumn("_n", F.char_length("text")), pii.train(pii.labelled_table(spark)))
+    """All documents, with the spans of operator 5 masked in their texts and n_chars counted anew where a text changed.
+
+    A null text stays null; rows stay apart; other columns are as they were.
+    """
+    was = _unused("length_before", docs)
+    masked = pii.masked(docs.withColumn(was, F.char_length("text")), pii.train(pii.labelled_table(spark)))
     if "n_chars" in docs.columns:
-        changed = F.col("_n") != F.char_length("text")
+        changed = F.col(was) != F.char_length("text")
         masked = masked.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return masked.select(docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of operator 3: digests of each document's ids and of what they decode to."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of operator 3: digests of each document's ids and of what they decode to.
+
+    A null or empty text has no ids; rows stay apart, those of one doc_id or none too.
+    """
     return byte_bpe.round_trip_digests(docs.select("doc_id", "text"), queries.vocabulary("byte_bpe_50k.tiktoken"), queries.pattern())
 
 
