@@ -104,8 +104,33 @@ HOLDINGS = """
          SUM(CAST(ROUND(l_extendedprice) AS BIGINT)) AS value_usd, SUM(CAST(l_quantity AS BIGINT)) AS shares
   FROM lineitem GROUP BY 1, 2, 3, 4"""
 
-SQL = {"bars": BARS, "market": MARKET, "sectors": SECTORS, "fundamentals": FUNDAMENTALS, "company": COMPANY, "signals": SIGNALS, "macro_state": MACRO_STATE, "chain": CHAIN, "series": SERIES, "messages": MESSAGES, "holdings": HOLDINGS}
-_NEEDS = {"bars": ["lineitem", "part"], "market": ["lineitem", "part"], "sectors": ["part"], "fundamentals": ["lineitem", "part"], "company": ["lineitem", "part"], "signals": ["lineitem", "part"], "macro_state": ["orders"], "series": ["orders"], "messages": ["conversations"], "holdings": ["lineitem"]}
+_PAIR = "<p><em>Sources: a</em></p><p><em>Disclaimer: b</em></p>"
+_TAG = '<ins class="adsbygoogle" data-ad-slot="7"></ins>'
+#: The pages as sites of four publishers: paths by kind, head links, analytics ids, ad tags, boxes and footers, some with faults.
+SITE = f"""
+  SELECT page_id, site, path, CASE WHEN page_id % 97 <> 0 THEN REPLACE(REPLACE(REPLACE(REPLACE(html, '</head>', head || '</head>'), '<!-- ad ', ad_open), ' -->', ad_close), '<footer>', foot || '<footer>') END AS html
+  FROM (SELECT page_id, html, 'site' || CAST(page_id % 4 AS STRING) AS site,
+               CASE page_id % 9 WHEN 0 THEN '/s' || CAST(page_id AS STRING) || '/about/' WHEN 1 THEN '/s' || CAST(page_id AS STRING) || '/privacy' WHEN 2 THEN '/articles/story-' || CAST(page_id AS STRING) || '.html' WHEN 3 THEN '/news/' || CAST(page_id AS STRING) || '/'
+                                WHEN 4 THEN '/s' || CAST(page_id AS STRING) || '/reviews/index.html' WHEN 5 THEN '/stories/long-story-' || CAST(page_id AS STRING) || '/' WHEN 6 THEN '/archive/articles/x-' || CAST(page_id AS STRING) || '/' WHEN 7 THEN COALESCE('/' || NULLIF(REGEXP_EXTRACT(html, 'href="/([^"]*)"', 1), ''), '/')
+                                ELSE '/part/' || CAST(page_id % 20 AS STRING) || '/' END AS path,
+               CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '<link rel="canonical" href="https://x/">' ELSE '<link rel="canonical" href="https://x/"><link rel="icon" href="/i.ico">' END || CASE WHEN page_id % 6 = 0 THEN '<script src="https://t/js?id=G-G-AB12CD34EF"></script>' ELSE '<script src="https://t/js?id=G-AB12CD34EF"></script>' END AS head,
+               CASE WHEN page_id % 3 = 0 THEN '<!-- no ad ' ELSE '<ins class="adsbygoogle" data-ad-slot="' END AS ad_open,
+               CASE WHEN page_id % 3 = 0 THEN ' -->' ELSE '"></ins>' || CASE WHEN page_id % 4 = 1 THEN '{_TAG}{_TAG}' ELSE '' END END AS ad_close,
+               CASE page_id % 11 WHEN 0 THEN '<section class="eeat-block">The editor is known. custody. launched in 2020. editorial process. corrections policy. disclosure.</section>' WHEN 1 THEN '<section class="eeat-block">custody</section>' WHEN 2 THEN '<p>custody, launched in 2020, disclosure</p>' ELSE '' END
+               || CASE WHEN page_id % 10 = 3 THEN '<a href="/part4/">x</a>' ELSE '' END || CASE page_id % 7 WHEN 0 THEN '{_PAIR}<hr>{_PAIR}' WHEN 1 THEN '{_PAIR}' ELSE '' END AS foot
+        FROM pages) s0"""
+
+#: What was found on earlier nights: the nights so far of each site and class.
+CARRIED = """
+  SELECT 'site' || CAST(page_id % 4 AS STRING) AS site, CASE page_id % 5 WHEN 0 THEN 'ga4_typo' WHEN 1 THEN 'missing_canonical' WHEN 2 THEN 'live_unreachable' WHEN 3 THEN 'stale_page' ELSE 'word_count_low' END AS class, CAST(MIN(page_id % 12) % 3 + 1 AS INT) AS nights
+  FROM pages WHERE page_id % 20 < 13 GROUP BY 1, 2"""
+
+#: Markdown files of the sites; some have no page.
+MARKDOWN = """
+  SELECT DISTINCT 'site' || CAST(page_id % 4 AS STRING) AS site, CASE WHEN page_id % 50 = 0 THEN 'lost-' ELSE 'story-' END || CAST(page_id AS STRING) AS stem FROM pages WHERE page_id % 9 = 2 AND page_id % 2 = 0 OR page_id % 50 = 0"""
+
+SQL = {"site": SITE, "carried": CARRIED, "markdown": MARKDOWN, "bars": BARS, "market": MARKET, "sectors": SECTORS, "fundamentals": FUNDAMENTALS, "company": COMPANY, "signals": SIGNALS, "macro_state": MACRO_STATE, "chain": CHAIN, "series": SERIES, "messages": MESSAGES, "holdings": HOLDINGS}
+_NEEDS = {"site": ["pages"], "carried": ["pages"], "markdown": ["pages"], "bars": ["lineitem", "part"], "market": ["lineitem", "part"], "sectors": ["part"], "fundamentals": ["lineitem", "part"], "company": ["lineitem", "part"], "signals": ["lineitem", "part"], "macro_state": ["orders"], "series": ["orders"], "messages": ["conversations"], "holdings": ["lineitem"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
