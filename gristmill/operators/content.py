@@ -128,26 +128,78 @@ def consecutive_errors(runs: DataFrame, least: int = 2) -> DataFrame:
     return tail.where(F.col("errors") >= least)
 
 
+#: The least score of a verified claim by the tier of its source; the better the source, the less.
+TIER_LEAST = {1: 0.15, 2: 0.20, 3: 0.30, 4: 0.45}
+
+
 def claim_support(claims: DataFrame, sources: DataFrame) -> DataFrame:
-    """JOI21, STR-T, DOM50: rows (claim_id, citation, text) to the share of their words of four and more letters that the cited source
-    (idx, text) has, verified from 0.6 on; an unknown source is kept with its reason."""
-    key = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^a-z]+"), lambda w: F.char_length(w) >= 4))
-    got = claims.withColumn("key", key).join(sources.select(F.col("idx").alias("citation"), F.lower("text").alias("source")), "citation", "left")
+    """JOI21, STR-T, DOM50: rows (claim_id, citation, text) to the share of their key tokens that the cited source (idx, tier, text) has.
+
+    A claim without key tokens goes by its words of four and more letters.
+    Verified from its source's tier's least score on; an unknown source or one
+    without text is kept with its reason.
+    """
+    key = X.key_tokens(F.col("text"))
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9_]+"), lambda w: F.char_length(w) >= 4))
+    got = claims.withColumn("key", F.when(F.size(key) > 0, key).otherwise(words))
+    got = got.join(sources.select(F.col("idx").alias("citation"), "tier", F.lower("text").alias("source"), F.lit(True).alias("there")), "citation", "left")
     hits = F.size(F.filter("key", lambda w: F.col("source").contains(w)))
-    score = F.when(F.col("source").isNotNull() & (F.size("key") > 0), hits / F.size("key")).otherwise(0.0)
-    return got.select("claim_id", "citation", F.round(score, 6).alias("score"), (F.round(score, 6) >= 0.6).alias("verified"), F.when(F.col("source").isNull(), "citation out of range").otherwise("").alias("reason"))
+    score = F.when((F.coalesce("source", F.lit("")) != "") & (F.size("key") > 0), hits / F.size("key")).otherwise(0.0)
+    least = F.create_map(*(F.lit(x) for kv in TIER_LEAST.items() for x in kv))[F.coalesce("tier", F.lit(4))]
+    reason = F.when(F.col("there").isNull(), "citation out of range").when(F.coalesce("source", F.lit("")) == "", "source without text").otherwise("")
+    got = got.withColumn("score", F.round(score, 6)).withColumn("reason", reason)
+    return got.select("claim_id", "citation", "tier", "score", ((F.col("reason") == "") & (F.col("score") >= least)).alias("verified"), "reason")
+
+
+def claim_decision(checked: DataFrame, quality_ok: bool = True) -> DataFrame:
+    """AGG27: pass from a share of 0.85 verified claims, needs_revision from 0.5, else reject; reject without the draft's quality."""
+    share = F.coalesce(F.avg(F.col("verified").cast("double")), F.lit(0.0))
+    decision = F.when(~F.lit(quality_ok), "reject").when(share >= 0.85, "pass").when(share >= 0.5, "needs_revision").otherwise("reject")
+    return checked.agg(F.count("*").alias("n"), F.round(share, 6).alias("share"), decision.alias("decision"))
+
 
+def review_gate(articles: DataFrame, mandatory: list[str]) -> DataFrame:
+    """DOM49: rows (site, share, worst_tier) with review and its reason: mandatory sites, too few verified claims, or unranked sources only."""
+    reason = F.when(F.col("site").isin(*mandatory), "mandatory").when(F.col("share") < 0.85, "few claims verified").when(F.col("worst_tier") >= 4, "unranked sources").otherwise("")
+    return articles.withColumn("reason", reason).withColumn("review", F.col("reason") != "")
 
-def claim_decision(checked: DataFrame) -> DataFrame:
-    """AGG27: publish from a share of 0.85 verified claims, review from 0.5, else reject."""
-    share = F.avg(F.col("verified").cast("double"))
-    return checked.agg(F.count("*").alias("n"), F.round(share, 6).alias("share"), F.when(share >= 0.85, "publish").when(share >= 0.5, "review").otherwise("reject").alias("decision"))
+
+NUMBER = r"(^|[^0-9A-Za-z_])([0-9]{4}|[0-9]+%|\$[0-9,.]+|[0-9]+\.[0-9]+)($|[^0-9A-Za-z_])"
+DEFINES = r"^[A-Z][A-Za-z0-9_ -]+ (is|was|founded|published|developed|created|designed|introduced|released)"
+BOILERPLATE = r"privacy policy|terms of use|cookie policy|navigation menu|search results"
 
 
 def fact_sentences(docs: DataFrame, most: int = 8) -> DataFrame:
-    """STR-S: the first distinct sentences of 40 to 350 characters with a digit, eight a document at most."""
-    parts = docs.select("doc_id", F.posexplode_outer(F.split(F.regexp_replace("text", r"[ \t\r\n]+", " "), r"[.!?] ")).alias("at", "s"))
-    kept = parts.withColumn("s", F.trim("s")).where(F.char_length("s").between(40, 350) & F.col("s").rlike("[0-9]"))
+    """STR-S: the first distinct sentences of 40 to 350 characters with a year, share, sum or decimal, or that define something, eight a document at most."""
+    marked = F.regexp_replace(F.regexp_replace("text", r"[ \t\r\n]+", " "), r"([.!?]) ([A-Z])", "$1\u0001$2")
+    parts = docs.select("doc_id", F.posexplode_outer(F.split(marked, "\u0001")).alias("at", "s"))
+    kept = parts.withColumn("s", F.trim("s")).where(F.char_length("s").between(40, 350) & ~F.lower("s").rlike(BOILERPLATE) & (F.col("s").rlike(NUMBER) | F.col("s").rlike(DEFINES)))
     once = kept.groupBy("doc_id", F.lower(F.substring("s", 1, 80)).alias("k")).agg(F.min("at").alias("at"), F.min_by("s", "at").alias("s"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("at"))
     return once.withColumn("place", place).where(F.col("place") <= most).select("doc_id", "place", F.col("s").alias("sentence"))
+
+
+REQUIRED = ("intro", "worked_example", "common_mistakes", "decision_checklist", "when_doesnt_apply")
+
+
+def draft_gate(drafts: DataFrame, section: int = 120, fail: int = 400, warn: int = 800, prefer: int = 1200) -> DataFrame:
+    """STR-W: drafts(draft_id, sections map<string, string>): words in all, sections that are missing or short, the level of the total, and ok."""
+    words = lambda t: F.regexp_count(F.coalesce(t, F.lit("")), F.lit(r"[A-Za-z0-9_]+(?:[-'][A-Za-z0-9_]+)*"))
+    each = F.array(*(F.struct(F.lit(k).alias("k"), words(F.try_element_at("sections", F.lit(k))).alias("n")) for k in REQUIRED))
+    df = drafts.withColumn("_e", each).withColumn("total", F.aggregate("_e", F.lit(0), lambda a, x: a + x["n"]))
+    names = lambda f: F.array_join(F.transform(F.filter("_e", f), lambda x: x["k"]), " ")
+    level = F.when(F.col("total") < fail, "fail").when(F.col("total") < warn, "warn").when(F.col("total") < prefer, "below preferred").otherwise("good")
+    df = df.withColumn("missing", names(lambda x: x["n"] == 0)).withColumn("short", names(lambda x: (x["n"] > 0) & (x["n"] < section))).withColumn("level", level)
+    return df.select("draft_id", "total", "missing", "short", "level", ((F.col("missing") == "") & (F.col("short") == "") & (F.col("level") != "fail")).alias("ok"))
+
+
+def topics(results: DataFrame, niche: list[str], year: str, per_site: int = 5) -> DataFrame:
+    """STR-U, DOM48, TOP7: results(site, topic, text) to each site's best topics by 0.4 volume, 0.4 niche terms in the topic and 0.2 results that name the year."""
+    share = lambda c, full: F.least(c / full, F.lit(1.0))
+    hits = F.lit(0)
+    for t in niche:
+        hits = hits + F.lower("topic").contains(t).cast("int")
+    got = results.groupBy("site", "topic").agg(F.count("text").alias("n"), F.count_if(F.col("text").contains(year)).alias("recent"))
+    score = F.when(F.col("n") == 0, 0.4).otherwise(F.round(0.4 * share(F.col("n"), 5.0) + 0.4 * share(hits, 2.0) + 0.2 * share(F.col("recent"), 2.0), 3))
+    got = got.withColumn("score", score)
+    return got.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("score"), "topic"))).where(F.col("place") <= per_site)

@@ -10,51 +10,207 @@ HORIZONS = (5, 10, 21, 42, 63)
 Z = {"lo90": -1.645, "lo68": -1.0, "median": 0.0, "hi68": 1.0, "hi90": 1.645}
 
 
-def bands(bars: DataFrame, every: int = 21, short: int = 60, long: int = 252) -> DataFrame:
-    """DOM27: at every 21st bar, price bands for each horizon.
+WEIGHTS = {"gbm": 0.5, "iv": 0.3, "history": 0.2}
+#: Bars that a forecast looks back on for its historical windows, and bars between two forecasts.
+HISTORY, EVERY = 504, 21
 
-    Drift and volatility are blended in log space from a short frame (weight
-    0.6) and a long one (0.4); a frame that is not complete yet leaves its
-    weight to the other.  Only bars up to the forecast's own are used.
+
+def forecast_rows(bars: DataFrame, every: int = EVERY, latest: bool = False) -> DataFrame:
+    """(symbol, d, rn, k, spot, n_ret, mu, sd, sd_all): every 21st bar of each symbol, or its last one, with drift (60 returns) and volatility (120) so far.
+
+    Log returns; shorter histories are taken as they are, from 20 returns on.
+    k numbers the forecasts of a symbol.
     """
     df = I.with_returns(bars).withColumn("rn", F.row_number().over(I.in_order()))
-    for n, k in ((short, "a"), (long, "b")):
-        df = df.withColumn(f"mu_{k}", I.full(F.avg("logret").over(I.last(n)), n, "logret")).withColumn(f"sd_{k}", I.full(F.stddev_samp("logret").over(I.last(n)), n, "logret"))
-    w = F.when(F.col("sd_b").isNull(), 1.0).otherwise(0.6)
-    df = df.where((F.col("rn") % every == 0) & F.col("sd_a").isNotNull())
-    df = df.withColumn("mu", w * F.col("mu_a") + (1 - w) * F.coalesce("mu_b", F.lit(0.0))).withColumn("sd", w * F.col("sd_a") + (1 - w) * F.coalesce("sd_b", F.lit(0.0)))
-    df = df.select("symbol", "d", "rn", F.col("close").alias("spot"), "mu", "sd").withColumn("horizon", F.explode(F.array(*map(F.lit, HORIZONS))))
-    at = lambda z: F.col("spot") * F.exp(F.col("mu") * F.col("horizon") + z * F.col("sd") * F.sqrt(F.col("horizon").cast("double")))
-    return df.select("symbol", "d", "rn", "horizon", "spot", *(F.round(at(z), 6).alias(k) for k, z in Z.items()))
+    last = F.max("rn").over(Window.partitionBy("symbol"))
+    df = df.withColumn("n_ret", F.col("rn") - 1).withColumn("mu", F.avg("logret").over(I.last(60))).withColumn("sd", F.stddev_samp("logret").over(I.last(120))).withColumn("sd_all", F.stddev_samp("logret").over(I.last(HISTORY)))
+    df = df.withColumn("end", last).where((F.col("rn") == F.col("end")) if latest else (F.col("rn") % every == 0)).where("n_ret >= 20")
+    return df.select("symbol", "d", "rn", F.ceil(F.col("rn") / every).cast("int").alias("k"), F.col("close").alias("spot"), "n_ret", "mu", "sd", "sd_all")
+
+
+def historical_quantiles(rows: DataFrame, bars: DataFrame, every: int = EVERY) -> DataFrame:
+    """WIN21: (symbol, rn, horizon, q): quantiles .05, .16, .5, .84, .95 of the sums of h log returns in the windows before each forecast, from 60 more returns than h on.
+
+    Each window is dealt to the forecasts that look back on it (a fixed
+    number), so forecasts and windows meet by equal keys.
+    """
+    df = I.with_returns(bars).withColumn("at", F.row_number().over(I.in_order()))
+    sums = F.array(*(F.struct(F.lit(h).alias("horizon"), I.full(F.sum("logret").over(I.last(h)), h, "logret").alias("s")) for h in HORIZONS))
+    df = df.select("symbol", "at", sums.alias("w")).select("symbol", "at", F.explode("w").alias("w")).select("symbol", "at", "w.*").where("s is not null")
+    first = F.floor(F.col("at") / every) + 1
+    df = df.withColumn("k", F.explode(F.sequence(first.cast("int"), (first + HISTORY // every).cast("int"))))
+    got = rows.select("symbol", "rn", "k", "n_ret").join(df, ["symbol", "k"])
+    got = got.where((F.col("at") < F.col("rn")) & (F.col("at") > F.col("rn") - HISTORY) & (F.col("n_ret") >= F.col("horizon") + 60))
+    return got.groupBy("symbol", "rn", "horizon").agg(F.percentile("s", [0.05, 0.16, 0.5, 0.84, 0.95]).alias("q"), F.count("*").alias("n")).where("n >= 30")
+
+
+def bands(bars: DataFrame, surface: DataFrame | None = None, pattern: DataFrame | None = None, latest: bool = False) -> DataFrame:
+    """DOM27: price bands of each forecast and horizon, blended in log space from three components.
+
+    Half drift and volatility of past returns, 0.3 the at-the-money volatility
+    of the expiry nearest to the horizon (surface: underlying, dte, iv; the
+    earlier of equals), 0.2 quantiles of past windows; a component that is not
+    there leaves its weight to the others.  At 21 days a pattern(symbol,
+    avg_return, n) of ten and more cases moves the median by 0.3 to its own.
+    Only bars up to the forecast's own are used.
+    """
+    rows = forecast_rows(bars, latest=latest)
+    df = rows.withColumn("horizon", F.explode(F.array(*map(F.lit, HORIZONS)))).join(historical_quantiles(rows, bars), ["symbol", "rn", "horizon"], "left")
+    if surface is not None:
+        near = F.struct(F.abs(F.col("dte") - F.col("horizon")), "dte")
+        iv = surface.where("iv > 0").withColumn("horizon", F.explode(F.array(*map(F.lit, HORIZONS)))).groupBy(F.col("underlying").alias("symbol"), "horizon").agg(F.min_by("iv", near).alias("iv"))
+        df = df.join(iv, ["symbol", "horizon"], "left")
+    else:
+        df = df.withColumn("iv", F.lit(None).cast("double"))
+    h = F.col("horizon").cast("double")
+    has_iv, has_history = F.col("iv").isNotNull(), F.col("q").isNotNull()
+    total = WEIGHTS["gbm"] + F.when(has_iv, WEIGHTS["iv"]).otherwise(0.0) + F.when(has_history, WEIGHTS["history"]).otherwise(0.0)
+    index = {"lo90": 0, "lo68": 1, "median": 2, "hi68": 3, "hi90": 4}
+    for name, z in Z.items():
+        gbm = F.col("mu") * h + z * F.col("sd") * F.sqrt(h)
+        iv_part = F.coalesce(z * F.col("iv") / F.sqrt(F.lit(252.0)) * F.sqrt(h), F.lit(0.0))
+        past = F.coalesce(F.col("q")[index[name]], F.lit(0.0))
+        df = df.withColumn(f"l_{name}", (WEIGHTS["gbm"] * gbm + WEIGHTS["iv"] * iv_part + WEIGHTS["history"] * past) / total)
+    year = F.sqrt(F.lit(252.0))
+    sigma = (WEIGHTS["gbm"] * F.col("sd") * year + WEIGHTS["iv"] * F.coalesce("iv", F.lit(0.0)) + F.when(has_history, WEIGHTS["history"] * F.col("sd_all") * year).otherwise(0.0)) / total
+    method = F.concat_ws("+", F.lit("gbm"), F.when(has_iv, "iv"), F.when(has_history, "history"))
+    if pattern is not None:
+        known = pattern.where("n >= 10 and avg_return > -1").select("symbol", "avg_return")
+        df = df.join(known, "symbol", "left")
+        use = (F.col("horizon") == 21) & F.col("avg_return").isNotNull()
+        df = df.withColumn("l_median", F.when(use, 0.7 * F.col("l_median") + 0.3 * F.log1p("avg_return")).otherwise(F.col("l_median")))
+        method = F.concat_ws("+", method, F.when(use, "pattern"))
+    return df.select("symbol", "d", "rn", "horizon", "spot", *(F.round(F.col("spot") * F.exp(f"l_{k}"), 6).alias(k) for k in Z), F.round(sigma, 6).alias("sigma"), method.alias("method"))
+
+
+def calendar_days(horizon: int) -> int:
+    """DAT2: trading days as calendar days, rounded down."""
+    return horizon * 365 // 252
 
 
 def resolved(forecasts: DataFrame, bars: DataFrame) -> DataFrame:
-    """DOM28, JOI13: each forecast whose horizon has passed, with the close at its end, the best and worst excursion on the way, and whether the bands held.
+    """DOM28, JOI13: each forecast whose horizon has passed: the last close within its calendar days, best and worst close on the way in %, and whether the bands held.
 
-    One equi-join on symbol and bar number for the end; the excursions come
-    from frames over the bars, so no range join is needed.
+    Windows by day number give every bar the outcome of all horizons; the
+    forecasts then meet them on (symbol, bar), so no range join is needed.
     """
-    df = bars.withColumn("rn", F.row_number().over(I.in_order()))
+    day = F.unix_date("d")
+    df = bars.withColumn("rn", F.row_number().over(I.in_order())).withColumn("day", day)
+    span = Window.partitionBy("symbol").orderBy("day")
+    out = []
     for h in HORIZONS:
-        ahead = I.in_order().rowsBetween(1, h)
-        df = df.withColumn(f"hi{h}", F.max("high").over(ahead)).withColumn(f"lo{h}", F.min("low").over(ahead)).withColumn(f"end{h}", F.lead("close", h).over(I.in_order()))
-    pick = lambda p: F.coalesce(*(F.when(F.col("horizon") == h, F.col(f"{p}{h}")) for h in HORIZONS))
-    got = forecasts.join(df.drop("d", "open", "high", "low", "close", "volume"), ["symbol", "rn"])
-    got = got.withColumn("actual", pick("end")).withColumn("top", pick("hi")).withColumn("bottom", pick("lo")).where("actual is not null")
-    inside = lambda lo, hi: (F.col("actual") >= F.col(lo)) & (F.col("actual") <= F.col(hi))
-    return got.select("symbol", "d", "horizon", "actual", F.round(F.col("top") / F.col("spot") - 1, 6).alias("mfe"), F.round(F.col("bottom") / F.col("spot") - 1, 6).alias("mae"), inside("lo68", "hi68").alias("in68"), inside("lo90", "hi90").alias("in90"), F.round(F.abs(F.col("actual") / F.col("median") - 1), 6).alias("error"))
+        ahead = span.rangeBetween(0, calendar_days(h))
+        out.append(F.struct(F.lit(h).alias("horizon"), F.last("close").over(ahead).alias("actual"), F.max("close").over(ahead).alias("top"), F.min("close").over(ahead).alias("bottom"), (F.col("day") + calendar_days(h)).alias("due")))
+    end = F.max("day").over(Window.partitionBy("symbol"))
+    df = df.select("symbol", "rn", "close", end.alias("end"), F.array(*out).alias("o")).select("symbol", "rn", "close", "end", F.explode("o").alias("o")).select("symbol", "rn", "close", "end", "o.*")
+    got = forecasts.join(df.where("due <= end"), ["symbol", "rn", "horizon"])
+    inside = lambda lo, hi: F.col("actual").between(F.col(lo), F.col(hi))
+    anchor = F.col("close")
+    return got.select(
+        "symbol", "d", "horizon", "actual", F.round((F.col("top") / anchor - 1) * 100, 6).alias("mfe"), F.round((F.col("bottom") / anchor - 1) * 100, 6).alias("mae"),
+        inside("lo68", "hi68").alias("in68"), inside("lo90", "hi90").alias("in90"), F.round(F.abs(F.col("actual") / F.col("median") - 1), 6).alias("error"),
+    )
+
+
+def level_touches(levels_: DataFrame, bars: DataFrame, days: int = 21, tolerance: float = 0.005) -> DataFrame:
+    """JOI13: levels(symbol, d, name, level) with whether a high passed over and a low under the level, by half a percent, within the days after."""
+    ahead = Window.partitionBy("symbol").orderBy("day").rangeBetween(0, days)
+    df = bars.withColumn("day", F.unix_date("d")).select("symbol", "d", F.max("high").over(ahead).alias("top"), F.min("low").over(ahead).alias("bottom"))
+    got = levels_.join(df, ["symbol", "d"])
+    return got.select(*levels_.columns, (F.col("top") >= F.col("level") * (1 + tolerance)).alias("over"), (F.col("bottom") <= F.col("level") * (1 - tolerance)).alias("under"))
+
+
+def open_records(records: DataFrame, today: Column, oldest: int = 400) -> DataFrame:
+    """FIL11: records(profile, label, last_resolved, as_of) that are to be resolved today: no macro ones, none closed or rejected, none done today, none beyond their horizon."""
+    closed = F.coalesce(F.col("label").isin("closed", "rejected", "outcome_unavailable"), F.lit(False))
+    done = F.coalesce(F.to_date("last_resolved") == today, F.lit(False))
+    return records.where((F.col("profile") != "macro_dashboard") & ~closed & ~done & (F.datediff(today, F.to_date("as_of")) <= oldest))
 
 
 def calibration(outcomes: DataFrame, *by: str, least: int = 30, within: float = 0.10) -> DataFrame:
-    """AGG16, AGG17: how often the bands held by horizon (and more columns), the mean error, and whether both coverages are near enough on enough outcomes."""
+    """AGG17: how often the bands held by horizon (and more columns), mean excursions and error, and which coverages are near enough on enough outcomes."""
     c = lambda k: F.avg(F.col(k).cast("double"))
-    near = (F.abs(c("in68") - 0.68) <= within) & (F.abs(c("in90") - 0.90) <= within)
-    return outcomes.groupBy(*by, "horizon").agg(F.count("*").alias("n"), F.round(c("in68"), 6).alias("cov68"), F.round(c("in90"), 6).alias("cov90"), F.round(F.avg("error"), 12).alias("mae"), F.round(F.avg("mfe"), 12).alias("mfe_mean"), (near & (F.count("*") >= least)).alias("calibrated"))
+    enough = F.count("*") >= least
+    ok68, ok90 = (F.abs(c("in68") - 0.68) <= within) & enough, (F.abs(c("in90") - 0.90) <= within) & enough
+    return outcomes.groupBy(*by, "horizon").agg(
+        F.count("*").alias("n"), F.round(c("in68"), 6).alias("cov68"), F.round(c("in90"), 6).alias("cov90"), F.round(F.avg("mfe"), 9).alias("mfe_mean"), F.round(F.avg("mae"), 9).alias("mae_mean"),
+        F.round(F.avg("error"), 9).alias("error"), ok68.alias("calibrated68"), ok90.alias("calibrated90"), (ok68 & ok90).alias("calibrated"),
+    )
+
 
+def symbol_status(cal: DataFrame, least: int = 30) -> DataFrame:
+    """AGG17: preliminary below 30 outcomes in all, validated when every horizon is calibrated, else calibrating."""
+    status = F.when(F.sum("n") < least, "preliminary").when(F.bool_and("calibrated"), "validated").otherwise("calibrating")
+    return cal.groupBy("symbol").agg(F.count("*").alias("horizons"), F.sum("n").alias("n"), status.alias("status"))
 
-def gate(cal: DataFrame) -> DataFrame:
-    """AGG18: a symbol passes when every horizon has enough outcomes and is calibrated, waits when outcomes are short, else fails."""
-    return cal.groupBy("symbol").agg(F.count("*").alias("horizons"), F.min("n").alias("least_n"), F.when(F.min("n") < 30, "waiting").when(F.bool_and("calibrated"), "passed").otherwise("failed").alias("status"))
+
+def pattern_calibration(outcomes: DataFrame) -> DataFrame:
+    """AGG16: outcomes(horizon, pattern_used, in68, in90, error) by horizon with and without a pattern: coverages, mean errors, how much
+    nearer to theory the pattern brings them (below 0: nearer), and the status by the number of both (10, 30)."""
+    def of(flag: bool, name: str) -> list[Column]:
+        own = F.col("pattern_used") == flag
+        mean = lambda c: F.avg(F.when(own, c))
+        return [F.count_if(own).alias(f"n_{name}"), mean(F.col("in68").cast("double")).alias(f"cov68_{name}"), mean(F.col("in90").cast("double")).alias(f"cov90_{name}"), F.round(mean(F.col("error")), 9).alias(f"error_{name}")]
+
+    got = outcomes.groupBy("horizon").agg(*of(True, "with"), *of(False, "without"))
+    gain = lambda k, theory: F.round(F.abs(F.col(f"{k}_with") - theory) - F.abs(F.col(f"{k}_without") - theory), 6)
+    n = F.col("n_with") + F.col("n_without")
+    status = F.when(n < 10, "insufficient_data").when(n < 30, "preliminary").otherwise("mature")
+    got = got.withColumn("improve68", gain("cov68", 0.68)).withColumn("improve90", gain("cov90", 0.90)).withColumn("status", status)
+    return got.select("horizon", *(F.round(c, 6).alias(c) if c.startswith("cov") else F.col(c) for c in got.columns if c != "horizon"))
+
+
+def pattern_stats(found: DataFrame, bars: DataFrame, least: int = 10) -> DataFrame:
+    """AGG15: (symbol, pattern, n, hit_rate, avg_return) of 20-bar returns after patterns, over the later half of each symbol's cases, from least cases on."""
+    fwd = bars.select("symbol", F.col("d").alias("known"), (F.lead("close", 20).over(I.in_order()) / F.col("close") - 1).alias("fwd"))
+    got = found.join(fwd, ["symbol", "known"]).where("fwd is not null")
+    bearish = F.col("pattern").isin("double_top", "head_shoulders")
+    got = got.withColumn("hit", F.when(bearish, F.col("fwd") < 0).otherwise(F.col("fwd") > 0).cast("double"))
+    by = Window.partitionBy("symbol", "pattern")
+    got = got.withColumn("all_", F.count("*").over(by)).withColumn("i_", F.row_number().over(by.orderBy("known", "d"))).where((F.col("all_") >= least) & (F.col("i_") > F.floor(F.col("all_") / 2)))
+    return got.groupBy("symbol", "pattern").agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("hit_rate"), F.round(F.avg("fwd"), 9).alias("avg_return"))
+
+
+def latest_pattern(found: DataFrame, stats: DataFrame) -> DataFrame:
+    """JOI16, TOP8: each symbol's pattern that became known last (the first by name of equals), with the statistics of its kind, null if there are none."""
+    first = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("known"), "pattern", F.desc("d")))
+    return found.withColumn("_n", first).where("_n = 1").select("symbol", "pattern", "d", "known").join(stats, ["symbol", "pattern"], "left")
+
+
+def paper_signals(forecasts: DataFrame, bars: DataFrame) -> DataFrame:
+    """DOM29: each forecast's horizons (id, horizon) with the first close int(1.4 h) days after it or later, its return, whether the bands held, and the signal's status.
+
+    A signal is logged, partially_resolved or fully_resolved by how many of its
+    horizons have a close.
+    """
+    f = forecasts.withColumn("due", F.date_add("d", F.floor(F.col("horizon") * 1.4).cast("int")))
+    got = as_of(f, bars.select("symbol", F.col("d").alias("bar_d"), "close"), "symbol", "due", "bar_d", "close", forward=True)
+    inside = lambda lo, hi: F.col("close").between(F.col(lo), F.col(hi))
+    by = Window.partitionBy("symbol", "d")
+    done, all_ = F.count("close").over(by), F.count("*").over(by)
+    status = F.when(done == 0, "logged").when(done < all_, "partially_resolved").otherwise("fully_resolved")
+    return got.select("symbol", "d", "horizon", "due", F.col("found_bar_d").alias("realized"), F.round(F.col("close") / F.col("spot") - 1, 6).alias("actual_return"), inside("lo68", "hi68").alias("in68"), inside("lo90", "hi90").alias("in90"), status.alias("status"))
+
+
+def validation(forward: DataFrame, oos: DataFrame) -> DataFrame:
+    """AGG18: forward(symbol, pattern, horizon, actual_return, in68, in90) against oos(symbol, pattern, n, hit_rate, avg_return): the four checks and the status.
+
+    OOS-conditional below ten cases; validating below 21 forward ones; then
+    validated with all checks, validating with two or three, else failed:
+    a hit rate of 0.4 out of sample, forward hits at least half of it, a forward mean at least
+    half of its mean, and coverages within a tenth of theory.
+    """
+    at21 = (F.col("horizon") == 21) & F.col("actual_return").isNotNull()
+    c = lambda k, cond: F.avg(F.when(cond, F.col(k).cast("double")))
+    got = forward.groupBy("symbol", "pattern").agg(F.count_if(at21).alias("forward_n"), c("in68", at21).alias("hit"), c("actual_return", at21).alias("mean"), c("in68", F.lit(True)).alias("cov68"), c("in90", F.lit(True)).alias("cov90"))
+    df = oos.join(got, ["symbol", "pattern"], "left").withColumn("forward_n", F.coalesce("forward_n", F.lit(0)))
+    checks = [F.col("hit_rate") >= 0.4, F.col("hit") >= 0.5 * F.col("hit_rate"), F.col("mean") >= 0.5 * F.col("avg_return"), (F.abs(F.col("cov68") - 0.68) <= 0.10) & (F.abs(F.col("cov90") - 0.90) <= 0.10)]
+    passed = F.lit(0)
+    for x in checks:
+        passed = passed + F.coalesce(x.cast("int"), F.lit(0))
+    df = df.withColumn("passed", passed)
+    status = F.when(F.col("n") < 10, "OOS-conditional").when(F.col("forward_n") < 21, "validating").when(F.col("passed") == 4, "validated").when(F.col("passed") >= 2, "validating").otherwise("failed_validation")
+    return df.select("symbol", "pattern", "n", "forward_n", *(F.round(k, 6).alias(k) for k in ("hit", "mean", "cov68", "cov90")), "passed", status.alias("status"))
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, forward: bool = False) -> DataFrame:

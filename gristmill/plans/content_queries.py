@@ -89,9 +89,32 @@ def str_s_fact_sentences(spark, sf_dir):
 
 
 def _claims(spark, sf_dir):
-    claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("claim_id"), (F.col("item_id") % 300).alias("citation"), "text")
-    sources = table(spark, sf_dir, "documents").where("doc_id < 250").select(F.col("doc_id").alias("idx"), "text")
-    return C.claim_support(claims, sources)
+    """Every benchmark text as a claim against one of all documents; a few cite beyond the last."""
+    docs = table(spark, sf_dir, "documents")
+    end = docs.agg((F.max("doc_id") + 7).alias("end"))  # one row
+    claims = table(spark, sf_dir, "benchmark").join(F.broadcast(end)).select(F.col("item_id").alias("claim_id"), (F.col("item_id") * 37 % F.col("end")).alias("citation"), "text")
+    return C.claim_support(claims, docs.select(F.col("doc_id").alias("idx"), (F.col("doc_id") % 4 + 1).cast("int").alias("tier"), "text"))
+
+
+def str_w_draft_gate(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    part = F.array(*map(F.lit, C.REQUIRED))[(F.col("doc_id") % 5).cast("int")]
+    drafts = docs.groupBy(F.floor(F.col("doc_id") / 5).alias("draft_id")).agg(F.map_from_entries(F.collect_list(F.struct(part.alias("k"), F.col("text").alias("v")))).alias("sections"))
+    return C.draft_gate(drafts)
+
+
+def dom48_topics(spark, sf_dir):
+    p = C.parsed(_pages(spark, sf_dir)).select(X.source_tier(F.col("host")).cast("string").alias("site"), F.regexp_extract(F.lower("title"), "^([a-z]+)", 1).alias("topic"), F.col("title").alias("text"))
+    return C.topics(p.where("topic <> ''"), ["th", "an", "er"], "re").select("site", "topic", "n", "recent", "score", "place")
+
+
+def dom49_review_gate(spark, sf_dir):
+    a = _claims(spark, sf_dir).groupBy(F.concat(F.lit("site"), F.col("claim_id") % 5).alias("site")).agg(F.round(F.avg(F.col("verified").cast("double")) + 0.3, 6).alias("share"), F.min(F.coalesce("tier", F.lit(4))).alias("worst_tier"))
+    return C.review_gate(a, ["site0"])
+
+
+def str_m_markdown(spark, sf_dir):
+    return _pages(spark, sf_dir).where("html is not null").select("page_id", F.md5(X.to_markdown(F.col("html"))).alias("markdown"))
 
 
 def dom50_claims(spark, sf_dir):
@@ -103,11 +126,13 @@ def agg27_claim_decision(spark, sf_dir):
 
 
 def agg26_source_tiers(spark, sf_dir):
-    p = _pages(spark, sf_dir).select(X.host(F.col("url")).alias("host"), F.regexp_extract(X.path(F.col("url")), "^/([a-z]+)", 1).alias("topic"))
+    p = _pages(spark, sf_dir).select(X.host(F.col("url")).alias("host"), F.regexp_extract(X.path(F.col("url")), "^/([a-z]+)", 1).alias("topic"), "page_id")
+    named = F.array(*map(F.lit, ("www.sec.gov", "www.nature.com", "edition.cnn.com", "cs.x.edu")))
+    p = p.withColumn("host", F.when(F.col("page_id") % 5 < 4, named[(F.col("page_id") % 5).cast("int")]).otherwise(F.col("host")))
     return p.withColumn("tier", X.source_tier(F.col("host"))).groupBy("topic").agg(*(F.count_if(F.col("tier") == k).alias(f"tier{k}") for k in (1, 2, 3, 4)))
 
 
-QUERIES = {f.__name__: f for f in (str_a_visible_text, dom39_page_audit, agg24_finding_counts, joi19_broken_links, joi20_similar_slugs, agg28_site_rollup, src12_sitemap, top05_worklist, win26_life_cycle, dom42_job_health, agg20_message_sentiment, str_n_keyword_scores, str_x_hash_ids, str_s_fact_sentences, dom50_claims, agg27_claim_decision, agg26_source_tiers)}
+QUERIES = {f.__name__: f for f in (str_a_visible_text, dom39_page_audit, agg24_finding_counts, joi19_broken_links, joi20_similar_slugs, agg28_site_rollup, src12_sitemap, top05_worklist, win26_life_cycle, dom42_job_health, agg20_message_sentiment, str_n_keyword_scores, str_x_hash_ids, str_s_fact_sentences, dom50_claims, agg27_claim_decision, str_w_draft_gate, dom48_topics, dom49_review_gate, str_m_markdown, agg26_source_tiers)}
 
 _PARSED = f"parsed AS (SELECT page_id, url, {X.HOST_SQL} AS host, {X.PATH_SQL} AS path, COALESCE(html, '') AS html, {X.visible_text_sql('html')} AS text, REGEXP_EXTRACT(COALESCE(html, ''), '<title>([^<]*)</title>', 1) AS title FROM pages), words AS (SELECT *, CAST(CASE WHEN text = '' THEN 0 ELSE LEN(STRING_SPLIT(text, ' ')) END AS INT) AS n_words FROM parsed)"
 _SEV = "CASE class " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.SEVERITY.items()) + " END"
@@ -124,9 +149,14 @@ _TOK = "LIST_FILTER(STRING_SPLIT_REGEX(LOWER(text), '[^a-z]+'), lambda x: x IN (
 _IN = lambda ws: ", ".join(f"'{w}'" for w in ws)
 _UD = f"LEN({_TOK.format(_IN(UP))}) AS u, LEN({_TOK.format(_IN(DOWN))}) AS dn"
 _CLS = "CASE WHEN u - dn > 1 THEN 'bullish' WHEN dn - u > 1 THEN 'bearish' ELSE 'neutral' END"
-_CHECKED = """key AS (SELECT item_id AS claim_id, item_id % 300 AS citation, LIST_DISTINCT(LIST_FILTER(STRING_SPLIT_REGEX(LOWER(text), '[^a-z]+'), lambda x: LENGTH(x) >= 4)) AS key FROM benchmark),
-src AS (SELECT doc_id AS idx, LOWER(text) AS source FROM documents WHERE doc_id < 250),
-sc AS (SELECT claim_id, citation, source, ROUND(CASE WHEN source IS NOT NULL AND LEN(key) > 0 THEN LEN(LIST_FILTER(key, lambda w: CONTAINS(source, w))) / LEN(key) ELSE 0 END, 6) AS score FROM key LEFT JOIN src ON citation = idx)"""
+_KEYS = "LIST_DISTINCT([w FOR w IN LIST_CONCAT([REGEXP_REPLACE(LOWER(x), '[,.]+$', '') FOR x IN REGEXP_EXTRACT_ALL(text, '[\\p{L}\\p{N}_][\\p{L}\\p{N}_,.]*') IF REGEXP_MATCHES(x, '^[0-9][0-9,.]*$')], LIST_CONCAT([LOWER(x) FOR x IN REGEXP_EXTRACT_ALL(text, '\\$[A-Za-z0-9]+')], [LOWER(x) FOR x IN REGEXP_EXTRACT_ALL(text, '[\\p{L}\\p{N}_]+') IF REGEXP_MATCHES(x, '^([A-Z][a-z]+|USD|EUR|GBP)$')])) IF LENGTH(w) >= 3])".replace("\\\\", "\\")
+_CHECKED = f"""k0 AS (SELECT item_id AS claim_id, item_id * 37 % (SELECT MAX(doc_id) + 7 FROM documents) AS citation, text, {_KEYS} AS k FROM benchmark),
+key AS (SELECT claim_id, citation, CASE WHEN LEN(k) > 0 THEN k ELSE LIST_DISTINCT([w FOR w IN STRING_SPLIT_REGEX(LOWER(text), '[^a-z0-9_]+') IF LENGTH(w) >= 4]) END AS key FROM k0),
+s0 AS (SELECT claim_id, citation, doc_id, LOWER(text) AS source, CAST(doc_id % 4 + 1 AS INT) AS tier, ROUND(CASE WHEN COALESCE(text, '') <> '' AND LEN(key) > 0 THEN LEN([w FOR w IN key IF CONTAINS(LOWER(text), w)]) / LEN(key) ELSE 0 END, 6) AS score FROM key LEFT JOIN documents ON citation = doc_id),
+sc AS (SELECT claim_id, citation, tier, score, CASE WHEN doc_id IS NULL THEN 'citation out of range' WHEN COALESCE(source, '') = '' THEN 'source without text' ELSE '' END AS reason FROM s0),
+checked AS (SELECT *, reason = '' AND score >= CASE COALESCE(tier, 4) WHEN 1 THEN 0.15 WHEN 2 THEN 0.20 WHEN 3 THEN 0.30 ELSE 0.45 END AS verified FROM sc)"""
+_WORDN = lambda k: f"LEN(REGEXP_EXTRACT_ALL(COALESCE(MAX(CASE WHEN doc_id % 5 = {k} THEN text END), ''), '[A-Za-z0-9_]+(?:[-''][A-Za-z0-9_]+)*'))"
+_SHARE = "COALESCE(AVG(CASE WHEN verified THEN 1E0 ELSE 0E0 END), 0)"
 ORACLE_SQL = {
     "str_a_visible_text": f"WITH {_PARSED} SELECT page_id, host, path, title, n_words, MD5(text) AS text_md5, CAST(LEN(LIST_FILTER(REGEXP_EXTRACT_ALL(text, '[A-Za-z0-9_''-]+'), lambda w: LENGTH(w) >= 2)) AS INT) AS n_long, CASE WHEN REGEXP_MATCHES(path, '(privacy|terms|legal|imprint)') THEN 'legal' WHEN REGEXP_MATCHES(path, '^/([a-z]{{2}}/?)?$') THEN 'listing' ELSE 'article' END AS page_type FROM words",
     "dom39_page_audit": _FOUND + " SELECT page_id, host, class, severity FROM found",
@@ -144,8 +174,13 @@ UNION ALL SELECT site, class, CAST(MAX(night) + 1 AS INT), MAX(nights), 'resolve
     "agg20_message_sentiment": oracle("messages", f", t AS (SELECT symbol, source, {_UD} FROM messages) SELECT symbol, source, COUNT(*) AS n, " + ", ".join(f"COUNT(CASE WHEN {_CLS} = '{c}' THEN 1 END) AS n_{c}" for c in ("bullish", "bearish", "neutral")) + ", ROUND(AVG(CASE WHEN u + dn > 0 THEN (u - dn) / (u + dn) END), 6) AS score FROM t GROUP BY 1, 2"),
     "str_n_keyword_scores": f"WITH t AS (SELECT doc_id, {_UD} FROM documents) SELECT doc_id, ROUND(CASE WHEN u + dn > 0 THEN (u - dn) / (u + dn) END, 6) AS score, {_CLS} AS cls FROM t",
     "str_x_hash_ids": oracle("messages", "SELECT id, SUBSTR(SHA256(symbol || '|' || source || '|' || CAST(id AS VARCHAR)), 1, 16) AS candidate_id, SUBSTR(REGEXP_REPLACE(REGEXP_REPLACE(LOWER(SUBSTR(text, 1, 80)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 60) AS slug FROM messages"),
-    "str_s_fact_sentences": r"WITH p AS (SELECT doc_id, STRING_SPLIT_REGEX(REGEXP_REPLACE(text, '[ \t\r\n]+', ' ', 'g'), '[.!?] ') AS p FROM documents), e AS (SELECT doc_id, TRIM(UNNEST(p)) AS s, UNNEST(RANGE(LEN(p))) AS pos FROM p), k AS (SELECT doc_id, LOWER(SUBSTR(s, 1, 80)) AS k, MIN(pos) AS pos, ARG_MIN(s, pos) AS s FROM e WHERE LENGTH(s) BETWEEN 40 AND 350 AND REGEXP_MATCHES(s, '[0-9]') GROUP BY 1, 2) SELECT doc_id, place, s AS sentence FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY pos) AS INT) AS place FROM k) x WHERE place <= 8",
-    "dom50_claims": f"WITH {_CHECKED} SELECT claim_id, citation, score, score >= 0.6 AS verified, CASE WHEN source IS NULL THEN 'citation out of range' ELSE '' END AS reason FROM sc",
-    "agg27_claim_decision": f"WITH {_CHECKED} SELECT COUNT(*) AS n, ROUND(AVG(CASE WHEN score >= 0.6 THEN 1E0 ELSE 0E0 END), 6) AS share, CASE WHEN AVG(CASE WHEN score >= 0.6 THEN 1E0 ELSE 0E0 END) >= 0.85 THEN 'publish' WHEN AVG(CASE WHEN score >= 0.6 THEN 1E0 ELSE 0E0 END) >= 0.5 THEN 'review' ELSE 'reject' END AS decision FROM sc",
-    "agg26_source_tiers": f"WITH p AS (SELECT {X.HOST_SQL} AS host, REGEXP_EXTRACT({X.PATH_SQL}, '^/([a-z]+)', 1) AS topic FROM pages), t AS (SELECT topic, CASE WHEN REGEXP_MATCHES(host, '\\.(gov|edu|mil)$') THEN 1 WHEN REGEXP_MATCHES(host, '\\.org$') THEN 2 WHEN REGEXP_MATCHES(host, '\\.com$') THEN 3 ELSE 4 END AS tier FROM p) SELECT topic, " + ", ".join(f"COUNT(CASE WHEN tier = {k} THEN 1 END) AS tier{k}" for k in (1, 2, 3, 4)) + " FROM t GROUP BY 1",
+    "str_s_fact_sentences": rf"""WITH p AS (SELECT doc_id, STRING_SPLIT(REGEXP_REPLACE(REGEXP_REPLACE(text, '[ \t\r\n]+', ' ', 'g'), '([.!?]) ([A-Z])', '\1' || CHR(1) || '\2', 'g'), CHR(1)) AS p FROM documents), e AS (SELECT doc_id, TRIM(UNNEST(p)) AS s, UNNEST(RANGE(LEN(p))) AS pos FROM p),
+k AS (SELECT doc_id, LOWER(SUBSTR(s, 1, 80)) AS k, MIN(pos) AS pos, ARG_MIN(s, pos) AS s FROM e WHERE LENGTH(s) BETWEEN 40 AND 350 AND NOT REGEXP_MATCHES(LOWER(s), '{C.BOILERPLATE}') AND (REGEXP_MATCHES(s, '{C.NUMBER}') OR REGEXP_MATCHES(s, '{C.DEFINES}')) GROUP BY 1, 2)
+SELECT doc_id, place, s AS sentence FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY pos) AS INT) AS place FROM k) x WHERE place <= 8""",
+    "str_w_draft_gate": "WITH d AS (SELECT doc_id // 5 AS draft_id, " + ", ".join(f"{_WORDN(i)} AS n{i}" for i in range(5)) + " FROM documents GROUP BY 1), t AS (SELECT *, CAST(n0 + n1 + n2 + n3 + n4 AS INT) AS total, CONCAT_WS(' ', " + ", ".join(f"CASE WHEN n{i} = 0 THEN '{k}' END" for i, k in enumerate(C.REQUIRED)) + ") AS missing, CONCAT_WS(' ', " + ", ".join(f"CASE WHEN n{i} BETWEEN 1 AND 119 THEN '{k}' END" for i, k in enumerate(C.REQUIRED)) + ") AS short FROM d), l AS (SELECT *, CASE WHEN total < 400 THEN 'fail' WHEN total < 800 THEN 'warn' WHEN total < 1200 THEN 'below preferred' ELSE 'good' END AS level FROM t) SELECT draft_id, total, missing, short, level, missing = '' AND short = '' AND level <> 'fail' AS ok FROM l",
+    "dom48_topics": f"WITH {_PARSED}, r AS (SELECT CAST({X.source_tier_sql('host')} AS VARCHAR) AS site, REGEXP_EXTRACT(LOWER(title), '^([a-z]+)', 1) AS topic, title AS text FROM words), g AS (SELECT site, topic, COUNT(text) AS n, COUNT(CASE WHEN CONTAINS(text, 're') THEN 1 END) AS recent FROM r WHERE topic <> '' GROUP BY 1, 2), s AS (SELECT *, ROUND(0.4 * LEAST(n / 5, 1) + 0.4 * LEAST((CASE WHEN CONTAINS(topic, 'th') THEN 1 ELSE 0 END + CASE WHEN CONTAINS(topic, 'an') THEN 1 ELSE 0 END + CASE WHEN CONTAINS(topic, 'er') THEN 1 ELSE 0 END) / 2, 1) + 0.2 * LEAST(recent / 2, 1), 3) AS score FROM g) SELECT * FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY site ORDER BY score DESC, topic) AS INT) AS place FROM s) x WHERE place <= 5",
+    "dom49_review_gate": f"WITH {_CHECKED}, a AS (SELECT 'site' || CAST(claim_id % 5 AS VARCHAR) AS site, ROUND(AVG(CASE WHEN verified THEN 1E0 ELSE 0E0 END) + 0.3, 6) AS share, MIN(COALESCE(tier, 4)) AS worst_tier FROM checked GROUP BY 1), b AS (SELECT *, CASE WHEN site = 'site0' THEN 'mandatory' WHEN share < 0.85 THEN 'few claims verified' WHEN worst_tier >= 4 THEN 'unranked sources' ELSE '' END AS reason FROM a) SELECT *, reason <> '' AS review FROM b",
+    "dom50_claims": f"WITH {_CHECKED} SELECT claim_id, citation, tier, score, verified, reason FROM checked",
+    "agg27_claim_decision": f"WITH {_CHECKED} SELECT COUNT(*) AS n, ROUND({_SHARE}, 6) AS share, CASE WHEN {_SHARE} >= 0.85 THEN 'pass' WHEN {_SHARE} >= 0.5 THEN 'needs_revision' ELSE 'reject' END AS decision FROM checked",
+    "agg26_source_tiers": f"WITH p AS (SELECT CASE page_id % 5 WHEN 0 THEN 'www.sec.gov' WHEN 1 THEN 'www.nature.com' WHEN 2 THEN 'edition.cnn.com' WHEN 3 THEN 'cs.x.edu' ELSE {X.HOST_SQL} END AS host, REGEXP_EXTRACT({X.PATH_SQL}, '^/([a-z]+)', 1) AS topic FROM pages), t AS (SELECT topic, {X.source_tier_sql('host')} AS tier FROM p) SELECT topic, " + ", ".join(f"COUNT(CASE WHEN tier = {k} THEN 1 END) AS tier{k}" for k in (1, 2, 3, 4)) + " FROM t GROUP BY 1",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import forecast as P, macro as M
+from ..operators import forecast as P, indicators as I, macro as M, options as O
 from ..sources.views import oracle, table, view
 from .indicator_queries import W, _SWINGS, _full, _rows
 
@@ -13,10 +13,31 @@ def _bars(spark, sf_dir):
     return view(spark, sf_dir, "bars")
 
 
+def _surface(spark, sf_dir):
+    return O.at_the_money(view(spark, sf_dir, "chain")).groupBy("underlying", "dte").agg(F.avg("iv").alias("iv"))
+
+
+def _stats(spark, sf_dir):
+    return P.pattern_stats(P.patterns(_bars(spark, sf_dir)), _bars(spark, sf_dir))
+
+
 def dom27_forecast(spark, sf_dir):
+    pattern = P.latest_pattern(P.patterns(_bars(spark, sf_dir)), _stats(spark, sf_dir))
+    return P.bands(_bars(spark, sf_dir), _surface(spark, sf_dir), pattern, latest=True).drop("rn")
+
+
+def dom27_past_forecasts(spark, sf_dir):
     return P.bands(_bars(spark, sf_dir)).drop("rn")
 
 
+def agg15_pattern_stats(spark, sf_dir):
+    return _stats(spark, sf_dir)
+
+
+def joi16_latest_pattern(spark, sf_dir):
+    return P.latest_pattern(P.patterns(_bars(spark, sf_dir)), _stats(spark, sf_dir))
+
+
 def _outcomes(spark, sf_dir):
     return P.resolved(P.bands(_bars(spark, sf_dir)), _bars(spark, sf_dir))
 
@@ -25,20 +46,57 @@ def dom28_outcomes(spark, sf_dir):
     return _outcomes(spark, sf_dir)
 
 
+def joi13_level_touches(spark, sf_dir):
+    bars = _bars(spark, sf_dir)
+    levels = bars.withColumn("rn", F.row_number().over(I.in_order())).withColumn("support", F.min("low").over(I.last(20))).withColumn("resistance", F.max("high").over(I.last(20))).where("rn % 21 = 0")
+    levels = levels.select("symbol", "d", F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.col(k).alias("level")) for k in ("support", "resistance")))).alias("x")).select("symbol", "d", "x.*")
+    return P.level_touches(levels, bars)
+
+
 def agg16_calibration(spark, sf_dir):
     return P.calibration(_outcomes(spark, sf_dir))
 
 
+def _used(spark, sf_dir):
+    """Outcomes with whether a pattern had become known in the 28 days before."""
+    last = P.as_of(_outcomes(spark, sf_dir), P.patterns(_bars(spark, sf_dir)).select("symbol", F.col("known").alias("t"), "pattern"), "symbol", "d", "t", "pattern")
+    near = F.coalesce(F.datediff("d", "found_t") <= 28, F.lit(False))
+    return last.withColumn("pattern_used", near)
+
+
+def agg16_pattern_calibration(spark, sf_dir):
+    return P.pattern_calibration(_used(spark, sf_dir))
+
+
 def agg17_symbol_calibration(spark, sf_dir):
     return P.calibration(_outcomes(spark, sf_dir), "symbol")
 
 
+def agg17_symbol_status(spark, sf_dir):
+    return P.symbol_status(P.calibration(_outcomes(spark, sf_dir), "symbol"))
+
+
+def dom29_paper_signals(spark, sf_dir):
+    return P.paper_signals(P.bands(_bars(spark, sf_dir)), _bars(spark, sf_dir))
+
+
 def agg18_gate(spark, sf_dir):
-    return P.gate(P.calibration(_outcomes(spark, sf_dir), "symbol"))
+    signals = P.paper_signals(P.bands(_bars(spark, sf_dir)), _bars(spark, sf_dir))
+    found = P.patterns(_bars(spark, sf_dir)).select("symbol", F.col("known").alias("t"), "pattern").groupBy("symbol", "t").agg(F.min("pattern").alias("pattern"))
+    named = P.as_of(signals, found, "symbol", "d", "t", "pattern").where("pattern is not null")
+    return P.validation(named, _stats(spark, sf_dir))
+
+
+def fil11_open_records(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    records = e.select(F.col("event_id").alias("id"), F.when(F.col("user_id") % 5 == 0, "macro_dashboard").otherwise("forecast").alias("profile"), F.when(F.col("event_type") == "error", "closed").alias("label"), F.when(F.col("user_id") % 3 == 0, F.date_add(F.to_date("ts"), 1)).alias("last_resolved"), "ts")
+    records = records.withColumn("as_of", F.date_add(F.to_date("ts"), -(F.col("id") % 800).cast("int")))
+    today = e.agg(F.max(F.to_date("ts")).alias("today"))  # one row
+    return P.open_records(records.join(F.broadcast(today)), F.col("today")).select("id", "profile", "as_of")
 
 
 def _due(spark, sf_dir):
-    f = P.bands(_bars(spark, sf_dir)).where("horizon = 21").select("symbol", "d", "spot")
+    f = P.forecast_rows(_bars(spark, sf_dir)).select("symbol", "d", "spot")
     return f.withColumn("due", P.due_date(F.col("d"), F.lit(21)))
 
 
@@ -104,19 +162,40 @@ def stm01_hourly_bars(spark, sf_dir):
     return hourly_bars(e.select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.lit(1).alias("volume"))).select("symbol", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "open", "high", "low", "close", "volume")
 
 
-QUERIES = {f.__name__: f for f in (dom27_forecast, dom28_outcomes, agg16_calibration, agg17_symbol_calibration, agg18_gate, joi11_forward_as_of, joi12_backward_as_of, dom18_patterns, dom22_pattern_backtest, dom15_levels, win27_series_features, dom30_pillars, dom31_regime, dom33_volatility_states, dom34_positioning, dom37_position_changes, agg23_holdings_summary, stm01_hourly_bars, stm04_lockouts)}
+QUERIES = {f.__name__: f for f in (dom27_forecast, dom27_past_forecasts, agg15_pattern_stats, joi16_latest_pattern, dom28_outcomes, joi13_level_touches, agg16_calibration, agg16_pattern_calibration, agg17_symbol_calibration, agg17_symbol_status, agg18_gate, dom29_paper_signals, fil11_open_records, joi11_forward_as_of, joi12_backward_as_of, dom18_patterns, dom22_pattern_backtest, dom15_levels, win27_series_features, dom30_pillars, dom31_regime, dom33_volatility_states, dom34_positioning, dom37_position_changes, agg23_holdings_summary, stm01_hourly_bars, stm04_lockouts)}
+
+_ROWS = f""", lr AS (SELECT *, LN(close) - LN(LAG(close) OVER ({W})) AS logret, CAST(ROW_NUMBER() OVER ({W}) AS INT) AS rn FROM bars),
+mm AS (SELECT *, AVG(logret) {_rows(60)} AS mu, STDDEV_SAMP(logret) {_rows(120)} AS sd, STDDEV_SAMP(logret) {_rows(504)} AS sd_all, MAX(rn) OVER (PARTITION BY symbol) AS last_rn FROM lr),
+hs AS (""" + " UNION ALL ".join(f"SELECT symbol, rn AS pos, {h} AS horizon, {_full(f'SUM(logret) {_rows(h)}', h, 'logret')} AS s FROM lr" for h in P.HORIZONS) + ")"
+_HORIZON = "(SELECT CAST(UNNEST([5, 10, 21, 42, 63]) AS INT) AS horizon)"
+_PART = {"lo90": 1, "lo68": 2, "median": 3, "hi68": 4, "hi90": 5}
+
+
+def _fc(where: str, iv: bool, pattern: bool) -> str:
+    """Common table expressions with fr, the forecasts' rows, and fc, their bands."""
+    log = {k: f"(0.5 * (mu * horizon + {z} * sd * SQRT(horizon)) + 0.3 * COALESCE({z} * iv / SQRT(252) * SQRT(horizon), 0) + 0.2 * COALESCE(q[{_PART[k]}], 0)) / total" for k, z in P.Z.items()}
+    if pattern:
+        log["median"] = f"CASE WHEN horizon = 21 AND avg_return IS NOT NULL THEN 0.7 * ({log['median']}) + 0.3 * LN(1 + avg_return) ELSE {log['median']} END"
+    method = "'gbm' || CASE WHEN iv IS NOT NULL THEN '+iv' ELSE '' END || CASE WHEN q IS NOT NULL THEN '+history' ELSE '' END" + (" || CASE WHEN horizon = 21 AND avg_return IS NOT NULL THEN '+pattern' ELSE '' END" if pattern else "")
+    near = ", ivs AS (SELECT underlying, horizon, iv FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY underlying, horizon ORDER BY ABS(dte - horizon), dte) AS n_ FROM (SELECT underlying, dte, AVG(iv) AS iv FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY underlying, dte, side ORDER BY ABS(strike - spot), strike) AS rn FROM chain) z WHERE rn = 1 GROUP BY 1, 2) z2 CROSS JOIN " + _HORIZON + " hh) z3 WHERE n_ = 1)" if iv else ""
+    return _ROWS + near + f""", fr AS (SELECT symbol, d, rn, close AS spot, rn - 1 AS n_ret, mu, sd, sd_all FROM mm WHERE {where} AND rn - 1 >= 20),
+hq AS (SELECT fr.symbol, fr.rn, horizon, QUANTILE_CONT(s, [0.05, 0.16, 0.5, 0.84, 0.95]) AS q FROM fr JOIN hs ON fr.symbol = hs.symbol AND pos < fr.rn AND pos > fr.rn - 504 WHERE s IS NOT NULL AND n_ret >= horizon + 60 GROUP BY 1, 2, 3 HAVING COUNT(*) >= 30),
+fb AS (SELECT fr.*, h.horizon, q, {'ivs.iv' if iv else 'CAST(NULL AS DOUBLE)'} AS iv, {'avg_return' if pattern else 'NULL'} AS avg_return FROM fr CROSS JOIN {_HORIZON} h LEFT JOIN hq ON hq.symbol = fr.symbol AND hq.rn = fr.rn AND hq.horizon = h.horizon {'LEFT JOIN ivs ON ivs.underlying = fr.symbol AND ivs.horizon = h.horizon' if iv else ''} {'LEFT JOIN (SELECT symbol, avg_return FROM latest WHERE n >= 10 AND avg_return > -1) lp ON lp.symbol = fr.symbol' if pattern else ''}),
+ft AS (SELECT *, 0.5 + CASE WHEN iv IS NOT NULL THEN 0.3 ELSE 0 END + CASE WHEN q IS NOT NULL THEN 0.2 ELSE 0 END AS total FROM fb),
+fc AS (SELECT symbol, d, rn, horizon, spot, {', '.join(f'ROUND(spot * EXP({x}), 6) AS {k}' for k, x in log.items())}, ROUND((0.5 * sd * SQRT(252) + 0.3 * COALESCE(iv, 0) + CASE WHEN q IS NOT NULL THEN 0.2 * sd_all * SQRT(252) ELSE 0 END) / total, 6) AS sigma, {method} AS method FROM ft)"""
+
 
-_BANDS = f""", lr AS (SELECT *, LN(close) - LN(LAG(close) OVER ({W})) AS logret, ROW_NUMBER() OVER ({W}) AS rn FROM bars),
-m AS (SELECT *, {_full('AVG(logret) ' + _rows(60), 60, 'logret')} AS mu_a, {_full('STDDEV_SAMP(logret) ' + _rows(60), 60, 'logret')} AS sd_a, {_full('AVG(logret) ' + _rows(252), 252, 'logret')} AS mu_b, {_full('STDDEV_SAMP(logret) ' + _rows(252), 252, 'logret')} AS sd_b FROM lr),
-q AS (SELECT symbol, d, rn, close AS spot, CASE WHEN sd_b IS NULL THEN mu_a ELSE 0.6 * mu_a + (1 - 0.6) * mu_b END AS mu, CASE WHEN sd_b IS NULL THEN sd_a ELSE 0.6 * sd_a + (1 - 0.6) * sd_b END AS sd FROM m WHERE rn % 21 = 0 AND sd_a IS NOT NULL),
-fc AS (SELECT symbol, d, rn, horizon, spot, {', '.join(f'ROUND(spot * EXP(mu * horizon + {z} * sd * SQRT(horizon)), 6) AS {k}' for k, z in P.Z.items())} FROM q CROSS JOIN (SELECT CAST(UNNEST([5, 10, 21, 42, 63]) AS INT) AS horizon) h)"""
-_NUM = f", nb AS (SELECT *, ROW_NUMBER() OVER ({W}) AS rn FROM bars)"
-_OUT = _BANDS + _NUM + """, oc AS (SELECT fc.symbol, fc.d, fc.horizon, MAX(CASE WHEN nb.rn = fc.rn + horizon THEN nb.close END) AS actual, ROUND(MAX(nb.high) / MAX(spot) - 1, 6) AS mfe, ROUND(MIN(nb.low) / MAX(spot) - 1, 6) AS mae, MAX(lo68) AS lo68, MAX(hi68) AS hi68, MAX(lo90) AS lo90, MAX(hi90) AS hi90, MAX(median) AS median
- FROM fc JOIN nb ON fc.symbol = nb.symbol AND nb.rn BETWEEN fc.rn + 1 AND fc.rn + horizon GROUP BY 1, 2, 3),
-outcomes AS (SELECT symbol, d, horizon, actual, mfe, mae, actual BETWEEN lo68 AND hi68 AS in68, actual BETWEEN lo90 AND hi90 AS in90, ROUND(ABS(actual / median - 1), 6) AS error FROM oc WHERE actual IS NOT NULL)"""
+_PAST = _fc("rn % 21 = 0", False, False)
+_SPAN = "CASE horizon " + " ".join(f"WHEN {h} THEN {P.calendar_days(h)}" for h in P.HORIZONS) + " END"
+_OUT = _PAST + f""", oc AS (SELECT fc.symbol, fc.d, fc.horizon, ARG_MAX(b.close, b.d) AS actual, MAX(b.close) AS top, MIN(b.close) AS bottom, ANY_VALUE(spot) AS spot, ANY_VALUE(lo68) AS lo68, ANY_VALUE(hi68) AS hi68, ANY_VALUE(lo90) AS lo90, ANY_VALUE(hi90) AS hi90, ANY_VALUE(median) AS median
+ FROM fc JOIN (SELECT symbol, MAX(d) AS final FROM bars GROUP BY 1) e ON e.symbol = fc.symbol AND fc.d + {_SPAN} <= final JOIN bars b ON fc.symbol = b.symbol AND b.d BETWEEN fc.d AND fc.d + {_SPAN} GROUP BY 1, 2, 3),
+outcomes AS (SELECT symbol, d, horizon, actual, ROUND((top / spot - 1) * 100, 6) AS mfe, ROUND((bottom / spot - 1) * 100, 6) AS mae, actual BETWEEN lo68 AND hi68 AS in68, actual BETWEEN lo90 AND hi90 AS in90, ROUND(ABS(actual / median - 1), 6) AS error FROM oc)"""
 _C = lambda k: f"AVG(CAST({k} AS DOUBLE))"
-_CAL = lambda by: f"SELECT {by}horizon, COUNT(*) AS n, ROUND({_C('in68')}, 6) AS cov68, ROUND({_C('in90')}, 6) AS cov90, ROUND(AVG(error), 12) AS mae, ROUND(AVG(mfe), 12) AS mfe_mean, ABS({_C('in68')} - 0.68) <= 0.10 AND ABS({_C('in90')} - 0.90) <= 0.10 AND COUNT(*) >= 30 AS calibrated FROM outcomes GROUP BY ALL"
-_DUE = _BANDS + ", due AS (SELECT symbol, d, spot, CAST(d + CAST(FLOOR(21 * 365 / 252) AS INT) AS DATE) AS due FROM fc WHERE horizon = 21)"
+_OK = lambda k, t: f"(ABS({_C(k)} - {t}) <= 0.10 AND COUNT(*) >= 30)"
+_CAL = lambda by: f"SELECT {by}horizon, COUNT(*) AS n, ROUND({_C('in68')}, 6) AS cov68, ROUND({_C('in90')}, 6) AS cov90, ROUND(AVG(mfe), 9) AS mfe_mean, ROUND(AVG(mae), 9) AS mae_mean, ROUND(AVG(error), 9) AS error, {_OK('in68', 0.68)} AS calibrated68, {_OK('in90', '0.90')} AS calibrated90, {_OK('in68', 0.68)} AND {_OK('in90', '0.90')} AS calibrated FROM outcomes GROUP BY ALL"
+_DUE = _ROWS + ", due AS (SELECT symbol, d, close AS spot, CAST(d + CAST(FLOOR(21 * 365 / 252) AS INT) AS DATE) AS due FROM mm WHERE rn % 21 = 0 AND rn - 1 >= 20)"
+_PAPER = """, sg AS (SELECT fc.*, CAST(fc.d + CAST(FLOOR(horizon * 1.4) AS INT) AS DATE) AS due FROM fc), sr AS (SELECT g.*, b.close, b.d AS realized FROM sg g ASOF LEFT JOIN bars b ON g.symbol = b.symbol AND g.due <= b.d),
+signals AS (SELECT symbol, d, horizon, due, realized, ROUND(close / spot - 1, 6) AS actual_return, close BETWEEN lo68 AND hi68 AS in68, close BETWEEN lo90 AND hi90 AS in90, CASE WHEN COUNT(close) OVER w = 0 THEN 'logged' WHEN COUNT(close) OVER w < COUNT(*) OVER w THEN 'partially_resolved' ELSE 'fully_resolved' END AS status FROM sr WINDOW w AS (PARTITION BY symbol, d))"""
 
 
 def _swing_side(side: str, flag: str, double: str, shoulders: str) -> str:
@@ -126,17 +205,33 @@ def _swing_side(side: str, flag: str, double: str, shoulders: str) -> str:
 
 
 _PATTERNS = f", sw AS (SELECT *, ROW_NUMBER() OVER ({W}) AS rn, LEAD(d, 5) OVER ({W}) AS known FROM {_SWINGS}), pat AS (" + _swing_side("high", "is_high", "double_top", "head_shoulders") + " UNION ALL " + _swing_side("low", "is_low", "double_bottom", "inverse_head_shoulders") + ")"
+_STATS = f""", fw20 AS (SELECT symbol, d AS known, LEAD(close, 20) OVER ({W}) / close - 1 AS fwd FROM bars), ps AS (SELECT pat.*, fwd, CASE WHEN pattern IN ('double_top', 'head_shoulders') THEN fwd < 0 ELSE fwd > 0 END AS hit, COUNT(*) OVER (PARTITION BY pat.symbol, pattern) AS all_, ROW_NUMBER() OVER (PARTITION BY pat.symbol, pattern ORDER BY pat.known, pat.d) AS i_ FROM pat JOIN fw20 ON pat.symbol = fw20.symbol AND pat.known = fw20.known WHERE fwd IS NOT NULL),
+stats AS (SELECT symbol, pattern, COUNT(*) AS n, ROUND(AVG(CASE WHEN hit THEN 1E0 ELSE 0E0 END), 6) AS hit_rate, ROUND(AVG(fwd), 9) AS avg_return FROM ps WHERE all_ >= 10 AND i_ > FLOOR(all_ / 2) GROUP BY 1, 2),
+latest AS (SELECT l.symbol, l.pattern, l.d, l.known, n, hit_rate, avg_return FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY known DESC, pattern, d DESC) AS n_ FROM pat) l LEFT JOIN stats ON l.symbol = stats.symbol AND l.pattern = stats.pattern WHERE n_ = 1)"""
 _SW = "PARTITION BY series_id ORDER BY d"
 _SERF = f""", sf AS (SELECT series_id, d, ROUND(value / CASE WHEN COUNT(value) OVER ({_SW} ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) = 200 THEN AVG(value) OVER ({_SW} ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) END - 1, 6) AS ma_distance, ROUND(value / LAG(value, 3) OVER ({_SW}) - 1, 6) AS change3, ROUND(value / LAG(value, 252) OVER ({_SW}) - 1, 6) AS yoy,
  ROUND(GREATEST(LEAST(CASE WHEN STDDEV_POP(value) OVER p > 0 THEN (value - AVG(value) OVER p) / STDDEV_POP(value) OVER p ELSE 0 END, 3), -3), 5) AS z FROM series WINDOW p AS ({_SW} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 _PILLARS = _SERF + ", lastf AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY d DESC) AS n_ FROM sf) x WHERE n_ = 1), comp AS (" + " UNION ALL ".join(f"SELECT series_id, CASE WHEN {k} IS NOT NULL THEN GREATEST(LEAST({k} / {s}, 1), -1) END AS x FROM lastf" for k, s in (("z", 2.0), ("change3", 0.5), ("yoy", 0.5), ("ma_distance", 0.5))) + "), pil AS (SELECT series_id, ROUND(AVG(x), 6) AS score, COUNT(x) AS n, CAST(COUNT(*) - COUNT(x) AS BIGINT) AS missing FROM comp GROUP BY 1)"
 _CLAMP = lambda x: f"GREATEST(LEAST({x}, 1), -1)"
 ORACLE_SQL = {
-    "dom27_forecast": oracle("bars", _BANDS + " SELECT symbol, d, horizon, spot, " + ", ".join(P.Z) + " FROM fc"),
+    "dom27_forecast": oracle("bars chain", _PATTERNS + _STATS + _fc("rn = last_rn", True, True) + " SELECT symbol, d, horizon, spot, sigma, method, " + ", ".join(P.Z) + " FROM fc"),
+    "dom27_past_forecasts": oracle("bars", _PAST + " SELECT symbol, d, horizon, spot, sigma, method, " + ", ".join(P.Z) + " FROM fc"),
+    "agg15_pattern_stats": oracle("bars", _PATTERNS + _STATS + " SELECT * FROM stats"),
+    "joi16_latest_pattern": oracle("bars", _PATTERNS + _STATS + " SELECT * FROM latest"),
     "dom28_outcomes": oracle("bars", _OUT + " SELECT * FROM outcomes"),
+    "joi13_level_touches": oracle("bars", f", lv AS (SELECT symbol, d, ROW_NUMBER() OVER ({W}) AS rn, MIN(low) {_rows(20)} AS support, MAX(high) {_rows(20)} AS resistance FROM bars), lx AS (SELECT symbol, d, 'support' AS name, support AS level FROM lv WHERE rn % 21 = 0 UNION ALL SELECT symbol, d, 'resistance', resistance FROM lv WHERE rn % 21 = 0) SELECT lx.symbol, lx.d, name, level, MAX(high) >= level * 1.005 AS over, MIN(low) <= level * 0.995 AS under FROM lx JOIN bars b ON b.symbol = lx.symbol AND b.d BETWEEN lx.d AND lx.d + 21 GROUP BY 1, 2, 3, 4"),
     "agg16_calibration": oracle("bars", _OUT + " " + _CAL("")),
+    "agg16_pattern_calibration": oracle("bars", _PATTERNS + _OUT + """, u AS (SELECT o.*, COALESCE(o.d - k.known <= 28, FALSE) AS used FROM outcomes o ASOF LEFT JOIN (SELECT DISTINCT symbol, known FROM pat) k ON o.symbol = k.symbol AND o.d >= k.known),
+g AS (SELECT horizon, COUNT(CASE WHEN used THEN 1 END) AS n_with, AVG(CASE WHEN used THEN CAST(in68 AS DOUBLE) END) AS cov68_with, AVG(CASE WHEN used THEN CAST(in90 AS DOUBLE) END) AS cov90_with, ROUND(AVG(CASE WHEN used THEN error END), 9) AS error_with, COUNT(CASE WHEN NOT used THEN 1 END) AS n_without, AVG(CASE WHEN NOT used THEN CAST(in68 AS DOUBLE) END) AS cov68_without, AVG(CASE WHEN NOT used THEN CAST(in90 AS DOUBLE) END) AS cov90_without, ROUND(AVG(CASE WHEN NOT used THEN error END), 9) AS error_without FROM u GROUP BY 1)
+SELECT horizon, n_with, ROUND(cov68_with, 6) AS cov68_with, ROUND(cov90_with, 6) AS cov90_with, error_with, n_without, ROUND(cov68_without, 6) AS cov68_without, ROUND(cov90_without, 6) AS cov90_without, error_without, ROUND(ABS(cov68_with - 0.68) - ABS(cov68_without - 0.68), 6) AS improve68, ROUND(ABS(cov90_with - 0.90) - ABS(cov90_without - 0.90), 6) AS improve90, CASE WHEN n_with + n_without < 10 THEN 'insufficient_data' WHEN n_with + n_without < 30 THEN 'preliminary' ELSE 'mature' END AS status FROM g"""),
     "agg17_symbol_calibration": oracle("bars", _OUT + " " + _CAL("symbol, ")),
-    "agg18_gate": oracle("bars", _OUT + ", cal AS (" + _CAL("symbol, ") + ") SELECT symbol, COUNT(*) AS horizons, MIN(n) AS least_n, CASE WHEN MIN(n) < 30 THEN 'waiting' WHEN BOOL_AND(calibrated) THEN 'passed' ELSE 'failed' END AS status FROM cal GROUP BY 1"),
+    "agg17_symbol_status": oracle("bars", _OUT + ", cal AS (" + _CAL("symbol, ") + ") SELECT symbol, COUNT(*) AS horizons, CAST(SUM(n) AS BIGINT) AS n, CASE WHEN SUM(n) < 30 THEN 'preliminary' WHEN BOOL_AND(calibrated) THEN 'validated' ELSE 'calibrating' END AS status FROM cal GROUP BY 1"),
+    "dom29_paper_signals": oracle("bars", _PAST + _PAPER + " SELECT * FROM signals"),
+    "agg18_gate": oracle("bars", _PATTERNS + _STATS + _PAST + _PAPER + """, kn AS (SELECT symbol, known, MIN(pattern) AS pattern FROM pat GROUP BY 1, 2), nm AS (SELECT s.*, k.pattern FROM signals s ASOF JOIN kn k ON s.symbol = k.symbol AND s.d >= k.known),
+fwd AS (SELECT symbol, pattern, COUNT(CASE WHEN horizon = 21 AND actual_return IS NOT NULL THEN 1 END) AS forward_n, AVG(CASE WHEN horizon = 21 AND actual_return IS NOT NULL THEN CAST(in68 AS DOUBLE) END) AS hit, AVG(CASE WHEN horizon = 21 THEN actual_return END) AS mean, AVG(CAST(in68 AS DOUBLE)) AS cov68, AVG(CAST(in90 AS DOUBLE)) AS cov90 FROM nm GROUP BY 1, 2),
+v AS (SELECT s.symbol, s.pattern, n, COALESCE(forward_n, 0) AS forward_n, hit, mean, cov68, cov90, COALESCE(CAST(hit_rate >= 0.4 AS INT), 0) + COALESCE(CAST(hit >= 0.5 * hit_rate AS INT), 0) + COALESCE(CAST(mean >= 0.5 * avg_return AS INT), 0) + COALESCE(CAST(ABS(cov68 - 0.68) <= 0.10 AND ABS(cov90 - 0.90) <= 0.10 AS INT), 0) AS passed FROM stats s LEFT JOIN fwd f ON s.symbol = f.symbol AND s.pattern = f.pattern)
+SELECT symbol, pattern, n, forward_n, ROUND(hit, 6) AS hit, ROUND(mean, 6) AS mean, ROUND(cov68, 6) AS cov68, ROUND(cov90, 6) AS cov90, passed, CASE WHEN n < 10 THEN 'OOS-conditional' WHEN forward_n < 21 THEN 'validating' WHEN passed = 4 THEN 'validated' WHEN passed >= 2 THEN 'validating' ELSE 'failed_validation' END AS status FROM v"""),
+    "fil11_open_records": "WITH r AS (SELECT event_id AS id, CASE WHEN user_id % 5 = 0 THEN 'macro_dashboard' ELSE 'forecast' END AS profile, event_type = 'error' AS closed, CASE WHEN user_id % 3 = 0 THEN CAST(ts AS DATE) + 1 END AS done, CAST(CAST(ts AS DATE) - CAST(event_id % 800 AS INT) AS DATE) AS as_of, (SELECT MAX(CAST(ts AS DATE)) FROM events) AS today FROM events) SELECT id, profile, as_of FROM r WHERE profile <> 'macro_dashboard' AND NOT closed AND COALESCE(done <> today, TRUE) AND today - as_of <= 400",
     "joi11_forward_as_of": oracle("bars", _DUE + " SELECT u.symbol, u.d, u.spot, u.due, b.close, b.d AS found_bar_d FROM due u ASOF LEFT JOIN bars b ON u.symbol = b.symbol AND u.due <= b.d"),
     "joi12_backward_as_of": oracle("bars", _DUE + " SELECT u.symbol, u.d, u.spot, u.due, b.close, b.d AS found_bar_d FROM due u ASOF LEFT JOIN bars b ON u.symbol = b.symbol AND u.due >= b.d"),
     "dom18_patterns": oracle("bars", _PATTERNS + " SELECT * FROM pat"),

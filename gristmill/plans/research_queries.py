@@ -89,8 +89,8 @@ def src02_stale_keys(spark, sf_dir):
 
 def set01_universe(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    lists = [p.where(f"p_size % 5 = {i}").select(F.col("p_brand").alias("symbol")) for i in range(2)]
-    return L.universe(lists, p.select(F.col("p_type").alias("symbol")))
+    low, high = p.where("p_retailprice < 1500"), p.where("p_retailprice >= 1500 or p_retailprice is null")
+    return L.universe([x.select(F.col("p_brand").alias("symbol")) for x in (low, high)], p.select(F.col("p_type").alias("symbol")))
 
 
 def set02_first_of(spark, sf_dir):
@@ -99,9 +99,11 @@ def set02_first_of(spark, sf_dir):
 
 
 def set03_newest_wins(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", "event_id")
-    half = L.first_of(e.where("event_id % 2 = 0"), ["user_id"], ["event_id"]), L.first_of(e.where("event_id % 3 = 0"), ["user_id"], ["event_id"])
-    return L.newest_wins(*half, "user_id")
+    e = table(spark, sf_dir, "events")
+    middle = e.agg(F.avg(F.unix_timestamp("ts")).alias("middle"))  # one row: older events are the cache, later ones are new
+    e = e.join(F.broadcast(middle)).select("user_id", "event_id", (F.unix_timestamp("ts") < F.col("middle")).alias("older"))
+    old, new = (L.first_of(e.where(c), ["user_id"], ["event_id"]).drop("older") for c in ("older", "not older"))
+    return L.newest_wins(old, new, "user_id")
 
 
 def src14_latest_changes(spark, sf_dir):
@@ -145,8 +147,8 @@ SELECT symbol, ROUND(score, 9) AS score, CASE WHEN score >= 75 THEN 'A' WHEN sco
     "dom36_deep_report": oracle("bars sectors", _STRUCT + _RECT + _TRI + " SELECT s.symbol, struct.trend AS trend_trend, rect.floor AS rect_floor, tri.kind AS tri_kind, CAST((struct.symbol IS NOT NULL)::INT + (rect.symbol IS NOT NULL)::INT + (tri.symbol IS NOT NULL)::INT AS INT) AS layers FROM (SELECT DISTINCT symbol FROM sectors) s LEFT JOIN struct ON s.symbol = struct.symbol LEFT JOIN rect ON s.symbol = rect.symbol LEFT JOIN tri ON s.symbol = tri.symbol"),
     "fil02_history_gate": oracle("bars", "SELECT symbol, COUNT(*) AS n FROM bars GROUP BY 1 HAVING COUNT(*) >= 230"),
     "src02_stale_keys": "SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING EPOCH(TIMESTAMP '2000-01-01 00:00:00') - EPOCH(MAX(o_orderdate)) < 24 * 90 * 3600)",
-    "set01_universe": "WITH u AS (SELECT DISTINCT p_brand AS symbol FROM part WHERE p_size % 5 IN (0, 1)) SELECT symbol, FALSE AS extra FROM u UNION ALL SELECT DISTINCT p_type, TRUE FROM part WHERE p_type NOT IN (SELECT symbol FROM u)",
+    "set01_universe": "WITH u AS (SELECT DISTINCT p_brand AS symbol FROM part) SELECT symbol, FALSE AS extra FROM u UNION ALL SELECT DISTINCT p_type, TRUE FROM part WHERE p_type NOT IN (SELECT symbol FROM u)",
     "set02_first_of": "SELECT user_id, event_type, MIN(event_id) AS event_id FROM events GROUP BY 1, 2",
-    "set03_newest_wins": "WITH a AS (SELECT user_id, MIN(event_id) AS event_id FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT user_id, MIN(event_id) AS event_id FROM events WHERE event_id % 3 = 0 GROUP BY 1) SELECT user_id, COALESCE(b.event_id, a.event_id) AS event_id FROM a FULL JOIN b USING (user_id)",
+    "set03_newest_wins": "WITH m AS (SELECT AVG(FLOOR(EPOCH(ts))) AS m FROM events), a AS (SELECT user_id, MIN(event_id) AS event_id FROM events, m WHERE FLOOR(EPOCH(ts)) < m GROUP BY 1), b AS (SELECT user_id, MIN(event_id) AS event_id FROM events, m WHERE FLOOR(EPOCH(ts)) >= m GROUP BY 1) SELECT user_id, COALESCE(b.event_id, a.event_id) AS event_id FROM a FULL JOIN b USING (user_id)",
     "src14_latest_changes": "SELECT user_id AS candidate_id, ARG_MAX(event_type, event_id) FILTER (WHERE event_type <> 'error') AS user_action, CAST(COUNT(*) FILTER (WHERE event_type = 'error') AS INT) AS n_actuals, ARG_MAX(value, event_id) FILTER (WHERE event_type = 'error') AS last_actual FROM events GROUP BY 1",
 }
