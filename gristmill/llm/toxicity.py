@@ -146,7 +146,7 @@ def fit(texts: list[str], labels: np.ndarray, shift: float = 0.0, seed: int = 1)
     head = np.searchsorted(text, np.arange(len(texts)))
     width = np.maximum(seen[b] - seen[a], FEWEST)
     rng = np.random.default_rng(seed)
-    E, U, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)
+    E, U, bias = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)
     y = labels.astype(int)
     weight = np.where(y == 1, (y == 0).sum() / y.sum(), 1.0) ** 0.5
     weight /= weight.sum()
@@ -154,7 +154,7 @@ def fit(texts: list[str], labels: np.ndarray, shift: float = 0.0, seed: int = 1)
     step = 0
     for _ in range(ROUNDS):
         # the most toxic window of each text so far, the first of equal ones
-        score = np.add.reduceat((E @ (U[:, 1] - U[:, 0]))[flat], at) / size
+        score = np.add.reduceat((E @ (U[:, 1] - U[:, 0]).astype(np.float32))[flat], at) / size
         total = np.concatenate([[0.0], np.cumsum(score[word] * new)])
         gap = (total[b] - total[a]) / width
         is_top = np.flatnonzero(gap == np.maximum.reduceat(gap, head)[text])
@@ -165,7 +165,7 @@ def fit(texts: list[str], labels: np.ndarray, shift: float = 0.0, seed: int = 1)
         used, index = np.unique(word[inside], return_inverse=True)
         own_size = size[used][:, None]
         own = flat[T.ragged(at[used], size[used])]
-        of_word = np.repeat(np.arange(len(used)), size[used])
+        of_word = np.repeat(np.arange(len(used), dtype=np.int32), size[used])
         begin = np.cumsum(size[used]) - size[used]
         for _ in range(STEPS):
             step += 1
@@ -177,14 +177,14 @@ def fit(texts: list[str], labels: np.ndarray, shift: float = 0.0, seed: int = 1)
             g_out = np.stack([-error, error], 1)
             g_mean = g_out @ U.T / width[pick][:, None]
             g_word = np.stack([np.bincount(index, g_mean[owner, d], len(used)) for d in range(DIM)], 1) / own_size
-            g_E = np.stack([np.bincount(own, g_word[of_word, d], BUCKETS) for d in range(DIM)], 1) + 1e-6 * E
+            g_E = np.stack([np.bincount(own, g_word[of_word, d], BUCKETS).astype(np.float32) for d in range(DIM)], 1) + np.float32(1e-6) * E
             for param, grad, (m, v) in ((E, g_E, state[0]), (U, mean.T @ g_out, state[1]), (bias, g_out.sum(0), state[2])):
                 m *= 0.9
                 m += 0.1 * grad
                 v *= 0.99
                 v += 0.01 * grad * grad
                 param -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    buckets = E @ (U[:, 1] - U[:, 0])
+    buckets = E.astype(float) @ (U[:, 1] - U[:, 0])
     import hashlib
 
     return Model(buckets, float(bias[1] - bias[0]) + shift, hashlib.sha256(buckets.tobytes()).hexdigest())
@@ -205,9 +205,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), "doc_id"]  # a fixed choice
     picked = known.where("toxic = 1").orderBy(*order).limit(sample // 2).union(known.where("toxic = 0").orderBy(*order).limit(sample // 2))
-    rows = docs.join(F.broadcast(picked), "doc_id").where(f"text is not null and char_length(text) <= {LONGEST}").select("doc_id", "text", "toxic")
-    rows = rows.orderBy(*order, F.xxhash64("text"), "text").limit(2 * sample).collect()  # the sample's size is a parameter
-    rows = sorted({(r["doc_id"], r["text"], r["toxic"]) for r in rows})
+    rows = docs.join(F.broadcast(picked), "doc_id").where(f"text is not null and char_length(text) <= {LONGEST}")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # of the rows of one doc_id the first by text
+    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows.collect())  # the sample's size is a parameter
     y = np.array([r[2] for r in rows])
     all_rows = dict(known.groupBy("toxic").count().collect())  # two rows
     own = (y == 1).sum(), (y == 0).sum()
