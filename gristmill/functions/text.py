@@ -164,7 +164,7 @@ def to_markdown(html: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(out, r"(?i)</?p\b[^>]*>", "\n\n"), r"<[^>]+>", "")
     for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def from_markdown_inline(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LOCKED = "ip long, locked_at timestamp, until timestamp"
@@ -78,19 +78,34 @@ def streaming_lockouts(attempts: DataFrame, failures: int = 5, window_s: float =
 CARRIED = "site string, class string, night long, nights int, stage string"
 
 
-def streaming_life_cycle(nightly: DataFrame) -> DataFrame:
-    """STM3 over a stream of rows (site, class, night), a night or more a batch: nights in a row and stage; a gap starts anew."""
+def streaming_life_cycle(nightly: DataFrame, absent_days: int = 1) -> DataFrame:
+    """STM3 over a stream of rows (site, class, ts), a night or more a batch: nights in a row and stage; a gap starts anew.
+
+    night is the day number of ts.  When the stream's time has passed
+    absent_days without the finding, a resolved row is emitted for the night
+    after its last one and its state is dropped.
+    """
 
     def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        columns = ["site", "class", "night", "nights", "stage"]
+        if state.hasTimedOut:
+            last, nights = state.get
+            state.remove()
+            yield pd.DataFrame([(*key, last + 1, nights, "resolved")], columns=columns)
+            return
         last, nights = state.get if state.exists else (-10, 0)
         out = []
         for night in sorted(set(pd.concat(list(batches))["night"])):
             if night <= last:
                 continue
+            if out and night > last + 1 + absent_days or not out and last >= 0 and night > last + 1 + absent_days:
+                out.append((*key, last + 1, nights, "resolved"))
             nights = nights + 1 if night == last + 1 else 1
             last = int(night)
             out.append((*key, last, nights, "new" if nights == 1 else "carried" if nights == 2 else "escalated"))
         state.update((last, nights))
-        yield pd.DataFrame(out, columns=["site", "class", "night", "nights", "stage"])
+        state.setTimeoutTimestamp(max((last + 1 + absent_days) * 86_400_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=columns)
 
-    return nightly.groupBy("site", "class").applyInPandasWithState(work, CARRIED, "last long, nights int", "append", GroupStateTimeout.NoTimeout)
+    rows = nightly.withWatermark("ts", "0 seconds").withColumn("night", F.unix_date(F.to_date("ts")).cast("long"))
+    return rows.groupBy("site", "class").applyInPandasWithState(work, CARRIED, "last long, nights int", "append", GroupStateTimeout.EventTimeTimeout)

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.functions import normal, text as X
-from gristmill.operators import content as C, forecast as P, indicators as I, macro as M, options as O, scoring as S
+from gristmill.operators import audit as D, content as C, forecast as P, indicators as I, macro as M, options as O, scoring as S
 from gristmill.streaming import attempts as A, ticks as K
 
 
@@ -72,11 +72,13 @@ def test_implied_volatility_inverts_the_price(spark):
 
 
 def test_spread_algebra(spark):
-    chain = spark.createDataFrame([("X", 30, "C", 100.0, 4.0, 100.0, 0.3, 500), ("X", 30, "C", 105.0, 2.0, 100.0, 0.3, 400), ("X", 30, "P", 95.0, 1.5, 100.0, 0.3, 300), ("X", 30, "P", 100.0, 3.5, 100.0, 0.3, 200)], "underlying string, dte int, side string, strike double, mid double, spot double, iv double, oi long")
-    got = {(r.side, r.kind): r for r in O.verticals(chain).collect()}
-    assert (got["C", "debit"].max_loss, got["C", "debit"].max_gain, got["C", "debit"].breakeven) == (2.0, 3.0, 102.0)
-    assert (got["C", "credit"].max_loss, got["C", "credit"].max_gain, got["C", "credit"].breakeven) == (3.0, 2.0, 102.0)
-    assert (got["P", "credit"].max_gain, got["P", "credit"].breakeven, got["P", "debit"].breakeven) == (2.0, 98.0, 98.0)
+    """Without a gap between bid and ask both sides of a trade mirror each other."""
+    rows = [("X", 30, "C", 100.0, 4.0, 100.0, 0.3, 500), ("X", 30, "C", 105.0, 2.0, 100.0, 0.3, 400), ("X", 30, "P", 95.0, 1.5, 100.0, 0.3, 300), ("X", 30, "P", 100.0, 3.5, 100.0, 0.3, 200)]
+    chain = spark.createDataFrame(rows, "underlying string, dte int, side string, strike double, mid double, spot double, iv double, oi long").withColumn("bid", F.col("mid")).withColumn("ask", F.col("mid"))
+    got = {r.kind: r for r in O.verticals(chain).collect()}
+    assert (got["bull_call"].max_loss, got["bull_call"].max_gain, got["bull_call"].breakeven) == (2.0, 3.0, 102.0)
+    assert (got["call_credit"].max_loss, got["call_credit"].max_gain, got["call_credit"].breakeven) == (3.0, 2.0, 102.0)
+    assert (got["put_credit"].max_gain, got["put_credit"].breakeven, got["bear_put"].breakeven) == (2.0, 98.0, 98.0)
     assert all(0 <= r.pop <= 1 for r in got.values())
 
 
@@ -116,7 +118,7 @@ def test_findings_and_decisions(spark):
     got = {(r.page_id, r["class"]) for r in C.findings(pages).collect()}
     assert not any(p == 1 for p, _ in got) and {c for p, c in got if p == 2} == {"unclosed_document", "no_canonical", "h1_count", "duplicate_ad", "thin_page", "query_url"}
     checked = spark.createDataFrame([(True,), (True,), (False,)], "verified boolean")
-    assert C.claim_decision(checked).first().decision == "review"
+    assert C.claim_decision(checked).first().decision == "needs_revision" and C.claim_decision(checked, False).first().decision == "reject"
 
 
 def slug_pairs(sets: dict) -> dict:
@@ -177,13 +179,122 @@ def test_streaming_bars_equal_batch_bars(spark, tmp_path):
     assert got and all(want[k] == v for k, v in got.items()) and len(want) - len(got) <= 3
 
 
-def test_rank_invariants(spark, bars):
-    funds = spark.createDataFrame([("a", 10.0, 0.1), ("b", None, None)], "symbol string, pe double, growth double")
-    got = S.rank(S.latest(S.features(bars, funds)), S.spec_table(spark)).collect()
-    assert len(got) == 6 and all(0 <= r.score <= 100 for r in got)
-    tilt = spark.createDataFrame(S.TILT, "regime string, factor string, times double")
-    w = {r.factor: r.factor_weight for r in S.tilted(S.spec_table(spark), tilt, "defensive").where("variant = 'base'").collect()}
-    assert w["momentum"] == pytest.approx(0.175) and w["risk"] == pytest.approx(0.3) and w["value"] == 0.2
+def test_rank_worked_example(spark):
+    """Three symbols with three fields: the scores by hand."""
+    known = {"trailing_pe": [22.0, 41.0, 5.0], "roe": [0.1, None, 0.3], "range_pctile": [50.0, 80.0, 5.0]}
+    rows = [(s, dt.date(2024, 1, 2), 300, 10.0, None, t, u, *(float(known[f][i]) if f in known and known[f][i] is not None else None for f in S.FIELDS)) for i, (s, t, u) in enumerate((("a", "uptrend", "breakout"), ("b", "range", "reversal"), ("c", "downtrend", "unknown")))]
+    schema = "symbol string, d date, rn int, close double, fwd20 double, trend string, setup string, " + ", ".join(f"{f} double" for f in S.FIELDS)
+    df, spec, setups = spark.createDataFrame(rows, schema), S.spec_table(spark, ("default",)), S.setup_table(spark)
+    got = {(r.symbol, r.sub_metric): r.score for r in S.submetric_scores(df, spec, setups).collect()}
+    assert got["a", "trailing_pe"] == 100 and got["b", "trailing_pe"] == pytest.approx(100 * (60 - 41) / (60 - 22)) and got["c", "trailing_pe"] == pytest.approx(100 * (5 - 3) / (8 - 3))
+    assert (got["a", "roe"], got["b", "roe"], got["c", "roe"]) == (0, None, 100) and got["b", "range_percentile"] == pytest.approx(50) and got["c", "range_percentile"] == 0
+    assert (got["a", "setup_type"], got["b", "setup_type"], got["c", "setup_type"]) == (100, 50, 50) and ("a", "forward_pe") not in got
+    legacy = {(r.symbol, r.sub_metric): r.score for r in S.submetric_scores(df, spec, setups, legacy_missing=True).collect()}
+    assert (legacy["b", "roe"], legacy["a", "roe"], legacy["c", "roe"]) == (0, 50, 100)
+    ranked = {r.symbol: r for r in S.rank(df, spec, setups).collect()}
+    # a: valuation 100, quality_growth 0, setup_quality (0.4 * 100 + 0.2 * 100) / 0.6
+    assert ranked["a"].score == pytest.approx((0.12 * 100 + 0.12 * 0 + 0.10 * 100) / 0.34, abs=1e-6)
+    assert ranked["b"].score == pytest.approx((0.12 * 50 + 0.12 * 50 + 0.10 * 50) / 0.34, abs=1e-6) and ranked["b"].label == "Watchlist"
+
+
+def test_rank_labels_and_classes(spark):
+    df = spark.createDataFrame([(70.0, "range", "reversal"), (69.9, "uptrend", "breakout"), (30.0, "downtrend", "x"), (30.0, "range", "x")], "score double, trend string, setup string")
+    label = S.label(F.col("score"), F.col("trend"), F.col("setup"))
+    assert [r[0] for r in df.select(label).collect()] == ["Research candidate", "Watchlist", "Avoid", "Watchlist"]
+    strict = S.label(F.col("score"), F.col("trend"), F.col("setup"), "uptrend", ("breakout",))
+    assert df.select(strict).first()[0] == "Watchlist"
+    cases = [(105.0, 102.0, 100.0, 105.0, 0.01, 0.02, "uptrend", "breakout"), (101.0, 102.0, 100.0, 105.0, 0.005, 0.02, "range", "pullback_retest"), (90.0, 95.0, 100.0, 99.0, -0.01, -0.05, "downtrend", "mean_reversion"), (97.0, 98.0, 100.0, 99.0, 0.02, 0.05, "transitioning", "range_approach"), (100.0, 99.0, None, 105.0, 0.0, 0.0, "n/a", "unavailable")]
+    df = spark.createDataFrame([c[:6] for c in cases], "c double, a double, b double, h double, r5 double, r20 double")
+    c, a, b, h, r5, r20 = (F.col(x) for x in df.columns)
+    assert [tuple(r) for r in df.select(S.trend_class(c, a, b, r5, r20), S.setup_class(c, a, b, h, r5, r20)).collect()] == [c[6:] for c in cases]
+    macro = spark.createDataFrame([(0.5, "risk_on")], "bear_risk double, regime string")
+    w = {r.factor: r.factor_weight for r in S.tilted(S.spec_table(spark, ("default",)), macro).collect()}
+    assert w["valuation"] == 0.17 and w["technical_momentum"] == 0.08 and w["setup_quality"] == 0.10
+
+
+def test_averages_on_long_histories(spark):
+    rnd = np.random.default_rng(3)
+    close = 100 * np.exp(np.cumsum(rnd.normal(0, 0.01, 10_000)))
+    df = spark.createDataFrame(pd.DataFrame({"symbol": "a", "d": pd.date_range("1990-01-01", periods=10_000).date, "close": close}))
+    got = df.transform(lambda x: I.macd(x)).orderBy("d").toPandas()
+    x = pd.Series(close)
+    macd = x.ewm(alpha=2 / 13, adjust=False).mean() - x.ewm(alpha=2 / 27, adjust=False).mean()
+    np.testing.assert_allclose(got["hist"][34:], (macd - macd.ewm(alpha=0.2, adjust=False).mean())[34:], atol=1.1e-5)
+
+
+def test_unfilled_gaps(spark):
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=i)
+    bars = [(0, 10.0, 9.0), (1, 12.0, 11.0), (2, 12.5, 11.5), (3, 9.9, 9.0), (4, 7.0, 6.0), (5, 7.5, 6.5)]
+    df = spark.createDataFrame([("a", day(i), lo, hi, lo, lo, 1) for i, hi, lo in bars], "symbol string, d date, open double, high double, low double, close double, volume long")
+    assert {(r.d, r.side, r.edge, r.age) for r in I.unfilled_gaps(df).collect()} == {(day(3), "down", 11.5, 2), (day(4), "down", 9.0, 1)}
+
+
+def test_spreads_at_bid_and_ask(spark):
+    rows = [("x", "stock", 100.0, 30, "C", 100.0, 2.0, 2.2, 2.1, 500, 90, 0.2), ("x", "stock", 100.0, 30, "C", 105.0, 0.8, 0.9, 0.85, 300, 90, 0.2), ("x", "stock", 100.0, 30, "C", 110.0, 0.2, 0.3, 0.25, 300, 90, 0.2), ("x", "stock", 100.0, 30, "C", -5.0, 105.0, 106.0, 105.5, 300, 90, 0.2)]
+    chain = spark.createDataFrame(rows, "underlying string, tier string, spot double, dte int, side string, strike double, bid double, ask double, mid double, oi long, vol long, iv double")
+    got = {(r.low_strike, r.kind): r for r in O.verticals(chain).collect()}
+    bull, credit = got[100.0, "bull_call"], got[100.0, "call_credit"]
+    assert (round(bull.premium, 6), round(bull.max_gain, 6), round(bull.breakeven, 6)) == (1.4, 3.6, 101.4) and bull.edge == pytest.approx(3.6 / 1.4)
+    assert (round(credit.max_gain, 6), round(credit.max_loss, 6), round(credit.breakeven, 6)) == (1.1, 3.9, 101.1) and credit.pop == pytest.approx(1 - bull.pop)
+    fly = O.flies(chain, spark.createDataFrame([("x", 30, "C", 105.0, 5.0)], "underlying string, dte int, side string, centre double, wing double")).first()
+    assert round(fly.debit, 6) == round(2.2 + 0.3 - 2 * 0.8, 6) and round(fly.max_gain, 6) == 4.1
+    pinned = O.butterfly_at_target(chain, spark.createDataFrame([("x", 104.0)], "underlying string, target double"))
+    assert pinned.count() == 0  # wings of 2 and 1 have no strikes
+
+
+def test_blocks_and_repairs(spark):
+    box = '<div class="eeat-block"><div>a<div>b</div></div><p>c</p></div>'
+    tag = lambda s: f'<ins class="adsbygoogle" data-ad-slot="{s}"></ins>'
+    pair = "<p><em>Sources: a</em></p>\n<p><em>Disclaimer: b</em></p>"
+    html = f"<body><div>x</div>{box}<div>y</div>{tag(1)}t{tag(2)}u{tag(1)}v<ins class=\"adsbygoogle\"></ins>id=G-G-AB1 {pair}<hr>{pair}\n<hr/>{pair}end</body>"
+    df = spark.createDataFrame([(html,), ("<p>none</p>",)], "h string")
+    h = F.col("h")
+    r, plain = df.select(D.block(h).alias("box"), D.without_double_slots(h).alias("slots"), D.repaired_ids(h).alias("ids"), D.without_double_footer(h).alias("foot")).collect()
+    assert r.box == box and plain.box is None and plain.foot == "<p>none</p>" == plain.slots
+    assert r.slots.count('slot="1"') == 1 and r.slots.count('slot="2"') == 1 and r.slots.count("<ins") == 3 and "u" + "v" in r.slots
+    assert "id=G-AB1" in r.ids and "G-G-" not in r.ids and r.foot.count("Sources:") == 1 and r.foot.endswith("end</body>") and "<hr" not in r.foot
+    links = spark.createDataFrame([("/articles1/",), ("/news/3_x",), ("/plain/",)], "t string").select(D.link_candidates(F.col("t"))).collect()
+    assert [x[0] for x in links] == [["/articles/1/", "/articles/"], ["/news/3/"], []]
+    kinds = spark.createDataFrame([("about/index.html",), ("/articles/2/",), ("/articles/a-b.html",), ("/reviews/",), ("/x/tax",), ("/stories/x/",)], "p string").select(D.page_type(F.col("p"))).collect()
+    assert [x[0] for x in kinds] == ["legal_umbrella", "other", "content_article", "other", "other", "content_article"]
+    lines = spark.createDataFrame([("s", 1, "/a /b 301"), ("s", 2, "/lonely"), ("s", 3, "# c"), ("s", 4, " ")], "site string, line int, text string")
+    assert [r.line for r in D.redirect_findings(lines).collect()] == [2]
+
+
+def test_markdown_and_document_parts(spark):
+    md = "| a | b |\n|---|---|\n| 1 | 2 |\ntext"
+    df = spark.createDataFrame([("<h2>T</h2><p>a <b>b</b> <a href=\"/x\">y</a></p><ul><li>i</li></ul>", md, "one\n___\ntwo\n_____\n", "a **b** <c> `d` [e](/f)", ".AAPL240119C187.5", "long MSFT, bought TSLA calls, $AAPL")], "h string, t string, s string, m string, o string, c string")
+    r = df.select(X.to_markdown(F.col("h")).alias("h"), X.table_rows(F.col("t")).alias("t"), X.sections(F.col("s")).alias("s"), X.from_markdown_inline(F.col("m")).alias("m"), X.short_option_symbol(F.col("o")).alias("o"), X.contextual_tickers(F.col("c")).alias("c"), X.long_date(F.lit(dt.date(2026, 9, 7))).alias("d"),
+                  X.topic_line(F.lit("Macro"), F.array(F.lit("rates"), F.lit("macro")), F.array(F.lit("SPY")), F.lit("The Fed cuts again")).alias("l")).first()
+    assert r.h == "## T\n\na **b** [y](/x)\n\n- i" and r.t == [["a", "b"], ["1", "2"]] and r.s == ["one", "two"]
+    assert r.m == 'a <strong>b</strong> &lt;c&gt; <code>d</code> <a href="/f">e</a>' and r.o.strike == 187.5 and r.o.root == "AAPL"
+    assert r.c == ["AAPL", "TSLA", "MSFT"] and r.d == "September 7, 2026" and r.l == "macro rates SPY cuts again"
+
+
+def test_streams_of_findings_prices_and_records(spark, tmp_path):
+    def run(df, schema, build, name, mode="append"):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+        q = build(stream).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"{name}-ck")).start()
+        q.awaitTermination()
+        return spark.table(name).collect()
+
+    def land(name, batches, schema):
+        for b in batches:
+            spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+
+    night = lambda n: dt.datetime(2024, 1, 1, 3) + dt.timedelta(days=n)
+    schema = "site string, class string, ts timestamp"
+    land("nights", [[("s", "a", night(n))] + [("s", "b", night(0))] * (n == 0) for n in range(6)], schema)
+    got = {(r["class"], r.stage, r.nights) for r in run(None, schema, A.streaming_life_cycle, "nights")}
+    assert {("a", "new", 1), ("a", "carried", 2), ("a", "escalated", 6), ("b", "new", 1), ("b", "resolved", 1)} <= got
+    schema = "candidate_id string, ts timestamp, v int"
+    land("records", [[("x", night(0), 1), ("x", night(0), 2), ("y", night(0), 3)], [("x", night(0), 4)]], schema)
+    assert sorted(r.candidate_id for r in run(None, schema, K.once_a_day, "records")) == ["x", "y"]
+    schema = "symbol string, ts timestamp, price double"
+    land("prices", [[("s", night(n) + dt.timedelta(hours=h), float(10 * n + h)) for h in (5, 0, 2)] for n in range(6)], schema)
+    due = spark.createDataFrame([("s", night(1).date(), 7), ("s", night(2).date(), 8), ("t", night(1).date(), 9)], "symbol string, due date, id int")
+    assert {(r.id, r.price) for r in run(None, schema, lambda p: K.due_prices(due, p), "prices")} == {(7, 10.0), (8, 20.0)}
+    assert {(r.id, r.price) for r in K.due_prices(due, spark.read.parquet(str(tmp_path / "prices"))).collect()} == {(7, 10.0), (8, 20.0)}
 
 
 def test_position_changes(spark):
