@@ -134,7 +134,11 @@ def fit(texts: list[str], labels: np.ndarray, shift: float = 0.0, seed: int = 1)
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS), 4.0 if len(labels) and labels[0] else -4.0, f"constant{labels[:1].tolist()}")
     buf = np.frombuffer(b"".join(raw), np.uint8)
-    starts, ends, hashes, bounds = words_of(buf, off)
+    cuts = np.unique(np.concatenate([np.searchsorted(off, np.arange(0, len(buf), T.CHUNK)), [len(raw)]]))  # texts are hashed a few at a time
+    some = [(off[a], words_of(buf[off[a] : off[b]], off[a : b + 1] - off[a])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    starts, ends, hashes = (np.concatenate([w[i] + (at if i < 2 else np.uint64(0)) for at, w in some]) for i in range(3))
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(w[3]) for _, w in some]))])
+    del some
     _, first, word = np.unique(hashes, return_index=True, return_inverse=True)
     parts = [bags_of([buf[starts[i] : ends[i]].tobytes() for i in some.tolist()]) for some in np.array_split(first, -(-len(first) // 20_000))]
     flat, size = np.concatenate([f.astype(np.int32) for f, _ in parts]), np.concatenate([n for _, n in parts])
