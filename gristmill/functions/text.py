@@ -136,12 +136,12 @@ def short_option_symbol(s: Column) -> Column:
 def table_rows(block: Column) -> Column:
     """STR-J: the cells of a pipe table, a row each, without the rule below its head."""
     lines = F.filter(F.split(F.coalesce(block, F.lit("")), r"\r?\n"), lambda x: x.rlike(r"^\s*\|.*\|\s*$") & ~x.rlike(r"^[\s|:-]+$"))
-    return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), F.trim))
+    return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)))
 
 
 def sections(body: Column) -> Column:
     """STR-J: a document's parts between rules of three or more underscores, in order, blank ones left out."""
-    return F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), r"(?m)^_{3,}\s*$"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), r"(?m)^_{3,}\s*$"), lambda c: F.trim(c)), lambda x: x != "")
 
 
 def topic_line(category: Column, tags: Column, tickers: Column, title: Column, most: int = 8) -> Column:
