@@ -89,7 +89,7 @@ def regime(scores: DataFrame, vix: DataFrame | None = None) -> DataFrame:
     against = [F.when(averse & (score[k] > 0.1), F.lit(f"{k} argues risk_on")) for k in ("D", "E")] + [F.when(seeking & (score[k] < -0.2), F.lit(f"{k} deteriorating")) for k in ("A", "D", "B")]
     completeness = F.when(F.col("available") == 0, "insufficient").when(F.col("available") < len(PILLARS), "partial").otherwise("complete")
     return s.select(
-        "regime", *(F.round(F.filter("p", lambda x, n=n: x["name"] == n)[0]["p"], 6).alias(f"p_{n}") for n in LOGITS), F.round(1 - F.col("entropy"), 6).alias("confidence"), F.round(total, 6).alias("composite"),
+        "regime", *(F.round(F.col("p")[i]["p"], 6).alias(f"p_{n}") for i, n in enumerate(LOGITS)), F.round(1 - F.col("entropy"), 6).alias("confidence"), F.round(total, 6).alias("composite"),
         "bear_risk", level.alias("bear_level"), F.concat_ws("; ", *against).alias("against"), completeness.alias("completeness"), F.when(F.col("available") < 6, "preliminary").otherwise("calibrating").alias("status"),
     )
 
@@ -170,7 +170,7 @@ def watchlist_monitor(watchlist: DataFrame, last: DataFrame, aliases: DataFrame,
 def news_signals(news: DataFrame, up: list[str], down: list[str]) -> DataFrame:
     """AGG21: news(symbol, text) to the number of items and the mean of their keyword scores, 0 for texts without keywords."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z]+)"))
-    u, d = (F.size(F.filter(tokens, lambda t, w=w: t.isin(*w))) for w in (up, down))
+    u, d = F.size(F.filter(tokens, lambda t: t.isin(*up))), F.size(F.filter(tokens, lambda t: t.isin(*down)))
     score = F.when(u + d > 0, (u - d) / (u + d)).otherwise(0.0)
     return news.groupBy("symbol").agg(F.count("*").alias("news_count"), F.round(F.avg(F.when(F.coalesce("text", F.lit("")) != "", score)), 6).alias("news_sentiment"))
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import context as K, macro as M, options as O, scoring as S
+from ..operators import charts as C, context as K, macro as M, options as O, scoring as S
 from ..sources.views import oracle, table, view
 from .forecast_queries import _SERF
-from .indicator_queries import RET, W, _full, _rows
+from .indicator_queries import RET, W, _SWINGS, _full, _rows
 from .option_queries import _SCAN
 from .rank_queries import _BOARD
 
@@ -129,7 +129,15 @@ def dom43_probes(spark, sf_dir):
     return K.probe_findings(e.select((F.col("user_id") % 50).alias("site"), kinds[(F.col("event_id") % 5).cast("int")].alias("kind"), F.col("event_id").cast("string").alias("url"), status[(F.col("event_id") % 8).cast("int")].alias("status"), body.alias("body")))
 
 
-QUERIES = {f.__name__: f for f in (dom30_eight_pillars, dat06_event_risk, dom31_macro_regime, dom34_flow, dom32_assessment, dom12_benchmark_regime, dom13_monitor, agg21_news, dom35_event_bundle, dom38_candidates, top10_latest, fil01_valid_bars, fil02_history_gates, fil09_of_handle, fil10_dated_documents, joi18_tickers, joi02_sectors, dom43_probes)}
+def dom18_pattern_states(spark, sf_dir):
+    return C.patterns_now(view(spark, sf_dir, "bars"))
+
+
+def top08_top_pattern(spark, sf_dir):
+    return C.top_pattern(C.patterns_now(view(spark, sf_dir, "bars"))).select("symbol", "pattern", "state")
+
+
+QUERIES = {f.__name__: f for f in (dom18_pattern_states, top08_top_pattern, dom30_eight_pillars, dat06_event_risk, dom31_macro_regime, dom34_flow, dom32_assessment, dom12_benchmark_regime, dom13_monitor, agg21_news, dom35_event_bundle, dom38_candidates, top10_latest, fil01_valid_bars, fil02_history_gates, fil09_of_handle, fil10_dated_documents, joi18_tickers, joi02_sectors, dom43_probes)}
 
 _V = ", ".join(f"('{p}', '{s}', '{f}', {c!r}, {k!r})" for p, s, f, c, k in COMPONENTS)
 _CL = lambda x, lo="-1", hi="1": f"CASE WHEN {x} IS NOT NULL THEN GREATEST(LEAST({x}, {hi}), {lo}) END"
@@ -145,7 +153,31 @@ _FALLS = "[x FOR x IN [CASE WHEN D IS NOT NULL THEN GREATEST(-D, 0) END, CASE WH
 _NEWS = f""", tk AS (SELECT symbol, text, REGEXP_EXTRACT_ALL(LOWER(COALESCE(text, '')), '[a-z]+') AS t FROM messages), ts AS (SELECT symbol, text, LEN([w FOR w IN t IF w IN ({', '.join(f"'{w}'" for w in UP)})]) AS u, LEN([w FOR w IN t IF w IN ({', '.join(f"'{w}'" for w in DOWN)})]) AS dn FROM tk),
 news AS (SELECT symbol, COUNT(*) AS news_count, ROUND(AVG(CASE WHEN COALESCE(text, '') <> '' THEN CASE WHEN u + dn > 0 THEN (u - dn) / (u + dn) ELSE 0 END END), 6) AS news_sentiment FROM ts GROUP BY 1)"""
 _SHORT = "-0.5 * short_change + COALESCE(short_float, 0) - 0.05"
+def _states(top: bool) -> str:
+    """The doubles and heads of a side, by looking at all bars between the swings."""
+    side, far, flag = ("high", "MIN(b.low)", "is_high") if top else ("low", "MAX(b.high)", "is_low")
+    t = "t" if top else "b"
+    edge = "GREATEST(p1, p2)" if top else "LEAST(p1, p2)"
+    sign = (lambda a, b: f"{a} - {b}") if top else (lambda a, b: f"{b} - {a}")
+    broken = f"spot < neck * {1 - C.BREAK}" if top else f"spot > neck * {1 + C.BREAK}"
+    fail_d = f"spot > p2 * {1 - C.BREAK}" if top else f"spot < p2 * {1 + C.BREAK}"
+    fail_h = f"spot > p3 * {1 + C.BREAK}" if top else f"spot < p3 * {1 - C.BREAK}"
+    beyond = "p2 > p1 AND p2 > p3" if top else "p2 < p1 AND p2 < p3"
+    names = ("double_top", "head_and_shoulders") if top else ("double_bottom", "inverse_head_and_shoulders")
+    k = "1.02" if top else "0.98"
+    out = lambda name, failed, stop, depth, src: f"SELECT symbol, '{name}' AS pattern, CASE WHEN {broken} AND loud THEN 'confirmed' WHEN {broken} THEN 'developing' WHEN {failed} THEN 'failed' ELSE 'developing' END AS state, ROUND(neck, 4) AS trigger, ROUND({stop}, 4) AS stop, ROUND(neck {'-' if top else '+'} ({depth}), 4) AS target, ROUND(({depth}) / neck * 100, 4) AS range_pct, loud AS volume_confirmed, CAST(duration AS INT) AS duration FROM {src}"
+    return f""", s{t} AS (SELECT symbol, d, rn, {side} AS v FROM sn WHERE {flag}),
+d{t} AS (SELECT a.symbol, a.rn AS r1, c.rn AS r2, a.v AS p1, c.v AS p2, c.rn - a.rn AS duration, n, spot, loud FROM (SELECT *, LEAD(rn) OVER (PARTITION BY symbol ORDER BY rn) AS nx FROM s{t}) a JOIN s{t} c ON a.symbol = c.symbol AND c.rn = nx JOIN lst ON lst.symbol = a.symbol WHERE a.rn >= n - {C.DOUBLE_BACK - 1} AND c.rn - a.rn >= {C.DOUBLE_SEPARATION} AND ABS(a.v - c.v) / ((a.v + c.v) / 2) <= {C.DOUBLE_TOLERANCE}),
+d1{t} AS (SELECT x.*, (SELECT {far} FROM sn b WHERE b.symbol = x.symbol AND b.rn BETWEEN r1 AND r2) AS neck FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY r2) AS k_ FROM d{t}) x WHERE k_ = 1),
+h{t} AS (SELECT a.symbol, a.rn AS r1, e.rn AS r3, a.v AS p1, c.v AS p2, e.v AS p3, e.d - a.d AS duration, n, spot, loud FROM (SELECT *, LEAD(rn) OVER (PARTITION BY symbol ORDER BY rn) AS nx, LEAD(rn, 2) OVER (PARTITION BY symbol ORDER BY rn) AS nx2 FROM s{t}) a JOIN s{t} c ON a.symbol = c.symbol AND c.rn = nx JOIN s{t} e ON a.symbol = e.symbol AND e.rn = nx2 JOIN lst ON lst.symbol = a.symbol WHERE a.rn >= n - {C.HEAD_BACK - 1} AND c.rn - a.rn >= {C.HEAD_SEPARATION} AND e.rn - c.rn >= {C.HEAD_SEPARATION} AND ABS(e.v - a.v) / ((e.v + a.v) / 2) <= {C.HEAD_TOLERANCE} AND e.d - a.d >= {C.HEAD_DAYS} AND ({beyond.replace('p1', 'a.v').replace('p2', 'c.v').replace('p3', 'e.v')})),
+h1{t} AS (SELECT x.*, (SELECT {far} FROM sn b WHERE b.symbol = x.symbol AND b.rn BETWEEN r1 AND r3) AS neck FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY r3) AS k_ FROM h{t}) x WHERE k_ = 1),
+st{t} AS ({out(names[0], fail_d, f'{edge} * {k}', sign(edge, 'neck'), f'd1{t}')} UNION ALL {out(names[1], fail_h, f'p3 * {k}', sign('p2', 'neck'), f'h1{t}')})"""
+
+
+_STATES = f", sn AS (SELECT *, ROW_NUMBER() OVER ({W}) AS rn FROM {_SWINGS}), lst AS (SELECT symbol, rn AS n, close AS spot, volume / NULLIF(v20, 0) >= {C.VOLUME} AS loud FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY d DESC) AS age, AVG(volume) {_rows(20)} AS v20 FROM sn) q WHERE age = 1)" + _states(True) + _states(False) + ", states AS (SELECT * FROM stt UNION ALL SELECT * FROM stb)"
 ORACLE_SQL = {
+    "dom18_pattern_states": oracle("bars", _STATES + " SELECT * FROM states"),
+    "top08_top_pattern": oracle("bars", _STATES + " SELECT symbol, pattern, state FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY CASE state WHEN 'confirmed' THEN 0 ELSE 1 END, CASE pattern " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(C.ORDER)) + " END) AS k_ FROM states WHERE state <> 'failed') x WHERE k_ = 1"),
     "dom30_eight_pillars": oracle("series", _PS + " SELECT * FROM ps"),
     "dat06_event_risk": f"WITH {_RISK} SELECT ROUND(GREATEST(-0.15 * high, -1), 6) AS score, high, next, days_to_next, CASE WHEN ROUND(GREATEST(-0.15 * high, -1), 6) < -0.05 THEN 'deteriorating' ELSE 'neutral' END AS state FROM r",
     "dom31_macro_regime": oracle("series macro_state", _PS + f""", w AS (SELECT {', '.join(f"MAX(CASE WHEN pillar = '{k}' THEN score END) AS {k}" for k in K.PILLARS)}, COUNT(CASE WHEN state <> 'unavailable' THEN 1 END) AS available FROM ps), v AS (SELECT w.*, bear_risk * 40 AS level FROM w CROSS JOIN macro_state),
