@@ -206,7 +206,10 @@ def submetric_scores(rows: DataFrame, spec: DataFrame, setups: DataFrame, legacy
     has no score and counts neither for nor against (with legacy_missing it is
     ranked as 0); a sub-metric that no symbol of a date has is left out.
     """
-    long = rows.select("symbol", "d", *FIELDS).unpivot(["symbol", "d"], list(FIELDS), "field", "value")
+    # trend, setup and return go along, so that the features are made once
+    ids = ["symbol", "d", "trend", "setup", "fwd20"]
+    long = rows.select(*ids, *FIELDS, F.lit(1.0).alias("setup_")).unpivot(ids, [*FIELDS, "setup_"], "field", "value")
+    long = long.withColumn("field", F.when(F.col("field") == "setup_", "setup").otherwise(F.col("field")))
     cross = Window.partitionBy("d", "field")
     long = long.withColumn("known", F.count("value").over(cross)).where("known > 0")
     if legacy_missing:
@@ -220,12 +223,10 @@ def submetric_scores(rows: DataFrame, spec: DataFrame, setups: DataFrame, legacy
     sweet = F.when(v.isNull(), None).when(v.between(low, high), 100.0).when(v < low, under).otherwise(over)
     kind = F.col("kind")
     score = F.when(kind == "higher", F.col("pct")).when(kind == "lower", F.col("pct_down")).when(kind == "sweet", sweet)
-    out = long.join(F.broadcast(spec), "field").withColumn("score", F.when(score.isNotNull(), F.greatest(score, F.coalesce("floor", score))))
-    # the setup is a name, not a number: its score is looked up
-    names = rows.select("symbol", "d", "setup").join(F.broadcast(spec.where("kind = 'lookup'")))
-    names = names.join(F.broadcast(setups), ["variant", "setup"], "left").withColumn("score", F.coalesce("setup_score", F.lit(50.0)))
-    columns = ["variant", "d", "symbol", "factor", "factor_weight", "sub_metric", "weight", "score"]
-    return out.select(columns).unionByName(names.select(columns))
+    out = long.join(F.broadcast(spec), "field").join(F.broadcast(setups), ["variant", "setup"], "left")  # the setup is a name: its score is looked up
+    score = F.when(kind == "lookup", F.coalesce("setup_score", F.lit(50.0))).otherwise(score)
+    out = out.withColumn("score", F.when(score.isNotNull(), F.greatest(score, F.coalesce("floor", score))))
+    return out.select("variant", *ids, "factor", "factor_weight", "sub_metric", "weight", "score")
 
 
 def factor_scores(scores: DataFrame) -> DataFrame:
@@ -233,12 +234,12 @@ def factor_scores(scores: DataFrame) -> DataFrame:
     there = F.when(F.col("score").isNotNull(), F.col("weight"))
     mean = F.coalesce(F.try_divide(F.sum(F.col("weight") * F.col("score")), F.sum(there)), F.lit(50.0))
     parts = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws(".", "factor", "sub_metric").alias("k"), F.round("score", 6).alias("s")))))
-    return scores.groupBy("variant", "d", "symbol", "factor", "factor_weight").agg(mean.alias("factor_score"), parts.alias("parts"))
+    return scores.groupBy("variant", "d", "symbol", "trend", "setup", "fwd20", "factor", "factor_weight").agg(mean.alias("factor_score"), parts.alias("parts"))
 
 
 def composite(factors: DataFrame) -> DataFrame:
     """AGG10: the weighted mean of the factors, with the map of what went into it."""
-    return factors.groupBy("variant", "d", "symbol").agg(
+    return factors.groupBy("variant", "d", "symbol", "trend", "setup", "fwd20").agg(
         F.round(F.coalesce(F.try_divide(F.sum(F.col("factor_weight") * F.col("factor_score")), F.sum("factor_weight")), F.lit(50.0)), 6).alias("score"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("factor", F.round("factor_score", 6).alias("s"))))).alias("factors"),
         F.aggregate(F.collect_list("parts"), F.expr("cast(map() as map<string,double>)"), lambda a, x: F.map_concat(a, x)).alias("breakdown"),
@@ -254,7 +255,6 @@ def label(score: Column, trend: Column, setup: Column, need_trend: str = "any",
 def rank(rows: DataFrame, spec: DataFrame, setups: DataFrame) -> DataFrame:
     """DOM5: score, place and label of every symbol in each cross-section (variant, d) of complete feature rows."""
     got = composite(factor_scores(submetric_scores(rows, spec, setups)))
-    got = got.join(rows.select("symbol", "d", "trend", "setup", "fwd20"), ["symbol", "d"])
     place = F.row_number().over(Window.partitionBy("variant", "d").orderBy(F.desc("score"), "symbol"))
     return got.withColumn("place", place).withColumn("label", label(F.col("score"), F.col("trend"), F.col("setup")))
 
