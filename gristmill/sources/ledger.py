@@ -85,3 +85,60 @@ def universe(lists: list[DataFrame], extras: DataFrame, key: str = "symbol") ->
         every = every.union(x.select(key))
     every = every.distinct()
     return every.withColumn("extra", F.lit(False)).union(extras.select(key).distinct().join(every, key, "left_anti").withColumn("extra", F.lit(True)))
+
+
+BARS = "d date, open double, high double, low double, close double, volume double"
+
+
+def read_bars(spark: SparkSession, folder: str, symbols: list[str] | None = None) -> DataFrame:
+    """SRC1: daily bars of a folder with a Parquet file for each symbol (SYMBOL.parquet); missing, empty and broken files are skipped."""
+    df = spark.read.schema(BARS).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).option("pathGlobFilter", "*.parquet").parquet(folder)
+    df = df.withColumn("symbol", F.regexp_extract(F.col("_metadata.file_name"), r"^(.+)\.parquet$", 1))
+    return df if symbols is None else df.where(F.col("symbol").isin(*symbols))
+
+
+def read_recent(records: DataFrame, limit: int, profile: str | None = None, months: list[str] | None = None, ts: str = "as_of_ts") -> DataFrame:
+    """SRC4: the latest records by ts, of a profile if one is given; months (the partition ym) keep other folders unread."""
+    if months is not None:
+        records = records.where(F.col("ym").isin(*months))
+    if profile is not None:
+        records = records.where(F.col("profile") == profile)
+    return records.orderBy(F.desc(ts), *(c for c in ("candidate_id",) if c in records.columns)).limit(limit)
+
+
+def write_run(tables: dict[str, DataFrame], folder: str, run_id: str, params: dict[str, str]) -> None:
+    """SRC6: a run's tables (signals, trades, results, notes ...) and its parameters, each in a folder partitioned by run_id; a run is written once."""
+    spark = next(iter(tables.values())).sparkSession
+    every = {"params": spark.createDataFrame([(str(k), str(v)) for k, v in params.items()], "name string, value string"), **tables}
+    for name, df in every.items():
+        df.write.mode("errorifexists").parquet(f"{folder}/{name}/run_id={run_id}")
+
+
+def load_run(spark: SparkSession, folder: str, run_id: str, names: list[str]) -> dict[str, DataFrame]:
+    """SRC6: the named tables of one run; only its partition is read."""
+    return {n: spark.read.option("basePath", f"{folder}/{n}").parquet(f"{folder}/{n}/run_id={run_id}") for n in names}
+
+
+def read_pages(spark: SparkSession, folder: str, excluded: tuple[str, ...] = ("archive", "node_modules", "_template")) -> DataFrame:
+    """SRC7: (path, html) of all HTML files below a folder but those in excluded folders and search engines' verification files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").load(folder)
+    path = F.col("path")
+    skip = path.rlike("/(" + "|".join(excluded) + ")(/|$)") | path.rlike(r"/google[0-9a-f]+\.html$")
+    return files.where(~skip).select("path", F.decode("content", "UTF-8").alias("html"))
+
+
+def read_articles(spark: SparkSession, folder: str) -> DataFrame:
+    """SRC8: (name, text, d) of the Markdown files of a folder that are not blank; d is the date that the name begins with, for newest first."""
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.+)\.md$", 1).alias("name"), F.col("value").alias("text"))
+    return files.where(F.length(F.trim("text")) > 0).withColumn("d", F.try_to_date(F.substring("name", 1, 10), "yyyy-MM-dd"))
+
+
+def write_report(rows: DataFrame, folder: str, title: str, most: int = 1000) -> str:
+    """SRC11: all rows as JSON lines in folder/json, and the first of them (a report, most rows at most) as a Markdown table in folder/md, returned too."""
+    rows.write.mode("overwrite").json(f"{folder}/json")
+    head = rows.limit(most).collect()  # a report for reading
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in head)]
+    text = "\n".join(lines)
+    rows.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(f"{folder}/md")
+    return text
