@@ -89,3 +89,210 @@ def top_pattern(found: DataFrame) -> DataFrame:
         place = F.when(F.col("pattern") == name, i).otherwise(place)
     live = found.where("state in ('confirmed', 'developing')").withColumn("_p", F.when(F.col("state") == "confirmed", 0).otherwise(1)).withColumn("_o", place)
     return live.withColumn("_n", F.row_number().over(Window.partitionBy("symbol").orderBy("_p", "_o"))).where("_n = 1").drop("_p", "_o", "_n")
+
+CHART_BACK, TRIANGLE_TOUCHES, TRIANGLE_DAYS, TRIANGLE_RANGE = 90, 3, 14, 0.30
+RECTANGLE_TOUCHES, RECTANGLE_DAYS, RECTANGLE_SD = 2, 10, 0.35
+FLAG_IMPULSE, FLAG_LONGEST, FLAG_CALM = 0.05, 20, 0.6
+
+
+def _sides(bars: DataFrame, touches: int) -> DataFrame:
+    """Per symbol the last touches + 2 swings of each side within the last 90 bars, as slope, first point, mean, extreme and dates; symbols with fewer than touches on a side are left out."""
+    df = I.swings(bars).withColumn("rn", F.row_number().over(I.in_order()))
+    end = df.groupBy("symbol").agg(F.max("rn").alias("n"))
+    df = df.join(end, "symbol").where(F.col("rn") >= F.col("n") - CHART_BACK + 1)
+    out = None
+    for side, flag, k in (("high", "is_high", "u"), ("low", "is_low", "l")):
+        s = df.where(F.col(flag)).withColumn("i", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("rn"))))
+        s = s.withColumn("x", F.col("rn").cast("double")).where(F.col("i") <= touches + 2).groupBy("symbol").agg(
+            F.count("*").alias(f"{k}_n"), F.regr_slope(side, "x").alias(f"{k}_slope"), F.min("rn").alias(f"{k}_rn"), F.min_by(side, "rn").alias(f"{k}_first"), F.avg(side).alias(f"{k}_mean"),
+            F.max(side).alias(f"{k}_max"), F.min(side).alias(f"{k}_min"), F.min("d").alias(f"{k}_d0"), F.max("d").alias(f"{k}_d1"),
+        ).where(F.col(f"{k}_n") >= touches)
+        out = s if out is None else out.join(s, "symbol")
+    return out
+
+
+def _with_returns_around(sides: DataFrame, bars: DataFrame) -> DataFrame:
+    """sides with n, spot, volume ratios, and the yearly deviation of returns since the first upper swing and before it."""
+    df = I.with_returns(bars).withColumn("rn", F.row_number().over(I.in_order()))
+    calm = F.avg("volume").over(I.last(5)) <= 0.7 * F.avg("volume").over(I.last(20))
+    ends = df.withColumn("calm", calm).groupBy("symbol").agg(F.max_by("calm", "rn").alias("contraction"))
+    year = F.sqrt(F.lit(252.0))
+    sd = df.join(sides.select("symbol", "u_rn"), "symbol").groupBy("symbol").agg((F.stddev_samp(F.when(F.col("rn") >= F.col("u_rn"), F.col("ret"))) * year).alias("inside"), (F.stddev_samp(F.when(F.col("rn") < F.col("u_rn"), F.col("ret"))) * year).alias("outside"))
+    return sides.join(_last(bars), "symbol").join(ends, "symbol").join(sd, "symbol")
+
+
+def _out(df: DataFrame, pattern: Column, up: Column, trigger: Column, stop: Column, times: float, failed: Column, confirmed_by: Column, range_pct: Column, contracting: Column) -> DataFrame:
+    beyond = F.when(up, F.col("spot") >= trigger * (1 + BREAK)).otherwise(F.col("spot") <= trigger * (1 - BREAK))
+    loud = F.coalesce(F.col("rvol") >= VOLUME, F.lit(False))
+    state = F.when(failed, "failed").when(beyond & loud, "confirmed").otherwise("developing")
+    target = F.when(up, trigger + (trigger - stop) * times).otherwise(trigger - (stop - trigger) * times)
+    return df.select("symbol", pattern.alias("pattern"), F.when(up, "up").otherwise("down").alias("direction"), state.alias("state"), F.round(trigger, 4).alias("trigger"), F.round(stop, 4).alias("stop"), F.round(target, 4).alias("target"), F.round(range_pct * 100, 4).alias("range_pct"), confirmed_by.alias("volume_confirmed"), F.when(contracting, "contracting").otherwise("stable").alias("volatility"))
+
+
+def triangles(bars: DataFrame) -> DataFrame:
+    """DOM16: trendlines through the last swings of each side that close in on each other, with their values at the last bar as trigger and stop.
+
+    The names are those of the source material: both closing in is ascending.
+    """
+    df = _with_returns_around(_sides(bars, TRIANGLE_TOUCHES), bars)
+    up_now, low_now = (F.col(f"{k}_first") + F.col(f"{k}_slope") * (F.col("n") - F.col(f"{k}_rn")) for k in "ul")
+    us, ls = F.col("u_slope"), F.col("l_slope")
+    flat_top, flat_floor = (F.abs(us) < F.abs(ls) * 0.5) & (ls > 0), (F.abs(ls) < F.abs(us) * 0.5) & (us < 0)
+    kind = F.when((us < 0) & (ls > 0), "ascending_triangle").when((us > 0) & (ls < 0), "descending_triangle").when(flat_top | flat_floor, "symmetrical_triangle")
+    up = F.when((us < 0) & (ls > 0), True).when((us > 0) & (ls < 0), False).otherwise(flat_top)
+    width = (F.col("u_max") - F.col("l_min")) / ((F.col("u_max") + F.col("l_min")) / 2)
+    df = df.withColumn("up_now", up_now).withColumn("low_now", low_now).withColumn("kind", kind).withColumn("up", up).withColumn("width", width)
+    df = df.where("kind is not null").where((F.datediff("u_d1", "u_d0") >= TRIANGLE_DAYS) & (F.col("width") <= TRIANGLE_RANGE))
+    up, trigger, stop = F.col("up"), F.when(F.col("up"), F.col("up_now")).otherwise(F.col("low_now")), F.when(F.col("up"), F.col("low_now")).otherwise(F.col("up_now"))
+    failed = F.when(up, F.col("spot") < F.col("low_now") * (1 - BREAK)).otherwise(F.col("spot") > F.col("up_now") * (1 + BREAK))
+    loud = F.coalesce(F.col("rvol") >= VOLUME, F.lit(False))
+    return _out(df, F.col("kind"), up, trigger, stop, 1.5, failed, loud, F.col("width"), F.coalesce(F.col("inside") < F.col("outside") * 0.85, F.lit(False)))
+
+
+def rectangles(bars: DataFrame) -> DataFrame:
+    """DOM17: the means of the last swings of each side as ceiling and floor, where returns between them are calm; up or down by the last close."""
+    df = _with_returns_around(_sides(bars, RECTANGLE_TOUCHES), bars)
+    top, floor, spot = F.col("u_mean"), F.col("l_mean"), F.col("spot")
+    df = df.where((F.datediff("u_d1", "u_d0") >= RECTANGLE_DAYS) & (top > floor) & ~F.coalesce(F.col("inside") > RECTANGLE_SD, F.lit(False)))
+    up = F.when(spot >= top * (1 + BREAK), True).when(spot <= floor * (1 - BREAK), False).otherwise(spot > (top + floor) / 2)
+    trigger, stop = F.when(up, top).otherwise(floor), F.when(up, floor).otherwise(top)
+    loud = F.coalesce(F.col("contraction") | (F.col("rvol") >= VOLUME), F.lit(False))
+    return _out(df, F.lit("rectangle"), up, trigger, stop, 1.0, F.lit(False), loud, (top - floor) / ((top + floor) / 2), F.coalesce("contraction", F.lit(False)))
+
+
+def flags(bars: DataFrame) -> DataFrame:
+    """DOM19: an impulse of 5 % within 5 to 10 bars of the last 30, then 5 to 20 bars up to the last one with at most 0.6 of its deviation; the first start, then the first end that fits.
+
+    Each symbol's last bars are one short array, so starts and ends meet inside a row.
+    """
+    df = I.with_returns(bars).withColumn("rn", F.row_number().over(I.in_order())).withColumn("age", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("d"))))
+    short = df.where("age <= 31").groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("rn", "close", "high", "low", "ret"))).alias("b")).join(_last(bars), "symbol").where("n >= 30")
+    size = F.size("b")
+    # places in the array: the last bar is at size - 1; the first start is 30 bars before the end
+    pairs = short.withColumn("s", F.explode(F.sequence(F.greatest(size - 30, F.lit(0)), size - 6))).withColumn("e", F.explode(F.sequence(F.col("s") + 5, F.col("s") + 10))).where("e < size(b) - 5")
+    c = lambda i: F.col("b")[F.col(i)]["close"]
+    pairs = pairs.withColumn("move", c("e") / c("s") - 1).withColumn("rest", F.slice("b", F.col("e") + 1, size)).where((F.abs(F.col("move")) >= FLAG_IMPULSE) & F.size("rest").between(5, FLAG_LONGEST))
+
+    def sd(rows: Column) -> Column:
+        r = F.transform(rows, lambda x: x["ret"])
+        mean = F.aggregate(r, F.lit(0.0), lambda a, x: a + x) / F.size(r)
+        return F.sqrt(F.aggregate(r, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.nullif(F.size(r) - 1, F.lit(0))) * F.sqrt(F.lit(252.0))
+
+    pairs = pairs.withColumn("calm", sd(F.slice("b", F.col("e") + 2, size))).withColumn("wild", sd(F.slice("b", F.col("s") + 2, F.col("e") - F.col("s") - 1))).where(F.col("calm") < F.col("wild") * FLAG_CALM)
+    first = pairs.groupBy("symbol").agg(F.min_by(F.struct("move", "rest", "spot", "rvol", "calm", "wild", "s", "e"), F.struct("s", "e")).alias("p")).select("symbol", "p.*")
+    hi, lo = F.array_max(F.transform("rest", lambda x: x["high"])), F.array_min(F.transform("rest", lambda x: x["low"]))
+    m = F.size("rest")
+    mx, my = (m - 1) / 2, F.aggregate("rest", F.lit(0.0), lambda a, x: a + x["close"]) / m
+    cov = F.aggregate(F.transform("rest", lambda x, i: (i - mx) * (x["close"] - my)), F.lit(0.0), lambda a, x: a + x)
+    var = F.aggregate(F.transform("rest", lambda x, i: (i - mx) * (i - mx)), F.lit(0.0), lambda a, x: a + x)
+    first = first.withColumn("hi", hi).withColumn("lo", lo).withColumn("slope", cov / var)
+    up = F.col("move") > 0
+    form = F.when(F.abs("slope") < (F.col("hi") - F.col("lo")) / 2, "flag").otherwise("pennant")
+    trigger, stop = F.when(up, F.col("hi")).otherwise(F.col("lo")), F.when(up, F.col("lo")).otherwise(F.col("hi"))
+    loud = F.coalesce(F.col("rvol") >= VOLUME, F.lit(False))
+    return _out(first, F.concat(F.when(up, "bull_").otherwise("bear_"), form), up, trigger, stop, 1.5, F.lit(False), loud, (F.col("hi") - F.col("lo")) / F.col("spot"), F.lit(True))
+
+NODES_BACK, NODE_BINS = 60, 50
+NEAREST = 8
+
+
+def trend_record(bars: DataFrame) -> DataFrame:
+    """DOM14: each symbol at its last bar: the order of averages, higher swings of the last 60 bars, the regression's slope (% a day) and fit, and the direction."""
+    df = I.swings(bars).withColumn("rn", F.row_number().over(I.in_order())).withColumn("x", F.col("rn").cast("double"))
+    slope, fit = I.full(F.regr_slope("close", "x").over(I.last(60)), 60), I.full(F.regr_r2("close", "x").over(I.last(60)), 60)
+    df = df.withColumn("n", F.max("rn").over(Window.partitionBy("symbol")))
+    last = df.select("symbol", "d", "rn", "n", "close", *(I.full(F.avg("close").over(I.last(k)), k).alias(f"ma{k}") for k in (20, 50, 200)), (slope / F.avg("close").over(I.last(60)) * 100).alias("slope"), fit.alias("r2")).where("rn = n")
+    counts = None
+    for side, flag, name in (("high", "is_high", "hh"), ("low", "is_low", "hl")):
+        s = df.where(F.col(flag) & (F.col("rn") > F.col("n") - 60)).withColumn("before", F.lag(side).over(I.in_order()))
+        s = s.groupBy("symbol").agg(F.count_if(F.col(side) > F.col("before")).alias(name))
+        counts = s if counts is None else counts.join(s, "symbol", "full")
+    df = last.join(counts, "symbol", "left").withColumn("higher", (F.coalesce("hh", F.lit(0)) + F.coalesce("hl", F.lit(0))).cast("int"))
+    c, a, b, e = (F.col(k) for k in ("close", "ma20", "ma50", "ma200"))
+    whole = F.when((c > a) & (a > b) & (b > e), "bullish_20_50_200").when((c < a) & (a < b) & (b < e), "bearish_20_50_200").when((a > b) & (b > e), "bullish_partial").when((a < b) & (b < e), "bearish_partial").otherwise("mixed")
+    part = F.when(a > b, "bullish_partial").when(a < b, "bearish_partial").otherwise("mixed")
+    df = df.withColumn("alignment", F.when(e.isNotNull(), whole).otherwise(part)).withColumn("slope", F.round(F.coalesce("slope", F.lit(0.0)), 6)).withColumn("r2", F.round(F.coalesce("r2", F.lit(0.0)), 6))
+    up = (F.col("alignment") == "bullish_20_50_200") | (F.col("slope") > 0.05) & (F.col("higher") >= 2)
+    down = (F.col("alignment") == "bearish_20_50_200") | (F.col("slope") < -0.05) & (F.col("higher") <= 1)
+    return df.select("symbol", "d", F.when(up, "up").when(down, "down").otherwise("sideways").alias("direction"), "alignment", "higher", "slope", "r2", *((F.coalesce(c > m, F.lit(False))).alias(f"above_{k}") for m, k in ((a, 20), (b, 50), (e, 200))))
+
+
+def gap_zones(bars: DataFrame, back: int = 60) -> DataFrame:
+    """WIN19: opens half a percent or more beyond the close before, within the last 60 bars, that no later bar has come back through: (symbol, d, side, lower, upper, age)."""
+    after = I.in_order().rowsBetween(1, Window.unboundedFollowing)
+    df = bars.select("symbol", "d", "open", I.back("close").alias("before"), F.min("low").over(after).alias("low_after"), F.max("high").over(after).alias("high_after"), (F.count("*").over(Window.partitionBy("symbol")) - F.row_number().over(I.in_order())).cast("int").alias("age"))
+    up = (F.col("open") > F.col("before") * 1.005) & F.coalesce(F.col("low_after") > F.col("before"), F.lit(True))
+    down = (F.col("open") < F.col("before") * 0.995) & F.coalesce(F.col("high_after") < F.col("before"), F.lit(True))
+    return df.where((F.col("age") < back - 1) & (up | down)).select("symbol", "d", F.when(up, "up").otherwise("down").alias("side"), F.least("open", "before").alias("lower"), F.greatest("open", "before").alias("upper"), "age")
+
+
+def volume_nodes(bars: DataFrame, back: int = NODES_BACK, bins: int = NODE_BINS) -> DataFrame:
+    """AGG6: the middle prices of each symbol's high-volume bins over its last bars."""
+    down = Window.partitionBy("symbol").orderBy(F.desc("d"))
+    span = bars.withColumn("age", F.row_number().over(down)).where(F.col("age") <= back).groupBy("symbol").agg(F.min("low").alias("lo"), F.max("high").alias("hi"), F.count("*").alias("k")).where((F.col("k") >= back) & (F.col("hi") > F.col("lo")))
+    return I.volume_profile(bars, back, bins).where("is_node").join(span, "symbol").select("symbol", (F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / bins).alias("price"))
+
+
+def support_and_resistance(bars: DataFrame) -> DataFrame:
+    """DOM15, TOP3: the eight nearest levels of each side of each symbol's last close, from swings, averages, anchored prices, volume nodes and gaps, with strength, age and distance in %."""
+    down = Window.partitionBy("symbol").orderBy(F.desc("d"))
+    df = I.swings(bars).withColumn("age", F.row_number().over(down) - 1)
+    for k in (20, 50, 200):
+        df = df.withColumn(f"ma{k}", I.full(F.avg("close").over(I.last(k)), k))
+    last = df.where("age = 0").select("symbol", F.col("d").alias("end"), F.col("close").alias("spot"), "ma20", "ma50", "ma200")
+    ages = df.select("symbol", F.col("d").alias("since"), "age")
+    parts = []
+    for side, flag, name, cond in (("low", "is_low", "swing_low", "price < spot"), ("high", "is_high", "swing_high", "price > spot")):
+        s = df.where(F.col(flag)).withColumn("i", F.row_number().over(down)).where("i <= 10 and age <= 180").select("symbol", F.lit(name).alias("source"), F.col(side).alias("price"), F.round(1 / F.greatest(F.col("age") / 30, F.lit(0.5)), 2).alias("strength"), "age")
+        parts.append(s.join(last.select("symbol", "spot"), "symbol").where(cond).drop("spot"))
+    own = F.explode(F.array(*(F.struct(F.lit(f"ma_{k}").alias("source"), F.col(f"ma{k}").alias("price")) for k in (20, 50, 200))))
+    parts.append(last.select("symbol", own.alias("m")).where("m.price is not null").select("symbol", "m.source", "m.price", F.lit(0.5).alias("strength"), F.lit(0).alias("age")))
+    vwap = I.anchored_vwap(bars).join(ages, ["symbol", "since"])
+    parts.append(vwap.where("vwap > 0").select("symbol", F.concat(F.lit("vwap_"), "anchor").alias("source"), F.col("vwap").alias("price"), F.lit(0.6).alias("strength"), "age"))
+    parts.append(volume_nodes(bars).select("symbol", F.lit("volume_node").alias("source"), "price", F.lit(0.7).alias("strength"), F.lit(0).alias("age")))
+    gaps = gap_zones(bars)
+    parts.append(gaps.select("symbol", F.lit("gap_fill").alias("source"), F.when(F.col("side") == "up", F.col("lower")).otherwise(F.col("upper")).alias("price"), F.lit(0.6).alias("strength"), "age"))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    got = every.join(last.select("symbol", "spot"), "symbol").withColumn("side", F.when(F.col("price") < F.col("spot"), "support").otherwise("resistance"))
+    got = got.withColumn("distance_pct", F.round(F.abs(F.col("spot") - F.col("price")) / F.col("spot") * 100, 6)).withColumn("price", F.round("price", 4))
+    place = F.row_number().over(Window.partitionBy("symbol", "side").orderBy("distance_pct", "source", "price", "age"))
+    return got.withColumn("place", place).where(F.col("place") <= NEAREST).select("symbol", "side", "place", "source", "price", "strength", "age", "distance_pct")
+
+
+EXPANSION = 1.5
+WEIGHTS = {"trend": 0.25, "levels": 0.20, "volume": 0.20, "volatility": 0.15, "breakout": 0.20}
+
+
+def chart_scores(bars: DataFrame) -> DataFrame:
+    """DOM21: five scores of 0 to 100 of each symbol's chart, their weighted total and grade (A+ from 80, A 65, B 50, C 35, else D)."""
+    bound = lambda x: F.greatest(F.least(x, F.lit(100.0)), F.lit(0.0))
+    t = trend_record(bars)
+    base = F.when((F.col("direction") == "up") & (F.col("alignment") == "bullish_20_50_200"), 95.0).when(F.col("direction") == "up", 75.0).when((F.col("direction") == "down") & (F.col("alignment") == "bearish_20_50_200"), 5.0).when(F.col("direction") == "down", 25.0).otherwise(50.0)
+    t = t.select("symbol", bound(bound(base + (F.col("r2") - 0.5) * 20) + F.least("higher", F.lit(4)) * 2.5).alias("trend"))
+    levels = support_and_resistance(bars).groupBy("symbol").agg(F.count_if(F.col("distance_pct") <= 5).alias("near"), F.count_if(F.col("side") == "support").alias("supports"), F.max(F.when((F.col("side") == "support") & (F.col("place") == 1), (F.col("distance_pct") <= 3) & (F.col("strength") >= 0.6))).alias("firm"))
+    levels = levels.select("symbol", bound(50.0 + F.col("near") * 5 - F.col("supports") * 2 + F.when(F.col("firm"), 15).otherwise(0)).alias("levels"))
+    a = I.accumulation(bars).groupBy("symbol").agg(F.max_by("ad_slope", "d").alias("ad"))
+    df = bars.withColumn("rn", F.row_number().over(I.in_order()))
+    v5, v20 = F.avg("volume").over(I.last(5)), F.greatest(F.avg("volume").over(I.last(20)), F.lit(1.0))
+    v = df.select("symbol", "rn", (F.col("volume") / v20).alias("rvol"), (v5 / v20 <= 0.7).alias("contraction")).groupBy("symbol").agg(F.max_by("rvol", "rn").alias("rvol"), F.max_by("contraction", "rn").alias("contraction")).join(a, "symbol")
+    volume = 50.0 + F.when(F.col("rvol") >= EXPANSION, 15).otherwise(0) + F.when(F.col("contraction"), 10).otherwise(0) + F.when(F.col("ad") > 0, 15).when(F.col("ad") < 0, -10).otherwise(0) - F.when(F.col("rvol") < 0.7, 10).otherwise(0)
+    v = v.select("symbol", bound(volume).alias("volume"))
+    every = patterns_now(bars).select("symbol", "state", "volume_confirmed", F.lit("stable").alias("volatility"))
+    for more in (triangles(bars), rectangles(bars), flags(bars)):
+        every = every.unionByName(more.select("symbol", "state", "volume_confirmed", "volatility"))
+    has = lambda c: F.max(c.cast("int")) == 1
+    p = every.groupBy("symbol").agg(has(F.col("state") == "confirmed").alias("confirmed"), has(F.col("state") == "developing").alias("developing"), has(F.col("state") == "failed").alias("failed"), has(F.col("volatility") == "contracting").alias("contracting"), has(F.col("volume_confirmed")).alias("loud"))
+    got = t.join(levels, "symbol", "left").join(v, "symbol", "left").join(p, "symbol", "left")
+    volatility = F.when(F.col("confirmed"), 90.0).when(F.col("contracting"), 75.0).otherwise(40.0)
+    breakout = F.when(F.col("confirmed"), 95.0).when(F.col("developing"), 60.0).otherwise(30.0)
+    breakout = F.when(F.col("failed"), F.greatest(breakout - 20, F.lit(10.0))).otherwise(breakout)
+    breakout = F.when(F.col("loud"), F.least(breakout + 10, F.lit(100.0))).otherwise(breakout)
+    got = got.select("symbol", "trend", F.coalesce("levels", F.lit(50.0)).alias("levels"), F.coalesce("volume", F.lit(50.0)).alias("volume"), volatility.alias("volatility"), breakout.alias("breakout"))
+    total = F.lit(0.0)
+    for k, w in WEIGHTS.items():
+        total = total + w * F.col(k)
+    got = got.withColumn("total", F.round(total, 6))
+    grade = F.when(F.col("total") >= 80, "A+").when(F.col("total") >= 65, "A").when(F.col("total") >= 50, "B").when(F.col("total") >= 35, "C").otherwise("D")
+    return got.select("symbol", *(F.round(k, 6).alias(k) for k in WEIGHTS), "total", grade.alias("grade"))

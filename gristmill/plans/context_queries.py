@@ -133,11 +133,45 @@ def dom18_pattern_states(spark, sf_dir):
     return C.patterns_now(view(spark, sf_dir, "bars"))
 
 
+def dom16_triangle_states(spark, sf_dir):
+    return C.triangles(view(spark, sf_dir, "bars"))
+
+
+def dom17_rectangle_states(spark, sf_dir):
+    return C.rectangles(view(spark, sf_dir, "bars"))
+
+
+def dom19_flag_states(spark, sf_dir):
+    return C.flags(view(spark, sf_dir, "bars"))
+
+
+def dom14_trend_record(spark, sf_dir):
+    return C.trend_record(view(spark, sf_dir, "bars"))
+
+
+def _jumpy(spark, sf_dir):
+    """Bars whose opens leave the close before on some days."""
+    jump = F.when(F.dayofmonth("d") == 7, 1.03).when(F.dayofmonth("d") == 19, 0.97).otherwise(1.0)
+    return view(spark, sf_dir, "bars").withColumn("open", F.round(F.col("open") * jump, 4))
+
+
+def win19_gap_zones(spark, sf_dir):
+    return C.gap_zones(_jumpy(spark, sf_dir), 250)
+
+
+def dom15_sr_levels(spark, sf_dir):
+    return C.support_and_resistance(_jumpy(spark, sf_dir))
+
+
+def dom21_chart_total(spark, sf_dir):
+    return C.chart_scores(view(spark, sf_dir, "bars"))
+
+
 def top08_top_pattern(spark, sf_dir):
     return C.top_pattern(C.patterns_now(view(spark, sf_dir, "bars"))).select("symbol", "pattern", "state")
 
 
-QUERIES = {f.__name__: f for f in (dom18_pattern_states, top08_top_pattern, dom30_eight_pillars, dat06_event_risk, dom31_macro_regime, dom34_flow, dom32_assessment, dom12_benchmark_regime, dom13_monitor, agg21_news, dom35_event_bundle, dom38_candidates, top10_latest, fil01_valid_bars, fil02_history_gates, fil09_of_handle, fil10_dated_documents, joi18_tickers, joi02_sectors, dom43_probes)}
+QUERIES = {f.__name__: f for f in (dom14_trend_record, win19_gap_zones, dom15_sr_levels, dom21_chart_total, dom16_triangle_states, dom17_rectangle_states, dom18_pattern_states, dom19_flag_states, top08_top_pattern, dom30_eight_pillars, dat06_event_risk, dom31_macro_regime, dom34_flow, dom32_assessment, dom12_benchmark_regime, dom13_monitor, agg21_news, dom35_event_bundle, dom38_candidates, top10_latest, fil01_valid_bars, fil02_history_gates, fil09_of_handle, fil10_dated_documents, joi18_tickers, joi02_sectors, dom43_probes)}
 
 _V = ", ".join(f"('{p}', '{s}', '{f}', {c!r}, {k!r})" for p, s, f, c, k in COMPONENTS)
 _CL = lambda x, lo="-1", hi="1": f"CASE WHEN {x} IS NOT NULL THEN GREATEST(LEAST({x}, {hi}), {lo}) END"
@@ -175,7 +209,80 @@ st{t} AS ({out(names[0], fail_d, f'{edge} * {k}', sign(edge, 'neck'), f'd1{t}')}
 
 
 _STATES = f", sn AS (SELECT *, ROW_NUMBER() OVER ({W}) AS rn FROM {_SWINGS}), lst AS (SELECT symbol, rn AS n, close AS spot, volume / NULLIF(v20, 0) >= {C.VOLUME} AS loud FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY d DESC) AS age, AVG(volume) {_rows(20)} AS v20 FROM sn) q WHERE age = 1)" + _states(True) + _states(False) + ", states AS (SELECT * FROM stt UNION ALL SELECT * FROM stb)"
+def _side(col: str, flag: str, k: str, touches: int) -> str:
+    return f"{k}s AS (SELECT symbol, COUNT(*) AS {k}_n, REGR_SLOPE({col}, CAST(rn AS DOUBLE)) AS {k}_slope, MIN(rn) AS {k}_rn, ARG_MIN({col}, rn) AS {k}_first, AVG({col}) AS {k}_mean, MAX({col}) AS {k}_max, MIN({col}) AS {k}_min, MIN(d) AS {k}_d0, MAX(d) AS {k}_d1 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY rn DESC) AS i FROM (SELECT sn.* EXCLUDE (n), lst.n FROM sn JOIN lst ON sn.symbol = lst.symbol WHERE rn >= lst.n - 89) w WHERE {flag}) v WHERE i <= {touches + 2} GROUP BY 1 HAVING COUNT(*) >= {touches})"
+
+
+def _around(touches: int) -> str:
+    """Common table expressions with a: both sides' swings, the last bar, and deviations inside and before."""
+    return f""", sn AS (SELECT *, ROW_NUMBER() OVER ({W}) AS rn, close / LAG(close) OVER ({W}) - 1 AS ret, AVG(volume) {_rows(5)} <= 0.7 * AVG(volume) {_rows(20)} AS calm, volume / NULLIF(AVG(volume) {_rows(20)}, 0) AS rvol FROM {_SWINGS}),
+lst AS (SELECT symbol, rn AS n, close AS spot, rvol, COALESCE(rvol >= {C.VOLUME}, FALSE) AS loud, calm AS contraction FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY d DESC) AS age FROM sn) q WHERE age = 1),
+{_side('high', 'is_high', 'u', touches)}, {_side('low', 'is_low', 'l', touches)},
+rv AS (SELECT sn.symbol, STDDEV_SAMP(CASE WHEN rn >= u_rn THEN ret END) * SQRT(252) AS inside, STDDEV_SAMP(CASE WHEN rn < u_rn THEN ret END) * SQRT(252) AS outside FROM sn JOIN us ON sn.symbol = us.symbol GROUP BY 1),
+a AS (SELECT us.*, ls.* EXCLUDE (symbol), n, spot, rvol, loud, contraction, inside, outside FROM us JOIN ls ON us.symbol = ls.symbol JOIN lst ON us.symbol = lst.symbol JOIN rv ON us.symbol = rv.symbol)"""
+
+
+def _shape(src: str, pattern: str, times: float, failed: str, confirmed: str, width: str, contracting: str) -> str:
+    """src has up, trigger, stop, spot and loud."""
+    beyond = f"CASE WHEN up THEN spot >= trigger * {1 + C.BREAK} ELSE spot <= trigger * {1 - C.BREAK} END"
+    return f"SELECT symbol, {pattern} AS pattern, CASE WHEN up THEN 'up' ELSE 'down' END AS direction, CASE WHEN {failed} THEN 'failed' WHEN {beyond} AND loud THEN 'confirmed' ELSE 'developing' END AS state, ROUND(trigger, 4) AS trigger, ROUND(stop, 4) AS stop, ROUND(CASE WHEN up THEN trigger + (trigger - stop) * {times} ELSE trigger - (stop - trigger) * {times} END, 4) AS target, ROUND({width} * 100, 4) AS range_pct, {confirmed} AS volume_confirmed, CASE WHEN {contracting} THEN 'contracting' ELSE 'stable' END AS volatility FROM {src}"
+
+
+_TRIANGLES = _around(C.TRIANGLE_TOUCHES) + f""", k AS (SELECT *, u_first + u_slope * (n - u_rn) AS un, l_first + l_slope * (n - l_rn) AS ln, CASE WHEN u_slope < 0 AND l_slope > 0 THEN 'ascending_triangle' WHEN u_slope > 0 AND l_slope < 0 THEN 'descending_triangle' WHEN ABS(u_slope) < ABS(l_slope) * 0.5 AND l_slope > 0 OR ABS(l_slope) < ABS(u_slope) * 0.5 AND u_slope < 0 THEN 'symmetrical_triangle' END AS kind,
+ CASE WHEN u_slope < 0 AND l_slope > 0 THEN TRUE WHEN u_slope > 0 AND l_slope < 0 THEN FALSE ELSE ABS(u_slope) < ABS(l_slope) * 0.5 AND l_slope > 0 END AS up, (u_max - l_min) / ((u_max + l_min) / 2) AS width FROM a WHERE u_d1 - u_d0 >= {C.TRIANGLE_DAYS}),
+t AS (SELECT *, CASE WHEN up THEN un ELSE ln END AS trigger, CASE WHEN up THEN ln ELSE un END AS stop FROM k WHERE kind IS NOT NULL AND width <= {C.TRIANGLE_RANGE}) """ + _shape("t", "kind", 1.5, f"CASE WHEN up THEN spot < ln * {1 - C.BREAK} ELSE spot > un * {1 + C.BREAK} END", "loud", "width", "COALESCE(inside < outside * 0.85, FALSE)")
+_RECTANGLES = _around(C.RECTANGLE_TOUCHES) + f""", k AS (SELECT *, CASE WHEN spot >= u_mean * {1 + C.BREAK} THEN TRUE WHEN spot <= l_mean * {1 - C.BREAK} THEN FALSE ELSE spot > (u_mean + l_mean) / 2 END AS up FROM a WHERE u_d1 - u_d0 >= {C.RECTANGLE_DAYS} AND u_mean > l_mean AND COALESCE(inside, 0) <= {C.RECTANGLE_SD}),
+t AS (SELECT *, CASE WHEN up THEN u_mean ELSE l_mean END AS trigger, CASE WHEN up THEN l_mean ELSE u_mean END AS stop FROM k) """ + _shape("t", "'rectangle'", 1.0, "FALSE", f"COALESCE(contraction OR rvol >= {C.VOLUME}, FALSE)", "(u_mean - l_mean) / ((u_mean + l_mean) / 2)", "COALESCE(contraction, FALSE)")
+_FLAGS = f""", sn AS (SELECT *, ROW_NUMBER() OVER ({W}) AS rn, close / LAG(close) OVER ({W}) - 1 AS ret, volume / NULLIF(AVG(volume) {_rows(20)}, 0) AS rvol FROM bars),
+lst AS (SELECT symbol, rn AS n, close AS spot, COALESCE(rvol >= {C.VOLUME}, FALSE) AS loud FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY d DESC) AS age FROM sn) q WHERE age = 1 AND rn >= 30),
+se AS (SELECT s.symbol, s.rn AS s, e.rn AS e, e.close / s.close - 1 AS move, n, spot, loud FROM lst JOIN sn s ON s.symbol = lst.symbol AND s.rn BETWEEN n - 29 AND n - 5 JOIN sn e ON e.symbol = s.symbol AND e.rn BETWEEN s.rn + 5 AND s.rn + 10 AND e.rn <= n - 5 WHERE ABS(e.close / s.close - 1) >= {C.FLAG_IMPULSE} AND n - e.rn + 1 BETWEEN 5 AND {C.FLAG_LONGEST}),
+sd AS (SELECT se.*, (SELECT STDDEV_SAMP(ret) FROM sn b WHERE b.symbol = se.symbol AND b.rn > e) AS calm, (SELECT STDDEV_SAMP(ret) FROM sn b WHERE b.symbol = se.symbol AND b.rn > s AND b.rn < e) AS wild FROM se),
+f0 AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY s, e) AS k_ FROM sd WHERE calm < wild * {C.FLAG_CALM}) x WHERE k_ = 1),
+f1 AS (SELECT f.symbol, ANY_VALUE(move) AS move, ANY_VALUE(spot) AS spot, ANY_VALUE(loud) AS loud, MAX(b.high) AS hi, MIN(b.low) AS lo, REGR_SLOPE(b.close, CAST(b.rn AS DOUBLE)) AS slope FROM f0 f JOIN sn b ON b.symbol = f.symbol AND b.rn >= f.e GROUP BY 1),
+t AS (SELECT *, move > 0 AS up, CASE WHEN move > 0 THEN hi ELSE lo END AS trigger, CASE WHEN move > 0 THEN lo ELSE hi END AS stop FROM f1) """ + _shape("t", "CASE WHEN up THEN 'bull_' ELSE 'bear_' END || CASE WHEN ABS(slope) < (hi - lo) / 2 THEN 'flag' ELSE 'pennant' END", 1.5, "FALSE", "loud", "(hi - lo) / spot", "TRUE")
+_TREND = f""", sx AS (SELECT *, ROW_NUMBER() OVER ({W}) AS rn FROM {_SWINGS}), sy AS (SELECT *, CAST(rn AS DOUBLE) AS x, MAX(rn) OVER (PARTITION BY symbol) AS last_rn FROM sx),
+sl AS (SELECT * FROM (SELECT symbol, d, rn, last_rn, close, {_full('AVG(close) ' + _rows(20), 20)} AS ma20, {_full('AVG(close) ' + _rows(50), 50)} AS ma50, {_full('AVG(close) ' + _rows(200), 200)} AS ma200, {_full('REGR_SLOPE(close, x) ' + _rows(60), 60)} / AVG(close) {_rows(60)} * 100 AS slope, {_full('REGR_R2(close, x) ' + _rows(60), 60)} AS r2 FROM sy) q WHERE rn = last_rn),
+sh AS (SELECT symbol, COUNT(CASE WHEN high > p THEN 1 END) AS hh FROM (SELECT symbol, high, LAG(high) OVER ({W}) AS p FROM sy WHERE is_high AND rn > last_rn - 60) q GROUP BY 1), sw AS (SELECT symbol, COUNT(CASE WHEN low > p THEN 1 END) AS hl FROM (SELECT symbol, low, LAG(low) OVER ({W}) AS p FROM sy WHERE is_low AND rn > last_rn - 60) q GROUP BY 1),
+sr AS (SELECT sl.symbol, d, close, ma20, ma50, ma200, CAST(COALESCE(hh, 0) + COALESCE(hl, 0) AS INT) AS higher, ROUND(COALESCE(slope, 0), 6) AS slope, ROUND(COALESCE(r2, 0), 6) AS r2, CASE WHEN ma200 IS NOT NULL THEN CASE WHEN close > ma20 AND ma20 > ma50 AND ma50 > ma200 THEN 'bullish_20_50_200' WHEN close < ma20 AND ma20 < ma50 AND ma50 < ma200 THEN 'bearish_20_50_200' WHEN ma20 > ma50 AND ma50 > ma200 THEN 'bullish_partial' WHEN ma20 < ma50 AND ma50 < ma200 THEN 'bearish_partial' ELSE 'mixed' END
+ WHEN ma20 > ma50 THEN 'bullish_partial' WHEN ma20 < ma50 THEN 'bearish_partial' ELSE 'mixed' END AS alignment FROM sl LEFT JOIN sh ON sh.symbol = sl.symbol LEFT JOIN sw ON sw.symbol = sl.symbol),
+record AS (SELECT symbol, d, CASE WHEN alignment = 'bullish_20_50_200' OR slope > 0.05 AND higher >= 2 THEN 'up' WHEN alignment = 'bearish_20_50_200' OR slope < -0.05 AND higher <= 1 THEN 'down' ELSE 'sideways' END AS direction, alignment, higher, slope, r2, COALESCE(close > ma20, FALSE) AS above_20, COALESCE(close > ma50, FALSE) AS above_50, COALESCE(close > ma200, FALSE) AS above_200 FROM sr)"""
+_JUMP = ", jb AS (SELECT * REPLACE (ROUND(open * CASE DAY(d) WHEN 7 THEN 1.03E0 WHEN 19 THEN 0.97E0 ELSE 1E0 END, 4) AS open) FROM bars)"
+_ZONES = lambda src, back: f""", gz AS (SELECT symbol, d, open, LAG(close) OVER ({W}) AS before, MIN(low) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS la, MAX(high) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ha, CAST(COUNT(*) OVER (PARTITION BY symbol) - ROW_NUMBER() OVER ({W}) AS INT) AS age FROM {src}),
+zones AS (SELECT symbol, d, CASE WHEN open > before THEN 'up' ELSE 'down' END AS side, LEAST(open, before) AS lower, GREATEST(open, before) AS upper, age FROM gz WHERE age < {back - 1} AND (open > before * 1.005 AND COALESCE(la > before, TRUE) OR open < before * 0.995 AND COALESCE(ha < before, TRUE)))"""
+_LEVELS = lambda src: _ZONES(src, 60) + f""", q1 AS (SELECT *, COUNT(*) OVER w AS n, MAX(high) OVER w AS hi, MIN(low) OVER w AS lo FROM {src} WINDOW w AS ({W} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
+q2 AS (SELECT *, n = 11 AND high >= hi AS is_high, n = 11 AND low <= lo AS is_low, CAST(ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY d DESC) - 1 AS INT) AS age, LAG(close) OVER ({W}) AS prior, (high + low + close) / 3 AS tp, {_full('AVG(close) ' + _rows(20), 20)} AS ma20, {_full('AVG(close) ' + _rows(50), 50)} AS ma50, {_full('AVG(close) ' + _rows(200), 200)} AS ma200 FROM q1),
+e0 AS (SELECT symbol, close AS spot, ma20, ma50, ma200 FROM q2 WHERE age = 0),
+w1 AS (SELECT symbol, 'swing_low' AS source, low AS price, age FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY d DESC) AS i FROM q2 WHERE is_low) z WHERE i <= 10 AND age <= 180 UNION ALL SELECT symbol, 'swing_high', high, age FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY d DESC) AS i FROM q2 WHERE is_high) z WHERE i <= 10 AND age <= 180),
+an AS (SELECT symbol, 'vwap_low252' AS source, ARG_MIN(d, (low, d)) AS since FROM q2 WHERE age < 252 GROUP BY symbol UNION ALL SELECT symbol, 'vwap_low60', ARG_MIN(d, (low, d)) FROM q2 WHERE age < 60 GROUP BY symbol UNION ALL SELECT symbol, 'vwap_gap', MAX(d) FROM q2 WHERE age < 30 AND open > prior * 1.02 GROUP BY symbol),
+av AS (SELECT an.symbol, source, ROUND(SUM(tp * volume) / SUM(volume), 6) AS price, MAX(q2.age) AS age FROM an JOIN q2 ON q2.symbol = an.symbol AND q2.d >= since GROUP BY 1, 2),
+vb AS (SELECT *, MIN(low) OVER (PARTITION BY symbol) AS blo, MAX(high) OVER (PARTITION BY symbol) AS bhi, COUNT(*) OVER (PARTITION BY symbol) AS bn FROM q2 WHERE age < {C.NODES_BACK}), vf AS (SELECT symbol, ANY_VALUE(blo) AS blo, ANY_VALUE(bhi) AS bhi, CAST(LEAST(FLOOR((tp - blo) / (bhi - blo) * {C.NODE_BINS}), {C.NODE_BINS - 1}) AS INT) AS bin, SUM(volume) AS v FROM vb WHERE bhi > blo AND bn >= {C.NODES_BACK} GROUP BY symbol, 4),
+vg AS (SELECT s.symbol, s.blo, s.bhi, r.bin, COALESCE(vf.v, 0) AS v FROM (SELECT DISTINCT symbol, blo, bhi FROM vf) s CROSS JOIN (SELECT UNNEST(RANGE({C.NODE_BINS})) AS bin) r LEFT JOIN vf ON vf.symbol = s.symbol AND vf.bin = r.bin),
+vh AS (SELECT *, v >= 1.5 * AVG(v) OVER (PARTITION BY symbol) AND v >= LAG(v) OVER (PARTITION BY symbol ORDER BY bin) AND v >= LEAD(v) OVER (PARTITION BY symbol ORDER BY bin) AS node FROM vg),
+lv AS (SELECT w1.symbol, source, price, ROUND(1 / GREATEST(age / 30, 0.5), 2) AS strength, age FROM w1 JOIN e0 ON w1.symbol = e0.symbol WHERE source = 'swing_low' AND price < spot OR source = 'swing_high' AND price > spot
+ UNION ALL SELECT symbol, 'ma_20', ma20, 0.5, 0 FROM e0 WHERE ma20 IS NOT NULL UNION ALL SELECT symbol, 'ma_50', ma50, 0.5, 0 FROM e0 WHERE ma50 IS NOT NULL UNION ALL SELECT symbol, 'ma_200', ma200, 0.5, 0 FROM e0 WHERE ma200 IS NOT NULL UNION ALL SELECT symbol, source, price, 0.6, age FROM av WHERE price > 0
+ UNION ALL SELECT symbol, 'volume_node', blo + (bin + 0.5) * (bhi - blo) / {C.NODE_BINS}, 0.7, 0 FROM vh WHERE node UNION ALL SELECT symbol, 'gap_fill', CASE side WHEN 'up' THEN lower ELSE upper END, 0.6, age FROM zones),
+lw AS (SELECT lv.symbol, source, ROUND(price, 4) AS price, CAST(strength AS DOUBLE) AS strength, age, CASE WHEN price < spot THEN 'support' ELSE 'resistance' END AS side, ROUND(ABS(spot - price) / spot * 100, 6) AS distance_pct FROM lv JOIN e0 ON lv.symbol = e0.symbol),
+sr_levels AS (SELECT symbol, side, place, source, price, strength, age, distance_pct FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY symbol, side ORDER BY distance_pct, source, price, age) AS INT) AS place FROM lw) z WHERE place <= {C.NEAREST})"""
+_IN = lambda chain, tail: f"(WITH z0 AS (SELECT 1){chain}{tail})"
+_B0 = lambda x: f"GREATEST(LEAST({x}, 100), 0)"
+_CHART = f""", c1 AS {_IN(_TREND, ' SELECT * FROM record')}, c2 AS {_IN(_LEVELS('bars'), ' SELECT * FROM sr_levels')}, c3 AS (SELECT symbol, state, volume_confirmed, 'stable' AS volatility FROM {_IN(_STATES, ' SELECT * FROM states')} y UNION ALL SELECT symbol, state, volume_confirmed, volatility FROM {_IN(_TRIANGLES, '')} y UNION ALL SELECT symbol, state, volume_confirmed, volatility FROM {_IN(_RECTANGLES, '')} y UNION ALL SELECT symbol, state, volume_confirmed, volatility FROM {_IN(_FLAGS, '')} y),
+d1 AS (SELECT symbol, {_B0(_B0("CASE WHEN direction = 'up' AND alignment = 'bullish_20_50_200' THEN 95 WHEN direction = 'up' THEN 75 WHEN direction = 'down' AND alignment = 'bearish_20_50_200' THEN 5 WHEN direction = 'down' THEN 25 ELSE 50 END + (r2 - 0.5) * 20") + ' + LEAST(higher, 4) * 2.5')} AS trend FROM c1),
+d2 AS (SELECT symbol, {_B0("50 + COUNT(CASE WHEN distance_pct <= 5 THEN 1 END) * 5 - COUNT(CASE WHEN side = 'support' THEN 1 END) * 2 + CASE WHEN BOOL_OR(side = 'support' AND place = 1 AND distance_pct <= 3 AND strength >= 0.6) THEN 15 ELSE 0 END")} AS levels FROM c2 GROUP BY 1),
+v0 AS (SELECT *, SUM(mf) OVER ({W}) AS ad, CAST(ROW_NUMBER() OVER ({W}) AS DOUBLE) AS rn FROM (SELECT *, CASE WHEN high - low > 0 THEN ((close - low) - (high - close)) / (high - low) * volume ELSE 0 END AS mf FROM bars) z),
+v1 AS (SELECT symbol, d, volume / GREATEST(AVG(volume) {_rows(20)}, 1) AS rvol, AVG(volume) {_rows(5)} / GREATEST(AVG(volume) {_rows(20)}, 1) <= 0.7 AS contraction, ROUND({_full(f'REGR_SLOPE(ad, rn) {_rows(20)} / AVG(volume) {_rows(20)}', 20)}, 5) AS slope, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY d DESC) AS age FROM v0),
+d3 AS (SELECT symbol, {_B0(f"50 + CASE WHEN rvol >= {C.EXPANSION} THEN 15 ELSE 0 END + CASE WHEN contraction THEN 10 ELSE 0 END + CASE WHEN slope > 0 THEN 15 WHEN slope < 0 THEN -10 ELSE 0 END - CASE WHEN rvol < 0.7 THEN 10 ELSE 0 END")} AS volume FROM v1 WHERE age = 1),
+d4 AS (SELECT symbol, BOOL_OR(state = 'confirmed') AS cf, BOOL_OR(state = 'developing') AS dv, BOOL_OR(state = 'failed') AS fl, BOOL_OR(volatility = 'contracting') AS ct, BOOL_OR(volume_confirmed) AS ld FROM c3 GROUP BY 1),
+d5 AS (SELECT d1.symbol, trend, COALESCE(levels, 50) AS levels, COALESCE(volume, 50) AS volume, CASE WHEN cf THEN 90 WHEN ct THEN 75 ELSE 40 END AS volatility, CASE WHEN cf THEN 95 WHEN dv THEN 60 ELSE 30 END AS b0, fl, ld FROM d1 LEFT JOIN d2 ON d2.symbol = d1.symbol LEFT JOIN d3 ON d3.symbol = d1.symbol LEFT JOIN d4 ON d4.symbol = d1.symbol),
+d6 AS (SELECT *, CASE WHEN ld THEN LEAST(CASE WHEN fl THEN GREATEST(b0 - 20, 10) ELSE b0 END + 10, 100) ELSE CASE WHEN fl THEN GREATEST(b0 - 20, 10) ELSE b0 END END AS breakout FROM d5), d7 AS (SELECT *, ROUND({' + '.join(f'{w} * {k}' for k, w in C.WEIGHTS.items())}, 6) AS total FROM d6)
+SELECT symbol, {', '.join(f'ROUND(CAST({k} AS DOUBLE), 6) AS {k}' for k in C.WEIGHTS)}, CAST(total AS DOUBLE) AS total, CASE WHEN total >= 80 THEN 'A+' WHEN total >= 65 THEN 'A' WHEN total >= 50 THEN 'B' WHEN total >= 35 THEN 'C' ELSE 'D' END AS grade FROM d7"""
 ORACLE_SQL = {
+    "dom14_trend_record": oracle("bars", _TREND + " SELECT * FROM record"),
+    "win19_gap_zones": oracle("bars", _JUMP + _ZONES("jb", 250) + " SELECT * FROM zones"),
+    "dom15_sr_levels": oracle("bars", _JUMP + _LEVELS("jb") + " SELECT * FROM sr_levels"),
+    "dom21_chart_total": oracle("bars", _CHART),
+    "dom16_triangle_states": oracle("bars", _TRIANGLES),
+    "dom17_rectangle_states": oracle("bars", _RECTANGLES),
+    "dom19_flag_states": oracle("bars", _FLAGS),
     "dom18_pattern_states": oracle("bars", _STATES + " SELECT * FROM states"),
     "top08_top_pattern": oracle("bars", _STATES + " SELECT symbol, pattern, state FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY CASE state WHEN 'confirmed' THEN 0 ELSE 1 END, CASE pattern " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(C.ORDER)) + " END) AS k_ FROM states WHERE state <> 'failed') x WHERE k_ = 1"),
     "dom30_eight_pillars": oracle("series", _PS + " SELECT * FROM ps"),
