@@ -82,12 +82,17 @@ def event_window(days: Column) -> Column:
     return F.when(days.between(0, 7), 100.0).when(days.between(8, 21), 70.0).when(days < 0, 80.0).when(days.isNotNull(), 30.0)
 
 
-def price_features(bars: DataFrame, market: DataFrame, least: int = 25) -> DataFrame:
+#: Bars that decide a symbol's features to a double's resolution: exponential averages beyond them weigh nothing.
+ENOUGH_BARS = 640
+
+
+def price_features(bars: DataFrame, market: DataFrame, least: int = 25, last_only: bool = False) -> DataFrame:
     """DOM1, first part: the price features of every symbol at every date with a history of least bars.
 
     Point in time: every frame ends at the row's own bar.  All windows are by
     symbol and date, so one exchange serves them; the market's returns are
-    joined by date.
+    joined by date.  last_only gives each symbol's last bar only, from its last
+    ENOUGH_BARS bars.
     """
     w = I.in_order()
     by_day = Window.partitionBy("symbol").orderBy("d")
@@ -100,6 +105,8 @@ def price_features(bars: DataFrame, market: DataFrame, least: int = 25) -> DataF
     df = I.with_returns(bars).withColumn("rn", F.row_number().over(w))
     prior = I.back("close")
     df = df.withColumn("tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prior), F.abs(F.col("low") - prior)))
+    if last_only:
+        df = df.withColumn("end", F.max("rn").over(Window.partitionBy("symbol"))).where(F.col("rn") > F.col("end") - ENOUGH_BARS)
     df = I.with_ewm(I.with_ewm(df, "close", 2 / 13, "fast"), "close", 2 / 27, "slow").withColumn("macd", F.col("fast") - F.col("slow"))
     df = I.with_ewm(df, "macd", 2 / 10, "signal")
     change = F.col("close") - prior
@@ -109,7 +116,7 @@ def price_features(bars: DataFrame, market: DataFrame, least: int = 25) -> DataF
     df = df.withColumn("sd", F.round(I.full(F.col("sd20"), 20, "ret"), 9))
     avg = lambda c, n: F.avg(c).over(I.last(n))
     df = df.select(
-        "symbol", "d", "close", "rn", "fast", "slow", "macd", "signal", "up", "down", "sd",
+        "symbol", "d", "close", "rn", "macd", "signal", "up", "down", "sd", *(["end"] if last_only else []),
         I.full(avg("close", 50), 50).alias("ma50"), avg("close", 20).alias("ma20"), avg("close", 200).alias("ma200"),
         F.coalesce(F.col("close") / I.back("close", 5) - 1, F.lit(0.0)).alias("ret5"),
         F.coalesce(F.col("close") / I.back("close", 25) - 1, F.lit(0.0)).alias("ret20"),
@@ -126,7 +133,7 @@ def price_features(bars: DataFrame, market: DataFrame, least: int = 25) -> DataF
         avg("volume", 5).alias("v5"), avg("volume", 10).alias("v10"), avg("volume", 20).alias("v20"),
         F.lead("close", 20).over(w).alias("ahead"),
     )
-    df = df.where(F.col("rn") >= least).join(m, "d", "left")
+    df = df.where((F.col("rn") >= least) & ((F.col("rn") == F.col("end")) if last_only else F.lit(True))).join(m, "d", "left")
     close, atr = F.col("close"), F.col("atr")
     peak = F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("dd"))
     drawdown = F.aggregate("closes", peak, lambda a, c: F.struct(F.greatest(a["peak"], c).alias("peak"), F.least(a["dd"], c / F.greatest(a["peak"], c) - 1).alias("dd")), lambda a: a["dd"])

@@ -9,8 +9,8 @@ from ..sources.views import oracle, view
 from .indicator_queries import RET, W, _ewm_sql, _full, _rows
 
 
-def _prices(spark, sf_dir):
-    return S.price_features(view(spark, sf_dir, "bars"), view(spark, sf_dir, "market"))
+def _prices(spark, sf_dir, last_only=False):
+    return S.price_features(view(spark, sf_dir, "bars"), view(spark, sf_dir, "market"), last_only=last_only)
 
 
 def _signals(spark, sf_dir, rows):
@@ -23,7 +23,7 @@ def _signals(spark, sf_dir, rows):
 
 def _today(spark, sf_dir):
     """Every feature of each symbol's last bar."""
-    rows = S.company_features(S.latest(_prices(spark, sf_dir)), view(spark, sf_dir, "company"))
+    rows = S.company_features(S.latest(_prices(spark, sf_dir, True)), view(spark, sf_dir, "company"))
     rows = S.macro_features(rows, view(spark, sf_dir, "sectors"), view(spark, sf_dir, "macro_state"))
     return S.complete(S.with_signals(rows, _signals(spark, sf_dir, rows)))
 
@@ -47,12 +47,12 @@ def dom01_price_features(spark, sf_dir):
 
 
 def joi03_signals(spark, sf_dir):
-    rows = S.latest(_prices(spark, sf_dir))
+    rows = S.latest(_prices(spark, sf_dir, True))
     return S.with_signals(rows.select("symbol", "d"), _signals(spark, sf_dir, rows))
 
 
 def joi04_macro_on_symbols(spark, sf_dir):
-    return S.macro_features(S.latest(_prices(spark, sf_dir)).select("symbol"), view(spark, sf_dir, "sectors"), view(spark, sf_dir, "macro_state"))
+    return S.macro_features(S.latest(_prices(spark, sf_dir, True)).select("symbol"), view(spark, sf_dir, "sectors"), view(spark, sf_dir, "macro_state"))
 
 
 def dom04_submetric_scores(spark, sf_dir):
