@@ -141,7 +141,7 @@ def table_rows(block: Column) -> Column:
 
 def sections(body: Column) -> Column:
     """STR-J: a document's parts between rules of three or more underscores, in order, blank ones left out."""
-    return F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), r"(?m)^_{3,}\s*$"), lambda c: F.trim(c)), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), r"(?m)^_{3,}\s*$"), lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")), lambda x: x != "")
 
 
 def topic_line(category: Column, tags: Column, tickers: Column, title: Column, most: int = 8) -> Column:
