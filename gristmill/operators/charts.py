@@ -10,17 +10,71 @@ from . import indicators as I
 DOUBLE_SEPARATION, DOUBLE_TOLERANCE, DOUBLE_BACK = 10, 0.03, 120
 HEAD_SEPARATION, HEAD_TOLERANCE, HEAD_DAYS, HEAD_BACK = 10, 0.05, 30, 180
 BREAK, VOLUME = 0.005, 1.2
+#: Bars ahead of an as-of bar over which returns are taken: one, two and four weeks.
+AHEAD = (5, 10, 20)
 
 
-def _swing_chain(bars: DataFrame, top: bool) -> DataFrame:
+#: Bars on either side of a swing, so that it is known as many bars later.
+KNOWN_AFTER = 5
+#: Bars in a block, by which patterns meet the as-of bars at which they are in sight.
+SIGHT_BLOCK = 64
+
+
+def frame(bars: DataFrame) -> DataFrame:
+    """Every bar with what the detectors ask of it: number, swings, volume ratios, running sums of returns, and its last 31 bars.
+
+    All windows are partitioned by symbol and ordered by date: one exchange and
+    one sort, whatever a detector takes of it.
+    """
+    so_far = I.in_order().rowsBetween(Window.unboundedPreceding, 0)
+    v5, v20 = F.avg("volume").over(I.last(5)), F.avg("volume").over(I.last(20))
+    df = I.with_returns(I.swings(bars, KNOWN_AFTER)).withColumn("rn", F.row_number().over(I.in_order()))
+    return df.select(
+        "*",
+        F.count("*").over(Window.partitionBy("symbol")).alias("bars"),
+        F.try_divide(F.col("volume").cast("double"), F.nullif(v20, F.lit(0.0))).alias("rvol"),
+        (v5 <= 0.7 * v20).alias("calm"),
+        F.sum("ret").over(so_far).alias("sum_ret"),
+        F.sum(F.col("ret") * F.col("ret")).over(so_far).alias("sum_sq"),
+        F.count("ret").over(so_far).alias("n_ret"),
+        F.sum(F.col("is_high").cast("int")).over(so_far).alias("stretch_high"),
+        F.sum(F.col("is_low").cast("int")).over(so_far).alias("stretch_low"),
+        F.collect_list(F.struct("rn", "close", "high", "low", "ret")).over(I.last(31)).alias("recent"),
+        *(F.lead("close", k).over(I.in_order()).alias(f"close_{k}") for k in AHEAD),
+    )
+
+
+def at_last(f: DataFrame) -> DataFrame:
+    """The as-of bars of a frame: the last one of each symbol."""
+    return as_of_bars(f, F.col("rn") == F.col("bars"))
+
+
+def as_of_bars(f: DataFrame, when: Column) -> DataFrame:
+    """The bars of a frame at which patterns are looked for, as if no later bar were known."""
+    return f.where(when).select("symbol", F.col("rn").alias("n"), F.col("d").alias("as_of"), F.col("close").alias("spot"), "rvol", F.col("calm").alias("contraction"), "sum_ret", "sum_sq", "n_ret", "recent", *(f"close_{k}" for k in AHEAD))
+
+
+def _in_sight(found: DataFrame, ends: DataFrame, first: Column, last: Column) -> DataFrame:
+    """found, once for each as-of bar n of its symbol with first <= n <= last.
+
+    Both sides meet by symbol and block of bars, so what is multiplied is
+    patterns or swings, a few for each block, and not bars; a long history is
+    many blocks.
+    """
+    a = found.withColumn("_from", first).withColumn("_to", last).where("_from <= _to")
+    a = a.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_from") / SIGHT_BLOCK), F.floor(F.col("_to") / SIGHT_BLOCK))))
+    b = ends.select("symbol", "n", F.floor(F.col("n") / SIGHT_BLOCK).alias("_block"))
+    return a.join(b, ["symbol", "_block"]).where("n between _from and _to").drop("_from", "_to", "_block")
+
+
+def _swing_chain(f: DataFrame, top: bool) -> DataFrame:
     """Swings of a side in order, each with the one and the two before it and the far side's extreme between neighbours.
 
     A bar's number of swings so far names its stretch, so the extremes between
     two swings are a group's, not a range join's.
     """
     side, other, flag = ("high", "low", "is_high") if top else ("low", "high", "is_low")
-    df = I.swings(bars).withColumn("rn", F.row_number().over(I.in_order()))
-    df = df.withColumn("stretch", F.sum(F.col(flag).cast("int")).over(I.in_order()))
+    df = f.withColumn("stretch", F.col("stretch_high" if top else "stretch_low"))
     far = F.min(other) if top else F.max(other)
     between = df.where("stretch > 0").groupBy("symbol", "stretch").agg(far.alias("far"))
     s = df.where(F.col(flag)).select("symbol", "stretch", "d", "rn", F.col(side).alias("v"), F.col(other).alias("own"))
@@ -30,95 +84,117 @@ def _swing_chain(bars: DataFrame, top: bool) -> DataFrame:
     return s.withColumn("one", F.lag(F.struct("d", "rn", "v", "far")).over(by)).withColumn("two", F.lag(F.struct("d", "rn", "v"), 2).over(by))
 
 
-def _last(bars: DataFrame) -> DataFrame:
-    """Each symbol's number of bars, last close and last volume against the mean of 20."""
-    df = bars.withColumn("rn", F.row_number().over(I.in_order())).withColumn("ratio", F.try_divide(F.col("volume").cast("double"), F.nullif(F.avg("volume").over(I.last(20)), F.lit(0.0))))
-    return df.groupBy("symbol").agg(F.max("rn").alias("n"), F.max_by("close", "rn").alias("spot"), F.max_by("ratio", "rn").alias("rvol"))
-
-
-def _stated(found: DataFrame, top: bool, failed: Column, stop: Column, depth: Column) -> DataFrame:
-    """The first pattern of each symbol with state, trigger (the neckline), stop, target (as far beyond as the pattern is deep) and range in %."""
-    first = found.withColumn("_n", F.row_number().over(Window.partitionBy("symbol").orderBy("rn"))).where("_n = 1")
+def _stated(found: DataFrame, ends: DataFrame, first: Column, last: Column, top: bool, failed: Column, stop: Column, depth: Column) -> DataFrame:
+    """The first pattern in sight of each as-of bar, with state, trigger (the neckline), stop, target (as far beyond as the pattern is deep) and range in %."""
+    seen = _in_sight(found, ends, first, last)
+    kept = [c for c in found.columns if c != "symbol"]
+    one = seen.groupBy("symbol", "n").agg(F.min_by(F.struct(*kept), "rn").alias("p")).select("symbol", "n", "p.*")
+    one = one.join(ends.select("symbol", "n", "spot", "rvol"), ["symbol", "n"])
     neck, spot = F.col("neckline"), F.col("spot")
     broken = spot < neck * (1 - BREAK) if top else spot > neck * (1 + BREAK)
     loud = F.coalesce(F.col("rvol") >= VOLUME, F.lit(False))
     state = F.when(broken & loud, "confirmed").when(broken, "developing").when(failed, "failed").otherwise("developing")
     target = neck - depth if top else neck + depth
-    return first.select("symbol", "pattern", state.alias("state"), F.round(neck, 4).alias("trigger"), F.round(stop, 4).alias("stop"), F.round(target, 4).alias("target"), F.round(depth / neck * 100, 4).alias("range_pct"), loud.alias("volume_confirmed"), F.col("duration").cast("int").alias("duration"))
+    return one.select(
+        "symbol", "n", "pattern", F.lit("down" if top else "up").alias("direction"), state.alias("state"), F.round(neck, 6).alias("trigger"), F.round(stop, 6).alias("stop"), F.round(target, 6).alias("target"),
+        F.round(depth / neck * 100, 6).alias("range_pct"), loud.alias("volume_confirmed"), F.lit("stable").alias("volatility"), F.col("duration").cast("int").alias("duration"),
+    )
 
 
-def doubles(bars: DataFrame, top: bool) -> DataFrame:
-    """DOM18: each symbol's first double top (bottom) among the swings of its last 120 bars: neighbours far enough apart and near enough in price."""
-    s = _swing_chain(bars, top).join(_last(bars), "symbol").where((F.col("one.rn") >= F.col("n") - DOUBLE_BACK + 1))
+def doubles_at(f: DataFrame, ends: DataFrame, top: bool) -> DataFrame:
+    """DOM18: at each as-of bar the first double top (bottom) among the swings of its last 120 bars: neighbours far enough apart and near enough in price."""
     p1, p2 = F.col("one.v"), F.col("v")
     ok = (F.col("rn") - F.col("one.rn") >= DOUBLE_SEPARATION) & (F.abs(p1 - p2) / ((p1 + p2) / 2) <= DOUBLE_TOLERANCE)
-    s = s.where(ok).withColumn("neckline", F.col("far")).withColumn("pattern", F.lit("double_top" if top else "double_bottom")).withColumn("duration", F.col("rn") - F.col("one.rn"))
+    s = _swing_chain(f, top).where(ok).withColumn("neckline", F.col("far")).withColumn("pattern", F.lit("double_top" if top else "double_bottom")).withColumn("duration", F.col("rn") - F.col("one.rn"))
+    sight = F.col("rn") + KNOWN_AFTER, F.col("one.rn") + DOUBLE_BACK - 1
     if top:
         edge = F.greatest(p1, p2)
-        return _stated(s, True, F.col("spot") > p2 * (1 - BREAK), edge * 1.02, edge - F.col("neckline"))
+        return _stated(s, ends, *sight, True, F.col("spot") > p2 * (1 - BREAK), edge * 1.02, edge - F.col("neckline"))
     edge = F.least(p1, p2)
-    return _stated(s, False, F.col("spot") < p2 * (1 + BREAK), edge * 0.98, F.col("neckline") - edge)
+    return _stated(s, ends, *sight, False, F.col("spot") < p2 * (1 + BREAK), edge * 0.98, F.col("neckline") - edge)
 
 
-def head_and_shoulders(bars: DataFrame, top: bool) -> DataFrame:
-    """DOM20: each symbol's first head and shoulders (inverse) among the swings of its last 180 bars: the middle of three beyond both others, those alike, far enough apart and long enough."""
-    s = _swing_chain(bars, top).join(_last(bars), "symbol").where((F.col("two.rn") >= F.col("n") - HEAD_BACK + 1))
+def head_and_shoulders_at(f: DataFrame, ends: DataFrame, top: bool) -> DataFrame:
+    """DOM20: at each as-of bar the first head and shoulders (inverse) among the swings of its last 180 bars: the middle of three beyond both others, those alike, far enough apart and long enough."""
     left, head, right = F.col("two.v"), F.col("one.v"), F.col("v")
     beyond = (head > left) & (head > right) if top else (head < left) & (head < right)
     apart = (F.col("one.rn") - F.col("two.rn") >= HEAD_SEPARATION) & (F.col("rn") - F.col("one.rn") >= HEAD_SEPARATION)
     days = F.datediff("d", F.col("two.d"))
     ok = beyond & apart & (F.abs(right - left) / ((right + left) / 2) <= HEAD_TOLERANCE) & (days >= HEAD_DAYS)
     neck = F.least("far", F.col("one.far")) if top else F.greatest("far", F.col("one.far"))
-    s = s.where(ok).withColumn("neckline", neck).withColumn("pattern", F.lit("head_and_shoulders" if top else "inverse_head_and_shoulders")).withColumn("duration", days)
+    s = _swing_chain(f, top).where(ok).withColumn("neckline", neck).withColumn("pattern", F.lit("head_and_shoulders" if top else "inverse_head_and_shoulders")).withColumn("duration", days)
     failed = F.col("spot") > right * (1 + BREAK) if top else F.col("spot") < right * (1 - BREAK)
-    return _stated(s, top, failed, right * (1.02 if top else 0.98), head - F.col("neckline") if top else F.col("neckline") - head)
+    sight = F.col("rn") + KNOWN_AFTER, F.col("two.rn") + HEAD_BACK - 1
+    return _stated(s, ends, *sight, top, failed, right * (1.02 if top else 0.98), head - F.col("neckline") if top else F.col("neckline") - head)
+
 
+# The detectors' order, from which the first live pattern is taken; flags by direction and form.
+ORDER = (
+    "ascending_triangle", "descending_triangle", "symmetrical_triangle", "rectangle", "double_top", "double_bottom",
+    "bull_flag", "bull_pennant", "bear_flag", "bear_pennant", "head_and_shoulders", "inverse_head_and_shoulders",
+)
+# Which way a pattern points; the others point as their trigger lies.
+BULLISH = ("ascending_triangle", "bull_flag", "bull_pennant", "double_bottom", "inverse_head_and_shoulders")
+BEARISH = ("descending_triangle", "bear_flag", "bear_pennant", "double_top", "head_and_shoulders")
 
-ORDER = ("double_top", "double_bottom", "head_and_shoulders", "inverse_head_and_shoulders")
+PATTERN_COLUMNS = ["symbol", "n", "pattern", "direction", "state", "trigger", "stop", "target", "range_pct", "volume_confirmed", "volatility"]
+
+
+def patterns_at(f: DataFrame, ends: DataFrame) -> DataFrame:
+    """DOM16 to DOM20: the patterns of all seven detectors at each as-of bar, from the bars up to it alone."""
+    out = triangles_at(f, ends)
+    for found in (rectangles_at(f, ends), *(doubles_at(f, ends, top) for top in (True, False)), flags_at(ends), *(head_and_shoulders_at(f, ends, top) for top in (True, False))):
+        out = out.unionByName(found.select(PATTERN_COLUMNS))
+    return out
 
 
 def patterns_now(bars: DataFrame) -> DataFrame:
-    """DOM18, DOM20: all patterns of each symbol with their states."""
-    return doubles(bars, True).unionByName(doubles(bars, False)).unionByName(head_and_shoulders(bars, True)).unionByName(head_and_shoulders(bars, False))
+    """DOM18, DOM20: doubles and heads with shoulders of each symbol at its last bar."""
+    f = frame(bars)
+    ends = at_last(f)
+    found = doubles_at(f, ends, True).unionByName(doubles_at(f, ends, False)).unionByName(head_and_shoulders_at(f, ends, True)).unionByName(head_and_shoulders_at(f, ends, False))
+    return found.drop("n", "direction", "volatility")
 
 
 def top_pattern(found: DataFrame) -> DataFrame:
-    """TOP8: each symbol's first confirmed pattern, else its first developing one, in the detectors' order."""
+    """TOP8: the first confirmed pattern, else the first developing one, in the detectors' order, of each symbol (and as-of bar n, where found has it)."""
     place = F.lit(len(ORDER))
     for i, name in reversed(list(enumerate(ORDER))):
         place = F.when(F.col("pattern") == name, i).otherwise(place)
-    live = found.where("state in ('confirmed', 'developing')").withColumn("_p", F.when(F.col("state") == "confirmed", 0).otherwise(1)).withColumn("_o", place)
-    return live.withColumn("_n", F.row_number().over(Window.partitionBy("symbol").orderBy("_p", "_o"))).where("_n = 1").drop("_p", "_o", "_n")
+    by = [c for c in ("symbol", "n") if c in found.columns]
+    live = found.where("state in ('confirmed', 'developing')")
+    first = F.struct(F.when(F.col("state") == "confirmed", 0).otherwise(1), place)
+    rest = [c for c in found.columns if c not in by]
+    return live.groupBy(*by).agg(F.min_by(F.struct(*rest), first).alias("p")).select(*by, "p.*")
+
 
 CHART_BACK, TRIANGLE_TOUCHES, TRIANGLE_DAYS, TRIANGLE_RANGE = 90, 3, 14, 0.30
 RECTANGLE_TOUCHES, RECTANGLE_DAYS, RECTANGLE_SD = 2, 10, 0.35
 FLAG_IMPULSE, FLAG_LONGEST, FLAG_CALM = 0.05, 20, 0.6
 
 
-def _sides(bars: DataFrame, touches: int) -> DataFrame:
-    """Per symbol the last touches + 2 swings of each side within the last 90 bars, as slope, first point, mean, extreme and dates; symbols with fewer than touches on a side are left out."""
-    df = I.swings(bars).withColumn("rn", F.row_number().over(I.in_order()))
-    end = df.groupBy("symbol").agg(F.max("rn").alias("n"))
-    df = df.join(end, "symbol").where(F.col("rn") >= F.col("n") - CHART_BACK + 1)
+def _sd(n: Column, s: Column, sq: Column) -> Column:
+    """Sample deviation a year from a count, a sum and a sum of squares; null for fewer than two."""
+    var = F.greatest((sq - s * s / n) / (n - 1), F.lit(0.0))
+    return F.when(n >= 2, F.sqrt(var) * F.sqrt(F.lit(252.0)))
+
+
+def _sides(f: DataFrame, ends: DataFrame, touches: int) -> DataFrame:
+    """At each as-of bar the last touches + 2 swings of each side known within its last 90 bars, as slope, first point, mean, extreme and dates,
+    with the yearly deviation of returns since the first upper swing and before it; bars with fewer than touches on a side are left out."""
     out = None
     for side, flag, k in (("high", "is_high", "u"), ("low", "is_low", "l")):
-        s = df.where(F.col(flag)).withColumn("i", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("rn"))))
-        s = s.withColumn("x", F.col("rn").cast("double")).where(F.col("i") <= touches + 2).groupBy("symbol").agg(
-            F.count("*").alias(f"{k}_n"), F.regr_slope(side, "x").alias(f"{k}_slope"), F.min("rn").alias(f"{k}_rn"), F.min_by(side, "rn").alias(f"{k}_first"), F.avg(side).alias(f"{k}_mean"),
-            F.max(side).alias(f"{k}_max"), F.min(side).alias(f"{k}_min"), F.min("d").alias(f"{k}_d0"), F.max("d").alias(f"{k}_d1"),
+        s = f.where(F.col(flag)).select("symbol", "rn", "d", F.col(side).alias("v"), F.col("rn").cast("double").alias("x"), (F.col("n_ret") - 1).alias("n0"), (F.col("sum_ret") - F.col("ret")).alias("s0"), (F.col("sum_sq") - F.col("ret") * F.col("ret")).alias("q0"))
+        s = _in_sight(s, ends, F.col("rn") + KNOWN_AFTER, F.col("rn") + CHART_BACK - 1)
+        s = s.withColumn("i", F.row_number().over(Window.partitionBy("symbol", "n").orderBy(F.desc("rn")))).where(F.col("i") <= touches + 2).groupBy("symbol", "n").agg(
+            F.count("*").alias(f"{k}_n"), F.regr_slope("v", "x").alias(f"{k}_slope"), F.min("rn").alias(f"{k}_rn"), F.min_by("v", "rn").alias(f"{k}_first"), F.avg("v").alias(f"{k}_mean"),
+            F.max("v").alias(f"{k}_max"), F.min("v").alias(f"{k}_min"), F.min("d").alias(f"{k}_d0"), F.max("d").alias(f"{k}_d1"), F.min_by(F.struct("n0", "s0", "q0"), "rn").alias(f"{k}_before"),
         ).where(F.col(f"{k}_n") >= touches)
-        out = s if out is None else out.join(s, "symbol")
-    return out
-
-
-def _with_returns_around(sides: DataFrame, bars: DataFrame) -> DataFrame:
-    """sides with n, spot, volume ratios, and the yearly deviation of returns since the first upper swing and before it."""
-    df = I.with_returns(bars).withColumn("rn", F.row_number().over(I.in_order()))
-    calm = F.avg("volume").over(I.last(5)) <= 0.7 * F.avg("volume").over(I.last(20))
-    ends = df.withColumn("calm", calm).groupBy("symbol").agg(F.max_by("calm", "rn").alias("contraction"))
-    year = F.sqrt(F.lit(252.0))
-    sd = df.join(sides.select("symbol", "u_rn"), "symbol").groupBy("symbol").agg((F.stddev_samp(F.when(F.col("rn") >= F.col("u_rn"), F.col("ret"))) * year).alias("inside"), (F.stddev_samp(F.when(F.col("rn") < F.col("u_rn"), F.col("ret"))) * year).alias("outside"))
-    return sides.join(_last(bars), "symbol").join(ends, "symbol").join(sd, "symbol")
+        out = s if out is None else out.join(s.drop("l_before"), ["symbol", "n"])
+    out = out.join(ends.select("symbol", "n", "spot", "rvol", "contraction", "sum_ret", "sum_sq", "n_ret"), ["symbol", "n"])
+    b = lambda c: F.col(f"u_before.{c}")
+    inside = _sd(F.col("n_ret") - b("n0"), F.col("sum_ret") - b("s0"), F.col("sum_sq") - b("q0"))
+    return out.withColumn("inside", inside).withColumn("outside", F.when(F.col("u_rn") > 6, _sd(b("n0"), b("s0"), b("q0"))).otherwise(F.col("inside")))
 
 
 def _out(df: DataFrame, pattern: Column, up: Column, trigger: Column, stop: Column, times: float, failed: Column, confirmed_by: Column, range_pct: Column, contracting: Column) -> DataFrame:
@@ -126,15 +202,15 @@ def _out(df: DataFrame, pattern: Column, up: Column, trigger: Column, stop: Colu
     loud = F.coalesce(F.col("rvol") >= VOLUME, F.lit(False))
     state = F.when(failed, "failed").when(beyond & loud, "confirmed").otherwise("developing")
     target = F.when(up, trigger + (trigger - stop) * times).otherwise(trigger - (stop - trigger) * times)
-    return df.select("symbol", pattern.alias("pattern"), F.when(up, "up").otherwise("down").alias("direction"), state.alias("state"), F.round(trigger, 4).alias("trigger"), F.round(stop, 4).alias("stop"), F.round(target, 4).alias("target"), F.round(range_pct * 100, 4).alias("range_pct"), confirmed_by.alias("volume_confirmed"), F.when(contracting, "contracting").otherwise("stable").alias("volatility"))
+    return df.select("symbol", "n", pattern.alias("pattern"), F.when(up, "up").otherwise("down").alias("direction"), state.alias("state"), F.round(trigger, 6).alias("trigger"), F.round(stop, 6).alias("stop"), F.round(target, 6).alias("target"), F.round(range_pct * 100, 6).alias("range_pct"), confirmed_by.alias("volume_confirmed"), F.when(contracting, "contracting").otherwise("stable").alias("volatility"))
 
 
-def triangles(bars: DataFrame) -> DataFrame:
-    """DOM16: trendlines through the last swings of each side that close in on each other, with their values at the last bar as trigger and stop.
+def triangles_at(f: DataFrame, ends: DataFrame) -> DataFrame:
+    """DOM16: trendlines through the last swings of each side that close in on each other, with their values at the as-of bar as trigger and stop.
 
     The names are those of the source material: both closing in is ascending.
     """
-    df = _with_returns_around(_sides(bars, TRIANGLE_TOUCHES), bars)
+    df = _sides(f, ends, TRIANGLE_TOUCHES)
     up_now, low_now = (F.col(f"{k}_first") + F.col(f"{k}_slope") * (F.col("n") - F.col(f"{k}_rn")) for k in "ul")
     us, ls = F.col("u_slope"), F.col("l_slope")
     flat_top, flat_floor = (F.abs(us) < F.abs(ls) * 0.5) & (ls > 0), (F.abs(ls) < F.abs(us) * 0.5) & (us < 0)
@@ -149,9 +225,9 @@ def triangles(bars: DataFrame) -> DataFrame:
     return _out(df, F.col("kind"), up, trigger, stop, 1.5, failed, loud, F.col("width"), F.coalesce(F.col("inside") < F.col("outside") * 0.85, F.lit(False)))
 
 
-def rectangles(bars: DataFrame) -> DataFrame:
-    """DOM17: the means of the last swings of each side as ceiling and floor, where returns between them are calm; up or down by the last close."""
-    df = _with_returns_around(_sides(bars, RECTANGLE_TOUCHES), bars)
+def rectangles_at(f: DataFrame, ends: DataFrame) -> DataFrame:
+    """DOM17: the means of the last swings of each side as ceiling and floor, where returns between them are calm; up or down by the as-of close."""
+    df = _sides(f, ends, RECTANGLE_TOUCHES)
     top, floor, spot = F.col("u_mean"), F.col("l_mean"), F.col("spot")
     df = df.where((F.datediff("u_d1", "u_d0") >= RECTANGLE_DAYS) & (top > floor) & ~F.coalesce(F.col("inside") > RECTANGLE_SD, F.lit(False)))
     up = F.when(spot >= top * (1 + BREAK), True).when(spot <= floor * (1 - BREAK), False).otherwise(spot > (top + floor) / 2)
@@ -160,18 +236,17 @@ def rectangles(bars: DataFrame) -> DataFrame:
     return _out(df, F.lit("rectangle"), up, trigger, stop, 1.0, F.lit(False), loud, (top - floor) / ((top + floor) / 2), F.coalesce("contraction", F.lit(False)))
 
 
-def flags(bars: DataFrame) -> DataFrame:
-    """DOM19: an impulse of 5 % within 5 to 10 bars of the last 30, then 5 to 20 bars up to the last one with at most 0.6 of its deviation; the first start, then the first end that fits.
+def flags_at(ends: DataFrame) -> DataFrame:
+    """DOM19: an impulse of 5 % within 5 to 10 bars of the last 30, then 5 to 20 bars up to the as-of bar with at most 0.6 of its deviation; the first start, then the first end that fits.
 
-    Each symbol's last bars are one short array, so starts and ends meet inside a row.
+    The last 31 bars come along as one short array, so starts and ends meet inside a row.
     """
-    df = I.with_returns(bars).withColumn("rn", F.row_number().over(I.in_order())).withColumn("age", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("d"))))
-    short = df.where("age <= 31").groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("rn", "close", "high", "low", "ret"))).alias("b")).join(_last(bars), "symbol").where("n >= 30")
+    short = ends.where("n >= 30").select("symbol", "n", "spot", "rvol", F.col("recent").alias("b"))
     size = F.size("b")
-    # places in the array: the last bar is at size - 1; the first start is 30 bars before the end
+    # places in the array: the as-of bar is at size - 1; the first start is 30 bars before the end
     pairs = short.withColumn("s", F.explode(F.sequence(F.greatest(size - 30, F.lit(0)), size - 6))).withColumn("e", F.explode(F.sequence(F.col("s") + 5, F.col("s") + 10))).where("e < size(b) - 5")
     c = lambda i: F.col("b")[F.col(i)]["close"]
-    pairs = pairs.withColumn("move", c("e") / c("s") - 1).withColumn("rest", F.slice("b", F.col("e") + 1, size)).where((F.abs(F.col("move")) >= FLAG_IMPULSE) & F.size("rest").between(5, FLAG_LONGEST))
+    pairs = pairs.withColumn("move", c("e") / c("s") - 1).where((F.abs(F.col("move")) >= FLAG_IMPULSE) & (size - F.col("e")).between(5, FLAG_LONGEST)).withColumn("rest", F.slice("b", F.col("e") + 1, size))
 
     def sd(rows: Column) -> Column:
         r = F.transform(rows, lambda x: x["ret"])
@@ -179,7 +254,7 @@ def flags(bars: DataFrame) -> DataFrame:
         return F.sqrt(F.aggregate(r, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.nullif(F.size(r) - 1, F.lit(0))) * F.sqrt(F.lit(252.0))
 
     pairs = pairs.withColumn("calm", sd(F.slice("b", F.col("e") + 2, size))).withColumn("wild", sd(F.slice("b", F.col("s") + 2, F.col("e") - F.col("s") - 1))).where(F.col("calm") < F.col("wild") * FLAG_CALM)
-    first = pairs.groupBy("symbol").agg(F.min_by(F.struct("move", "rest", "spot", "rvol", "calm", "wild", "s", "e"), F.struct("s", "e")).alias("p")).select("symbol", "p.*")
+    first = pairs.groupBy("symbol", "n").agg(F.min_by(F.struct("move", "rest", "spot", "rvol", "calm", "wild", "s", "e"), F.struct("s", "e")).alias("p")).select("symbol", "n", "p.*")
     hi, lo = F.array_max(F.transform("rest", lambda x: x["high"])), F.array_min(F.transform("rest", lambda x: x["low"]))
     m = F.size("rest")
     mx, my = (m - 1) / 2, F.aggregate("rest", F.lit(0.0), lambda a, x: a + x["close"]) / m
@@ -192,6 +267,61 @@ def flags(bars: DataFrame) -> DataFrame:
     loud = F.coalesce(F.col("rvol") >= VOLUME, F.lit(False))
     return _out(first, F.concat(F.when(up, "bull_").otherwise("bear_"), form), up, trigger, stop, 1.5, F.lit(False), loud, (F.col("hi") - F.col("lo")) / F.col("spot"), F.lit(True))
 
+
+def triangles(bars: DataFrame) -> DataFrame:
+    """DOM16 at each symbol's last bar."""
+    f = frame(bars)
+    return triangles_at(f, at_last(f)).drop("n")
+
+
+def rectangles(bars: DataFrame) -> DataFrame:
+    """DOM17 at each symbol's last bar."""
+    f = frame(bars)
+    return rectangles_at(f, at_last(f)).drop("n")
+
+
+def flags(bars: DataFrame) -> DataFrame:
+    """DOM19 at each symbol's last bar."""
+    return flags_at(at_last(frame(bars))).drop("n")
+
+
+WALK_FROM, WALK_EVERY, WALK_SHORT = 120, 5, 25
+HIT_MOVE = 0.005
+
+
+def walk(f: DataFrame) -> DataFrame:
+    """The as-of bars of a walk: every fifth from the 120th on, up to 25 before the last."""
+    return as_of_bars(f, (F.col("rn") >= WALK_FROM) & ((F.col("rn") - WALK_FROM) % WALK_EVERY == 0) & (F.col("rn") < F.col("bars") - WALK_SHORT))
+
+
+def detections(f: DataFrame, ends: DataFrame) -> DataFrame:
+    """DOM22: (symbol, n, as_of, pattern, state, trigger, spot, fwd_1w, fwd_2w, fwd_4w, hit) of all seven detectors at each as-of bar.
+
+    Returns are over the 5, 10 and 20 bars after it.  A pattern points up or
+    down by its name; rectangles and symmetrical triangles point up where they
+    are confirmed with the trigger above the close, else down.  It hits when the
+    20-bar return goes its way by half a percent or more; null without one.
+    """
+    fwd = [(F.col(f"close_{k}") / F.col("spot") - 1).alias(name) for k, name in zip(AHEAD, ("fwd_1w", "fwd_2w", "fwd_4w"), strict=True)]
+    df = patterns_at(f, ends).join(ends.select("symbol", "n", "as_of", "spot", *fwd), ["symbol", "n"])
+    other = ~F.col("pattern").isin(*BULLISH, *BEARISH)
+    up = F.col("pattern").isin(*BULLISH) | (other & (F.col("state") == "confirmed") & (F.col("trigger") > F.col("spot")))
+    hit = F.when(F.col("fwd_4w").isNotNull(), F.when(up, F.col("fwd_4w") >= HIT_MOVE).otherwise(F.col("fwd_4w") <= -HIT_MOVE))
+    return df.select("symbol", "n", "as_of", "pattern", "state", "trigger", "spot", "fwd_1w", "fwd_2w", "fwd_4w", hit.alias("hit"))
+
+
+def pattern_statistics(found: DataFrame, least: int = 10, held_out: float = 0.5) -> DataFrame:
+    """DOM22, AGG15: the later part of each symbol's detections of a pattern, from least of them on: counts, hit rate, mean returns, median, and how often the 20-bar return is 1 % either way."""
+    by = Window.partitionBy("symbol", "pattern")
+    df = found.withColumn("n_total", F.count("*").over(by)).withColumn("i", F.row_number().over(by.orderBy("n")))
+    df = df.where((F.col("n_total") >= least) & (F.col("i") > F.floor(F.col("n_total") * (1 - held_out))))
+    big = F.when(F.col("fwd_4w").isNotNull(), (F.abs("fwd_4w") >= 0.01).cast("double"))
+    return df.groupBy("symbol", "pattern").agg(
+        F.count("*").alias("n"), F.max("n_total").alias("n_total"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("hit_rate"), F.round(F.avg("fwd_1w"), 9).alias("avg_return_1w"),
+        F.round(F.avg("fwd_2w"), 9).alias("avg_return_2w"), F.round(F.avg("fwd_4w"), 9).alias("avg_return_4w"), F.round(F.median("fwd_4w"), 9).alias("median_return_4w"), F.round(F.avg(big), 6).alias("win_rate_1pct"),
+    )
+
+
 NODES_BACK, NODE_BINS = 60, 50
 NEAREST = 8
 
@@ -279,9 +409,8 @@ def chart_scores(bars: DataFrame) -> DataFrame:
     v = df.select("symbol", "rn", (F.col("volume") / v20).alias("rvol"), (v5 / v20 <= 0.7).alias("contraction")).groupBy("symbol").agg(F.max_by("rvol", "rn").alias("rvol"), F.max_by("contraction", "rn").alias("contraction")).join(a, "symbol")
     volume = 50.0 + F.when(F.col("rvol") >= EXPANSION, 15).otherwise(0) + F.when(F.col("contraction"), 10).otherwise(0) + F.when(F.col("ad") > 0, 15).when(F.col("ad") < 0, -10).otherwise(0) - F.when(F.col("rvol") < 0.7, 10).otherwise(0)
     v = v.select("symbol", bound(volume).alias("volume"))
-    every = patterns_now(bars).select("symbol", "state", "volume_confirmed", F.lit("stable").alias("volatility"))
-    for more in (triangles(bars), rectangles(bars), flags(bars)):
-        every = every.unionByName(more.select("symbol", "state", "volume_confirmed", "volatility"))
+    f = frame(bars)
+    every = patterns_at(f, at_last(f))
     has = lambda c: F.max(c.cast("int")) == 1
     p = every.groupBy("symbol").agg(has(F.col("state") == "confirmed").alias("confirmed"), has(F.col("state") == "developing").alias("developing"), has(F.col("state") == "failed").alias("failed"), has(F.col("volatility") == "contracting").alias("contracting"), has(F.col("volume_confirmed")).alias("loud"))
     got = t.join(levels, "symbol", "left").join(v, "symbol", "left").join(p, "symbol", "left")

@@ -160,23 +160,6 @@ def pattern_calibration(outcomes: DataFrame) -> DataFrame:
     return got.select("horizon", *(F.round(c, 6).alias(c) if c.startswith("cov") else F.col(c) for c in got.columns if c != "horizon"))
 
 
-def pattern_stats(found: DataFrame, bars: DataFrame, least: int = 10) -> DataFrame:
-    """AGG15: (symbol, pattern, n, hit_rate, avg_return) of 20-bar returns after patterns, over the later half of each symbol's cases, from least cases on."""
-    fwd = bars.select("symbol", F.col("d").alias("known"), (F.lead("close", 20).over(I.in_order()) / F.col("close") - 1).alias("fwd"))
-    got = found.join(fwd, ["symbol", "known"]).where("fwd is not null")
-    bearish = F.col("pattern").isin("double_top", "head_shoulders")
-    got = got.withColumn("hit", F.when(bearish, F.col("fwd") < 0).otherwise(F.col("fwd") > 0).cast("double"))
-    by = Window.partitionBy("symbol", "pattern")
-    got = got.withColumn("all_", F.count("*").over(by)).withColumn("i_", F.row_number().over(by.orderBy("known", "d"))).where((F.col("all_") >= least) & (F.col("i_") > F.floor(F.col("all_") / 2)))
-    return got.groupBy("symbol", "pattern").agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("hit_rate"), F.round(F.avg("fwd"), 9).alias("avg_return"))
-
-
-def latest_pattern(found: DataFrame, stats: DataFrame) -> DataFrame:
-    """JOI16, TOP8: each symbol's pattern that became known last (the first by name of equals), with the statistics of its kind, null if there are none."""
-    first = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("known"), "pattern", F.desc("d")))
-    return found.withColumn("_n", first).where("_n = 1").select("symbol", "pattern", "d", "known").join(stats, ["symbol", "pattern"], "left")
-
-
 def paper_signals(forecasts: DataFrame, bars: DataFrame) -> DataFrame:
     """DOM29: each forecast's horizons (id, horizon) with the first close int(1.4 h) days after it or later, its return, whether the bands held, and the signal's status.
 
@@ -210,7 +193,7 @@ def validation(forward: DataFrame, oos: DataFrame) -> DataFrame:
         passed = passed + F.coalesce(x.cast("int"), F.lit(0))
     df = df.withColumn("passed", passed)
     status = F.when(F.col("n") < 10, "OOS-conditional").when(F.col("forward_n") < 21, "validating").when(F.col("passed") == 4, "validated").when(F.col("passed") >= 2, "validating").otherwise("failed_validation")
-    return df.select("symbol", "pattern", "n", "forward_n", *(F.round(k, 6).alias(k) for k in ("hit", "mean", "cov68", "cov90")), "passed", status.alias("status"))
+    return df.select("symbol", "pattern", "n", "forward_n", *(F.round(k, 9).alias(k) for k in ("hit", "mean", "cov68", "cov90")), "passed", status.alias("status"))
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, forward: bool = False) -> DataFrame:
@@ -256,18 +239,6 @@ def patterns(bars: DataFrame) -> DataFrame:
     return out
 
 
-def pattern_outcomes(found: DataFrame, bars: DataFrame, least: int = 10) -> DataFrame:
-    """DOM22, AGG15: forward returns after each pattern was known, hits (bearish ones fall, bullish ones rise), in and out of the sample's first half by date."""
-    fwd = bars.select("symbol", F.col("d").alias("known"), (F.lead("close", 20).over(I.in_order()) / F.col("close") - 1).alias("fwd"))
-    got = found.join(fwd, ["symbol", "known"]).where("fwd is not null")
-    bearish = F.col("pattern").isin("double_top", "head_shoulders")
-    got = got.withColumn("hit", F.when(bearish, F.col("fwd") < 0).otherwise(F.col("fwd") > 0).cast("double"))
-    by = Window.partitionBy("pattern")
-    got = got.withColumn("n_", F.count("*").over(by)).withColumn("i_", F.row_number().over(by.orderBy("known", "symbol", "d")))
-    late = F.col("i_") > F.floor(F.col("n_") / 2)
-    return got.groupBy("pattern").agg(F.count("*").alias("n"), F.round(F.avg("fwd"), 6).alias("fwd_mean"), F.round(F.avg("hit"), 6).alias("hit_rate"), F.round(F.avg(F.when(late, F.col("hit"))), 6).alias("hit_rate_late")).where(F.col("n") >= least)
-
-
 def levels(bars: DataFrame, nearest: int = 8) -> DataFrame:
     """DOM15, TOP3: supports and resistances of each symbol at its last bar from swings, averages and the range, the nearest of each side."""
     down = Window.partitionBy("symbol").orderBy(F.desc("d"))

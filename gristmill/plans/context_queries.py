@@ -167,11 +167,7 @@ def dom21_chart_total(spark, sf_dir):
     return C.chart_scores(view(spark, sf_dir, "bars"))
 
 
-def top08_top_pattern(spark, sf_dir):
-    return C.top_pattern(C.patterns_now(view(spark, sf_dir, "bars"))).select("symbol", "pattern", "state")
-
-
-QUERIES = {f.__name__: f for f in (dom14_trend_record, win19_gap_zones, dom15_sr_levels, dom21_chart_total, dom16_triangle_states, dom17_rectangle_states, dom18_pattern_states, dom19_flag_states, top08_top_pattern, dom30_eight_pillars, dat06_event_risk, dom31_macro_regime, dom34_flow, dom32_assessment, dom12_benchmark_regime, dom13_monitor, agg21_news, dom35_event_bundle, dom38_candidates, top10_latest, fil01_valid_bars, fil02_history_gates, fil09_of_handle, fil10_dated_documents, joi18_tickers, joi02_sectors, dom43_probes)}
+QUERIES = {f.__name__: f for f in (dom14_trend_record, win19_gap_zones, dom15_sr_levels, dom21_chart_total, dom16_triangle_states, dom17_rectangle_states, dom18_pattern_states, dom19_flag_states, dom30_eight_pillars, dat06_event_risk, dom31_macro_regime, dom34_flow, dom32_assessment, dom12_benchmark_regime, dom13_monitor, agg21_news, dom35_event_bundle, dom38_candidates, top10_latest, fil01_valid_bars, fil02_history_gates, fil09_of_handle, fil10_dated_documents, joi18_tickers, joi02_sectors, dom43_probes)}
 
 _V = ", ".join(f"('{p}', '{s}', '{f}', {c!r}, {k!r})" for p, s, f, c, k in COMPONENTS)
 _CL = lambda x, lo="-1", hi="1": f"CASE WHEN {x} IS NOT NULL THEN GREATEST(LEAST({x}, {hi}), {lo}) END"
@@ -199,7 +195,7 @@ def _states(top: bool) -> str:
     beyond = "p2 > p1 AND p2 > p3" if top else "p2 < p1 AND p2 < p3"
     names = ("double_top", "head_and_shoulders") if top else ("double_bottom", "inverse_head_and_shoulders")
     k = "1.02" if top else "0.98"
-    out = lambda name, failed, stop, depth, src: f"SELECT symbol, '{name}' AS pattern, CASE WHEN {broken} AND loud THEN 'confirmed' WHEN {broken} THEN 'developing' WHEN {failed} THEN 'failed' ELSE 'developing' END AS state, ROUND(neck, 4) AS trigger, ROUND({stop}, 4) AS stop, ROUND(neck {'-' if top else '+'} ({depth}), 4) AS target, ROUND(({depth}) / neck * 100, 4) AS range_pct, loud AS volume_confirmed, CAST(duration AS INT) AS duration FROM {src}"
+    out = lambda name, failed, stop, depth, src: f"SELECT symbol, '{name}' AS pattern, CASE WHEN {broken} AND loud THEN 'confirmed' WHEN {broken} THEN 'developing' WHEN {failed} THEN 'failed' ELSE 'developing' END AS state, ROUND(neck, 6) AS trigger, ROUND({stop}, 6) AS stop, ROUND(neck {'-' if top else '+'} ({depth}), 6) AS target, ROUND(({depth}) / neck * 100, 6) AS range_pct, loud AS volume_confirmed, CAST(duration AS INT) AS duration FROM {src}"
     return f""", s{t} AS (SELECT symbol, d, rn, {side} AS v FROM sn WHERE {flag}),
 d{t} AS (SELECT a.symbol, a.rn AS r1, c.rn AS r2, a.v AS p1, c.v AS p2, c.rn - a.rn AS duration, n, spot, loud FROM (SELECT *, LEAD(rn) OVER (PARTITION BY symbol ORDER BY rn) AS nx FROM s{t}) a JOIN s{t} c ON a.symbol = c.symbol AND c.rn = nx JOIN lst ON lst.symbol = a.symbol WHERE a.rn >= n - {C.DOUBLE_BACK - 1} AND c.rn - a.rn >= {C.DOUBLE_SEPARATION} AND ABS(a.v - c.v) / ((a.v + c.v) / 2) <= {C.DOUBLE_TOLERANCE}),
 d1{t} AS (SELECT x.*, (SELECT {far} FROM sn b WHERE b.symbol = x.symbol AND b.rn BETWEEN r1 AND r2) AS neck FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY r2) AS k_ FROM d{t}) x WHERE k_ = 1),
@@ -225,7 +221,7 @@ a AS (SELECT us.*, ls.* EXCLUDE (symbol), n, spot, rvol, loud, contraction, insi
 def _shape(src: str, pattern: str, times: float, failed: str, confirmed: str, width: str, contracting: str) -> str:
     """src has up, trigger, stop, spot and loud."""
     beyond = f"CASE WHEN up THEN spot >= trigger * {1 + C.BREAK} ELSE spot <= trigger * {1 - C.BREAK} END"
-    return f"SELECT symbol, {pattern} AS pattern, CASE WHEN up THEN 'up' ELSE 'down' END AS direction, CASE WHEN {failed} THEN 'failed' WHEN {beyond} AND loud THEN 'confirmed' ELSE 'developing' END AS state, ROUND(trigger, 4) AS trigger, ROUND(stop, 4) AS stop, ROUND(CASE WHEN up THEN trigger + (trigger - stop) * {times} ELSE trigger - (stop - trigger) * {times} END, 4) AS target, ROUND({width} * 100, 4) AS range_pct, {confirmed} AS volume_confirmed, CASE WHEN {contracting} THEN 'contracting' ELSE 'stable' END AS volatility FROM {src}"
+    return f"SELECT symbol, {pattern} AS pattern, CASE WHEN up THEN 'up' ELSE 'down' END AS direction, CASE WHEN {failed} THEN 'failed' WHEN {beyond} AND loud THEN 'confirmed' ELSE 'developing' END AS state, ROUND(trigger, 6) AS trigger, ROUND(stop, 6) AS stop, ROUND(CASE WHEN up THEN trigger + (trigger - stop) * {times} ELSE trigger - (stop - trigger) * {times} END, 6) AS target, ROUND({width} * 100, 6) AS range_pct, {confirmed} AS volume_confirmed, CASE WHEN {contracting} THEN 'contracting' ELSE 'stable' END AS volatility FROM {src}"
 
 
 _TRIANGLES = _around(C.TRIANGLE_TOUCHES) + f""", k AS (SELECT *, u_first + u_slope * (n - u_rn) AS un, l_first + l_slope * (n - l_rn) AS ln, CASE WHEN u_slope < 0 AND l_slope > 0 THEN 'ascending_triangle' WHEN u_slope > 0 AND l_slope < 0 THEN 'descending_triangle' WHEN ABS(u_slope) < ABS(l_slope) * 0.5 AND l_slope > 0 OR ABS(l_slope) < ABS(u_slope) * 0.5 AND u_slope < 0 THEN 'symmetrical_triangle' END AS kind,
@@ -284,7 +280,6 @@ ORACLE_SQL = {
     "dom17_rectangle_states": oracle("bars", _RECTANGLES),
     "dom19_flag_states": oracle("bars", _FLAGS),
     "dom18_pattern_states": oracle("bars", _STATES + " SELECT * FROM states"),
-    "top08_top_pattern": oracle("bars", _STATES + " SELECT symbol, pattern, state FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY CASE state WHEN 'confirmed' THEN 0 ELSE 1 END, CASE pattern " + " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(C.ORDER)) + " END) AS k_ FROM states WHERE state <> 'failed') x WHERE k_ = 1"),
     "dom30_eight_pillars": oracle("series", _PS + " SELECT * FROM ps"),
     "dat06_event_risk": f"WITH {_RISK} SELECT ROUND(GREATEST(-0.15 * high, -1), 6) AS score, high, next, days_to_next, CASE WHEN ROUND(GREATEST(-0.15 * high, -1), 6) < -0.05 THEN 'deteriorating' ELSE 'neutral' END AS state FROM r",
     "dom31_macro_regime": oracle("series macro_state", _PS + f""", w AS (SELECT {', '.join(f"MAX(CASE WHEN pillar = '{k}' THEN score END) AS {k}" for k in K.PILLARS)}, COUNT(CASE WHEN state <> 'unavailable' THEN 1 END) AS available FROM ps), v AS (SELECT w.*, bear_risk * 40 AS level FROM w CROSS JOIN macro_state),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import forecast as P, indicators as I, macro as M, options as O
+from ..operators import forecast as P, indicators as I, macro as M
 from ..sources.views import oracle, table, view
 from .indicator_queries import W, _SWINGS, _full, _rows
 
@@ -13,31 +13,10 @@ def _bars(spark, sf_dir):
     return view(spark, sf_dir, "bars")
 
 
-def _surface(spark, sf_dir):
-    return O.at_the_money(view(spark, sf_dir, "chain")).groupBy("underlying", "dte").agg(F.avg("iv").alias("iv"))
-
-
-def _stats(spark, sf_dir):
-    return P.pattern_stats(P.patterns(_bars(spark, sf_dir)), _bars(spark, sf_dir))
-
-
-def dom27_forecast(spark, sf_dir):
-    pattern = P.latest_pattern(P.patterns(_bars(spark, sf_dir)), _stats(spark, sf_dir))
-    return P.bands(_bars(spark, sf_dir), _surface(spark, sf_dir), pattern, latest=True).drop("rn")
-
-
 def dom27_past_forecasts(spark, sf_dir):
     return P.bands(_bars(spark, sf_dir)).drop("rn")
 
 
-def agg15_pattern_stats(spark, sf_dir):
-    return _stats(spark, sf_dir)
-
-
-def joi16_latest_pattern(spark, sf_dir):
-    return P.latest_pattern(P.patterns(_bars(spark, sf_dir)), _stats(spark, sf_dir))
-
-
 def _outcomes(spark, sf_dir):
     return P.resolved(P.bands(_bars(spark, sf_dir)), _bars(spark, sf_dir))
 
@@ -57,17 +36,6 @@ def agg16_calibration(spark, sf_dir):
     return P.calibration(_outcomes(spark, sf_dir))
 
 
-def _used(spark, sf_dir):
-    """Outcomes with whether a pattern had become known in the 28 days before."""
-    last = P.as_of(_outcomes(spark, sf_dir), P.patterns(_bars(spark, sf_dir)).select("symbol", F.col("known").alias("t"), "pattern"), "symbol", "d", "t", "pattern")
-    near = F.coalesce(F.datediff("d", "found_t") <= 28, F.lit(False))
-    return last.withColumn("pattern_used", near)
-
-
-def agg16_pattern_calibration(spark, sf_dir):
-    return P.pattern_calibration(_used(spark, sf_dir))
-
-
 def agg17_symbol_calibration(spark, sf_dir):
     return P.calibration(_outcomes(spark, sf_dir), "symbol")
 
@@ -80,13 +48,6 @@ def dom29_paper_signals(spark, sf_dir):
     return P.paper_signals(P.bands(_bars(spark, sf_dir)), _bars(spark, sf_dir))
 
 
-def agg18_gate(spark, sf_dir):
-    signals = P.paper_signals(P.bands(_bars(spark, sf_dir)), _bars(spark, sf_dir))
-    found = P.patterns(_bars(spark, sf_dir)).select("symbol", F.col("known").alias("t"), "pattern").groupBy("symbol", "t").agg(F.min("pattern").alias("pattern"))
-    named = P.as_of(signals, found, "symbol", "d", "t", "pattern").where("pattern is not null")
-    return P.validation(named, _stats(spark, sf_dir))
-
-
 def fil11_open_records(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     records = e.select(F.col("event_id").alias("id"), F.when(F.col("user_id") % 5 == 0, "macro_dashboard").otherwise("forecast").alias("profile"), F.when(F.col("event_type") == "error", "closed").alias("label"), F.when(F.col("user_id") % 3 == 0, F.date_add(F.to_date("ts"), 1)).alias("last_resolved"), "ts")
@@ -112,10 +73,6 @@ def dom18_patterns(spark, sf_dir):
     return P.patterns(_bars(spark, sf_dir))
 
 
-def dom22_pattern_backtest(spark, sf_dir):
-    return P.pattern_outcomes(P.patterns(_bars(spark, sf_dir)), _bars(spark, sf_dir), 1)
-
-
 def dom15_levels(spark, sf_dir):
     return P.levels(_bars(spark, sf_dir))
 
@@ -162,7 +119,7 @@ def stm01_hourly_bars(spark, sf_dir):
     return hourly_bars(e.select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.lit(1).alias("volume"))).select("symbol", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "open", "high", "low", "close", "volume")
 
 
-QUERIES = {f.__name__: f for f in (dom27_forecast, dom27_past_forecasts, agg15_pattern_stats, joi16_latest_pattern, dom28_outcomes, joi13_level_touches, agg16_calibration, agg16_pattern_calibration, agg17_symbol_calibration, agg17_symbol_status, agg18_gate, dom29_paper_signals, fil11_open_records, joi11_forward_as_of, joi12_backward_as_of, dom18_patterns, dom22_pattern_backtest, dom15_levels, win27_series_features, dom30_pillars, dom31_regime, dom33_volatility_states, dom34_positioning, dom37_position_changes, agg23_holdings_summary, stm01_hourly_bars, stm04_lockouts)}
+QUERIES = {f.__name__: f for f in (dom27_past_forecasts, dom28_outcomes, joi13_level_touches, agg16_calibration, agg17_symbol_calibration, agg17_symbol_status, dom29_paper_signals, fil11_open_records, joi11_forward_as_of, joi12_backward_as_of, dom18_patterns, dom15_levels, win27_series_features, dom30_pillars, dom31_regime, dom33_volatility_states, dom34_positioning, dom37_position_changes, agg23_holdings_summary, stm01_hourly_bars, stm04_lockouts)}
 
 _ROWS = f""", lr AS (SELECT *, LN(close) - LN(LAG(close) OVER ({W})) AS logret, CAST(ROW_NUMBER() OVER ({W}) AS INT) AS rn FROM bars),
 mm AS (SELECT *, AVG(logret) {_rows(60)} AS mu, STDDEV_SAMP(logret) {_rows(120)} AS sd, STDDEV_SAMP(logret) {_rows(504)} AS sd_all, MAX(rn) OVER (PARTITION BY symbol) AS last_rn FROM lr),
@@ -205,37 +162,23 @@ def _swing_side(side: str, flag: str, double: str, shoulders: str) -> str:
 
 
 _PATTERNS = f", sw AS (SELECT *, ROW_NUMBER() OVER ({W}) AS rn, LEAD(d, 5) OVER ({W}) AS known FROM {_SWINGS}), pat AS (" + _swing_side("high", "is_high", "double_top", "head_shoulders") + " UNION ALL " + _swing_side("low", "is_low", "double_bottom", "inverse_head_shoulders") + ")"
-_STATS = f""", fw20 AS (SELECT symbol, d AS known, LEAD(close, 20) OVER ({W}) / close - 1 AS fwd FROM bars), ps AS (SELECT pat.*, fwd, CASE WHEN pattern IN ('double_top', 'head_shoulders') THEN fwd < 0 ELSE fwd > 0 END AS hit, COUNT(*) OVER (PARTITION BY pat.symbol, pattern) AS all_, ROW_NUMBER() OVER (PARTITION BY pat.symbol, pattern ORDER BY pat.known, pat.d) AS i_ FROM pat JOIN fw20 ON pat.symbol = fw20.symbol AND pat.known = fw20.known WHERE fwd IS NOT NULL),
-stats AS (SELECT symbol, pattern, COUNT(*) AS n, ROUND(AVG(CASE WHEN hit THEN 1E0 ELSE 0E0 END), 6) AS hit_rate, ROUND(AVG(fwd), 9) AS avg_return FROM ps WHERE all_ >= 10 AND i_ > FLOOR(all_ / 2) GROUP BY 1, 2),
-latest AS (SELECT l.symbol, l.pattern, l.d, l.known, n, hit_rate, avg_return FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY known DESC, pattern, d DESC) AS n_ FROM pat) l LEFT JOIN stats ON l.symbol = stats.symbol AND l.pattern = stats.pattern WHERE n_ = 1)"""
 _SW = "PARTITION BY series_id ORDER BY d"
 _SERF = f""", sf AS (SELECT series_id, d, ROUND(value / CASE WHEN COUNT(value) OVER ({_SW} ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) = 200 THEN AVG(value) OVER ({_SW} ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) END - 1, 6) AS ma_distance, ROUND(value / LAG(value, 3) OVER ({_SW}) - 1, 6) AS change3, ROUND(value / LAG(value, 252) OVER ({_SW}) - 1, 6) AS yoy,
  ROUND(GREATEST(LEAST(CASE WHEN STDDEV_POP(value) OVER p > 0 THEN (value - AVG(value) OVER p) / STDDEV_POP(value) OVER p ELSE 0 END, 3), -3), 5) AS z FROM series WINDOW p AS ({_SW} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 _PILLARS = _SERF + ", lastf AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY d DESC) AS n_ FROM sf) x WHERE n_ = 1), comp AS (" + " UNION ALL ".join(f"SELECT series_id, CASE WHEN {k} IS NOT NULL THEN GREATEST(LEAST({k} / {s}, 1), -1) END AS x FROM lastf" for k, s in (("z", 2.0), ("change3", 0.5), ("yoy", 0.5), ("ma_distance", 0.5))) + "), pil AS (SELECT series_id, ROUND(AVG(x), 6) AS score, COUNT(x) AS n, CAST(COUNT(*) - COUNT(x) AS BIGINT) AS missing FROM comp GROUP BY 1)"
 _CLAMP = lambda x: f"GREATEST(LEAST({x}, 1), -1)"
 ORACLE_SQL = {
-    "dom27_forecast": oracle("bars chain", _PATTERNS + _STATS + _fc("rn = last_rn", True, True) + " SELECT symbol, d, horizon, spot, sigma, method, " + ", ".join(P.Z) + " FROM fc"),
     "dom27_past_forecasts": oracle("bars", _PAST + " SELECT symbol, d, horizon, spot, sigma, method, " + ", ".join(P.Z) + " FROM fc"),
-    "agg15_pattern_stats": oracle("bars", _PATTERNS + _STATS + " SELECT * FROM stats"),
-    "joi16_latest_pattern": oracle("bars", _PATTERNS + _STATS + " SELECT * FROM latest"),
     "dom28_outcomes": oracle("bars", _OUT + " SELECT * FROM outcomes"),
     "joi13_level_touches": oracle("bars", f", lv AS (SELECT symbol, d, ROW_NUMBER() OVER ({W}) AS rn, MIN(low) {_rows(20)} AS support, MAX(high) {_rows(20)} AS resistance FROM bars), lx AS (SELECT symbol, d, 'support' AS name, support AS level FROM lv WHERE rn % 21 = 0 UNION ALL SELECT symbol, d, 'resistance', resistance FROM lv WHERE rn % 21 = 0) SELECT lx.symbol, lx.d, name, level, MAX(high) >= level * 1.005 AS over, MIN(low) <= level * 0.995 AS under FROM lx JOIN bars b ON b.symbol = lx.symbol AND b.d BETWEEN lx.d AND lx.d + 21 GROUP BY 1, 2, 3, 4"),
     "agg16_calibration": oracle("bars", _OUT + " " + _CAL("")),
-    "agg16_pattern_calibration": oracle("bars", _PATTERNS + _OUT + """, u AS (SELECT o.*, COALESCE(o.d - k.known <= 28, FALSE) AS used FROM outcomes o ASOF LEFT JOIN (SELECT DISTINCT symbol, known FROM pat) k ON o.symbol = k.symbol AND o.d >= k.known),
-g AS (SELECT horizon, COUNT(CASE WHEN used THEN 1 END) AS n_with, AVG(CASE WHEN used THEN CAST(in68 AS DOUBLE) END) AS cov68_with, AVG(CASE WHEN used THEN CAST(in90 AS DOUBLE) END) AS cov90_with, ROUND(AVG(CASE WHEN used THEN error END), 9) AS error_with, COUNT(CASE WHEN NOT used THEN 1 END) AS n_without, AVG(CASE WHEN NOT used THEN CAST(in68 AS DOUBLE) END) AS cov68_without, AVG(CASE WHEN NOT used THEN CAST(in90 AS DOUBLE) END) AS cov90_without, ROUND(AVG(CASE WHEN NOT used THEN error END), 9) AS error_without FROM u GROUP BY 1)
-SELECT horizon, n_with, ROUND(cov68_with, 6) AS cov68_with, ROUND(cov90_with, 6) AS cov90_with, error_with, n_without, ROUND(cov68_without, 6) AS cov68_without, ROUND(cov90_without, 6) AS cov90_without, error_without, ROUND(ABS(cov68_with - 0.68) - ABS(cov68_without - 0.68), 6) AS improve68, ROUND(ABS(cov90_with - 0.90) - ABS(cov90_without - 0.90), 6) AS improve90, CASE WHEN n_with + n_without < 10 THEN 'insufficient_data' WHEN n_with + n_without < 30 THEN 'preliminary' ELSE 'mature' END AS status FROM g"""),
     "agg17_symbol_calibration": oracle("bars", _OUT + " " + _CAL("symbol, ")),
     "agg17_symbol_status": oracle("bars", _OUT + ", cal AS (" + _CAL("symbol, ") + ") SELECT symbol, COUNT(*) AS horizons, CAST(SUM(n) AS BIGINT) AS n, CASE WHEN SUM(n) < 30 THEN 'preliminary' WHEN BOOL_AND(calibrated) THEN 'validated' ELSE 'calibrating' END AS status FROM cal GROUP BY 1"),
     "dom29_paper_signals": oracle("bars", _PAST + _PAPER + " SELECT * FROM signals"),
-    "agg18_gate": oracle("bars", _PATTERNS + _STATS + _PAST + _PAPER + """, kn AS (SELECT symbol, known, MIN(pattern) AS pattern FROM pat GROUP BY 1, 2), nm AS (SELECT s.*, k.pattern FROM signals s ASOF JOIN kn k ON s.symbol = k.symbol AND s.d >= k.known),
-fwd AS (SELECT symbol, pattern, COUNT(CASE WHEN horizon = 21 AND actual_return IS NOT NULL THEN 1 END) AS forward_n, AVG(CASE WHEN horizon = 21 AND actual_return IS NOT NULL THEN CAST(in68 AS DOUBLE) END) AS hit, AVG(CASE WHEN horizon = 21 THEN actual_return END) AS mean, AVG(CAST(in68 AS DOUBLE)) AS cov68, AVG(CAST(in90 AS DOUBLE)) AS cov90 FROM nm GROUP BY 1, 2),
-v AS (SELECT s.symbol, s.pattern, n, COALESCE(forward_n, 0) AS forward_n, hit, mean, cov68, cov90, COALESCE(CAST(hit_rate >= 0.4 AS INT), 0) + COALESCE(CAST(hit >= 0.5 * hit_rate AS INT), 0) + COALESCE(CAST(mean >= 0.5 * avg_return AS INT), 0) + COALESCE(CAST(ABS(cov68 - 0.68) <= 0.10 AND ABS(cov90 - 0.90) <= 0.10 AS INT), 0) AS passed FROM stats s LEFT JOIN fwd f ON s.symbol = f.symbol AND s.pattern = f.pattern)
-SELECT symbol, pattern, n, forward_n, ROUND(hit, 6) AS hit, ROUND(mean, 6) AS mean, ROUND(cov68, 6) AS cov68, ROUND(cov90, 6) AS cov90, passed, CASE WHEN n < 10 THEN 'OOS-conditional' WHEN forward_n < 21 THEN 'validating' WHEN passed = 4 THEN 'validated' WHEN passed >= 2 THEN 'validating' ELSE 'failed_validation' END AS status FROM v"""),
     "fil11_open_records": "WITH r AS (SELECT event_id AS id, CASE WHEN user_id % 5 = 0 THEN 'macro_dashboard' ELSE 'forecast' END AS profile, event_type = 'error' AS closed, CASE WHEN user_id % 3 = 0 THEN CAST(ts AS DATE) + 1 END AS done, CAST(CAST(ts AS DATE) - CAST(event_id % 800 AS INT) AS DATE) AS as_of, (SELECT MAX(CAST(ts AS DATE)) FROM events) AS today FROM events) SELECT id, profile, as_of FROM r WHERE profile <> 'macro_dashboard' AND NOT closed AND COALESCE(done <> today, TRUE) AND today - as_of <= 400",
     "joi11_forward_as_of": oracle("bars", _DUE + " SELECT u.symbol, u.d, u.spot, u.due, b.close, b.d AS found_bar_d FROM due u ASOF LEFT JOIN bars b ON u.symbol = b.symbol AND u.due <= b.d"),
     "joi12_backward_as_of": oracle("bars", _DUE + " SELECT u.symbol, u.d, u.spot, u.due, b.close, b.d AS found_bar_d FROM due u ASOF LEFT JOIN bars b ON u.symbol = b.symbol AND u.due >= b.d"),
     "dom18_patterns": oracle("bars", _PATTERNS + " SELECT * FROM pat"),
-    "dom22_pattern_backtest": oracle("bars", _PATTERNS + f", fw AS (SELECT symbol, d AS known, LEAD(close, 20) OVER ({W}) / close - 1 AS fwd FROM bars), g AS (SELECT pat.*, fwd, CASE WHEN pattern IN ('double_top', 'head_shoulders') THEN fwd < 0 ELSE fwd > 0 END AS hit FROM pat JOIN fw ON pat.symbol = fw.symbol AND pat.known = fw.known WHERE fwd IS NOT NULL), h AS (SELECT *, COUNT(*) OVER (PARTITION BY pattern) AS n_, ROW_NUMBER() OVER (PARTITION BY pattern ORDER BY known, symbol, d) AS i_ FROM g) SELECT pattern, COUNT(*) AS n, ROUND(AVG(fwd), 6) AS fwd_mean, ROUND(AVG(CAST(hit AS DOUBLE)), 6) AS hit_rate, ROUND(AVG(CASE WHEN i_ > FLOOR(n_ / 2) THEN CAST(hit AS DOUBLE) END), 6) AS hit_rate_late FROM h GROUP BY 1"),
     "dom15_levels": oracle("bars", f""", x AS (SELECT *, {_full('AVG(close) ' + _rows(50), 50)} AS ma50, {_full('AVG(close) ' + _rows(200), 200)} AS ma200, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY d DESC) AS age FROM {_SWINGS}),
 l AS (SELECT symbol, close AS spot, ROUND(ma50, 8) AS ma50, ROUND(ma200, 8) AS ma200 FROM x WHERE age = 1),
 e AS (SELECT symbol, 'swing_high' AS source, high AS level FROM x WHERE age <= 120 AND is_high UNION SELECT symbol, 'swing_low', low FROM x WHERE age <= 120 AND is_low UNION SELECT symbol, 'ma50', ma50 FROM l WHERE ma50 IS NOT NULL UNION SELECT symbol, 'ma200', ma200 FROM l WHERE ma200 IS NOT NULL),

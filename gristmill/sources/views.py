@@ -6,6 +6,7 @@ integer ticks, so that both give the same bits.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -14,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df, kept in memory and on the executors' disks while several parts of a query read it; lost parts are made again, spark.catalog.clearCache() lets it go."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _bars(key: str, scale: str) -> str:
     of = f"{key} AS symbol"
     return f"""

@@ -19,16 +19,3 @@ def hourly_bars(ticks: DataFrame, late: str = "2 hours") -> DataFrame:
 def once_a_day(records: DataFrame, key: str = "candidate_id", ts: str = "ts") -> DataFrame:
     """STM2: the first record of an id within a day; later repeats inside the watermark are dropped."""
     return records.withWatermark(ts, "1 day").dropDuplicatesWithinWatermark([key])
-
-
-def due_prices(forecasts: DataFrame, prices: DataFrame, late: str = "1 day") -> DataFrame:
-    """STM5: forecasts(symbol, due, ...) with the first price by time of their due day, from a table or stream of prices(symbol, ts, price).
-
-    Of a stream only the first price so far of each symbol and open day is
-    kept; a day is joined once the watermark has closed it.
-    """
-    if prices.isStreaming:
-        prices = prices.withWatermark("ts", late)
-    first = prices.groupBy("symbol", F.window("ts", "1 day").alias("w")).agg(F.min_by("price", "ts").alias("price"), F.min("ts").alias("ts"))
-    first = first.select("symbol", F.to_date("w.start").alias("due"), "price", "ts")
-    return first.join(forecasts, ["symbol", "due"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import itertools
+import json
 import math
 import random
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import normal, text as X
 from gristmill.operators import audit as D, content as C, forecast as P, indicators as I, macro as M, options as O, scoring as S
-from gristmill.streaming import attempts as A, ticks as K
+from gristmill.streaming import attempts as A, horizons as H, ticks as K
 
 
 @pytest.fixture(scope="module")
@@ -290,13 +291,89 @@ def test_streams_of_findings_prices_and_records(spark, tmp_path):
     schema = "candidate_id string, ts timestamp, v int"
     land("records", [[("x", night(0), 1), ("x", night(0), 2), ("y", night(0), 3)], [("x", night(0), 4)]], schema)
     assert sorted(r.candidate_id for r in run(None, schema, K.once_a_day, "records")) == ["x", "y"]
-    schema = "symbol string, ts timestamp, price double"
-    land("prices", [[("s", night(n) + dt.timedelta(hours=h), float(10 * n + h)) for h in (5, 0, 2)] for n in range(6)], schema)
-    due = spark.createDataFrame([("s", night(1).date(), 7), ("s", night(2).date(), 8), ("t", night(1).date(), 9)], "symbol string, due date, id int")
-    assert {(r.id, r.price) for r in run(None, schema, lambda p: K.due_prices(due, p), "prices")} == {(7, 10.0), (8, 20.0)}
-    assert {(r.id, r.price) for r in K.due_prices(due, spark.read.parquet(str(tmp_path / "prices"))).collect()} == {(7, 10.0), (8, 20.0)}
+
+
+def test_open_horizons_resolve_alike_in_streams_and_tables(spark, tmp_path):
+    """Shuffled and late input, weekends without prices, horizons that come after their price, equal times."""
+    rnd = random.Random(4)
+    day = lambda n, h=0: dt.datetime(2024, 1, 1) + dt.timedelta(days=n, hours=h)
+    prices = [(s, day(n, h), float(rnd.randrange(1000))) for s in "abc" for n in range(60) if day(n).weekday() < 5 for h in (10, 16)]
+    prices += [("a", day(3, 10), 1.0), ("a", day(3, 10), 2.0)]
+    horizons = [(s, f"{s}{n}-{h}", day(n + h)) for s in "abcd" for n in range(0, 50, 3) for h in (0, 5, 7, 12)]
+    # a batch holds what is known by a day, with some rows up to two days late
+    arrives = lambda at: max(0, (at - day(0)).days) + rnd.choice((0, 0, 1, 2))
+    batches: dict[int, tuple[list, list]] = {}
+    for p in prices:
+        batches.setdefault(arrives(p[1]), ([], []))[0].append(p)
+    for h in horizons:
+        batches.setdefault(max(0, arrives(h[2]) - rnd.choice((0, 3, 9))), ([], []))[1].append(h)
+    late = "3 days"
+    ph, pp = "symbol string, id string, due timestamp", "symbol string, ts timestamp, price double"
+    ends = [([("z", day(200 + k), 1.0)], [("z", None, day(200 + k))]) for k in range(3)]  # only to move the watermark on
+    for k, (p, h) in enumerate([*(batches[k] for k in sorted(batches)), *ends]):
+        rnd.shuffle(p)
+        rnd.shuffle(h)
+        for name, rows, schema in (("p", p, pp), ("h", h or [("z", None, day(0))], ph)):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / name / f"b={k:03d}"))
+    read = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name / "*"))
+    q = H.resolved_horizons(read("h", ph), read("p", pp), late).writeStream.format("memory").queryName("horizons").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.awaitTermination()
+    got = sorted(tuple(r) for r in spark.table("horizons").collect() if r.symbol != "z")
+    table = H.resolved_horizons(spark.createDataFrame(horizons, ph), spark.createDataFrame(prices, pp))
+    assert got == sorted(tuple(r) for r in table.collect())
+    first = {i: min(((t, p) for s2, t, p in prices if s2 == s and t >= due), default=None) for s, i, due in horizons}
+    assert {(r[1], r[4], r[3]) for r in got} == {(i, *x) for i, x in first.items() if x}
+    assert any(r[4].date() > r[2].date() for r in got)  # a weekend was passed over
+    with pytest.raises(ValueError):
+        H.resolved_horizons(spark.createDataFrame(horizons, ph), read("p", pp))
+
+
+def test_horizons_of_any_order(spark):
+    """The state's step, for random orders of arrival, against the first price at or after each due time."""
+    rnd = random.Random(8)
+    for _ in range(200):
+        prices = [(rnd.randrange(50), float(rnd.randrange(9))) for _ in range(20)]
+        due = [(str(i), rnd.randrange(60)) for i in range(8)]
+        held, done = {}, []
+        todo = [("p", x) for x in prices] + [("d", x) for x in due]
+        rnd.shuffle(todo)
+        for k in range(0, len(todo), 5):
+            some = todo[k : k + 5]
+            held, out = H.advance(json.loads(json.dumps(held)), [x for s, x in some if s == "d"], [x for s, x in some if s == "p"], 0)
+            done += out
+        held, out = H.advance(held, [], [], 1000)
+        done += out
+        want = {i: min((p for p in prices if p[0] >= at), default=None) for i, at in due}
+        assert {i: (ts, price) for i, _, price, ts in done} == {i: w for i, w in want.items() if w}
 
 
 def test_position_changes(spark):
     df = spark.createDataFrame([(1, 1, 1, "LONG", 5), (1, 2, 1, "LONG", 9), (1, 1, 2, "PUT", 3), (1, 2, 3, "CALL", 2)], "filer long, period int, cusip long, put_call string, shares long")
     assert {(r.cusip, r.change) for r in M.position_changes(df).collect()} == {(1, "increase"), (2, "exit"), (3, "new")}
+
+
+def test_patterns_at_as_of_bars_equal_those_of_cut_off_bars(spark, bars):
+    """Detectors at many as-of bars against the same detectors run on the bars up to each."""
+    from gristmill.operators import charts as C
+
+    at = (131, 200, 270, 330)
+    f = C.frame(bars)
+    ends = C.as_of_bars(f, F.col("rn").isin(*at))
+    got = {tuple(r) for r in C.patterns_at(f, ends).collect()}
+    numbered = bars.withColumn("rn", F.row_number().over(I.in_order()))
+    want = set()
+    for n in at:
+        cut = numbered.where(F.col("rn") <= n).drop("rn")
+        g = C.frame(cut)
+        want |= {tuple(r) for r in C.patterns_at(g, C.at_last(g)).where(F.col("n") == n).collect()}
+    assert got == want and len({r[2] for r in got}) >= 4
+
+
+def test_hits_need_half_a_percent(spark):
+    from gristmill.operators import charts as C
+
+    rows = [("a", i, "double_bottom", r >= 0.005, r) for i, r in enumerate([0.004, 0.006, -0.02, 0.01] * 3)]
+    found = spark.createDataFrame([(s, n, p, h, r, r, r) for s, n, p, h, r in rows], "symbol string, n int, pattern string, hit boolean, fwd_1w double, fwd_2w double, fwd_4w double")
+    (r,) = C.pattern_statistics(found).collect()
+    assert (r.n, r.n_total, r.hit_rate, r.win_rate_1pct) == (6, 12, round(3 / 6, 6), round(4 / 6, 6))
+    assert C.pattern_statistics(found.limit(9)).count() == 0
