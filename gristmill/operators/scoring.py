@@ -86,13 +86,13 @@ def event_window(days: Column) -> Column:
 ENOUGH_BARS = 640
 
 
-def price_features(bars: DataFrame, market: DataFrame, least: int = 25, last_only: bool = False) -> DataFrame:
+def price_features(bars: DataFrame, market: DataFrame, least: int = 25, last_only: bool = False, digits: int | None = 9) -> DataFrame:
     """DOM1, first part: the price features of every symbol at every date with a history of least bars.
 
     Point in time: every frame ends at the row's own bar.  All windows are by
     symbol and date, so one exchange serves them; the market's returns are
     joined by date.  last_only gives each symbol's last bar only, from its last
-    ENOUGH_BARS bars.
+    ENOUGH_BARS bars.  Features are rounded to digits, unless None.
     """
     w = I.in_order()
     by_day = Window.partitionBy("symbol").orderBy("d")
@@ -160,7 +160,7 @@ def price_features(bars: DataFrame, market: DataFrame, least: int = 25, last_onl
         "symbol", "d", "rn", "close", (F.col("ahead") / close - 1).alias("fwd20"),
         trend_class(close, F.col("ma20"), F.col("ma50"), F.col("ret5"), F.col("ret20")).alias("trend"),
         setup_class(close, F.col("ma20"), F.col("ma50"), F.col("hi20"), F.col("ret5"), F.col("ret20")).alias("setup"),
-        *(F.round(got[f], 9).alias(f) for f in PRICE_FIELDS),
+        *((got[f] if digits is None else F.round(got[f], digits)).alias(f) for f in PRICE_FIELDS),
     )
 
 

@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from ..operators import indicators as I, rank_spec as R, scoring as S
+from ..operators import events as E, indicators as I, rank_spec as R, scoring as S
 from ..sources.views import oracle, view
 from .indicator_queries import RET, W, _ewm_sql, _full, _rows
 
 
-def _prices(spark, sf_dir, last_only=False):
-    return S.price_features(view(spark, sf_dir, "bars"), view(spark, sf_dir, "market"), last_only=last_only)
+#: Added before figures are rounded once, so that exact ties go up everywhere; finer than what is kept, coarser than a double's noise.
+NUDGE = 1.37e-12
+
+
+def _prices(spark, sf_dir, last_only=False, digits=9):
+    return S.price_features(view(spark, sf_dir, "bars"), view(spark, sf_dir, "market"), last_only=last_only, digits=digits)
+
+
+def _event_features(spark, sf_dir, rows):
+    return E.event_features(rows, E.spike_drift(view(spark, sf_dir, "bars")), view(spark, sf_dir, "reports"), view(spark, sf_dir, "shorts"))
 
 
 def _signals(spark, sf_dir, rows):
-    """Event fields of each symbol at the date of its row: news, messages, the next report, drift of the month."""
+    """Event fields of each symbol at the date of its row: news, messages, the next report, drifts, the last surprise, short interest."""
     months = I.month_returns(view(spark, sf_dir, "bars")).select("symbol", "m", F.col("mean").alias("month_drift"))
     days = F.datediff("next_report", "d")
     s = rows.select("symbol", "d").join(view(spark, sf_dir, "signals"), "symbol", "left").withColumn("m", F.month("d")).join(months, ["symbol", "m"], "left")
-    return s.select("symbol", days.alias("days_to_earnings"), S.event_window(days).alias("event_window"), *(F.round(c, 9).alias(c) for c in ("month_drift", "revisions", "news_count", "news_sentiment", "bullish_share", "messages")))
+    s = s.join(_event_features(spark, sf_dir, rows.select("symbol", "d")).drop("d"), "symbol", "left")
+    plain = ("month_drift", "revisions", "news_count", "news_sentiment", "bullish_share", "messages", "earnings_drift", "surprise_pct", "short_change", "days_to_cover")
+    return s.select("symbol", days.alias("days_to_earnings"), S.event_window(days).alias("event_window"), *(F.round(c, 9).alias(c) for c in plain))
 
 
 def _today(spark, sf_dir):
@@ -43,7 +55,33 @@ def dom01_features(spark, sf_dir):
 
 
 def dom01_price_features(spark, sf_dir):
-    return _prices(spark, sf_dir).select("symbol", "d", "trend", "setup", *(F.round(c, 6).alias(c) for c in S.PRICE_FIELDS))
+    return _prices(spark, sf_dir, digits=None).select("symbol", "d", "trend", "setup", *(F.round(F.col(c) + NUDGE, 6).alias(c) for c in S.PRICE_FIELDS))
+
+
+_EVENT_COLUMNS = ("surprise_pct", "report_drift", "earnings_drift", "short_change", "days_to_cover")
+
+
+def dom01_event_features(spark, sf_dir):
+    """At every bar: days since and to reports, the last surprise, drifts and short interest."""
+    got = _event_features(spark, sf_dir, view(spark, sf_dir, "bars").select("symbol", "d"))
+    return got.select("symbol", "d", "days_since_report", "days_to_report", *(F.round(F.col(c) + NUDGE, 6).alias(c) for c in _EVENT_COLUMNS))
+
+
+#: A day within the landed bars.
+_DAY = "1996-05-15"
+
+
+def dat03_days_to_events(spark, sf_dir):
+    stamp = lambda name, kind: view(spark, sf_dir, name).select("symbol", F.lit(kind).alias("kind"), F.unix_seconds(F.col("d").cast("timestamp")).alias("epoch"))
+    return E.days_to_next(stamp("reports", "report").union(stamp("shorts", "ex_dividend")), F.lit(_DAY).cast("date"))
+
+
+def top09_upcoming_events(spark, sf_dir):
+    return E.upcoming(view(spark, sf_dir, "reports").select("symbol", "d"), F.lit(_DAY).cast("date"), 60)
+
+
+def top09_recent_events(spark, sf_dir):
+    return E.recent(view(spark, sf_dir, "reports").select("symbol", "d"), F.lit(_DAY).cast("date"), 10)
 
 
 def joi03_signals(spark, sf_dir):
@@ -102,7 +140,7 @@ def top06_table_order(spark, sf_dir):
     return S.table_order(S.dashboard(view(spark, sf_dir, "bars"), view(spark, sf_dir, "market"))).select("place", "symbol", "label", F.round("rs", 6).alias("rs"))
 
 
-QUERIES = {f.__name__: f for f in (dom11_dashboard, top06_table_order, dom01_features, dom01_price_features, joi03_signals, joi04_macro_on_symbols, dom04_submetric_scores, dom05_rank, dom05_breakdown, dom07_regime_tilt, dom09_backtest, agg13_backtest_summary, agg14_symbol_summary, top01_by_sector, agg07_z_scores)}
+QUERIES = {f.__name__: f for f in (dom11_dashboard, top06_table_order, dom01_features, dom01_price_features, dom01_event_features, dat03_days_to_events, top09_upcoming_events, top09_recent_events, joi03_signals, joi04_macro_on_symbols, dom04_submetric_scores, dom05_rank, dom05_breakdown, dom07_regime_tilt, dom09_backtest, agg13_backtest_summary, agg14_symbol_summary, top01_by_sector, agg07_z_scores)}
 
 _LAGS = (21, 63, 126, 252)
 _SRC = f"(SELECT *, CASE WHEN close - LAG(close) OVER ({W}) IS NOT NULL THEN GREATEST(close - LAG(close) OVER ({W}), 0) END AS gain, CASE WHEN close - LAG(close) OVER ({W}) IS NOT NULL THEN GREATEST(LAG(close) OVER ({W}) - close, 0) END AS loss FROM ret)"
@@ -130,14 +168,30 @@ _LAST = ", last AS (SELECT * REPLACE ((SELECT MAX(d) FROM prices) AS d) FROM (SE
 _POSITIVE = ", ".join(f"ROUND(CASE WHEN {c} > 0 THEN {c} END, 9) AS {c}" for c in ("trailing_pe", "forward_pe", "peg_ratio", "price_to_book", "price_to_sales", "ev_to_ebitda"))
 _PLAIN = ", ".join(f"ROUND({c}, 9) AS {c}" for c in ("roe", "roa", "operating_margin", "profit_margin", "revenue_growth", "earnings_growth", "analyst_rating", "analyst_coverage", "short_float", "institutions", "insiders"))
 _MONTHS = ", months AS (SELECT symbol, m, ROUND(AVG(r), 6) AS month_drift FROM (SELECT symbol, YEAR(d) AS y, MONTH(d) AS m, ARG_MAX(close, d) / ARG_MIN(close, d) - 1 AS r FROM bars GROUP BY 1, 2, 3) q GROUP BY 1, 2)"
-_SIGNALS = _MONTHS + """, sig AS (SELECT l.symbol, l.d, CAST(next_report - l.d AS DOUBLE) AS days_to_earnings, CASE WHEN next_report - l.d BETWEEN 0 AND 7 THEN 1E2 WHEN next_report - l.d BETWEEN 8 AND 21 THEN 7E1 WHEN next_report - l.d < 0 THEN 8E1 WHEN next_report IS NOT NULL THEN 3E1 END AS event_window,
- ROUND(month_drift, 9) AS month_drift, ROUND(revisions, 9) AS revisions, ROUND(news_count, 9) AS news_count, ROUND(news_sentiment, 9) AS news_sentiment, ROUND(bullish_share, 9) AS bullish_share, ROUND(messages, 9) AS messages
- FROM last l LEFT JOIN signals s ON l.symbol = s.symbol LEFT JOIN months ON months.symbol = l.symbol AND months.m = MONTH(l.d))"""
+_EVENT_PARTS = f""", sp0 AS (SELECT *, {_full(f'volume > {E.SPIKE} * AVG(volume) {_rows(20)}', 20, 'volume')} AS loud, AVG(volume) {_rows(20)} AS v20 FROM bars),
+sp1 AS (SELECT *, CASE WHEN LAG(loud, 5) OVER ({W}) THEN close / LAG(close, 5) OVER ({W}) - 1 END AS after FROM sp0),
+sp AS (SELECT symbol, d, close, v20, AVG(after) OVER ({W} ROWS BETWEEN 498 PRECEDING AND CURRENT ROW) AS earnings_drift FROM sp1),
+rp AS (SELECT r.symbol, r.d, surprise_pct, sp.close AS report_close FROM reports r ASOF LEFT JOIN sp ON r.symbol = sp.symbol AND r.d >= sp.d),
+si AS (SELECT *, shares / NULLIF(LAG(CAST(shares AS DOUBLE)) OVER ({W}), 0) - 1 AS short_change FROM shorts)"""
+
+
+def _event_sql(rows: str) -> str:
+    """Common table expressions with ef, the event features of rows(symbol, d)."""
+    return _EVENT_PARTS + f""", ef1 AS (SELECT l.symbol, l.d, b.close, b.v20, b.earnings_drift FROM (SELECT symbol, d FROM {rows}) l ASOF LEFT JOIN sp b ON l.symbol = b.symbol AND l.d >= b.d),
+ef2 AS (SELECT a.*, r.d AS report_d, surprise_pct, report_close FROM ef1 a ASOF LEFT JOIN rp r ON a.symbol = r.symbol AND a.d >= r.d), ef3 AS (SELECT a.*, r.d AS coming FROM ef2 a ASOF LEFT JOIN rp r ON a.symbol = r.symbol AND a.d < r.d),
+ef AS (SELECT a.symbol, a.d, CAST(a.d - report_d AS INT) AS days_since_report, CAST(CASE WHEN a.d = report_d THEN 0 ELSE coming - a.d END AS INT) AS days_to_report, surprise_pct, close / report_close - 1 AS report_drift, earnings_drift, s.short_change, s.shares / NULLIF(v20, 0) AS days_to_cover
+ FROM ef3 a ASOF LEFT JOIN si s ON a.symbol = s.symbol AND a.d >= s.d)"""
+
+
+_SIGNALS = _MONTHS + _event_sql("last") + """, sig AS (SELECT l.symbol, l.d, CAST(next_report - l.d AS DOUBLE) AS days_to_earnings, CASE WHEN next_report - l.d BETWEEN 0 AND 7 THEN 1E2 WHEN next_report - l.d BETWEEN 8 AND 21 THEN 7E1 WHEN next_report - l.d < 0 THEN 8E1 WHEN next_report IS NOT NULL THEN 3E1 END AS event_window,
+ ROUND(month_drift, 9) AS month_drift, ROUND(revisions, 9) AS revisions, ROUND(news_count, 9) AS news_count, ROUND(news_sentiment, 9) AS news_sentiment, ROUND(bullish_share, 9) AS bullish_share, ROUND(messages, 9) AS messages,
+ ROUND(earnings_drift, 9) AS earnings_drift, ROUND(surprise_pct, 9) AS surprise_pct, ROUND(short_change, 9) AS short_change, ROUND(days_to_cover, 9) AS days_to_cover
+ FROM last l LEFT JOIN ef ON ef.symbol = l.symbol LEFT JOIN signals s ON l.symbol = s.symbol LEFT JOIN months ON months.symbol = l.symbol AND months.m = MONTH(l.d))"""
 _MACRO = """, mac AS (SELECT l.symbol, ROUND(macro_score, 9) AS macro_score, ROUND(bear_risk, 9) AS bear_risk, ROUND(regime_confidence, 9) AS regime_confidence, ROUND(CASE beta_class WHEN 'defensive' THEN bear_risk - 0.5 WHEN 'cyclical' THEN 0.5 - bear_risk ELSE 0 END, 9) AS sector_fit, ROUND(GREATEST(-credit_score, 0), 9) AS credit_stress
  FROM last l LEFT JOIN sectors s ON l.symbol = s.symbol CROSS JOIN macro_state)"""
 _TODAY = _PRICES + _LAST + _SIGNALS + _MACRO + f""", picked AS (SELECT last.*, {_POSITIVE}, ROUND(CASE WHEN eps > 0 THEN eps END / close, 9) AS earnings_yield, ROUND(CASE WHEN market_cap > 0 THEN free_cashflow / market_cap END, 9) AS fcf_yield, {_PLAIN},
  ROUND(debt_to_equity / 100, 9) AS debt_to_equity, ROUND(CASE WHEN net_income > 0 THEN operating_cashflow / net_income END, 9) AS cash_conversion, ROUND(CASE WHEN target <> 0 THEN target / close - 1 END, 9) AS target_upside,
- days_to_earnings, event_window, month_drift, CAST(NULL AS DOUBLE) AS earnings_drift, CAST(NULL AS DOUBLE) AS surprise_pct, revisions, news_count, news_sentiment, bullish_share, messages, CAST(NULL AS DOUBLE) AS short_change, CAST(NULL AS DOUBLE) AS days_to_cover,
+ days_to_earnings, event_window, month_drift, earnings_drift, surprise_pct, revisions, news_count, news_sentiment, bullish_share, messages, short_change, days_to_cover,
  macro_score, bear_risk, regime_confidence, sector_fit, credit_stress FROM last LEFT JOIN company ON last.symbol = company.symbol JOIN sig ON last.symbol = sig.symbol JOIN mac ON last.symbol = mac.symbol)"""
 _OTHERS = ", ".join(f"CAST(NULL AS DOUBLE) AS {f}" for f in S.FIELDS if f not in S.PRICE_FIELDS)
 _REBALANCE = _PRICES + f", days AS (SELECT d, ROW_NUMBER() OVER (ORDER BY d) AS i FROM (SELECT DISTINCT d FROM prices) x), picked AS (SELECT prices.*, {_OTHERS} FROM prices JOIN days ON prices.d = days.d WHERE i > 60 AND (i - 61) % 5 = 0 AND fwd20 IS NOT NULL)"
@@ -178,7 +232,7 @@ def _four(c: str) -> str:
     return f"ROUND(AVG({c}), 5) AS {c}_mean, ROUND(STDDEV_POP({c}), 5) AS {c}_sd, ROUND(AVG({c}) / NULLIF(STDDEV_POP({c}), 0) * SQRT(COUNT({c})), 4) AS {c}_t, ROUND(AVG(CASE WHEN {c} > 0 THEN 1E0 WHEN {c} IS NOT NULL THEN 0E0 END) * 100, 4) AS {c}_win"
 
 
-_B = "bars market company signals sectors macro_state"
+_B = "bars market company signals reports shorts sectors macro_state"
 _P = "bars market"
 _R = ("technical", "contrarian")
 _MACRO_COLUMNS = "macro_score, bear_risk, regime_confidence, sector_fit, credit_stress"
@@ -196,7 +250,11 @@ ORACLE_SQL = {
     "dom11_dashboard": oracle(_P, _BOARD + " SELECT symbol, d, close, trend, setup, label, outlook, ROUND(support, 6) AS support, ROUND(resistance, 6) AS resistance, ROUND(close / support - 1, 6) AS to_support, ROUND(resistance / close - 1, 6) AS to_resistance, ROUND(sd20, 6) AS sd20, ROUND(sd20 * SQRT(252), 6) AS vol_annual, ROUND(atr, 6) AS atr, ROUND(range_pctile, 6) AS range_pctile, ROUND(rs, 6) AS rs, ROUND(adv_musd, 6) AS adv_musd FROM board"),
     "top06_table_order": oracle(_P, _BOARD + " SELECT CAST(ROW_NUMBER() OVER (ORDER BY CASE label WHEN 'Research candidate' THEN 0 WHEN 'Watchlist' THEN 1 ELSE 2 END, COALESCE(NULLIF(ROUND(rs, 9), 0), -999) DESC, symbol) AS INT) AS place, symbol, label, ROUND(rs, 6) AS rs FROM board"),
     "dom01_features": oracle(_B, _TODAY + " SELECT symbol, d, trend, setup, " + ", ".join(f"ROUND({f}, 6) AS {f}" for f in S.FIELDS) + " FROM picked"),
-    "dom01_price_features": oracle(_P, _PRICES + " SELECT symbol, d, trend, setup, " + ", ".join(f"ROUND({f}, 6) AS {f}" for f in S.PRICE_FIELDS) + " FROM prices"),
+    "dom01_price_features": oracle(_P, re.sub(rf", 9\) AS ({'|'.join(S.PRICE_FIELDS)})\b", r", 300) AS \1", _PRICES) + " SELECT symbol, d, trend, setup, " + ", ".join(f"ROUND({f} + {NUDGE!r}, 6) AS {f}" for f in S.PRICE_FIELDS) + " FROM prices"),
+    "dom01_event_features": oracle("bars reports shorts", _event_sql("bars") + " SELECT symbol, d, days_since_report, days_to_report, " + ", ".join(f"ROUND({f} + {NUDGE!r}, 6) AS {f}" for f in _EVENT_COLUMNS) + " FROM ef"),
+    "dat03_days_to_events": oracle("reports shorts", f", e AS (SELECT symbol, 'report' AS kind, d FROM reports UNION ALL SELECT symbol, 'ex_dividend', d FROM shorts) SELECT symbol, kind, MIN(d) AS next, CAST(MIN(d) - DATE '{_DAY}' AS INT) AS days FROM e WHERE d >= DATE '{_DAY}' GROUP BY 1, 2"),
+    "top09_upcoming_events": oracle("reports", f"SELECT symbol, d, CAST(d - DATE '{_DAY}' AS INT) AS days FROM reports WHERE d BETWEEN DATE '{_DAY}' AND DATE '{_DAY}' + 60"),
+    "top09_recent_events": oracle("reports", f"SELECT symbol, d, CAST(d - DATE '{_DAY}' AS INT) AS days FROM reports WHERE d < DATE '{_DAY}' ORDER BY d DESC, symbol LIMIT 10"),
     "joi03_signals": oracle(_B, _PRICES + _LAST + _SIGNALS + " SELECT * FROM sig"),
     "joi04_macro_on_symbols": oracle(_B, _PRICES + _LAST + _MACRO + f" SELECT symbol, {_MACRO_COLUMNS} FROM mac"),
     "dom04_submetric_scores": oracle(_B, _TODAY + _spec() + _SCORES + " SELECT variant, symbol, factor, sub_metric, ROUND(score, 6) AS score FROM scores"),

@@ -72,6 +72,17 @@ SIGNALS = """
          SUM(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) / (1E0 * COUNT(*)) AS bullish_share, CAST(COUNT(*) % 700 AS DOUBLE) AS messages, CAST(COUNT(DISTINCT l_suppkey) % 9 AS DOUBLE) - 4 AS revisions
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1"""
 
+#: A report of each brand at the end of each quarter's trade; some without a surprise.
+REPORTS = """
+  SELECT symbol, d, CASE WHEN n % 9 <> 0 THEN 1E2 * (disc - tax) / (tax + 1) END AS surprise_pct
+  FROM (SELECT p_brand AS symbol, CAST(MAX(l_shipdate) AS DATE) AS d, COUNT(*) AS n, SUM(CAST(ROUND(l_discount*100) AS BIGINT)) AS disc, SUM(CAST(ROUND(l_tax*100) AS BIGINT)) AS tax
+        FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand, YEAR(l_shipdate), FLOOR((MONTH(l_shipdate) - 1) / 3)) r0"""
+
+#: Shares of each brand that are sold short, at the end of each month's trade.
+SHORTS = """
+  SELECT p_brand AS symbol, CAST(MAX(l_shipdate) AS DATE) AS d, CAST(SUM(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity ELSE 0 END) AS BIGINT) AS shares
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand, YEAR(l_shipdate), MONTH(l_shipdate)"""
+
 #: One row: the state of the orders' series as a macro regime.
 MACRO_STATE = """
   SELECT (up - down) / (1E0 * (up + down)) AS macro_score, down / (1E0 * (up + down)) AS bear_risk, ABS(up - down) / (1E0 * (up + down)) AS regime_confidence, (up - down) / (2E0 * (up + down)) AS credit_score,
@@ -135,8 +146,8 @@ CARRIED = """
 MARKDOWN = """
   SELECT DISTINCT 'site' || CAST(page_id % 4 AS STRING) AS site, CASE WHEN page_id % 50 = 0 THEN 'lost-' ELSE 'story-' END || CAST(page_id AS STRING) AS stem FROM pages WHERE page_id % 9 = 2 AND page_id % 2 = 0 OR page_id % 50 = 0"""
 
-SQL = {"site": SITE, "carried": CARRIED, "markdown": MARKDOWN, "bars": BARS, "market": MARKET, "sectors": SECTORS, "fundamentals": FUNDAMENTALS, "company": COMPANY, "signals": SIGNALS, "macro_state": MACRO_STATE, "chain": CHAIN, "series": SERIES, "messages": MESSAGES, "holdings": HOLDINGS}
-_NEEDS = {"site": ["pages"], "carried": ["pages"], "markdown": ["pages"], "bars": ["lineitem", "part"], "market": ["lineitem", "part"], "sectors": ["part"], "fundamentals": ["lineitem", "part"], "company": ["lineitem", "part"], "signals": ["lineitem", "part"], "macro_state": ["orders"], "series": ["orders"], "messages": ["conversations"], "holdings": ["lineitem"]}
+SQL = {"site": SITE, "carried": CARRIED, "markdown": MARKDOWN, "bars": BARS, "market": MARKET, "sectors": SECTORS, "fundamentals": FUNDAMENTALS, "company": COMPANY, "signals": SIGNALS, "reports": REPORTS, "shorts": SHORTS, "macro_state": MACRO_STATE, "chain": CHAIN, "series": SERIES, "messages": MESSAGES, "holdings": HOLDINGS}
+_NEEDS = {"site": ["pages"], "carried": ["pages"], "markdown": ["pages"], "bars": ["lineitem", "part"], "market": ["lineitem", "part"], "sectors": ["part"], "fundamentals": ["lineitem", "part"], "company": ["lineitem", "part"], "signals": ["lineitem", "part"], "reports": ["lineitem", "part"], "shorts": ["lineitem", "part"], "macro_state": ["orders"], "series": ["orders"], "messages": ["conversations"], "holdings": ["lineitem"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
