@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 # The coefficients of the published rational approximation of the
@@ -21,6 +22,13 @@ def cdf(x: Column) -> Column:
     return F.when(x >= 0, 1 - tail).otherwise(tail)
 
 
+def cdf_of(x: np.ndarray) -> np.ndarray:
+    """The same on an array."""
+    t = 1 / (1 + P * np.abs(x))
+    tail = np.exp(-x * x / 2) / np.sqrt(2.0 * 3.141592653589793) * (t * (B[0] + t * (B[1] + t * (B[2] + t * (B[3] + t * B[4])))))
+    return np.where(x >= 0, 1 - tail, tail)
+
+
 def cdf_sql(x: str) -> str:
     """The same as SQL text."""
     t = f"(1 / (1 + {P!r} * ABS({x})))"

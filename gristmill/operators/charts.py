@@ -143,7 +143,7 @@ PATTERN_COLUMNS = ["symbol", "n", "pattern", "direction", "state", "trigger", "s
 def patterns_at(f: DataFrame, ends: DataFrame) -> DataFrame:
     """DOM16 to DOM20: the patterns of all seven detectors at each as-of bar, from the bars up to it alone."""
     out = triangles_at(f, ends)
-    for found in (rectangles_at(f, ends), *(doubles_at(f, ends, top) for top in (True, False)), flags_at(ends), *(head_and_shoulders_at(f, ends, top) for top in (True, False))):
+    for found in (rectangles_at(f, ends), *(doubles_at(f, ends, top) for top in (True, False)), flags_at(f, ends), *(head_and_shoulders_at(f, ends, top) for top in (True, False))):
         out = out.unionByName(found.select(PATTERN_COLUMNS))
     return out
 
@@ -236,25 +236,30 @@ def rectangles_at(f: DataFrame, ends: DataFrame) -> DataFrame:
     return _out(df, F.lit("rectangle"), up, trigger, stop, 1.0, F.lit(False), loud, (top - floor) / ((top + floor) / 2), F.coalesce("contraction", F.lit(False)))
 
 
-def flags_at(ends: DataFrame) -> DataFrame:
+def impulses(f: DataFrame) -> DataFrame:
+    """Moves of 5 % and more within 5 to 10 bars: (symbol, s, e, move, wild) with the first and last bar and the yearly deviation of the returns between them, and the sums of returns up to e."""
+    by = I.in_order()
+    year = F.sqrt(F.lit(252.0))
+    each = [F.struct(F.lit(k).alias("k"), (F.col("close") / F.lag("close", k).over(by) - 1).alias("move"), (F.stddev_samp("ret").over(by.rowsBetween(-(k - 1), -1)) * year).alias("wild")) for k in range(5, 11)]
+    df = f.select("symbol", F.col("rn").alias("e"), F.col("n_ret").alias("n0"), F.col("sum_ret").alias("s0"), F.col("sum_sq").alias("q0"), F.array(*each).alias("each"))
+    df = df.select("symbol", "e", "n0", "s0", "q0", F.explode("each").alias("x")).where(F.abs(F.col("x.move")) >= FLAG_IMPULSE)
+    return df.select("symbol", (F.col("e") - F.col("x.k")).alias("s"), "e", "x.move", "x.wild", "n0", "s0", "q0")
+
+
+def flags_at(f: DataFrame, ends: DataFrame) -> DataFrame:
     """DOM19: an impulse of 5 % within 5 to 10 bars of the last 30, then 5 to 20 bars up to the as-of bar with at most 0.6 of its deviation; the first start, then the first end that fits.
 
-    The last 31 bars come along as one short array, so starts and ends meet inside a row.
+    Impulses are found once a symbol and meet the as-of bars that they are in
+    sight of; deviations are differences of running sums, and only the flag
+    that is found takes the last bars' array.
     """
-    short = ends.where("n >= 30").select("symbol", "n", "spot", "rvol", F.col("recent").alias("b"))
-    size = F.size("b")
-    # places in the array: the as-of bar is at size - 1; the first start is 30 bars before the end
-    pairs = short.withColumn("s", F.explode(F.sequence(F.greatest(size - 30, F.lit(0)), size - 6))).withColumn("e", F.explode(F.sequence(F.col("s") + 5, F.col("s") + 10))).where("e < size(b) - 5")
-    c = lambda i: F.col("b")[F.col(i)]["close"]
-    pairs = pairs.withColumn("move", c("e") / c("s") - 1).where((F.abs(F.col("move")) >= FLAG_IMPULSE) & (size - F.col("e")).between(5, FLAG_LONGEST)).withColumn("rest", F.slice("b", F.col("e") + 1, size))
-
-    def sd(rows: Column) -> Column:
-        r = F.transform(rows, lambda x: x["ret"])
-        mean = F.aggregate(r, F.lit(0.0), lambda a, x: a + x) / F.size(r)
-        return F.sqrt(F.aggregate(r, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.nullif(F.size(r) - 1, F.lit(0))) * F.sqrt(F.lit(252.0))
-
-    pairs = pairs.withColumn("calm", sd(F.slice("b", F.col("e") + 2, size))).withColumn("wild", sd(F.slice("b", F.col("s") + 2, F.col("e") - F.col("s") - 1))).where(F.col("calm") < F.col("wild") * FLAG_CALM)
-    first = pairs.groupBy("symbol", "n").agg(F.min_by(F.struct("move", "rest", "spot", "rvol", "calm", "wild", "s", "e"), F.struct("s", "e")).alias("p")).select("symbol", "n", "p.*")
+    seen = _in_sight(impulses(f), ends.where("n >= 30"), F.col("e") + 5, F.least(F.col("e") + FLAG_LONGEST - 1, F.col("s") + 29))
+    seen = seen.join(ends.select("symbol", "n", "sum_ret", "sum_sq", "n_ret"), ["symbol", "n"])
+    calm = _sd(F.col("n_ret") - F.col("n0"), F.col("sum_ret") - F.col("s0"), F.col("sum_sq") - F.col("q0"))
+    seen = seen.where(calm < F.col("wild") * FLAG_CALM)
+    first = seen.groupBy("symbol", "n").agg(F.min_by(F.struct("move", "e"), F.struct("s", "e")).alias("p")).select("symbol", "n", "p.*")
+    first = first.join(ends.select("symbol", "n", "spot", "rvol", "recent"), ["symbol", "n"])
+    first = first.withColumn("rest", F.slice("recent", F.size("recent") - (F.col("n") - F.col("e")), F.col("n") - F.col("e") + 1))
     hi, lo = F.array_max(F.transform("rest", lambda x: x["high"])), F.array_min(F.transform("rest", lambda x: x["low"]))
     m = F.size("rest")
     mx, my = (m - 1) / 2, F.aggregate("rest", F.lit(0.0), lambda a, x: a + x["close"]) / m
@@ -282,7 +287,8 @@ def rectangles(bars: DataFrame) -> DataFrame:
 
 def flags(bars: DataFrame) -> DataFrame:
     """DOM19 at each symbol's last bar."""
-    return flags_at(at_last(frame(bars))).drop("n")
+    f = frame(bars)
+    return flags_at(f, at_last(f)).drop("n")
 
 
 WALK_FROM, WALK_EVERY, WALK_SHORT = 120, 5, 25

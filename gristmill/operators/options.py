@@ -7,7 +7,10 @@ mid, oi, vol, iv.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import indicators as I
@@ -71,18 +74,41 @@ def price(spot: Column, strike: Column, t: Column, vol: Column, side: Column, r:
     return F.when(side == "C", call).otherwise(call - spot + k)
 
 
+def _prices(spot: np.ndarray, strike: np.ndarray, t: np.ndarray, vol: np.ndarray, call: np.ndarray, r: float) -> np.ndarray:
+    """price() on arrays."""
+    sd = vol * np.sqrt(t)
+    d1 = (np.log(spot / strike) + (r + vol * vol / 2) * t) / sd
+    k = strike * np.exp(-r * t)
+    value = spot * normal.cdf_of(d1) - k * normal.cdf_of(d1 - sd)
+    return np.where(call, value, value - spot + k)
+
+
+def bracketed(target: np.ndarray, value_at: Callable[[np.ndarray], np.ndarray], low: float, high: float, steps: int) -> np.ndarray:
+    """Where the increasing value_at meets each target between low and high, all halved together; nan where it doesn't."""
+    a, b = np.full(len(target), low), np.full(len(target), high)
+    with np.errstate(all="ignore"):
+        inside = (value_at(a) <= target) & (value_at(b) >= target)
+        for _ in range(steps):
+            m = (a + b) / 2
+            above = value_at(m) > target
+            a, b = np.where(above, a, m), np.where(above, m, b)
+    return np.where(inside, (a + b) / 2, np.nan)
+
+
 def implied_volatility(target: Column, spot: Column, strike: Column, t: Column, side: Column, steps: int = 40, low: float = 1e-4, high: float = 5.0, r: float = 0.0) -> Column:
-    """MTH4: by bisection between low and high, a fixed number of steps; null where no volatility there gives the price."""
-    start = F.struct(F.lit(low).alias("a"), F.lit(high).alias("b"))
+    """MTH4: the volatility between low and high that gives the price, found for whole Arrow batches at once; null where none does.
+
+    The root is found once a row, however often the column is used after it.
+    """
 
-    def halve(s: Column, _: Column) -> Column:
-        m = (s["a"] + s["b"]) / 2
-        above = price(spot, strike, t, m, side, r) > target
-        return F.struct(F.when(above, s["a"]).otherwise(m).alias("a"), F.when(above, m).otherwise(s["b"]).alias("b"))
+    def solve(target: pd.Series, spot: pd.Series, strike: pd.Series, t: pd.Series, side: pd.Series) -> pd.Series:
+        s, k, years_, call = spot.to_numpy(float), strike.to_numpy(float), t.to_numpy(float), (side == "C").to_numpy(bool)
+        with np.errstate(all="ignore"):
+            found = bracketed(target.to_numpy(float), lambda v: _prices(s, k, years_, v, call, r), low, high, steps)
+        return pd.Series(found).where((k > 0) & (s > 0) & (years_ > 0) & side.notna().to_numpy() & np.isfinite(found), None)
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["a"] + s["b"]) / 2)
-    inside = (strike > 0) & (price(spot, strike, t, F.lit(low), side, r) <= target) & (price(spot, strike, t, F.lit(high), side, r) >= target)
-    return F.when(inside, found)
+    once = F.pandas_udf(solve, "double").asNondeterministic()  # so that no filter is pushed below it and solves again
+    return once(target.cast("double"), spot.cast("double"), strike.cast("double"), t.cast("double"), side)
 
 
 def greeks(chain: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import charts as C, context as K, macro as M, options as O, scoring as S
-from ..sources.views import oracle, table, view
+from ..sources.views import held, oracle, table, view
 from .forecast_queries import _SERF
 from .indicator_queries import RET, W, _SWINGS, _full, _rows
 from .option_queries import _SCAN
@@ -49,16 +49,16 @@ def dom34_flow(spark, sf_dir):
 
 
 def dom32_assessment(spark, sf_dir):
-    return K.regime_assessment(view(spark, sf_dir, "bars"))
+    return K.regime_assessment(held(view(spark, sf_dir, "bars")))
 
 
 def dom12_benchmark_regime(spark, sf_dir):
-    rows = S.dashboard(view(spark, sf_dir, "bars"), view(spark, sf_dir, "market"))
+    rows = S.dashboard(held(view(spark, sf_dir, "bars")), view(spark, sf_dir, "market"))
     return K.benchmark_regime(rows).select("symbol", "regime")
 
 
 def dom13_monitor(spark, sf_dir):
-    bars = view(spark, sf_dir, "bars")
+    bars = held(view(spark, sf_dir, "bars"))
     ends = bars.groupBy("symbol").agg(F.max_by("close", "d").alias("close"), F.min_by("close", "d").alias("ref_price"), F.max("high").alias("target"), F.avg("close").alias("risk_line"))
     n = F.regexp_extract("symbol", r"(\d+)$", 1).cast("int")
     picks = ends.select(F.when(n % 4 == 0, F.concat(F.lit("OLD-"), "symbol")).when(n % 7 == 0, F.concat(F.lit("X-"), "symbol")).otherwise(F.col("symbol")).alias("symbol"), "ref_price", "target", F.round("risk_line", 6).alias("risk_line"), (n * 7 % 70).alias("probability"), F.lit(12.5).alias("move"))
@@ -92,13 +92,13 @@ def top10_latest(spark, sf_dir):
 
 
 def fil01_valid_bars(spark, sf_dir):
-    b = view(spark, sf_dir, "bars").withColumn("close", F.when(F.dayofmonth("d") % 10 != 3, F.col("close")))
+    b = held(view(spark, sf_dir, "bars")).withColumn("close", F.when(F.dayofmonth("d") % 10 != 3, F.col("close")))
     whole = K.valid_bars(b).groupBy("symbol").agg(F.count("*").alias("whole"))
     return whole.join(K.valid_bars(b, True).groupBy("symbol").agg(F.count("*").alias("trimmed"), F.max("d").alias("end")), "symbol", "left")
 
 
 def fil02_history_gates(spark, sf_dir):
-    return K.history_gates(view(spark, sf_dir, "bars"))
+    return K.history_gates(held(view(spark, sf_dir, "bars")))
 
 
 def fil09_of_handle(spark, sf_dir):
@@ -130,29 +130,29 @@ def dom43_probes(spark, sf_dir):
 
 
 def dom18_pattern_states(spark, sf_dir):
-    return C.patterns_now(view(spark, sf_dir, "bars"))
+    return C.patterns_now(held(view(spark, sf_dir, "bars")))
 
 
 def dom16_triangle_states(spark, sf_dir):
-    return C.triangles(view(spark, sf_dir, "bars"))
+    return C.triangles(held(view(spark, sf_dir, "bars")))
 
 
 def dom17_rectangle_states(spark, sf_dir):
-    return C.rectangles(view(spark, sf_dir, "bars"))
+    return C.rectangles(held(view(spark, sf_dir, "bars")))
 
 
 def dom19_flag_states(spark, sf_dir):
-    return C.flags(view(spark, sf_dir, "bars"))
+    return C.flags(held(view(spark, sf_dir, "bars")))
 
 
 def dom14_trend_record(spark, sf_dir):
-    return C.trend_record(view(spark, sf_dir, "bars"))
+    return C.trend_record(held(view(spark, sf_dir, "bars")))
 
 
 def _jumpy(spark, sf_dir):
     """Bars whose opens leave the close before on some days."""
     jump = F.when(F.dayofmonth("d") == 7, 1.03).when(F.dayofmonth("d") == 19, 0.97).otherwise(1.0)
-    return view(spark, sf_dir, "bars").withColumn("open", F.round(F.col("open") * jump, 4))
+    return held(view(spark, sf_dir, "bars")).withColumn("open", F.round(F.col("open") * jump, 4))
 
 
 def win19_gap_zones(spark, sf_dir):
@@ -164,7 +164,7 @@ def dom15_sr_levels(spark, sf_dir):
 
 
 def dom21_chart_total(spark, sf_dir):
-    return C.chart_scores(view(spark, sf_dir, "bars"))
+    return C.chart_scores(held(view(spark, sf_dir, "bars")))
 
 
 QUERIES = {f.__name__: f for f in (dom14_trend_record, win19_gap_zones, dom15_sr_levels, dom21_chart_total, dom16_triangle_states, dom17_rectangle_states, dom18_pattern_states, dom19_flag_states, dom30_eight_pillars, dat06_event_risk, dom31_macro_regime, dom34_flow, dom32_assessment, dom12_benchmark_regime, dom13_monitor, agg21_news, dom35_event_bundle, dom38_candidates, top10_latest, fil01_valid_bars, fil02_history_gates, fil09_of_handle, fil10_dated_documents, joi18_tickers, joi02_sectors, dom43_probes)}

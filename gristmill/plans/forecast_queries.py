@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import forecast as P, indicators as I, macro as M
-from ..sources.views import oracle, table, view
+from ..sources.views import held, oracle, table, view
 from .indicator_queries import W, _SWINGS, _full, _rows
 
 
 def _bars(spark, sf_dir):
-    return view(spark, sf_dir, "bars")
+    return held(view(spark, sf_dir, "bars"))
 
 
 def dom27_past_forecasts(spark, sf_dir):

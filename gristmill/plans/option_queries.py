@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import normal
 from ..operators import indicators as I, options as O
-from ..sources.views import oracle, view
+from ..sources.views import held, oracle, view
 from .indicator_queries import W
 
 
 def _chain(spark, sf_dir):
-    return view(spark, sf_dir, "chain")
+    return held(view(spark, sf_dir, "chain"))
 
 
 def _rounded(df, *names, k=6):
@@ -90,7 +90,7 @@ def mth09_payoff(spark, sf_dir):
 
 
 def _real(spark, sf_dir):
-    return O.realized(view(spark, sf_dir, "bars"))
+    return O.realized(held(view(spark, sf_dir, "bars")))
 
 
 def dom23_smiles(spark, sf_dir):

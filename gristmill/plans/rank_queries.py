@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..operators import events as E, indicators as I, rank_spec as R, scoring as S
-from ..sources.views import oracle, view
+from ..sources.views import held, oracle, view
 from .indicator_queries import RET, W, _ewm_sql, _full, _rows
 
 
@@ -16,16 +16,16 @@ NUDGE = 1.37e-12
 
 
 def _prices(spark, sf_dir, last_only=False, digits=9):
-    return S.price_features(view(spark, sf_dir, "bars"), view(spark, sf_dir, "market"), last_only=last_only, digits=digits)
+    return S.price_features(held(view(spark, sf_dir, "bars")), held(view(spark, sf_dir, "market")), last_only=last_only, digits=digits)
 
 
 def _event_features(spark, sf_dir, rows):
-    return E.event_features(rows, E.spike_drift(view(spark, sf_dir, "bars")), view(spark, sf_dir, "reports"), view(spark, sf_dir, "shorts"))
+    return E.event_features(rows, E.spike_drift(held(view(spark, sf_dir, "bars"))), held(view(spark, sf_dir, "reports")), held(view(spark, sf_dir, "shorts")))
 
 
 def _signals(spark, sf_dir, rows):
     """Event fields of each symbol at the date of its row: news, messages, the next report, drifts, the last surprise, short interest."""
-    months = I.month_returns(view(spark, sf_dir, "bars")).select("symbol", "m", F.col("mean").alias("month_drift"))
+    months = I.month_returns(held(view(spark, sf_dir, "bars"))).select("symbol", "m", F.col("mean").alias("month_drift"))
     days = F.datediff("next_report", "d")
     s = rows.select("symbol", "d").join(view(spark, sf_dir, "signals"), "symbol", "left").withColumn("m", F.month("d")).join(months, ["symbol", "m"], "left")
     s = s.join(_event_features(spark, sf_dir, rows.select("symbol", "d")).drop("d"), "symbol", "left")
@@ -36,7 +36,7 @@ def _signals(spark, sf_dir, rows):
 def _today(spark, sf_dir):
     """Every feature of each symbol's last bar."""
     rows = S.company_features(S.latest(_prices(spark, sf_dir, True)), view(spark, sf_dir, "company"))
-    rows = S.macro_features(rows, view(spark, sf_dir, "sectors"), view(spark, sf_dir, "macro_state"))
+    rows = S.macro_features(rows, held(view(spark, sf_dir, "sectors")), view(spark, sf_dir, "macro_state"))
     return S.complete(S.with_signals(rows, _signals(spark, sf_dir, rows)))
 
 
@@ -63,7 +63,7 @@ _EVENT_COLUMNS = ("surprise_pct", "report_drift", "earnings_drift", "short_chang
 
 def dom01_event_features(spark, sf_dir):
     """At every bar: days since and to reports, the last surprise, drifts and short interest."""
-    got = _event_features(spark, sf_dir, view(spark, sf_dir, "bars").select("symbol", "d"))
+    got = _event_features(spark, sf_dir, held(view(spark, sf_dir, "bars")).select("symbol", "d"))
     return got.select("symbol", "d", "days_since_report", "days_to_report", *(F.round(F.col(c) + NUDGE, 6).alias(c) for c in _EVENT_COLUMNS))
 
 
@@ -77,11 +77,11 @@ def dat03_days_to_events(spark, sf_dir):
 
 
 def top09_upcoming_events(spark, sf_dir):
-    return E.upcoming(view(spark, sf_dir, "reports").select("symbol", "d"), F.lit(_DAY).cast("date"), 60)
+    return E.upcoming(held(view(spark, sf_dir, "reports")).select("symbol", "d"), F.lit(_DAY).cast("date"), 60)
 
 
 def top09_recent_events(spark, sf_dir):
-    return E.recent(view(spark, sf_dir, "reports").select("symbol", "d"), F.lit(_DAY).cast("date"), 10)
+    return E.recent(held(view(spark, sf_dir, "reports")).select("symbol", "d"), F.lit(_DAY).cast("date"), 10)
 
 
 def joi03_signals(spark, sf_dir):
@@ -90,7 +90,7 @@ def joi03_signals(spark, sf_dir):
 
 
 def joi04_macro_on_symbols(spark, sf_dir):
-    return S.macro_features(S.latest(_prices(spark, sf_dir, True)).select("symbol"), view(spark, sf_dir, "sectors"), view(spark, sf_dir, "macro_state"))
+    return S.macro_features(S.latest(_prices(spark, sf_dir, True)).select("symbol"), held(view(spark, sf_dir, "sectors")), view(spark, sf_dir, "macro_state"))
 
 
 def dom04_submetric_scores(spark, sf_dir):
@@ -124,7 +124,7 @@ def agg14_symbol_summary(spark, sf_dir):
 
 
 def top01_by_sector(spark, sf_dir):
-    return S.top_by_sector(_ranked(spark, sf_dir), view(spark, sf_dir, "sectors").select("symbol", "sector"))
+    return S.top_by_sector(_ranked(spark, sf_dir), held(view(spark, sf_dir, "sectors")).select("symbol", "sector"))
 
 
 def agg07_z_scores(spark, sf_dir):
@@ -132,12 +132,12 @@ def agg07_z_scores(spark, sf_dir):
 
 
 def dom11_dashboard(spark, sf_dir):
-    got = S.dashboard(view(spark, sf_dir, "bars"), view(spark, sf_dir, "market"))
+    got = S.dashboard(held(view(spark, sf_dir, "bars")), held(view(spark, sf_dir, "market")))
     return got.select("symbol", "d", "close", "trend", "setup", "label", "outlook", *(F.round(c, 6).alias(c) for c in ("support", "resistance", "to_support", "to_resistance", "sd20", "vol_annual", "atr", "range_pctile", "rs", "adv_musd")))
 
 
 def top06_table_order(spark, sf_dir):
-    return S.table_order(S.dashboard(view(spark, sf_dir, "bars"), view(spark, sf_dir, "market"))).select("place", "symbol", "label", F.round("rs", 6).alias("rs"))
+    return S.table_order(S.dashboard(held(view(spark, sf_dir, "bars")), held(view(spark, sf_dir, "market")))).select("place", "symbol", "label", F.round("rs", 6).alias("rs"))
 
 
 QUERIES = {f.__name__: f for f in (dom11_dashboard, top06_table_order, dom01_features, dom01_price_features, dom01_event_features, dat03_days_to_events, top09_upcoming_events, top09_recent_events, joi03_signals, joi04_macro_on_symbols, dom04_submetric_scores, dom05_rank, dom05_breakdown, dom07_regime_tilt, dom09_backtest, agg13_backtest_summary, agg14_symbol_summary, top01_by_sector, agg07_z_scores)}

@@ -154,7 +154,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived input as a DataFrame."""
     import re
 
-    inputs = {"bars": view(spark, sf_dir, "bars")} if name == "chain" else {t: table(spark, sf_dir, t) for t in _NEEDS[name]}
+    inputs = {"bars": held(view(spark, sf_dir, "bars"))} if name == "chain" else {t: table(spark, sf_dir, t) for t in _NEEDS[name]}
     sql = SQL[name]
     for t in inputs:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)

@@ -377,3 +377,23 @@ def test_hits_need_half_a_percent(spark):
     (r,) = C.pattern_statistics(found).collect()
     assert (r.n, r.n_total, r.hit_rate, r.win_rate_1pct) == (6, 12, round(3 / 6, 6), round(4 / 6, 6))
     assert C.pattern_statistics(found.limit(9)).count() == 0
+
+
+def test_roots_are_found_for_whole_batches(spark):
+    """Against the price that a known volatility gives, with what has no root, and once a row in the plan."""
+    rnd = random.Random(12)
+    rows = [(rnd.choice("CP"), rnd.uniform(50, 150), rnd.uniform(60, 140), rnd.uniform(0.05, 2), rnd.uniform(0.1, 1.5)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "side string, spot double, strike double, t double, vol double")
+    df = df.withColumn("target", O.price(F.col("spot"), F.col("strike"), F.col("t"), F.col("vol"), F.col("side"), O.RATE))
+    solved = df.withColumn("iv", O.implied_volatility(F.col("target"), F.col("spot"), F.col("strike"), F.col("t"), F.col("side"), r=O.RATE))
+    back = solved.withColumn("again", O.price(F.col("spot"), F.col("strike"), F.col("t"), F.col("iv"), F.col("side"), O.RATE)).toPandas()
+    assert np.allclose(back["again"], back["target"], atol=1e-6)
+    firm = back[np.abs(np.log(back["spot"] / back["strike"])) < back["vol"] * np.sqrt(back["t"])]
+    assert len(firm) > 200
+    assert np.allclose(firm["iv"], firm["vol"], atol=1e-5)
+    odd = [("C", 100.0, 100.0, 1.0, 500.0), ("C", 100.0, 50.0, 1.0, 1.0), ("C", 100.0, 0.0, 1.0, 5.0), (None, 100.0, 100.0, 1.0, 5.0), ("C", 100.0, 100.0, None, 5.0), ("C", 100.0, 100.0, 0.0, 5.0), ("C", 100.0, 100.0, 1.0, None)]
+    none = spark.createDataFrame(odd, "side string, spot double, strike double, t double, target double")
+    none = none.withColumn("iv", O.implied_volatility(F.col("target"), F.col("spot"), F.col("strike"), F.col("t"), F.col("side")))
+    assert none.where("iv is not null").count() == 0
+    plan = solved.where("iv > 0").select(F.col("iv") * 2, F.coalesce("iv", F.lit(0.0)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "lambda" not in plan
