@@ -76,9 +76,13 @@ def grouped_by_range(docs: DataFrame, rows: int = GROUP_ROWS) -> DataFrame:
     ends = [*bounds[1:], int(most) + 1]
     each = max(1, -(-n // (len(bounds) * rows)))
     widths = [max(1, -(-(b - a) // each)) for a, b in zip(bounds, ends, strict=True)]
-    at, width = F.array(*map(F.lit, bounds)), F.array(*(F.lit(w).cast("long") for w in widths))
+    # ids may lie further apart than a long reaches, so distances and widths are decimals
+    wide = lambda x: F.lit(str(x)).cast("decimal(20,0)")
+    at, starts, width = F.array(*map(F.lit, bounds)), F.array(*map(wide, bounds)), F.array(*map(wide, widths))
     docs = docs.withColumn("seg", F.coalesce(F.aggregate(at, F.lit(0), lambda acc, b: acc + (b <= F.col("doc_id")).cast("int")) - 1, F.lit(-1)))
-    inside = F.floor((F.col("doc_id") - F.element_at(at, F.col("seg") + 1)) / F.element_at(width, F.col("seg") + 1))
+    i = F.col("seg") + 1
+    distance = F.col("doc_id").cast("decimal(20,0)") - F.element_at(starts, i)
+    inside = (distance - distance % F.element_at(width, i)) / F.element_at(width, i)
     return docs.withColumn("grp", F.when(F.col("seg") < 0, F.lit(0).cast("long")).otherwise(inside.cast("long")))
 
 
@@ -116,7 +120,12 @@ def with_next(docs: DataFrame, columns: list[str], more: Callable[[DataFrame], D
 
 
 def fingerprints(docs: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(doc_id, sketch array<long>, fingerprint string) of docs(doc_id, text)."""
+    """(doc_id, sketch array<long>, fingerprint string) of docs(doc_id, text).
+
+    A null or empty text has an empty sketch and the fingerprint ''; equal texts
+    have equal fingerprints; rows stay apart, those of one doc_id or none too;
+    other columns are ignored.
+    """
     out = with_sketch(docs.select("doc_id", "text"), "text", "sketch", scale)
     return out.select("doc_id", "sketch", as_string("sketch").alias("fingerprint"))
 

@@ -109,8 +109,17 @@ def test_partenum_signs_every_similar_pair():
         same = len(np.intersect1d(a, b))
         if len(b) == 0 or 100 * same < 80 * (len(a) + len(b) - same):
             continue
+        if np.array_equal(a, b):
+            continue  # equal sets are one node, see the next test
         signs, owner = ngram_join.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
-        assert set(signs[owner == 0].tolist()) & set(signs[owner == 1].tolist())
+        assert len(set(signs[owner == 0].tolist()) & set(signs[owner == 1].tolist())) >= 2
+
+
+def test_equal_sets_are_one_node(spark):
+    rows = [(i, t) for i, t in enumerate(["a b", "A  b", "a b\n", "a b c", "x y z u v w", "X y z u v\tw", "x y z u v"])]
+    got = {r.doc_id: r.node for r in ngram_join.ngram_jaccard_nodes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == got[1] == got[2] and got[4] == got[5]
+    assert len({got[0], got[3], got[4], got[6]}) == 4
 
 
 def test_token_counts_at_every_prefix(spark, docs):
@@ -439,6 +448,18 @@ def test_fingerprints_by_brute_force(spark):
         assert got[i].near_edited == pytest.approx(near(sketch(t), sketch(edited))) and got[i].near_next == pytest.approx(near(sketch(t), sketch(after)))
 
 
+def test_fingerprints_of_ids_that_lie_far_apart(spark):
+    ends = [-(1 << 63), -9 * 10**18, -5, 0, 5, 9 * 10**18, (1 << 63) - 1]
+    rows = [(d, f"text of {i} with some words {i}") for i, d in enumerate(ends)] + [(7, "one id"), (7, "one id twice"), (7, None), (None, "no id")]
+    got = fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    order = sorted(((d is not None, d or 0, t or "") for d, t in rows))
+    want = collections.Counter()
+    for (known, d, t), (_, _, n) in zip(order, order[1:] + order[:1], strict=True):
+        k = len(t) // 4
+        want[d if known else None, hashlib.sha256((t[: len(t) - k] + n[:k]).encode()).hexdigest()] += 1
+    assert collections.Counter((r.doc_id, r.edited_sha256) for r in got) == want
+
+
 def test_url_model_knows_words_in_unseen_forms(spark):
     forms = ["best-{}s", "{}24", "my{}", "{}-world", "super{}x"]
     words = [(w, "block") for w in url_filter.BLOCK_WORDS] + [(w, "allow") for w in url_filter.ALLOW_WORDS]
