@@ -272,6 +272,9 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of docs(doc_id, text).
 
     ids_sha256: of the decimal ids, one space between; decoded_sha256: of the
-    bytes that the ids stand for in the token-byte table.
+    bytes that the ids stand for in the token-byte table.  A null or empty text
+    has no ids and the digests of nothing; rows stay apart, repeated ones and
+    those without doc_id too; other columns are ignored; an empty table gives
+    no rows.
     """
     return _encoded(docs, path, pattern, True, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -179,7 +179,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str)
 
 
 def read_token_files(spark, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) decoded from the files; start counts the ids of all documents before."""
+    """(doc_id, start, n_tokens, ids_crc32) decoded from the files; start counts the ids of all documents before.
+
+    A document that was null or empty has its end id alone; repeated rows and
+    rows without doc_id come back apart, each with its own start; files of an
+    empty table give no rows.
+    """
     T.small_batches(spark)
     blocks = spark.read.parquet(f"{folder}/ids")
     order = np.array([r["id"] for r in spark.read.parquet(f"{folder}/ranks").orderBy("rank").collect()], np.uint32)
