@@ -28,20 +28,38 @@ def forecast_rows(bars: DataFrame, every: int = EVERY, latest: bool = False) ->
     return df.select("symbol", "d", "rn", F.ceil(F.col("rn") / every).cast("int").alias("k"), F.col("close").alias("spot"), "n_ret", "mu", "sd", "sd_all")
 
 
+QUANTILES = (0.05, 0.16, 0.5, 0.84, 0.95)
+
+
+def _quantiles(values: Column) -> Column:
+    """The quantiles of an array, between neighbours in proportion."""
+    ordered = F.array_sort(values)
+    out = []
+    for q in QUANTILES:
+        at = (F.size(ordered) - 1) * q
+        low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
+        out.append(F.when(low == high, F.get(ordered, low)).otherwise((high - at) * F.get(ordered, low) + (at - low) * F.get(ordered, high)))
+    return F.array(*out)
+
+
 def historical_quantiles(rows: DataFrame, bars: DataFrame, every: int = EVERY) -> DataFrame:
     """WIN21: (symbol, rn, horizon, q): quantiles .05, .16, .5, .84, .95 of the sums of h log returns in the windows before each forecast, from 60 more returns than h on.
 
-    Each window is dealt to the forecasts that look back on it (a fixed
-    number), so forecasts and windows meet by equal keys.
+    Windows are packed into a row for each block of bars; a forecast asks for
+    the blocks that it looks back on, a fixed number, by equal keys, and takes
+    its quantiles from the arrays.
     """
     df = I.with_returns(bars).withColumn("at", F.row_number().over(I.in_order()))
-    sums = F.array(*(F.struct(F.lit(h).alias("horizon"), I.full(F.sum("logret").over(I.last(h)), h, "logret").alias("s")) for h in HORIZONS))
-    df = df.select("symbol", "at", sums.alias("w")).select("symbol", "at", F.explode("w").alias("w")).select("symbol", "at", "w.*").where("s is not null")
-    first = F.floor(F.col("at") / every) + 1
-    df = df.withColumn("k", F.explode(F.sequence(first.cast("int"), (first + HISTORY // every).cast("int"))))
-    got = rows.select("symbol", "rn", "k", "n_ret").join(df, ["symbol", "k"])
-    got = got.where((F.col("at") < F.col("rn")) & (F.col("at") > F.col("rn") - HISTORY) & (F.col("n_ret") >= F.col("horizon") + 60))
-    return got.groupBy("symbol", "rn", "horizon").agg(F.percentile("s", [0.05, 0.16, 0.5, 0.84, 0.95]).alias("q"), F.count("*").alias("n")).where("n >= 30")
+    sums = [I.full(F.sum("logret").over(I.last(h)), h, "logret").alias(f"s{h}") for h in HORIZONS]
+    packed = df.select("symbol", "at", *sums).groupBy("symbol", F.floor(F.col("at") / every).alias("block")).agg(F.collect_list(F.struct("at", *(f"s{h}" for h in HORIZONS))).alias("w"))
+    block = lambda at: F.floor(at / every)
+    asked = rows.select("symbol", "rn", "n_ret", F.explode(F.sequence(block(F.greatest(F.col("rn") - HISTORY + 1, F.lit(0))), block(F.col("rn") - 1))).alias("block"))
+    got = asked.join(packed, ["symbol", "block"]).groupBy("symbol", "rn", "n_ret").agg(F.flatten(F.collect_list("w")).alias("w"))
+    got = got.withColumn("w", F.filter("w", lambda x: (x["at"] < F.col("rn")) & (x["at"] > F.col("rn") - HISTORY)))
+    each = F.array(*(F.struct(F.lit(h).alias("horizon"), F.array_compact(F.col("w")[f"s{h}"]).alias("s")) for h in HORIZONS))
+    got = got.select("symbol", "rn", "n_ret", F.explode(each).alias("x")).select("symbol", "rn", "n_ret", "x.*")
+    got = got.where((F.size("s") >= 30) & (F.col("n_ret") >= F.col("horizon") + 60))
+    return got.select("symbol", "rn", "horizon", _quantiles(F.col("s")).alias("q"), F.size("s").cast("long").alias("n"))
 
 
 def bands(bars: DataFrame, surface: DataFrame | None = None, pattern: DataFrame | None = None, latest: bool = False) -> DataFrame:
