@@ -243,14 +243,40 @@ def link_repairs(pages: DataFrame, least: float = 0.5) -> DataFrame:
     direct = direct.groupBy("page_id", "site", "target").agg(F.min_by("to", "nth").alias("to")).withColumn("score", F.lit(1.0))
     words = lambda p: F.array_distinct(F.regexp_extract_all(F.regexp_extract(F.lower(F.regexp_replace(p, "/+$", "")), r"([^/]*)$", 1), F.lit("([a-z]+)")))
     parent = lambda p: F.regexp_extract(F.regexp_replace(p, "/+$", ""), r"^(.*/)[^/]*$", 1)
-    rest = broken.join(direct, ["page_id", "site", "target"], "left_anti").select("page_id", "site", "target", parent(normal_path(F.col("target"))).alias("parent"), words(F.col("target")).alias("w"))
-    # pages meet links on a shared word below the same parent
-    by_word = known.select("site", "to", parent(F.col("to")).alias("parent"), words(F.col("to")).alias("v")).withColumn("key", F.explode("v"))
-    near = rest.withColumn("key", F.explode("w")).join(by_word, ["site", "parent", "key"]).select("page_id", "site", "target", "to", (F.size(F.array_intersect("w", "v")) / F.size(F.array_union("w", "v"))).alias("score"))
-    near = near.where(F.col("score") >= least).groupBy("page_id", "site", "target").agg(F.max_by(F.struct("to", F.round("score", 6).alias("score")), F.struct("score", "to")).alias("b")).select("page_id", "site", "target", "b.*")
+    rest = broken.join(direct, ["page_id", "site", "target"], "left_anti").select("page_id", "site", "target", parent(normal_path(F.col("target"))).alias("parent"), F.array_sort(words(F.col("target"))).alias("w"))
+    # a score depends on the words alone, so each set of words below a parent is compared once, with the last page that has it
+    pages_of = known.groupBy("site", parent(F.col("to")).alias("parent"), F.array_sort(words(F.col("to"))).alias("v")).agg(F.max("to").alias("to"))
+    best = _best_sets(rest.select("site", "parent", "w").distinct(), pages_of, ["site", "parent"], least)
+    near = rest.join(best, ["site", "parent", "w"]).select("page_id", "site", "target", "to", "score")
     return direct.unionByName(near)
 
 
+def _best_sets(left: DataFrame, right: DataFrame, by: list[str], least: float) -> DataFrame:
+    """left(by, w) with the right(by, v, to) of the highest Jaccard index of w and v, from least on, ties by the largest to; sets are distinct on both sides.
+
+    Words are ordered from rare to frequent below a parent.  Sets of a and b
+    words that are similar enough share at least o = least / (1 + least) (a + b)
+    words, so they share one among the first a - o + 1 of one and b - o + 1 of
+    the other: they meet by (word, a, b), and a word that many sets have is a
+    key only where the sizes leave no rarer one.
+    """
+    every = left.select(*by, F.col("w").alias("set")).union(right.select(*by, F.col("v").alias("set"))).distinct().withColumn("word", F.explode("set"))
+    often = every.groupBy(*by, "word").agg(F.count("*").alias("often"))
+    ordered = every.join(often, [*by, "word"]).groupBy(*by, "set").agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("words"))
+
+    def keyed(df: DataFrame, own: str, other: str) -> DataFrame:
+        n = F.size("set")
+        df = df.join(ordered, [*by, "set"]).withColumn(own, n).withColumn(other, F.explode(F.sequence(F.ceil(n * least - 1e-9).cast("int"), F.floor(n / least + 1e-9).cast("int"))))
+        first = n - F.ceil((F.col(own) + F.col(other)) * (least / (1 + least)) - 1e-9).cast("int") + 1
+        return df.where(first > 0).withColumn("word", F.explode(F.slice("words.word", 1, first))).drop("words")
+
+    x = keyed(left.withColumnRenamed("w", "set"), "a", "b").withColumnRenamed("set", "w")
+    y = keyed(right.withColumnRenamed("v", "set"), "b", "a").withColumnRenamed("set", "v")
+    score = F.size(F.array_intersect("w", "v")) / F.size(F.array_union("w", "v"))
+    met = x.join(y, [*by, "word", "a", "b"]).withColumn("score", score).where(F.col("score") >= least)
+    return met.groupBy(*by, "w").agg(F.max_by(F.struct("to", F.round("score", 6).alias("score")), F.struct("score", "to")).alias("best")).select(*by, "w", "best.*")
+
+
 def repairs(pages: DataFrame) -> DataFrame:
     """DOM45, SET2: proposed edits (page_id, site, fix, before, after): one for each kind and page; nothing is written."""
     html = F.coalesce("html", F.lit(""))
@@ -260,15 +286,24 @@ def repairs(pages: DataFrame) -> DataFrame:
     return local.unionByName(links.withColumn("fix", F.lit("broken_internal_link")))
 
 
+# Severities from the least to the gravest.
+SEVERITIES = ("low", "medium", "high", "critical")
+
+
+def severity_rank(severity: Column) -> Column:
+    """How grave a severity is, by number; names that are not known are the least."""
+    return F.array_position(F.array(*map(F.lit, SEVERITIES)), severity)
+
+
 def classified(today: DataFrame, carried: DataFrame) -> DataFrame:
     """JOI23, DOM44: today(site, class, severity) against carried(site, class, nights): (site, class, severity, nights, stage, auto_fix).
 
-    A class that was carried goes on counting; a live_ class also counts on
+    The gravest severity of a class counts.  A class that was carried goes on counting; a live_ class also counts on
     from another live_ class of its site.  Stages: new, carried (up to two
     nights), escalated; carried ones that are gone are resolved.
     """
     family = lambda c: F.when(c.startswith("live_"), F.lit("live_")).otherwise(c)
-    t = today.groupBy("site", "class").agg(F.max("severity").alias("severity")).withColumn("family", family(F.col("class")))
+    t = today.groupBy("site", "class").agg(F.max_by("severity", severity_rank(F.col("severity"))).alias("severity")).withColumn("family", family(F.col("class")))
     c = carried.withColumn("family", family(F.col("class")))
     exact = c.select("site", "class", F.col("nights").alias("same"))
     kin = c.groupBy("site", "family").agg(F.min_by("nights", "class").alias("kin"))

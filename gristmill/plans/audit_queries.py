@@ -130,7 +130,7 @@ g3 AS (SELECT page_id, site, CAST(n_words AS INT) AS n_words, [x FOR x IN [CASE
  [x FOR x IN [CASE WHEN n_words BETWEEN {A.GATE_FAIL} AND {A.GATE_WARN - 1} THEN 'few_words' END, CASE WHEN NOT REGEXP_MATCHES(h, '(?i)<link[^>]+rel="canonical"[^>]*href="[^"]+"') THEN 'no_canonical' END, CASE WHEN NOT boxed THEN 'no_box' END] IF x IS NOT NULL] AS w FROM g2),
 gated AS (SELECT page_id, site, n_words, ARRAY_TO_STRING(f, '; ') AS failures, ARRAY_TO_STRING(w, '; ') AS warnings, LEN(f) = 0 AS ok FROM g3)"""
 _FAMILY = lambda c: f"CASE WHEN STARTS_WITH({c}, 'live_') THEN 'live_' ELSE {c} END"
-_STAGED = f""", t0 AS (SELECT site, class, severity FROM found UNION ALL SELECT DISTINCT site, 'live_non_200', 'high' FROM site WHERE site <> 'site0'), t AS (SELECT site, class, MAX(severity) AS severity, {_FAMILY('class')} AS family FROM t0 GROUP BY 1, 2),
+_STAGED = f""", t0 AS (SELECT site, class, severity FROM found UNION ALL SELECT DISTINCT site, 'live_non_200', 'high' FROM site WHERE site <> 'site0'), t AS (SELECT site, class, ARG_MAX(severity, CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) AS severity, {_FAMILY('class')} AS family FROM t0 GROUP BY 1, 2),
 c AS (SELECT *, {_FAMILY('class')} AS family FROM carried), kin AS (SELECT site, family, ARG_MIN(nights, class) AS kin FROM c GROUP BY 1, 2),
 j AS (SELECT t.*, COALESCE(c.nights, kin.kin) AS before FROM t LEFT JOIN c ON t.site = c.site AND t.class = c.class LEFT JOIN kin ON t.site = kin.site AND t.family = kin.family),
 staged AS (SELECT site, class, severity, CAST(COALESCE(before + 1, 1) AS INT) AS nights, CASE WHEN before IS NULL THEN 'new' WHEN before + 1 >= 3 THEN 'escalated' ELSE 'carried' END AS stage, class IN ({', '.join(map(_Q, A.AUTO_FIX))}) AND severity <> 'critical' AS auto_fix FROM j

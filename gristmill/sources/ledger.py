@@ -67,10 +67,15 @@ def net_cash_flow(legs: DataFrame, by: str = "page_id") -> DataFrame:
     return legs.groupBy(by).agg(F.round(F.sum(F.col("quantity") * F.col("basis") * 100), 4).alias("net"), F.count("*").alias("legs"))
 
 
-def newest_wins(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """SET3: both together, one row for each key, the new one where both have it."""
+def newest_wins(old: DataFrame, new: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """SET3: both together, one row for each key, the new one where both have it.
+
+    Of several rows of a side the last in order counts (by default in the order
+    of all other columns, so that the choice is the same each time).
+    """
     both = new.withColumn("_p", F.lit(0)).unionByName(old.withColumn("_p", F.lit(1)), allowMissingColumns=True)
-    return both.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_p"))).where("_n = 1").drop("_n", "_p")
+    later = [F.desc(c) for c in (order or [c for c in both.columns if c not in (key, "_p")])]
+    return both.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_p", *later))).where("_n = 1").drop("_n", "_p")
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

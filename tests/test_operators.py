@@ -397,3 +397,31 @@ def test_roots_are_found_for_whole_batches(spark):
     assert none.where("iv is not null").count() == 0
     plan = solved.where("iv > 0").select(F.col("iv") * 2, F.coalesce("iv", F.lit(0.0)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "lambda" not in plan
+
+
+def test_the_gravest_severity_counts(spark):
+    today = spark.createDataFrame([("s", "word_count_low", x) for x in ("high", "critical", "medium", "low")] + [("s", "b", "low"), ("s", "b", "medium"), ("s", "c", None)], "site string, class string, severity string")
+    carried = spark.createDataFrame([], "site string, class string, nights int")
+    got = {r["class"]: r.severity for r in D.classified(today, carried).collect()}
+    assert got == {"word_count_low": "critical", "b": "medium", "c": None}
+
+
+def test_of_two_new_rows_the_same_one_wins(spark):
+    from gristmill.sources import ledger as L
+
+    old = spark.createDataFrame([("a", 9), ("b", 1)], "k string, v int")
+    new = spark.createDataFrame([("a", 2), ("a", 5), ("a", 3)], "k string, v int").repartition(3)
+    assert sorted(tuple(r) for r in L.newest_wins(old, new, "k").collect()) == [("a", 5), ("b", 1)]
+
+
+def test_best_sets_against_all_pairs(spark):
+    """Prefix keys for sizes of both sets lose no best match, with words that nearly all sets have."""
+    rnd = random.Random(5)
+    draw = lambda: tuple(sorted({"story", *rnd.choices("abcdefgh", k=rnd.randrange(5))} if rnd.random() < 0.8 else set(rnd.choices("abcdefgh", k=2))))
+    left, right = {draw() for _ in range(60)}, {draw() for _ in range(60)}
+    to = {v: f"/p/{i}" for i, v in enumerate(sorted(right))}
+    for least in (0.5, 0.75):
+        got = D._best_sets(spark.createDataFrame([("s", list(w)) for w in left], "site string, w array<string>"), spark.createDataFrame([("s", list(v), p) for v, p in to.items()], "site string, v array<string>, to string"), ["site"], least)
+        found = {tuple(r.w): (round(r.score, 6), r.to) for r in got.collect()}
+        want = {w: max((len(set(w) & set(v)) / len(set(w) | set(v)), p) for v, p in to.items()) for w in left}
+        assert found == {w: (round(s, 6), p) for w, (s, p) in want.items() if s >= least}
