@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import forecast as P, indicators as I, macro as M
+from ..operators import forecast as P, indicators as I, macro as M, regimes as G
 from ..sources.views import held, oracle, table, view
 from .indicator_queries import W, _SWINGS, _full, _rows
 
@@ -93,6 +93,30 @@ def dom33_volatility_states(spark, sf_dir):
     return M.transitions(M.volatility_states(_bars(spark, sf_dir)))
 
 
+def _features(spark, sf_dir):
+    return I.regime_features(_bars(spark, sf_dir))
+
+
+def dom33_regimes_now(spark, sf_dir):
+    rows = _features(spark, sf_dir)
+    return G.regimes_now(G.smoothed(rows, G.fit_states(held(rows))))
+
+
+def dom33_model_choice(spark, sf_dir):
+    """Likelihood, parameters, AIC and BIC of two to four states."""
+    rows = held(_features(spark, sf_dir))
+    fitted = [(k, G.fit_states(rows, k=k)) for k in (2, 3, 4)]
+    return spark.createDataFrame([(k, s.n, s.parameters, s.log_likelihood, s.aic, s.bic) for k, s in fitted], "k int, n long, parameters int, log_likelihood double, aic double, bic double")
+
+
+def dom33_tercile_runs(spark, sf_dir):
+    return I.run_lengths(G.by_terciles(_features(spark, sf_dir)).select("symbol", "d", "rv", "state"), "state")
+
+
+def dom33_tercile_transitions(spark, sf_dir):
+    return M.transitions(G.by_terciles(_features(spark, sf_dir)))
+
+
 def dom34_positioning(spark, sf_dir):
     return M.positioning(view(spark, sf_dir, "fundamentals"))
 
@@ -119,7 +143,7 @@ def stm01_hourly_bars(spark, sf_dir):
     return hourly_bars(e.select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), F.lit(1).alias("volume"))).select("symbol", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "open", "high", "low", "close", "volume")
 
 
-QUERIES = {f.__name__: f for f in (dom27_past_forecasts, dom28_outcomes, joi13_level_touches, agg16_calibration, agg17_symbol_calibration, agg17_symbol_status, dom29_paper_signals, fil11_open_records, joi11_forward_as_of, joi12_backward_as_of, dom18_patterns, dom15_levels, win27_series_features, dom30_pillars, dom31_regime, dom33_volatility_states, dom34_positioning, dom37_position_changes, agg23_holdings_summary, stm01_hourly_bars, stm04_lockouts)}
+QUERIES = {f.__name__: f for f in (dom27_past_forecasts, dom28_outcomes, joi13_level_touches, agg16_calibration, agg17_symbol_calibration, agg17_symbol_status, dom29_paper_signals, fil11_open_records, joi11_forward_as_of, joi12_backward_as_of, dom18_patterns, dom15_levels, win27_series_features, dom30_pillars, dom31_regime, dom33_volatility_states, dom33_regimes_now, dom33_model_choice, dom33_tercile_runs, dom33_tercile_transitions, dom34_positioning, dom37_position_changes, agg23_holdings_summary, stm01_hourly_bars, stm04_lockouts)}
 
 _ROWS = f""", lr AS (SELECT *, LN(close) - LN(LAG(close) OVER ({W})) AS logret, CAST(ROW_NUMBER() OVER ({W}) AS INT) AS rn FROM bars),
 mm AS (SELECT *, AVG(logret) {_rows(60)} AS mu, STDDEV_SAMP(logret) {_rows(120)} AS sd, STDDEV_SAMP(logret) {_rows(504)} AS sd_all, MAX(rn) OVER (PARTITION BY symbol) AS last_rn FROM lr),
@@ -167,6 +191,9 @@ _SERF = f""", sf AS (SELECT series_id, d, ROUND(value / CASE WHEN COUNT(value) O
  ROUND(GREATEST(LEAST(CASE WHEN STDDEV_POP(value) OVER p > 0 THEN (value - AVG(value) OVER p) / STDDEV_POP(value) OVER p ELSE 0 END, 3), -3), 5) AS z FROM series WINDOW p AS ({_SW} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 _PILLARS = _SERF + ", lastf AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY d DESC) AS n_ FROM sf) x WHERE n_ = 1), comp AS (" + " UNION ALL ".join(f"SELECT series_id, CASE WHEN {k} IS NOT NULL THEN GREATEST(LEAST({k} / {s}, 1), -1) END AS x FROM lastf" for k, s in (("z", 2.0), ("change3", 0.5), ("yoy", 0.5), ("ma_distance", 0.5))) + "), pil AS (SELECT series_id, ROUND(AVG(x), 6) AS score, COUNT(x) AS n, CAST(COUNT(*) - COUNT(x) AS BIGINT) AS missing FROM comp GROUP BY 1)"
 _CLAMP = lambda x: f"GREATEST(LEAST({x}, 1), -1)"
+_TERCILES = f""", l1 AS (SELECT *, LN(close) - LN(LAG(close) OVER ({W})) AS logret FROM bars), l2 AS (SELECT symbol, d, ROUND({_full(f'STDDEV_SAMP(logret) {_rows(21)}', 21, 'logret')}, 6) AS rv FROM (SELECT * FROM l1 WHERE logret IS NOT NULL) q),
+l3 AS (SELECT * FROM l2 WHERE rv IS NOT NULL), cut AS (SELECT ROUND(QUANTILE_CONT(rv, 1 / 3E0), 6) AS a, ROUND(QUANTILE_CONT(rv, 2 / 3E0), 6) AS b FROM l3), l4 AS (SELECT symbol, d, rv, CAST(CASE WHEN rv <= a THEN 0 WHEN rv <= b THEN 1 ELSE 2 END AS INT) AS state FROM l3 CROSS JOIN cut),
+l5 AS (SELECT *, LAG(state) OVER ({W}) AS was FROM l4), tr AS (SELECT *, SUM(CASE WHEN state = was THEN 0 ELSE 1 END) OVER ({W}) AS run FROM l5)"""
 ORACLE_SQL = {
     "dom27_past_forecasts": oracle("bars", _PAST + " SELECT symbol, d, horizon, spot, sigma, method, " + ", ".join(P.Z) + " FROM fc"),
     "dom28_outcomes": oracle("bars", _OUT + " SELECT * FROM outcomes"),
@@ -187,6 +214,8 @@ SELECT symbol, side, place, source, level, ROUND(level / spot - 1, 6) AS distanc
     "win27_series_features": oracle("series", _SERF + " SELECT * FROM sf"),
     "dom30_pillars": oracle("series", _PILLARS + " SELECT * FROM pil"),
     "dom31_regime": oracle("series", _PILLARS + ", m AS (SELECT AVG(score) AS m FROM pil), r AS (SELECT regime, EXP(-POW(m - c, 2) * 4) AS e FROM m CROSS JOIN (VALUES ('stress', -0.8E0), ('slowdown', -0.4E0), ('neutral', 0E0), ('recovery', 0.4E0), ('boom', 0.8E0)) v(regime, c)), p AS (SELECT regime, e / SUM(e) OVER () AS p FROM r) SELECT regime, ROUND(p, 6) AS p, ROUND(1 + SUM(p * LN(p)) OVER () / LN(5E0), 6) AS confidence FROM p"),
+    "dom33_tercile_runs": oracle("bars", _TERCILES + " SELECT symbol, d, rv, state, CAST(ROW_NUMBER() OVER (PARTITION BY symbol, run ORDER BY d) AS INT) AS duration FROM tr"),
+    "dom33_tercile_transitions": oracle("bars", _TERCILES + ' SELECT "from", "to", n, ROUND(n / SUM(n) OVER (PARTITION BY "from"), 6) AS share FROM (SELECT was AS "from", state AS "to", COUNT(*) AS n FROM tr WHERE was IS NOT NULL GROUP BY 1, 2) q'),
     "dom34_positioning": oracle("fundamentals", f""", s AS (SELECT symbol, {_CLAMP('short_float * 2 - 0.5')} AS s, CASE WHEN institutions IS NOT NULL THEN {_CLAMP('institutions * 4 - 1')} END AS o, {_CLAMP('(3 - rating) / 2')} AS a FROM fundamentals)
 SELECT symbol, ROUND(s, 6) AS short_score, ROUND(o, 6) AS owner_score, ROUND(a, 6) AS analyst_score, ROUND((s * -0.3 + COALESCE(o * 0.2, 0) + a * 0.5) / (0.3 + CASE WHEN o IS NOT NULL THEN 0.2 ELSE 0 END + 0.5), 6) AS flow FROM s"""),
     "dom37_position_changes": oracle("holdings", ", a AS (SELECT filer, cusip, put_call, CAST(shares AS BIGINT) AS before FROM holdings WHERE period = 1), b AS (SELECT filer, cusip, put_call, CAST(shares AS BIGINT) AS after FROM holdings WHERE period = 2) SELECT filer, cusip, put_call, before, after, CASE WHEN before IS NULL THEN 'new' WHEN after IS NULL THEN 'exit' WHEN after > before THEN 'increase' WHEN after < before THEN 'decrease' ELSE 'same' END AS change FROM a FULL JOIN b USING (filer, cusip, put_call)"),
