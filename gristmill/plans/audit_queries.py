@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import audit as A
+from ..operators import audit as A, edits as E
 from ..sources.views import oracle, view
 
 
@@ -71,6 +71,13 @@ def dom45_repairs(spark, sf_dir):
     return A.repairs(_site(spark, sf_dir)).groupBy("site", "fix").agg(F.count("*").alias("n"))
 
 
+def dom45_edit_spans(spark, sf_dir):
+    """The pages that applying the edits of identifiers, slots and footers gives."""
+    site = _site(spark, sf_dir)
+    spans = E.edit_spans(site).where("fix in ('ga4_typo', 'dedup_ad_slots', 'dedup_footer')")
+    return E.repaired_pages(site, spans).select("page_id", "fix", F.md5("html").alias("after"))
+
+
 def _staged(spark, sf_dir):
     found = A.findings(_site(spark, sf_dir)).select("site", "class", "severity")
     live = _site(spark, sf_dir).where("site <> 'site0'").select("site", F.lit("live_non_200").alias("class"), F.lit("high").alias("severity")).distinct()
@@ -98,7 +105,7 @@ def src12_site_map(spark, sf_dir):
     return A.sitemap(_site(spark, sf_dir)).drop("lastmod")
 
 
-QUERIES = {f.__name__: f for f in (str_c_page_types, str_d_missing_sections, str_f_blocks, str_g_double_footers, str_h_repairs, str_i_link_candidates, dom39_site_audit, dom40_gate, agg28_gate_rollup, agg24_site_counts, dom47_upgrade_worklist, joi19_site_links, joi20_link_repairs, dom45_repairs, joi23_classified, dom44_escalations, joi22_orphans, dom46_source_of_truth, src12_site_map)}
+QUERIES = {f.__name__: f for f in (str_c_page_types, str_d_missing_sections, str_f_blocks, str_g_double_footers, str_h_repairs, str_i_link_candidates, dom39_site_audit, dom40_gate, agg28_gate_rollup, agg24_site_counts, dom47_upgrade_worklist, joi19_site_links, joi20_link_repairs, dom45_repairs, dom45_edit_spans, joi23_classified, dom44_escalations, joi22_orphans, dom46_source_of_truth, src12_site_map)}
 
 _N = lambda p: f"REGEXP_REPLACE('/' || REPLACE(REPLACE({p}, 'index.html', ''), '.html', '') || '/', '/+', '/', 'g')"
 _Q = lambda s: "'" + s.replace("'", "''") + "'"
@@ -153,6 +160,7 @@ ORACLE_SQL = {
     "str_d_missing_sections": oracle("site", _PARSED + f" SELECT page_id, {_MISSING} AS missing FROM p1"),
     "str_f_blocks": oracle("site", f", q AS (SELECT page_id, COALESCE(html, '') AS h FROM site) SELECT page_id, {_BOX} AS box FROM q WHERE {_BOX} IS NOT NULL"),
     "str_g_double_footers": oracle("site", f" SELECT page_id, MD5({_ONE_FOOT}) AS after, TRUE AS stable FROM site WHERE html IS NOT NULL"),
+    "dom45_edit_spans": oracle("site", f" SELECT page_id, fix, MD5(after) AS after FROM (SELECT page_id, html, 'ga4_typo' AS fix, {_ID} AS after FROM site UNION ALL SELECT page_id, html, 'dedup_ad_slots', {_ONE_SLOT} FROM site UNION ALL SELECT page_id, html, 'dedup_footer', {_ONE_FOOT} FROM site) q WHERE html <> after"),
     "str_h_repairs": oracle("site", f" SELECT page_id, MD5({_ID}) AS ids, MD5({_ONE_SLOT}) AS slots FROM site WHERE html IS NOT NULL"),
     "str_i_link_candidates": oracle("site", _PARSED + _LINKS + f" SELECT DISTINCT target, {_CAND} AS candidates FROM broken"),
     "dom39_site_audit": oracle("site", _FOUND + " SELECT * FROM found"),
