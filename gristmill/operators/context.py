@@ -175,8 +175,17 @@ def news_signals(news: DataFrame, up: list[str], down: list[str]) -> DataFrame:
     return news.groupBy("symbol").agg(F.count("*").alias("news_count"), F.round(F.avg(F.when(F.coalesce("text", F.lit("")) != "", score)), 6).alias("news_sentiment"))
 
 
+def message_shares(classified: DataFrame) -> DataFrame:
+    """AGG20: classified(symbol, source, cls) to each symbol's messages, shares of bullish and bearish ones, and the mean of its sources' bullish shares, each source counting alike."""
+    by_source = classified.groupBy("symbol", "source").agg(F.count("*").alias("n"), *(F.count_if(F.col("cls") == c).alias(c) for c in ("bullish", "bearish")))
+    n = F.sum("n")
+    return by_source.groupBy("symbol").agg(
+        n.alias("messages"), F.count("*").alias("sources"), *(F.round(F.sum(c) / n, 6).alias(f"{c}_share") for c in ("bullish", "bearish")), F.round(F.avg(F.col("bullish") / F.col("n")), 6).alias("combined_bullish"),
+    )
+
+
 def event_bundle(symbols: DataFrame, news: DataFrame, flow: DataFrame, messages: DataFrame) -> DataFrame:
-    """DOM35: each symbol with what is known of its news, positions and messages(symbol, bullish_share, bearish_share, messages); the rest is null."""
+    """DOM35: each symbol with what is known of its news, of its positions flow(symbol, ...) and of its messages (message_shares()); the rest is null."""
     return symbols.join(news, "symbol", "left").join(flow, "symbol", "left").join(messages, "symbol", "left")
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import charts as C, context as K, macro as M, options as O, scoring as S
+from ..functions import text as X
+from ..operators import charts as C, context as K, events as E, macro as M, options as O, scoring as S
 from ..sources.views import held, oracle, table, view
+from .content_queries import _CLS, _UD
 from .forecast_queries import _SERF
 from .indicator_queries import RET, W, _SWINGS, _full, _rows
 from .option_queries import _SCAN
@@ -74,9 +76,20 @@ def agg21_news(spark, sf_dir):
     return _news(spark, sf_dir)
 
 
+def _said(spark, sf_dir):
+    m = view(spark, sf_dir, "messages").withColumn("t", F.split(F.lower("text"), "[^a-z]+"))
+    return K.message_shares(m.select("symbol", "source", X.message_class(F.col("t"), UP, DOWN).alias("cls")))
+
+
+def agg20_combined_sentiment(spark, sf_dir):
+    return _said(spark, sf_dir)
+
+
 def dom35_event_bundle(spark, sf_dir):
-    flow = view(spark, sf_dir, "company").select("symbol", F.round("short_float", 6).alias("short_float"), F.round("institutions", 6).alias("institutions"))
-    said = view(spark, sf_dir, "messages").groupBy("symbol").agg(F.count("*").alias("messages"))
+    flow = view(spark, sf_dir, "company").select("symbol", *(F.round(c, 6).alias(c) for c in ("short_float", "institutions", "insiders")))
+    shorts = E.short_changes(view(spark, sf_dir, "shorts")).groupBy("symbol").agg(F.round(F.max_by("short_change", "d"), 6).alias("short_change"))
+    flow = flow.join(shorts, "symbol", "left")
+    said = _said(spark, sf_dir).select("symbol", "messages", "bullish_share", "bearish_share")
     return K.event_bundle(view(spark, sf_dir, "sectors").select("symbol"), _news(spark, sf_dir), flow, said)
 
 
@@ -167,7 +180,7 @@ def dom21_chart_total(spark, sf_dir):
     return C.chart_scores(held(view(spark, sf_dir, "bars")))
 
 
-QUERIES = {f.__name__: f for f in (dom14_trend_record, win19_gap_zones, dom15_sr_levels, dom21_chart_total, dom16_triangle_states, dom17_rectangle_states, dom18_pattern_states, dom19_flag_states, dom30_eight_pillars, dat06_event_risk, dom31_macro_regime, dom34_flow, dom32_assessment, dom12_benchmark_regime, dom13_monitor, agg21_news, dom35_event_bundle, dom38_candidates, top10_latest, fil01_valid_bars, fil02_history_gates, fil09_of_handle, fil10_dated_documents, joi18_tickers, joi02_sectors, dom43_probes)}
+QUERIES = {f.__name__: f for f in (dom14_trend_record, win19_gap_zones, dom15_sr_levels, dom21_chart_total, dom16_triangle_states, dom17_rectangle_states, dom18_pattern_states, dom19_flag_states, dom30_eight_pillars, dat06_event_risk, dom31_macro_regime, dom34_flow, dom32_assessment, dom12_benchmark_regime, dom13_monitor, agg21_news, agg20_combined_sentiment, dom35_event_bundle, dom38_candidates, top10_latest, fil01_valid_bars, fil02_history_gates, fil09_of_handle, fil10_dated_documents, joi18_tickers, joi02_sectors, dom43_probes)}
 
 _V = ", ".join(f"('{p}', '{s}', '{f}', {c!r}, {k!r})" for p, s, f, c, k in COMPONENTS)
 _CL = lambda x, lo="-1", hi="1": f"CASE WHEN {x} IS NOT NULL THEN GREATEST(LEAST({x}, {hi}), {lo}) END"
@@ -271,6 +284,8 @@ d4 AS (SELECT symbol, BOOL_OR(state = 'confirmed') AS cf, BOOL_OR(state = 'devel
 d5 AS (SELECT d1.symbol, trend, COALESCE(levels, 50) AS levels, COALESCE(volume, 50) AS volume, CASE WHEN cf THEN 90 WHEN ct THEN 75 ELSE 40 END AS volatility, CASE WHEN cf THEN 95 WHEN dv THEN 60 ELSE 30 END AS b0, fl, ld FROM d1 LEFT JOIN d2 ON d2.symbol = d1.symbol LEFT JOIN d3 ON d3.symbol = d1.symbol LEFT JOIN d4 ON d4.symbol = d1.symbol),
 d6 AS (SELECT *, CASE WHEN ld THEN LEAST(CASE WHEN fl THEN GREATEST(b0 - 20, 10) ELSE b0 END + 10, 100) ELSE CASE WHEN fl THEN GREATEST(b0 - 20, 10) ELSE b0 END END AS breakout FROM d5), d7 AS (SELECT *, ROUND({' + '.join(f'{w} * {k}' for k, w in C.WEIGHTS.items())}, 6) AS total FROM d6)
 SELECT symbol, {', '.join(f'ROUND(CAST({k} AS DOUBLE), 6) AS {k}' for k in C.WEIGHTS)}, CAST(total AS DOUBLE) AS total, CASE WHEN total >= 80 THEN 'A+' WHEN total >= 65 THEN 'A' WHEN total >= 50 THEN 'B' WHEN total >= 35 THEN 'C' ELSE 'D' END AS grade FROM d7"""
+_SAID = f""", m0 AS (SELECT symbol, source, {_CLS} AS cls FROM (SELECT symbol, source, {_UD} FROM messages) q), m1 AS (SELECT symbol, source, COUNT(*) AS n, COUNT(CASE WHEN cls = 'bullish' THEN 1 END) AS bull, COUNT(CASE WHEN cls = 'bearish' THEN 1 END) AS bear FROM m0 GROUP BY 1, 2),
+said AS (SELECT symbol, CAST(SUM(n) AS BIGINT) AS messages, COUNT(*) AS sources, ROUND(SUM(bull) / SUM(n), 6) AS bullish_share, ROUND(SUM(bear) / SUM(n), 6) AS bearish_share, ROUND(AVG(bull / n), 6) AS combined_bullish FROM m1 GROUP BY 1)"""
 ORACLE_SQL = {
     "dom14_trend_record": oracle("bars", _TREND + " SELECT * FROM record"),
     "win19_gap_zones": oracle("bars", _JUMP + _ZONES("jb", 250) + " SELECT * FROM zones"),
@@ -300,7 +315,8 @@ p AS (SELECT *, CASE WHEN n % 4 = 0 THEN 'OLD-' || symbol WHEN n % 7 = 0 THEN 'X
 SELECT name AS symbol, CASE WHEN lost THEN name ELSE symbol END AS listed, CASE WHEN NOT lost THEN close END AS close, CASE WHEN NOT lost THEN ROUND(CASE WHEN ABS((close / ref_price - 1) * 100) < 0.05 THEN 0 ELSE (close / ref_price - 1) * 100 END, 6) END AS change, ROUND(CASE WHEN lost THEN 12.5 ELSE (target / close - 1) * 100 END, 6) AS upside,
  CASE WHEN probability >= 50 THEN 'good' WHEN probability >= 35 THEN 'middle' ELSE 'low' END AS chance, CASE WHEN lost THEN 'unknown' WHEN (close / risk_line - 1) * 100 < 0 THEN 'broken' WHEN (close / risk_line - 1) * 100 < 3 THEN 'near' ELSE 'clear' END AS risk, CASE WHEN NOT lost THEN CAST(LENGTH(symbol) AS DOUBLE) END AS score FROM p"""),
     "agg21_news": oracle("messages", _NEWS + " SELECT * FROM news"),
-    "dom35_event_bundle": oracle("messages sectors company", _NEWS + " SELECT s.symbol, news_count, news_sentiment, ROUND(short_float, 6) AS short_float, ROUND(institutions, 6) AS institutions, messages FROM sectors s LEFT JOIN news n ON s.symbol = n.symbol LEFT JOIN company c ON c.symbol = s.symbol LEFT JOIN (SELECT symbol, COUNT(*) AS messages FROM messages GROUP BY 1) m ON m.symbol = s.symbol"),
+    "agg20_combined_sentiment": oracle("messages", _SAID + " SELECT * FROM said"),
+    "dom35_event_bundle": oracle("messages sectors company shorts", _NEWS + _SAID + f", si AS (SELECT symbol, d, shares / NULLIF(LAG(CAST(shares AS DOUBLE)) OVER ({W}), 0) - 1 AS c FROM shorts), sl AS (SELECT symbol, ROUND(c, 6) AS short_change FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY d DESC) AS k FROM si) q WHERE k = 1) SELECT s.symbol, news_count, news_sentiment, ROUND(short_float, 6) AS short_float, ROUND(institutions, 6) AS institutions, ROUND(insiders, 6) AS insiders, short_change, messages, bullish_share, bearish_share FROM sectors s LEFT JOIN news n ON s.symbol = n.symbol LEFT JOIN company c ON c.symbol = s.symbol LEFT JOIN sl ON sl.symbol = s.symbol LEFT JOIN said m ON m.symbol = s.symbol"),
     "dom38_candidates": oracle("chain macro_state", _SCAN + """, tg AS (SELECT CASE WHEN regime IN ('risk_off', 'bear_risk_elevated') THEN 'counter-regime' ELSE 'aligned' END AS macro_tag FROM macro_state), cd AS (SELECT * FROM scan CROSS JOIN tg WHERE macro_tag <> 'counter-regime' OR ROUND(edge, 6) >= 0.15)
 SELECT underlying, CAST(ROW_NUMBER() OVER (PARTITION BY underlying ORDER BY ROUND(edge, 6) DESC, ROUND(pop, 6) DESC, kind, low_strike) AS INT) AS place, kind, low_strike, ROUND(edge, 6) AS edge, macro_tag, CASE WHEN macro_tag = 'counter-regime' THEN 'wider risk bands' ELSE '' END AS caveat FROM cd"""),
     "top10_latest": "SELECT user_id, event_type, MAX(event_id) AS event_id FROM events WHERE event_type = 'error' GROUP BY 1, 2",
