@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from . import indicators as I
 
@@ -107,3 +108,29 @@ def deep_report(parts: dict[str, DataFrame], symbols: DataFrame) -> DataFrame:
         out = out.join(df, "symbol", "left")
         have.append(F.coalesce(f"_{name}", F.lit(0)))
     return out.withColumn("layers", sum(have, F.lit(0))).drop(*(f"_{n}" for n in parts))
+
+
+def layered(symbols: DataFrame, layers: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
+    """DOM36: one row for each symbol with a struct for each layer, null where the layer knows nothing of it, and its summary in a line.
+
+    layers: name to (rows(symbol, ...), one for each symbol; an expression of
+    their columns that says them in a line).  A summary is "n/a" without the
+    layer; layers counts those that are there.
+    """
+    out = symbols.select("symbol").distinct()
+    for name, (df, line) in layers.items():
+        own = [c for c in df.columns if c not in ("symbol", "d")]
+        out = out.join(df.select("symbol", F.struct(*own, line.alias("summary")).alias(name)), "symbol", "left")
+    return out.withColumn("layers", sum((F.col(n).isNotNull().cast("int") for n in layers), F.lit(0)))
+
+
+def flattened(nested: DataFrame, missing: str = "n/a") -> DataFrame:
+    """PRJ1: every struct of a table, however deep, as columns named by its path with underscores, by the schema alone; arrays and maps stay; a summary is missing where it is null."""
+
+    def leaves(path: str, name: str, kind) -> list[Column]:
+        if isinstance(kind, StructType):
+            return [c for f in kind.fields for c in leaves(f"{path}.`{f.name}`", f"{name}_{f.name}", f.dataType)]
+        value = F.col(path)
+        return [(F.coalesce(value, F.lit(missing)) if name.endswith("_summary") else value).alias(name)]
+
+    return nested.select(*(c for f in nested.schema.fields for c in leaves(f"`{f.name}`", f.name, f.dataType)))

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import charts as C, forecast as P, options as O
+from ..operators import charts as C, forecast as P, options as O, research as R
 from ..sources.views import SQL, held, oracle, view
+from . import context_queries as X
 from .context_queries import _FLAGS, _IN, _RECTANGLES, _STATES, _TRIANGLES
 from .forecast_queries import _OUT, _PAPER, _PAST, _fc
 from .indicator_queries import W
+from .option_queries import ORACLE_SQL as OPTION_SQL, QUERIES as Q
 
 
 def _bars(spark, sf_dir):
@@ -84,7 +86,31 @@ def agg18_gate(spark, sf_dir):
     return P.validation(signals, agg15_pattern_stats(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (dom22_detections, dom22_pattern_backtest, agg15_pattern_stats, top08_top_pattern, joi16_latest_pattern, dom27_forecast, agg16_pattern_calibration, agg18_gate)}
+def dom36_deep_layers(spark, sf_dir):
+    """Nine layers of each symbol from the operators that stand by themselves, with a line for each, as flat columns."""
+    bars = _bars(spark, sf_dir)
+    levels = X.dom15_sr_levels(spark, sf_dir).where("place = 1").groupBy("symbol").agg(*(F.max(F.when(F.col("side") == k, F.col(c))).alias(f"{k}_{c}") for k in ("support", "resistance") for c in ("price", "distance_pct")))
+    gaps = X.win19_gap_zones(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("open"), F.min("age").alias("latest"))
+    moves = Q["dom25_expected_moves"](spark, sf_dir).withColumnRenamed("underlying", "symbol")
+    moves = moves.groupBy("symbol").agg(F.min_by(F.struct("dte", "consensus", "recommendation"), "dte").alias("m")).select("symbol", "m.*")
+    month = P.bands(bars, None, _latest(bars), latest=True).where("horizon = 21").select("symbol", "median", "lo68", "hi68", "method")
+    said = lambda *parts: F.concat_ws(" ", *(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    c = F.col
+    layers = {
+        "trend": (C.trend_record(bars).select("symbol", "direction", "alignment", "higher"), said(c("direction"), c("alignment"))),
+        "levels": (levels, said("between", F.when(c("support_price").isNull(), "none").otherwise("support"), "and", F.when(c("resistance_price").isNull(), "none").otherwise("resistance"))),
+        "pattern": (top08_top_pattern(spark, sf_dir), said(c("pattern"), c("state"))),
+        "chart": (C.chart_scores(bars).select("symbol", "total", "grade"), said("grade", c("grade"))),
+        "gaps": (gaps, said(c("open"), "open")),
+        "moves": (moves, said(c("dte"), "days", c("recommendation"))),
+        "forecast": (month, said("month by", c("method"))),
+        "flow": (X.dom34_flow(spark, sf_dir).select("symbol", "short_class", "flow"), said(F.coalesce("short_class", F.lit("unknown")))),
+        "events": (X.dom35_event_bundle(spark, sf_dir).select("symbol", "news_count", "news_sentiment", "short_change", "bullish_share"), said(F.coalesce(c("news_count"), F.lit(0)), "news")),
+    }
+    return R.flattened(R.layered(view(spark, sf_dir, "sectors"), layers))
+
+
+QUERIES = {f.__name__: f for f in (dom22_detections, dom22_pattern_backtest, agg15_pattern_stats, top08_top_pattern, joi16_latest_pattern, dom27_forecast, agg16_pattern_calibration, agg18_gate, dom36_deep_layers)}
 
 _WALK = f"rn >= {C.WALK_FROM} AND (rn - {C.WALK_FROM}) % {C.WALK_EVERY} = 0 AND rn < bars_n - {C.WALK_SHORT}"
 
@@ -145,3 +171,21 @@ fwd AS (SELECT symbol, pattern, COUNT(CASE WHEN horizon = 21 AND actual_return I
 v AS (SELECT s.symbol, s.pattern, n, COALESCE(forward_n, 0) AS forward_n, hit, mean, cov68, cov90, COALESCE(CAST(hit_rate >= 0.4 AS INT), 0) + COALESCE(CAST(hit >= 0.5 * hit_rate AS INT), 0) + COALESCE(CAST(mean >= 0.5 * avg_return AS INT), 0) + COALESCE(CAST(ABS(cov68 - 0.68) <= 0.10 AND ABS(cov90 - 0.90) <= 0.10 AS INT), 0) AS passed FROM stats s LEFT JOIN fwd f ON s.symbol = f.symbol AND s.pattern = f.pattern)
 SELECT symbol, pattern, n, forward_n, ROUND(hit, 9) AS hit, ROUND(mean, 9) AS mean, ROUND(cov68, 9) AS cov68, ROUND(cov90, 9) AS cov90, passed, CASE WHEN n < 10 THEN 'OOS-conditional' WHEN forward_n < 21 THEN 'validating' WHEN passed = 4 THEN 'validated' WHEN passed >= 2 THEN 'validating' ELSE 'failed_validation' END AS status FROM v"""),
 }
+
+_MONTH = oracle("bars", _LATEST + _fc("rn = last_rn", False, True) + " SELECT symbol, horizon, median, lo68, hi68, method FROM fc")
+#: name, its rows by symbol, their columns, the line
+_LAYERS = [
+    ("trend", X.ORACLE_SQL["dom14_trend_record"], "direction alignment higher", "direction || ' ' || alignment"),
+    ("levels", "SELECT symbol, " + ", ".join(f"MAX(CASE WHEN side = '{k}' THEN {c} END) AS {k}_{c}" for k in ("support", "resistance") for c in ("price", "distance_pct")) + f" FROM ({X.ORACLE_SQL['dom15_sr_levels']}) q WHERE place = 1 GROUP BY 1",
+     "support_price support_distance_pct resistance_price resistance_distance_pct", "'between ' || CASE WHEN support_price IS NULL THEN 'none' ELSE 'support' END || ' and ' || CASE WHEN resistance_price IS NULL THEN 'none' ELSE 'resistance' END"),
+    ("pattern", ORACLE_SQL["top08_top_pattern"], "pattern state", "pattern || ' ' || state"),
+    ("chart", X.ORACLE_SQL["dom21_chart_total"], "total grade", "'grade ' || grade"),
+    ("gaps", f"SELECT symbol, COUNT(*) AS open, MIN(age) AS latest FROM ({X.ORACLE_SQL['win19_gap_zones']}) q GROUP BY 1", "open latest", "CAST(open AS VARCHAR) || ' open'"),
+    ("moves", f"SELECT underlying AS symbol, MIN(dte) AS dte, ARG_MIN(consensus, dte) AS consensus, ARG_MIN(recommendation, dte) AS recommendation FROM ({OPTION_SQL['dom25_expected_moves']}) q GROUP BY 1", "dte consensus recommendation", "CAST(dte AS VARCHAR) || ' days ' || recommendation"),
+    ("forecast", f"SELECT * FROM ({_MONTH}) q WHERE horizon = 21", "median lo68 hi68 method", "'month by ' || method"),
+    ("flow", X.ORACLE_SQL["dom34_flow"], "short_class flow", "COALESCE(short_class, 'unknown')"),
+    ("events", X.ORACLE_SQL["dom35_event_bundle"], "news_count news_sentiment short_change bullish_share", "CAST(COALESCE(news_count, 0) AS VARCHAR) || ' news'"),
+]
+_COLUMNS = ", ".join(", ".join(f"{n}.{c} AS {n}_{c}" for c in columns.split()) + f", COALESCE({n}.said_, 'n/a') AS {n}_summary" for n, _, columns, _ in _LAYERS)
+_COUNTED = " + ".join(f"CAST({n}.symbol IS NOT NULL AS INT)" for n, *_ in _LAYERS)
+ORACLE_SQL["dom36_deep_layers"] = oracle("sectors", f"SELECT s.symbol, {_COLUMNS}, CAST({_COUNTED} AS INT) AS layers FROM (SELECT DISTINCT symbol FROM sectors) s " + " ".join(f"LEFT JOIN (SELECT *, {line} AS said_ FROM ({sql}) z) {n} ON {n}.symbol = s.symbol" for n, sql, _, line in _LAYERS))
