@@ -10,7 +10,7 @@ from . import audit as A
 
 EDIT = "array<struct<at: int, old: string, new: string>>"
 # The ad tag that is put in, and before which closing tags it goes, the first that is there.
-AD_UNIT = '<ins class="adsbygoogle" style="display:block" data-ad-client="{client}" data-ad-slot="0000000000" data-ad-format="auto" data-full-width-responsive="true"></ins>'
+AD_UNIT = '<ins class="adsbygoogle" style="display:block" data-ad-client="{client}" data-ad-slot="0000000000" data-ad-format="auto" data-full-width-responsive="true"></ins>\n<script>(adsbygoogle = window.adsbygoogle || []).push({});</script>'
 BEFORE = ("</article>", "</main>", "</section>")
 
 
@@ -63,7 +63,7 @@ def footer_edits(html: Column) -> Column:
 
 
 def unit_edit(html: Column, client: Column) -> Column:
-    """One ad tag put in before the end of the article, the main part or a section, else after the second paragraph below the first heading, else before the end of the body; nothing where an ad is."""
+    """One ad tag put in before the end of the article, the main part or a section, else after the second paragraph below the first heading, else before the end of the body; nothing where an ad is.  Its client is the page's own, else client."""
     low = F.lower(html)
     at = F.lit(None).cast("int")
     body = F.when(F.instr(low, "</body>") > 0, F.char_length(html) - F.char_length(F.element_at(F.split(low, "</body>"), -1)) - len("</body>"))
@@ -73,7 +73,8 @@ def unit_edit(html: Column, client: Column) -> Column:
     for tag in reversed(BEFORE):
         at = F.when(F.instr(low, tag) > 1, F.instr(low, tag) - 1).otherwise(at)
     at = F.coalesce(at, second, body)
-    new = F.concat(F.lit("\n" + AD_UNIT.split("{client}")[0]), client, F.lit(AD_UNIT.split("{client}")[1] + "\n"))
+    own = F.coalesce(F.nullif(F.regexp_extract(html, "ca-pub-[A-Za-z0-9]+", 0), F.lit("")), client)
+    new = F.concat(F.lit("\n" + AD_UNIT.split("{client}")[0]), own, F.lit(AD_UNIT.split("{client}")[1] + "\n"))
     return F.when(at.isNotNull() & ~html.rlike(A.AD_TAG), F.array(F.struct(at.cast("int").alias("at"), F.lit("").alias("old"), new.alias("new")))).otherwise(_none())
 
 

@@ -19,7 +19,7 @@ def pages(spark):
     rows = [(i, "s", f"/articles/p{i}/", "".join(rnd.choice(bits) for _ in range(rnd.randrange(14)))) for i in range(120)]
     long = "<p>" + "word " * 1600 + "</p>"
     rows += [
-        (900, "s", "/articles/a/", f"<h1>t</h1><article>{long}</ARTICLE><main></main>"), (901, "s", "/articles/b/", f" <h1>t</h1>{long}<p>two</p><p>three</p></body>"), (902, "s", "/articles/c/", f"{long}</body></body>"),
+        (900, "s", "/articles/a/", f"<h1>t</h1><article>{long}</ARTICLE><main></main>"), (901, "s", "/articles/b/", f" <h1>t</h1>{long}<p>two</p><p>three</p></body>"), (902, "s", "/articles/c/", f"<!-- ca-pub-77x -->{long}</body></body>"),
         (903, "s", "/articles/d/", long), (904, "s", "/articles/e/", f"<article>{long}{slot(3)}</article>"), (905, "s", "/part/4/", "target"), (906, "s", "/articles/f/", None), (907, "s", "/articles/g/", ""),
     ]
     return spark.createDataFrame(rows, PAGE).cache()
@@ -50,7 +50,8 @@ def test_an_ad_tag_goes_where_one_is_missing(spark):
     assert set(got) == {900, 901, 902}
     assert got[900].at == text[900].lower().index("</article>") and got[902].at == text[902].rindex("</body>")
     assert text[901][: got[901].at].endswith("<p>two</p>")
-    assert all(r.old == "" and 'data-ad-client="ca-pub-1"' in r.new and r.new.startswith("\n<ins") and r.new.endswith("</ins>\n") for r in got.values())
+    assert all(r.old == "" and r.new.startswith("\n<ins") and r.new.endswith("</script>\n") for r in got.values())
+    assert {i: 'data-ad-client="ca-pub-1"' in r.new for i, r in got.items()} == {900: True, 901: True, 902: False} and 'data-ad-client="ca-pub-77x"' in got[902].new
 
 
 def test_of_overlapping_edits_the_earlier_counts(spark):
