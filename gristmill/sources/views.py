@@ -1,11 +1,16 @@
 """Typed inputs derived from the landed tables.
 
 The SQL of a view runs in Spark and in ANSI engines alike.  Prices are built in
-integer ticks, so that both give the same bits.
+integer ticks, so that both give the same bits.  Spark holds these ticks as
+whole doubles: a long walk outgrows a BIGINT, and one symbol's walk must not
+fail the others' bars.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,15 +25,26 @@ def held(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _bars(key: str, scale: str) -> str:
+def _bigint(x: str) -> str:
+    return f"CAST({x} AS BIGINT)"
+
+
+def _double(x: str) -> str:
+    """x, which is whole, as a double; from 2**53 on every double is whole, and FLOOR would end at the largest BIGINT."""
+    if inner := re.fullmatch(r"FLOOR\((.*)\)", x):
+        return f"CASE WHEN {inner[1]} < 9007199254740992 THEN CAST({x} AS DOUBLE) ELSE {inner[1]} END"
+    return x
+
+
+def _bars(key: str, scale: str, whole: Callable[[str], str] = _bigint) -> str:
     of = f"{key} AS symbol"
     return f"""
   SELECT symbol, d, ot/1E4 AS open,
-         (GREATEST(ot,ct) + CAST(FLOOR(GREATEST(ot,ct)*tx/(n*1E3)) AS BIGINT))/1E4 AS high,
-         (LEAST(ot,ct) - CAST(FLOOR(LEAST(ot,ct)*tx/(n*1E3)) AS BIGINT))/1E4 AS low,
+         (GREATEST(ot,ct) + {whole("FLOOR(GREATEST(ot,ct)*tx/(n*1E3))")})/1E4 AS high,
+         (LEAST(ot,ct) - {whole("FLOOR(LEAST(ot,ct)*tx/(n*1E3))")})/1E4 AS low,
          ct/1E4 AS close, volume
   FROM (SELECT *, COALESCE(LAG(ct) OVER (PARTITION BY symbol ORDER BY d), 1000000) AS ot
-        FROM (SELECT *, CAST(ROUND(1E6*EXP({scale}*SUM(st) OVER (PARTITION BY symbol ORDER BY d))) AS BIGINT) AS ct
+        FROM (SELECT *, {whole(f"ROUND(1E6*EXP({scale}*SUM(st) OVER (PARTITION BY symbol ORDER BY d)))")} AS ct
               FROM (SELECT {of}, CAST(l_shipdate AS DATE) AS d,
                            SUM(CAST(ROUND(l_discount*100) AS BIGINT)) - 5*COUNT(*) AS st,
                            SUM(CAST(ROUND(l_tax*100) AS BIGINT)) AS tx, COUNT(*) AS n,
@@ -39,6 +55,7 @@ def _bars(key: str, scale: str) -> str:
 #: Daily bars by brand; the same for the whole market.
 BARS = _bars("p_brand", "4E-3")
 MARKET = _bars("'MKT'", "8E-4")
+_IN_SPARK = {"bars": _bars("p_brand", "4E-3", _double), "market": _bars("'MKT'", "8E-4", _double)}
 
 SECTORS = """
   SELECT DISTINCT p_brand AS symbol, CAST(SUBSTR(p_brand, 7) AS INT) % 11 AS sector, CASE CAST(SUBSTR(p_brand, 7) AS INT) % 3 WHEN 0 THEN 'defensive' WHEN 1 THEN 'cyclical' ELSE 'neutral' END AS beta_class FROM part"""
@@ -152,10 +169,8 @@ _NEEDS = {"site": ["pages"], "carried": ["pages"], "markdown": ["pages"], "bars"
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived input as a DataFrame."""
-    import re
-
     inputs = {"bars": held(view(spark, sf_dir, "bars"))} if name == "chain" else {t: table(spark, sf_dir, t) for t in _NEEDS[name]}
-    sql = SQL[name]
+    sql = _IN_SPARK.get(name, SQL[name])
     for t in inputs:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
     return spark.sql(sql, **inputs)
