@@ -10,6 +10,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from ..functions.ieee import ln, ratio
+
 
 def in_order() -> WindowSpec:
     """The bars of each symbol by date."""
@@ -36,7 +38,7 @@ def r6(c: Column, name: str) -> Column:
 
 def with_returns(bars: DataFrame) -> DataFrame:
     """WIN1: simple and log returns against the bar before."""
-    return bars.withColumn("ret", F.col("close") / back("close") - 1).withColumn("logret", F.log("close") - F.log(back("close")))
+    return bars.withColumn("ret", ratio(F.col("close"), back("close")) - 1).withColumn("logret", ln("close") - ln(back("close")))
 
 
 def moving_averages(bars: DataFrame, lengths: tuple[int, ...] = (20, 50, 200)) -> DataFrame:
@@ -48,7 +50,7 @@ def realized_volatility(bars: DataFrame, short: int = 20, long: int = 252) -> Da
     """WIN3: sample deviation of returns over two frames, their ratio, and the short one a year (x sqrt 252)."""
     df = with_returns(bars)
     a, b = (full(F.stddev_samp("ret").over(last(n)), n, "ret") for n in (short, long))
-    return df.select("symbol", "d", r6(a, "sd_short"), r6(b, "sd_long"), r6(a / b, "sd_ratio"), r6(a * F.sqrt(F.lit(252.0)), "vol_annual"))
+    return df.select("symbol", "d", r6(a, "sd_short"), r6(b, "sd_long"), r6(ratio(a, b), "sd_ratio"), r6(a * F.sqrt(F.lit(252.0)), "vol_annual"))
 
 
 def log_volatility(bars: DataFrame, n: int = 30) -> DataFrame:
@@ -118,7 +120,7 @@ def macd(bars: DataFrame) -> DataFrame:
 def max_drawdown(bars: DataFrame, n: int = 60) -> DataFrame:
     """WIN9: the deepest fall below the running peak inside the last n bars."""
     closes = F.collect_list("close").over(last(n))
-    fold = F.aggregate(closes, F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("dd")), lambda a, x: F.struct(F.greatest(a["peak"], x).alias("peak"), F.least(a["dd"], x / F.greatest(a["peak"], x) - 1).alias("dd")), lambda a: a["dd"])
+    fold = F.aggregate(closes, F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("dd")), lambda a, x: F.struct(F.greatest(a["peak"], x).alias("peak"), F.least(a["dd"], ratio(x, F.greatest(a["peak"], x)) - 1).alias("dd")), lambda a: a["dd"])
     return bars.withColumn("dd", fold).select("symbol", "d", r6(full(F.col("dd"), n), "drawdown"))
 
 
@@ -126,14 +128,14 @@ def trend_slope(bars: DataFrame, n: int = 50, fit: int = 60) -> DataFrame:
     """WIN10, WIN11: least-squares slope over n bars by their mean; slope in % a day and fit (R2) over another frame."""
     df = bars.withColumn("rn", F.row_number().over(in_order()).cast("double"))
     slope = lambda k: F.regr_slope("close", "rn").over(last(k))
-    return df.select("symbol", "d", r6(full(slope(n) / F.avg("close").over(last(n)), n), "slope"), r6(full(slope(fit) / F.avg("close").over(last(fit)) * 100, fit), "slope_pct"), r6(full(F.regr_r2("close", "rn").over(last(fit)), fit), "r2"))
+    return df.select("symbol", "d", r6(full(ratio(slope(n), F.avg("close").over(last(n))), n), "slope"), r6(full(ratio(slope(fit), F.avg("close").over(last(fit))) * 100, fit), "slope_pct"), r6(full(F.regr_r2("close", "rn").over(last(fit)), fit), "r2"))
 
 
 def horizon_returns(bars: DataFrame, market: DataFrame) -> DataFrame:
     """WIN12, JOI1: returns over 5, 21, 63, 126 and 252 bars and "20 day" returns (25 bars), and strength against the market's by date."""
     steps = (5, 21, 63, 126, 252)
-    m = market.select("d", *((F.col("close") / F.lag("close", n).over(Window.partitionBy("symbol").orderBy("d")) - 1).alias(f"m{n}") for n in steps))
-    df = bars.select("symbol", "d", (F.col("close") / back("close", 25) - 1).alias("ret_25b"), *((F.col("close") / back("close", n) - 1).alias(f"r{n}") for n in steps))
+    m = market.select("d", *((ratio(F.col("close"), F.lag("close", n).over(Window.partitionBy("symbol").orderBy("d"))) - 1).alias(f"m{n}") for n in steps))
+    df = bars.select("symbol", "d", (ratio(F.col("close"), back("close", 25)) - 1).alias("ret_25b"), *((ratio(F.col("close"), back("close", n)) - 1).alias(f"r{n}") for n in steps))
     df = df.join(m, "d", "left")
     return df.select("symbol", "d", r6(F.col("ret_25b"), "ret_25b"), *(r6(F.col(f"r{n}"), f"r{n}") for n in steps), *(r6(F.col(f"r{n}") - F.col(f"m{n}"), f"rs{n}") for n in steps[1:]))
 
@@ -219,7 +221,7 @@ def return_quantiles(bars: DataFrame, h: int = 10) -> DataFrame:
 
 def forward_returns(bars: DataFrame, steps: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
     """WIN22: returns to the bars some steps ahead; null where they are not there yet."""
-    return bars.select("symbol", "d", *(r6(F.lead("close", n).over(in_order()) / F.col("close") - 1, f"fwd{n}") for n in steps))
+    return bars.select("symbol", "d", *(r6(ratio(F.lead("close", n).over(in_order()), F.col("close")) - 1, f"fwd{n}") for n in steps))
 
 
 def volatility_median(bars: DataFrame, n: int = 5) -> DataFrame:
@@ -245,7 +247,7 @@ def run_lengths(df: DataFrame, state: str) -> DataFrame:
 def average_slope_regime(bars: DataFrame) -> DataFrame:
     """WIN28: rising, falling or flat: the 50-bar average against itself 9 bars ago (0.5 % apart)."""
     df = bars.withColumn("ma50", full(F.avg("close").over(last(50)), 50)).withColumn("was", back("ma50", 9))
-    change = F.col("ma50") / F.col("was") - 1
+    change = ratio(F.col("ma50"), F.col("was")) - 1
     return df.select("symbol", "d", F.when(change > 0.005, "rising").when(change < -0.005, "falling").when(change.isNotNull(), "flat").otherwise("n/a").alias("regime"))
 
 
@@ -261,7 +263,7 @@ def weekday_returns(bars: DataFrame) -> DataFrame:
 
 def month_returns(bars: DataFrame) -> DataFrame:
     """AGG3: returns inside each calendar month, then their mean, median and number by month of year."""
-    months = bars.groupBy("symbol", F.year("d").alias("y"), F.month("d").alias("m")).agg((F.max_by("close", "d") / F.min_by("close", "d") - 1).alias("r"))
+    months = bars.groupBy("symbol", F.year("d").alias("y"), F.month("d").alias("m")).agg((ratio(F.max_by("close", "d"), F.min_by("close", "d")) - 1).alias("r"))
     return months.groupBy("symbol", "m").agg(r6(F.avg("r"), "mean"), r6(F.median("r"), "median"), F.count("*").alias("n"))
 
 
