@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from . import indicators as I, rank_spec as R
+from ..functions.ieee import ratio
 
 SPEC_SCHEMA = "variant string, factor string, factor_weight double, sub_metric string, field string, kind string, weight double, low double, high double, below double, above double, floor double"
 
@@ -60,7 +61,7 @@ def trend_class(close: Column, ma20: Column, ma50: Column, ret5: Column, ret20:
 
 def setup_class(close: Column, ma20: Column, ma50: Column, hi20: Column, ret5: Column, ret20: Column) -> Column:
     """DOM3: the first that fits; unavailable before 50 bars, unless the bar is a breakout."""
-    off = close / ma50 - 1
+    off = ratio(close, ma50) - 1
     return (
         F.when((close >= hi20) & (ret5 > 0), "breakout")
         .when((close > ma50) & (F.abs(off) < 0.02), "pullback_retest")
@@ -96,10 +97,10 @@ def price_features(bars: DataFrame, market: DataFrame, least: int = 25, last_onl
     """
     w = I.in_order()
     by_day = Window.partitionBy("symbol").orderBy("d")
-    m = market.withColumn("mret", F.col("close") / F.lag("close").over(by_day) - 1)
+    m = market.withColumn("mret", ratio(F.col("close"), F.lag("close").over(by_day)) - 1)
     m = m.select(
         "d",
-        *((F.col("close") / F.lag("close", n).over(by_day) - 1).alias(f"m{n}") for n in (21, 63, 126, 252)),
+        *((ratio(F.col("close"), F.lag("close", n).over(by_day)) - 1).alias(f"m{n}") for n in (21, 63, 126, 252)),
         F.stddev_samp("mret").over(by_day.rowsBetween(-19, 0)).alias("market_sd"),
     )
     df = I.with_returns(bars).withColumn("rn", F.row_number().over(w))
@@ -118,13 +119,13 @@ def price_features(bars: DataFrame, market: DataFrame, least: int = 25, last_onl
     df = df.select(
         "symbol", "d", "close", "rn", "macd", "signal", "up", "down", "sd", *(["end"] if last_only else []),
         I.full(avg("close", 50), 50).alias("ma50"), avg("close", 20).alias("ma20"), avg("close", 200).alias("ma200"),
-        F.coalesce(F.col("close") / I.back("close", 5) - 1, F.lit(0.0)).alias("ret5"),
-        F.coalesce(F.col("close") / I.back("close", 25) - 1, F.lit(0.0)).alias("ret20"),
+        F.coalesce(ratio(F.col("close"), I.back("close", 5)) - 1, F.lit(0.0)).alias("ret5"),
+        F.coalesce(ratio(F.col("close"), I.back("close", 25)) - 1, F.lit(0.0)).alias("ret20"),
         F.max("close").over(I.last(20)).alias("hi20"),
         F.min("low").over(I.last(20)).alias("support"), F.max("high").over(I.last(20)).alias("resistance"),
         avg("tr", 20).alias("atr"),
-        *((F.col("close") / I.back("close", n) - 1).alias(f"r{n}") for n in (21, 63, 126, 252)),
-        I.full(F.regr_slope("close", "x").over(I.last(50)) / avg("close", 50), 50).alias("slope_50d"),
+        *((ratio(F.col("close"), I.back("close", n)) - 1).alias(f"r{n}") for n in (21, 63, 126, 252)),
+        I.full(ratio(F.regr_slope("close", "x").over(I.last(50)), avg("close", 50)), 50).alias("slope_50d"),
         F.when(F.col("rn") >= 31, F.try_divide(F.col("sd20"), F.nullif(F.stddev_samp("ret").over(I.last(252)), F.lit(0.0)))).alias("vol_ratio"),
         F.when(F.col("rn") >= 60, F.collect_list("close").over(I.last(60))).alias("closes"),
         F.when(F.col("rn") >= 61, F.collect_list("sd").over(I.last(252))).alias("seen"),
@@ -136,16 +137,16 @@ def price_features(bars: DataFrame, market: DataFrame, least: int = 25, last_onl
     df = df.where((F.col("rn") >= least) & ((F.col("rn") == F.col("end")) if last_only else F.lit(True))).join(m, "d", "left")
     close, atr = F.col("close"), F.col("atr")
     peak = F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("dd"))
-    drawdown = F.aggregate("closes", peak, lambda a, c: F.struct(F.greatest(a["peak"], c).alias("peak"), F.least(a["dd"], c / F.greatest(a["peak"], c) - 1).alias("dd")), lambda a: a["dd"])
+    drawdown = F.aggregate("closes", peak, lambda a, c: F.struct(F.greatest(a["peak"], c).alias("peak"), F.least(a["dd"], ratio(c, F.greatest(a["peak"], c)) - 1).alias("dd")), lambda a: a["dd"])
     got = {
         **{f"rs_{k}m": F.col(f"r{n}") - F.col(f"m{n}") for k, n in ((1, 21), (3, 63), (6, 126), (12, 252))},
-        "dist_50d": close / F.col("ma50") - 1,
-        "dist_200d": close / F.col("ma200") - 1,
+        "dist_50d": ratio(close, F.col("ma50")) - 1,
+        "dist_200d": ratio(close, F.col("ma200")) - 1,
         "rsi": F.when(F.col("down") == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide("up", "down"))),
         "slope_50d": F.col("slope_50d"),
         "macd_hist": F.when(F.col("rn") >= 35, F.col("macd") - F.col("signal")),
         "vol_ratio": F.col("vol_ratio"),
-        "atr_less_market": atr / close - F.col("market_sd"),
+        "atr_less_market": ratio(atr, close) - F.col("market_sd"),
         "max_dd_60d": drawdown,
         "vol_percentile": F.when(F.size("seen") > 0, F.size(F.filter("seen", lambda x: x < F.col("sd"))) / F.size("seen")),
         "range_pctile": F.try_divide(close - F.col("support"), F.nullif(F.col("resistance") - F.col("support"), F.lit(0.0))) * 100,
@@ -157,7 +158,7 @@ def price_features(bars: DataFrame, market: DataFrame, least: int = 25, last_onl
         "net_flow": F.col("ret5") * F.coalesce(F.try_divide(F.col("v10"), F.nullif(F.col("v20"), F.lit(0.0))), F.lit(1.0)) * 100,
     }
     return df.select(
-        "symbol", "d", "rn", "close", (F.col("ahead") / close - 1).alias("fwd20"),
+        "symbol", "d", "rn", "close", (ratio(F.col("ahead"), close) - 1).alias("fwd20"),
         trend_class(close, F.col("ma20"), F.col("ma50"), F.col("ret5"), F.col("ret20")).alias("trend"),
         setup_class(close, F.col("ma20"), F.col("ma50"), F.col("hi20"), F.col("ret5"), F.col("ret20")).alias("setup"),
         *((got[f] if digits is None else F.round(got[f], digits)).alias(f) for f in PRICE_FIELDS),
@@ -178,7 +179,7 @@ def company_features(rows: DataFrame, fundamentals: DataFrame) -> DataFrame:
         "analyst_rating", "analyst_coverage", "short_float", "institutions", "insiders",
     )
     df = rows.join(f, "symbol", "left")
-    df = df.withColumn("earnings_yield", F.col("_eps") / F.col("close")).withColumn("target_upside", F.when(F.col("_target") != 0, F.col("_target") / F.col("close") - 1))
+    df = df.withColumn("earnings_yield", ratio(F.col("_eps"), F.col("close"))).withColumn("target_upside", F.when(F.col("_target") != 0, ratio(F.col("_target"), F.col("close")) - 1))
     return df.select(*rows.columns, *(F.round(F.col(c).cast("double"), 9).alias(c) for c in COMPANY_FIELDS))
 
 
@@ -361,11 +362,11 @@ def dashboard(bars: DataFrame, market: DataFrame, least: int = 50) -> DataFrame:
     df = df.withColumn("ma50", F.avg("close").over(I.last(50))).withColumn("was", F.when(F.col("rn") - 9 >= 50, I.back("ma50", 9)).otherwise(F.col("ma50")))
     df = df.select(
         "symbol", "d", "close", "rn", "age", "ma50", (F.col("ma50") - F.col("was")).alias("slope"), F.avg("close").over(I.last(20)).alias("ma20"), F.max("close").over(I.last(20)).alias("hi20"),
-        F.min("low").over(I.last(20)).alias("support"), F.max("high").over(I.last(20)).alias("resistance"), (F.col("close") / I.back("close", 5) - 1).alias("ret5"), (F.col("close") / I.back("close", 25) - 1).alias("ret20"),
+        F.min("low").over(I.last(20)).alias("support"), F.max("high").over(I.last(20)).alias("resistance"), (ratio(F.col("close"), I.back("close", 5)) - 1).alias("ret5"), (ratio(F.col("close"), I.back("close", 25)) - 1).alias("ret20"),
         F.stddev_samp("ret").over(I.last(20)).alias("sd20"), F.stddev_samp("close").over(Window.partitionBy("symbol")).alias("sd_close"), F.avg("tr").over(I.last(20)).alias("atr"),
         (F.avg(F.col("close") * F.col("volume")).over(I.last(20)) / 1e6).alias("adv_musd"),
     ).where((F.col("age") == 1) & (F.col("rn") >= least))
-    m = market.select("d", (F.col("close") / F.lag("close", 25).over(Window.partitionBy("symbol").orderBy("d")) - 1).alias("m20"))
+    m = market.select("d", (ratio(F.col("close"), F.lag("close", 25).over(Window.partitionBy("symbol").orderBy("d"))) - 1).alias("m20"))
     df = df.join(m, "d", "left").withColumn("rs", F.col("ret20") - F.col("m20"))
     close, slope = F.col("close"), F.col("slope")
     trend = F.when((close > F.col("ma50")) & (slope > 0), "uptrend").when((close < F.col("ma50")) & (slope < 0), "downtrend").when(F.abs(slope) < F.col("sd_close") * 0.001, "range").otherwise("transitioning")
@@ -373,7 +374,7 @@ def dashboard(bars: DataFrame, market: DataFrame, least: int = 50) -> DataFrame:
     df = df.withColumn("range_pctile", F.try_divide(close - F.col("support"), F.nullif(F.col("resistance") - F.col("support"), F.lit(0.0))) * 100)
     good = (F.col("trend") == "uptrend") & F.col("setup").isin("breakout", "pullback_retest") & (F.coalesce("range_pctile", F.lit(30.0)) >= 30) & (F.coalesce("rs", F.lit(0.0)) >= 0)
     df = df.withColumn("label", F.when(good, LABELS[0]).when((F.col("trend") == "downtrend") & (F.col("rs") < -0.05), LABELS[2]).otherwise(LABELS[1]))
-    return df.select("*", (close / F.col("support") - 1).alias("to_support"), (F.col("resistance") / close - 1).alias("to_resistance"), (F.col("sd20") * F.sqrt(F.lit(252.0))).alias("vol_annual"), outlook(F.col("trend"), F.col("setup")).alias("outlook"))
+    return df.select("*", (ratio(close, F.col("support")) - 1).alias("to_support"), (ratio(F.col("resistance"), close) - 1).alias("to_resistance"), (F.col("sd20") * F.sqrt(F.lit(252.0))).alias("vol_annual"), outlook(F.col("trend"), F.col("setup")).alias("outlook"))
 
 
 def table_order(board: DataFrame) -> DataFrame:
