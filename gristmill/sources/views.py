@@ -163,6 +163,9 @@ CARRIED = """
 MARKDOWN = """
   SELECT DISTINCT 'site' || CAST(page_id % 4 AS STRING) AS site, CASE WHEN page_id % 50 = 0 THEN 'lost-' ELSE 'story-' END || CAST(page_id AS STRING) AS stem FROM pages WHERE page_id % 9 = 2 AND page_id % 2 = 0 OR page_id % 50 = 0"""
 
+#: Spark's / raises on a close of 0, where the SQL has an infinity; no strike above 0 is a close of 0.
+_IN_SPARK["chain"] = CHAIN.replace("(strike - spot) / spot", "CASE WHEN spot = 0 THEN CAST('Infinity' AS DOUBLE) ELSE (strike - spot) / spot END")
+
 SQL = {"site": SITE, "carried": CARRIED, "markdown": MARKDOWN, "bars": BARS, "market": MARKET, "sectors": SECTORS, "fundamentals": FUNDAMENTALS, "company": COMPANY, "signals": SIGNALS, "reports": REPORTS, "shorts": SHORTS, "macro_state": MACRO_STATE, "chain": CHAIN, "series": SERIES, "messages": MESSAGES, "holdings": HOLDINGS}
 _NEEDS = {"site": ["pages"], "carried": ["pages"], "markdown": ["pages"], "bars": ["lineitem", "part"], "market": ["lineitem", "part"], "sectors": ["part"], "fundamentals": ["lineitem", "part"], "company": ["lineitem", "part"], "signals": ["lineitem", "part"], "reports": ["lineitem", "part"], "shorts": ["lineitem", "part"], "macro_state": ["orders"], "series": ["orders"], "messages": ["conversations"], "holdings": ["lineitem"]}
 
