@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import indicators as I
+from ..functions.ieee import ratio
 
 HORIZONS = (5, 10, 21, 42, 63)
 Z = {"lo90": -1.645, "lo68": -1.0, "median": 0.0, "hi68": 1.0, "hi90": 1.645}
@@ -125,8 +126,8 @@ def resolved(forecasts: DataFrame, bars: DataFrame) -> DataFrame:
     inside = lambda lo, hi: F.col("actual").between(F.col(lo), F.col(hi))
     anchor = F.col("close")
     return got.select(
-        "symbol", "d", "horizon", "actual", F.round((F.col("top") / anchor - 1) * 100, 6).alias("mfe"), F.round((F.col("bottom") / anchor - 1) * 100, 6).alias("mae"),
-        inside("lo68", "hi68").alias("in68"), inside("lo90", "hi90").alias("in90"), F.round(F.abs(F.col("actual") / F.col("median") - 1), 6).alias("error"),
+        "symbol", "d", "horizon", "actual", F.round((ratio(F.col("top"), anchor) - 1) * 100, 6).alias("mfe"), F.round((ratio(F.col("bottom"), anchor) - 1) * 100, 6).alias("mae"),
+        inside("lo68", "hi68").alias("in68"), inside("lo90", "hi90").alias("in90"), F.round(F.abs(ratio(F.col("actual"), F.col("median")) - 1), 6).alias("error"),
     )
 
 
@@ -190,7 +191,7 @@ def paper_signals(forecasts: DataFrame, bars: DataFrame) -> DataFrame:
     by = Window.partitionBy("symbol", "d")
     done, all_ = F.count("close").over(by), F.count("*").over(by)
     status = F.when(done == 0, "logged").when(done < all_, "partially_resolved").otherwise("fully_resolved")
-    return got.select("symbol", "d", "horizon", "due", F.col("found_bar_d").alias("realized"), F.round(F.col("close") / F.col("spot") - 1, 6).alias("actual_return"), inside("lo68", "hi68").alias("in68"), inside("lo90", "hi90").alias("in90"), status.alias("status"))
+    return got.select("symbol", "d", "horizon", "due", F.col("found_bar_d").alias("realized"), F.round(ratio(F.col("close"), F.col("spot")) - 1, 6).alias("actual_return"), inside("lo68", "hi68").alias("in68"), inside("lo90", "hi90").alias("in90"), status.alias("status"))
 
 
 def validation(forward: DataFrame, oos: DataFrame) -> DataFrame:
@@ -248,9 +249,9 @@ def patterns(bars: DataFrame) -> DataFrame:
         p = df.where(F.col(flag)).select("symbol", "d", "rn", "known", F.col(side).alias("v"))
         one, two = F.lag(F.struct("v", "rn"), 1).over(I.in_order()), F.lag(F.struct("v", "rn"), 2).over(I.in_order())
         p = p.withColumn("one", one).withColumn("two", two)
-        is_double = (F.abs(F.col("v") / F.col("one.v") - 1) <= 0.02) & (F.col("rn") - F.col("one.rn")).between(10, 60)
-        head = sign * (F.col("one.v") / F.greatest("v", "two.v") - 1) > 0.02 if sign > 0 else sign * (F.col("one.v") / F.least("v", "two.v") - 1) > 0.02
-        is_head = head & (F.abs(F.col("v") / F.col("two.v") - 1) <= 0.03)
+        is_double = (F.abs(ratio(F.col("v"), F.col("one.v")) - 1) <= 0.02) & (F.col("rn") - F.col("one.rn")).between(10, 60)
+        head = sign * (ratio(F.col("one.v"), F.greatest("v", "two.v")) - 1) > 0.02 if sign > 0 else sign * (ratio(F.col("one.v"), F.least("v", "two.v")) - 1) > 0.02
+        is_head = head & (F.abs(ratio(F.col("v"), F.col("two.v")) - 1) <= 0.03)
         kinds = F.array_compact(F.array(F.when(is_double, F.lit(double)), F.when(is_head, F.lit(shoulders))))
         got = p.where("known is not null").select("symbol", "d", "known", F.explode(kinds).alias("pattern"))
         out = got if out is None else out.union(got)
@@ -269,4 +270,4 @@ def levels(bars: DataFrame, nearest: int = 8) -> DataFrame:
         every = every.unionByName(p)
     got = every.distinct().join(last.select("symbol", "spot"), "symbol").withColumn("side", F.when(F.col("level") <= F.col("spot"), "support").otherwise("resistance"))
     place = F.row_number().over(Window.partitionBy("symbol", "side").orderBy(F.abs(F.col("level") - F.col("spot")), "source", "level"))
-    return got.withColumn("place", place).where(F.col("place") <= nearest).select("symbol", "side", "place", "source", "level", F.round(F.col("level") / F.col("spot") - 1, 6).alias("distance"))
+    return got.withColumn("place", place).where(F.col("place") <= nearest).select("symbol", "side", "place", "source", "level", F.round(ratio(F.col("level"), F.col("spot")) - 1, 6).alias("distance"))
