@@ -61,6 +61,7 @@ def assert_same(spark, name: str, sf_dir: str, con, sql: str) -> None:
     "agg25_scan_summary",
     "agg31_survivors",
     "agg16_calibration",
+    "agg17_symbol_status",
 ])
 def test_closes_of_zero(spark, steep, name):
     assert_same(spark, name, *steep, ORACLE_SQL[name])
