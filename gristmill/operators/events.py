@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import indicators as I
+from ..functions.ieee import ratio
 
 DRIFT_BARS, DRIFT_BACK, SPIKE = 5, 504, 2.0
 
@@ -37,7 +38,7 @@ def spike_drift(bars: DataFrame) -> DataFrame:
     by = I.in_order()
     loud = I.full(F.col("volume") > SPIKE * F.avg("volume").over(I.last(20)), 20, "volume")
     df = bars.select("symbol", "d", "close", F.avg("volume").over(I.last(20)).alias("v20"), loud.alias("loud"))
-    df = df.withColumn("after", F.when(F.lag("loud", DRIFT_BARS).over(by), F.col("close") / F.lag("close", DRIFT_BARS).over(by) - 1))
+    df = df.withColumn("after", F.when(F.lag("loud", DRIFT_BARS).over(by), ratio(F.col("close"), F.lag("close", DRIFT_BARS).over(by)) - 1))
     return df.select("symbol", "d", "close", "v20", F.avg("after").over(by.rowsBetween(-(DRIFT_BACK - DRIFT_BARS - 1), 0)).alias("earnings_drift"))
 
 
@@ -65,7 +66,7 @@ def event_features(rows: DataFrame, drift: DataFrame, reports: DataFrame, shorts
     since = F.datediff("d", "reported.report_d")
     return has.select(
         "symbol", "d", since.alias("days_since_report"), F.when(since == 0, 0).otherwise(F.datediff("coming.report_d", "d")).alias("days_to_report"), F.col("reported.surprise_pct").alias("surprise_pct"),
-        (F.col("bar.close") / F.col("reported.report_close") - 1).alias("report_drift"), F.col("bar.earnings_drift").alias("earnings_drift"), F.col("previous.short_change").alias("short_change"),
+        (ratio(F.col("bar.close"), F.col("reported.report_close")) - 1).alias("report_drift"), F.col("bar.earnings_drift").alias("earnings_drift"), F.col("previous.short_change").alias("short_change"),
         F.try_divide(F.col("previous.shares").cast("double"), F.nullif(F.col("bar.v20"), F.lit(0.0))).alias("days_to_cover"),
     )
 
