@@ -203,7 +203,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     order of a hash of their ids, half of them toxic if there are so many; texts of
     at most LONGEST code points.  Null labels, ids and texts are left out.  The
     sample has more toxic rows than the labels do, so logits are moved part of
-    the way back.
+    the way back.  The sample, whose size is a parameter, is one group and fits
+    in a task; the driver gets the model only.
     """
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -211,12 +212,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     picked = known.where("toxic = 1").orderBy(*order).limit(sample // 2).union(known.where("toxic = 0").orderBy(*order).limit(sample // 2))
     rows = docs.join(F.broadcast(picked), "doc_id").where(f"text is not null and char_length(text) <= {LONGEST}")
     rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # of the rows of one doc_id the first by text
-    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows.collect())  # the sample's size is a parameter
-    y = np.array([r[2] for r in rows])
-    all_rows = dict(known.groupBy("toxic").count().collect())  # two rows
-    own = (y == 1).sum(), (y == 0).sum()
-    shift = float(np.log(all_rows[1] / all_rows[0]) - np.log(own[0] / own[1])) if min(own, default=0) > 0 else 0.0
-    return fit([r[1] for r in rows], y, PRIOR * shift)
+    prior = dict(known.groupBy("toxic").count().collect())  # two rows
+
+    def work(table: pa.Table) -> pa.Table:
+        rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in table.to_pylist())
+        y = np.array([r[2] for r in rows])
+        own = (y == 1).sum(), (y == 0).sum()
+        shift = float(np.log(prior[1] / prior[0]) - np.log(own[0] / own[1])) if min(own) > 0 else 0.0
+        got = fit([r[1] for r in rows], y, PRIOR * shift)
+        return pa.table({"buckets": [got.buckets.tobytes()], "bias": [got.bias], "name": [got.name]})
+
+    models = rows.groupBy(F.lit(True)).applyInArrow(work, "buckets binary, bias double, name string").collect()  # one row, none without a sample
+    return Model(np.frombuffer(models[0]["buckets"]), models[0]["bias"], models[0]["name"]) if models else fit([], np.zeros(0))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

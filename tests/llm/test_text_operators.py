@@ -326,6 +326,21 @@ def test_toxicity(spark):
     assert toxicity.scored(docs.limit(0), toxicity.train(docs, labels.limit(0))).count() == 0
 
 
+def test_toxicity_trains_in_a_task(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.join(labels, "doc_id").where("text is not null and toxic is not null").where(~toxicity.held_out()).where(f"char_length(text) <= {toxicity.LONGEST}").select("doc_id", "text", "toxic").collect()
+    rows.sort()
+    fit, driver = toxicity.fit, os.getpid()
+    want = fit([r.text for r in rows], np.array([r.toxic for r in rows]))
+
+    def elsewhere(*args):
+        assert os.getpid() != driver
+        return fit(*args)
+
+    monkeypatch.setattr(toxicity, "fit", elsewhere)
+    assert toxicity.train(docs, labels).name == want.name
+
+
 def test_license_scan(spark, docs):
     phrases = [(label, p.split()) for label, p in license_scan.PHRASES]
     extra = {9001: "Licensed under CC-BY-NC 4.0. under the mit license under the MIT license", 9002: "permission is granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", 9003: "X Apache License, Version 2.0"}
