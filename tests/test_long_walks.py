@@ -67,6 +67,7 @@ def assert_same(spark, name: str, sf_dir: str, con, sql: str) -> None:
     "dom01_price_features",
     "dom01_features",
     "top01_by_sector",
+    "dom04_submetric_scores",
 ])
 def test_closes_of_zero(spark, steep, name):
     assert_same(spark, name, *steep, ORACLE_SQL[name])
