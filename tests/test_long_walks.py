@@ -69,6 +69,7 @@ def assert_same(spark, name: str, sf_dir: str, con, sql: str) -> None:
     "top01_by_sector",
     "dom04_submetric_scores",
     "dom05_breakdown",
+    "dom05_rank",
 ])
 def test_closes_of_zero(spark, steep, name):
     assert_same(spark, name, *steep, ORACLE_SQL[name])
