@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import indicators as I
+from ..functions.ieee import ratio
 
 # Separations (bars, days), tolerances and factors of the detectors.
 DOUBLE_SEPARATION, DOUBLE_TOLERANCE, DOUBLE_BACK = 10, 0.03, 120
@@ -97,14 +98,14 @@ def _stated(found: DataFrame, ends: DataFrame, first: Column, last: Column, top:
     target = neck - depth if top else neck + depth
     return one.select(
         "symbol", "n", "pattern", F.lit("down" if top else "up").alias("direction"), state.alias("state"), F.round(neck, 6).alias("trigger"), F.round(stop, 6).alias("stop"), F.round(target, 6).alias("target"),
-        F.round(depth / neck * 100, 6).alias("range_pct"), loud.alias("volume_confirmed"), F.lit("stable").alias("volatility"), F.col("duration").cast("int").alias("duration"),
+        F.round(ratio(depth, neck) * 100, 6).alias("range_pct"), loud.alias("volume_confirmed"), F.lit("stable").alias("volatility"), F.col("duration").cast("int").alias("duration"),
     )
 
 
 def doubles_at(f: DataFrame, ends: DataFrame, top: bool) -> DataFrame:
     """DOM18: at each as-of bar the first double top (bottom) among the swings of its last 120 bars: neighbours far enough apart and near enough in price."""
     p1, p2 = F.col("one.v"), F.col("v")
-    ok = (F.col("rn") - F.col("one.rn") >= DOUBLE_SEPARATION) & (F.abs(p1 - p2) / ((p1 + p2) / 2) <= DOUBLE_TOLERANCE)
+    ok = (F.col("rn") - F.col("one.rn") >= DOUBLE_SEPARATION) & (ratio(F.abs(p1 - p2), (p1 + p2) / 2) <= DOUBLE_TOLERANCE)
     s = _swing_chain(f, top).where(ok).withColumn("neckline", F.col("far")).withColumn("pattern", F.lit("double_top" if top else "double_bottom")).withColumn("duration", F.col("rn") - F.col("one.rn"))
     sight = F.col("rn") + KNOWN_AFTER, F.col("one.rn") + DOUBLE_BACK - 1
     if top:
@@ -120,7 +121,7 @@ def head_and_shoulders_at(f: DataFrame, ends: DataFrame, top: bool) -> DataFrame
     beyond = (head > left) & (head > right) if top else (head < left) & (head < right)
     apart = (F.col("one.rn") - F.col("two.rn") >= HEAD_SEPARATION) & (F.col("rn") - F.col("one.rn") >= HEAD_SEPARATION)
     days = F.datediff("d", F.col("two.d"))
-    ok = beyond & apart & (F.abs(right - left) / ((right + left) / 2) <= HEAD_TOLERANCE) & (days >= HEAD_DAYS)
+    ok = beyond & apart & (ratio(F.abs(right - left), (right + left) / 2) <= HEAD_TOLERANCE) & (days >= HEAD_DAYS)
     neck = F.least("far", F.col("one.far")) if top else F.greatest("far", F.col("one.far"))
     s = _swing_chain(f, top).where(ok).withColumn("neckline", neck).withColumn("pattern", F.lit("head_and_shoulders" if top else "inverse_head_and_shoulders")).withColumn("duration", days)
     failed = F.col("spot") > right * (1 + BREAK) if top else F.col("spot") < right * (1 - BREAK)
@@ -216,7 +217,7 @@ def triangles_at(f: DataFrame, ends: DataFrame) -> DataFrame:
     flat_top, flat_floor = (F.abs(us) < F.abs(ls) * 0.5) & (ls > 0), (F.abs(ls) < F.abs(us) * 0.5) & (us < 0)
     kind = F.when((us < 0) & (ls > 0), "ascending_triangle").when((us > 0) & (ls < 0), "descending_triangle").when(flat_top | flat_floor, "symmetrical_triangle")
     up = F.when((us < 0) & (ls > 0), True).when((us > 0) & (ls < 0), False).otherwise(flat_top)
-    width = (F.col("u_max") - F.col("l_min")) / ((F.col("u_max") + F.col("l_min")) / 2)
+    width = ratio(F.col("u_max") - F.col("l_min"), (F.col("u_max") + F.col("l_min")) / 2)
     df = df.withColumn("up_now", up_now).withColumn("low_now", low_now).withColumn("kind", kind).withColumn("up", up).withColumn("width", width)
     df = df.where("kind is not null").where((F.datediff("u_d1", "u_d0") >= TRIANGLE_DAYS) & (F.col("width") <= TRIANGLE_RANGE))
     up, trigger, stop = F.col("up"), F.when(F.col("up"), F.col("up_now")).otherwise(F.col("low_now")), F.when(F.col("up"), F.col("low_now")).otherwise(F.col("up_now"))
@@ -233,14 +234,14 @@ def rectangles_at(f: DataFrame, ends: DataFrame) -> DataFrame:
     up = F.when(spot >= top * (1 + BREAK), True).when(spot <= floor * (1 - BREAK), False).otherwise(spot > (top + floor) / 2)
     trigger, stop = F.when(up, top).otherwise(floor), F.when(up, floor).otherwise(top)
     loud = F.coalesce(F.col("contraction") | (F.col("rvol") >= VOLUME), F.lit(False))
-    return _out(df, F.lit("rectangle"), up, trigger, stop, 1.0, F.lit(False), loud, (top - floor) / ((top + floor) / 2), F.coalesce("contraction", F.lit(False)))
+    return _out(df, F.lit("rectangle"), up, trigger, stop, 1.0, F.lit(False), loud, ratio(top - floor, (top + floor) / 2), F.coalesce("contraction", F.lit(False)))
 
 
 def impulses(f: DataFrame) -> DataFrame:
     """Moves of 5 % and more within 5 to 10 bars: (symbol, s, e, move, wild) with the first and last bar and the yearly deviation of the returns between them, and the sums of returns up to e."""
     by = I.in_order()
     year = F.sqrt(F.lit(252.0))
-    each = [F.struct(F.lit(k).alias("k"), (F.col("close") / F.lag("close", k).over(by) - 1).alias("move"), (F.stddev_samp("ret").over(by.rowsBetween(-(k - 1), -1)) * year).alias("wild")) for k in range(5, 11)]
+    each = [F.struct(F.lit(k).alias("k"), (ratio(F.col("close"), F.lag("close", k).over(by)) - 1).alias("move"), (F.stddev_samp("ret").over(by.rowsBetween(-(k - 1), -1)) * year).alias("wild")) for k in range(5, 11)]
     df = f.select("symbol", F.col("rn").alias("e"), F.col("n_ret").alias("n0"), F.col("sum_ret").alias("s0"), F.col("sum_sq").alias("q0"), F.array(*each).alias("each"))
     df = df.select("symbol", "e", "n0", "s0", "q0", F.explode("each").alias("x")).where(F.abs(F.col("x.move")) >= FLAG_IMPULSE)
     return df.select("symbol", (F.col("e") - F.col("x.k")).alias("s"), "e", "x.move", "x.wild", "n0", "s0", "q0")
@@ -270,7 +271,7 @@ def flags_at(f: DataFrame, ends: DataFrame) -> DataFrame:
     form = F.when(F.abs("slope") < (F.col("hi") - F.col("lo")) / 2, "flag").otherwise("pennant")
     trigger, stop = F.when(up, F.col("hi")).otherwise(F.col("lo")), F.when(up, F.col("lo")).otherwise(F.col("hi"))
     loud = F.coalesce(F.col("rvol") >= VOLUME, F.lit(False))
-    return _out(first, F.concat(F.when(up, "bull_").otherwise("bear_"), form), up, trigger, stop, 1.5, F.lit(False), loud, (F.col("hi") - F.col("lo")) / F.col("spot"), F.lit(True))
+    return _out(first, F.concat(F.when(up, "bull_").otherwise("bear_"), form), up, trigger, stop, 1.5, F.lit(False), loud, ratio(F.col("hi") - F.col("lo"), F.col("spot")), F.lit(True))
 
 
 def triangles(bars: DataFrame) -> DataFrame:
@@ -308,7 +309,7 @@ def detections(f: DataFrame, ends: DataFrame) -> DataFrame:
     are confirmed with the trigger above the close, else down.  It hits when the
     20-bar return goes its way by half a percent or more; null without one.
     """
-    fwd = [(F.col(f"close_{k}") / F.col("spot") - 1).alias(name) for k, name in zip(AHEAD, ("fwd_1w", "fwd_2w", "fwd_4w"), strict=True)]
+    fwd = [(ratio(F.col(f"close_{k}"), F.col("spot")) - 1).alias(name) for k, name in zip(AHEAD, ("fwd_1w", "fwd_2w", "fwd_4w"), strict=True)]
     df = patterns_at(f, ends).join(ends.select("symbol", "n", "as_of", "spot", *fwd), ["symbol", "n"])
     other = ~F.col("pattern").isin(*BULLISH, *BEARISH)
     up = F.col("pattern").isin(*BULLISH) | (other & (F.col("state") == "confirmed") & (F.col("trigger") > F.col("spot")))
@@ -337,7 +338,7 @@ def trend_record(bars: DataFrame) -> DataFrame:
     df = I.swings(bars).withColumn("rn", F.row_number().over(I.in_order())).withColumn("x", F.col("rn").cast("double"))
     slope, fit = I.full(F.regr_slope("close", "x").over(I.last(60)), 60), I.full(F.regr_r2("close", "x").over(I.last(60)), 60)
     df = df.withColumn("n", F.max("rn").over(Window.partitionBy("symbol")))
-    last = df.select("symbol", "d", "rn", "n", "close", *(I.full(F.avg("close").over(I.last(k)), k).alias(f"ma{k}") for k in (20, 50, 200)), (slope / F.avg("close").over(I.last(60)) * 100).alias("slope"), fit.alias("r2")).where("rn = n")
+    last = df.select("symbol", "d", "rn", "n", "close", *(I.full(F.avg("close").over(I.last(k)), k).alias(f"ma{k}") for k in (20, 50, 200)), (ratio(slope, F.avg("close").over(I.last(60))) * 100).alias("slope"), fit.alias("r2")).where("rn = n")
     counts = None
     for side, flag, name in (("high", "is_high", "hh"), ("low", "is_low", "hl")):
         s = df.where(F.col(flag) & (F.col("rn") > F.col("n") - 60)).withColumn("before", F.lag(side).over(I.in_order()))
@@ -392,7 +393,7 @@ def support_and_resistance(bars: DataFrame) -> DataFrame:
     for p in parts[1:]:
         every = every.unionByName(p)
     got = every.join(last.select("symbol", "spot"), "symbol").withColumn("side", F.when(F.col("price") < F.col("spot"), "support").otherwise("resistance"))
-    got = got.withColumn("distance_pct", F.round(F.abs(F.col("spot") - F.col("price")) / F.col("spot") * 100, 6)).withColumn("price", F.round("price", 4))
+    got = got.withColumn("distance_pct", F.round(ratio(F.abs(F.col("spot") - F.col("price")), F.col("spot")) * 100, 6)).withColumn("price", F.round("price", 4))
     place = F.row_number().over(Window.partitionBy("symbol", "side").orderBy("distance_pct", "source", "price", "age"))
     return got.withColumn("place", place).where(F.col("place") <= NEAREST).select("symbol", "side", "place", "source", "price", "strength", "age", "distance_pct")
 

@@ -72,6 +72,7 @@ def assert_same(spark, name: str, sf_dir: str, con, sql: str) -> None:
     "dom05_rank",
     "agg13_backtest_summary",
     "agg14_symbol_summary",
+    "dom27_forecast",
 ])
 def test_closes_of_zero(spark, steep, name):
     assert_same(spark, name, *steep, ORACLE_SQL[name])
