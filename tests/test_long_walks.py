@@ -75,6 +75,7 @@ def assert_same(spark, name: str, sf_dir: str, con, sql: str) -> None:
     "dom27_forecast",
     "agg15_pattern_stats",
     "agg16_pattern_calibration",
+    "agg18_gate",
 ])
 def test_closes_of_zero(spark, steep, name):
     assert_same(spark, name, *steep, ORACLE_SQL[name])
