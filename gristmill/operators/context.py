@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import indicators as I
+from ..functions.ieee import ratio
 
 # Weights of the eight pillars, and the five regimes' coefficients on their scores
 # (abs: on the absolute score) with a constant.
@@ -158,10 +159,10 @@ def watchlist_monitor(watchlist: DataFrame, last: DataFrame, aliases: DataFrame,
     """
     w = watchlist.join(aliases, "symbol", "left").withColumn("listed", F.coalesce("listed", "symbol"))
     got = w.join(last.select(F.col("symbol").alias("listed"), "close"), "listed", "left").join(scores.select(F.col("symbol").alias("listed"), "score"), "listed", "left")
-    change = (F.col("close") / F.col("ref_price") - 1) * 100
-    room = (F.col("close") / F.col("risk_line") - 1) * 100
+    change = (ratio(F.col("close"), F.col("ref_price")) - 1) * 100
+    room = (ratio(F.col("close"), F.col("risk_line")) - 1) * 100
     return got.select(
-        "symbol", "listed", "close", F.round(F.when(F.abs(change) < 0.05, 0.0).otherwise(change), 6).alias("change"), F.round(F.coalesce((F.col("target") / F.col("close") - 1) * 100, "move"), 6).alias("upside"),
+        "symbol", "listed", "close", F.round(F.when(F.abs(change) < 0.05, 0.0).otherwise(change), 6).alias("change"), F.round(F.coalesce((ratio(F.col("target"), F.col("close")) - 1) * 100, "move"), 6).alias("upside"),
         F.when(F.col("probability") >= 50, "good").when(F.col("probability") >= 35, "middle").otherwise("low").alias("chance"),
         F.when(F.col("close").isNull() | F.col("risk_line").isNull(), "unknown").when(room < 0, "broken").when(room < 3, "near").otherwise("clear").alias("risk"), F.round("score", 6).alias("score"),
     )

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
 from . import indicators as I
+from ..functions.ieee import ratio
 
 
 def event_drift(bars: DataFrame, events: DataFrame, steps: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """JOI14, AGG4: returns some bars after event days (symbol, d): number, mean, upper median, sample deviation and hit rate."""
-    fwd = bars.select("symbol", "d", *((F.lead("close", n).over(I.in_order()) / F.col("close") - 1).alias(f"f{n}") for n in steps))
+    fwd = bars.select("symbol", "d", *((ratio(F.lead("close", n).over(I.in_order()), F.col("close")) - 1).alias(f"f{n}") for n in steps))
     got = fwd.join(events.select("symbol", "d").distinct(), ["symbol", "d"], "left_semi")
     long = got.select("symbol", F.explode(F.array(*(F.struct(F.lit(n).alias("step"), F.round(f"f{n}", 9).alias("r")) for n in steps))).alias("x")).select("symbol", "x.*").where("r is not null")
     place = long.withColumn("i", F.row_number().over(Window.partitionBy("symbol", "step").orderBy("r"))).withColumn("n", F.count("*").over(Window.partitionBy("symbol", "step")))
@@ -56,7 +57,7 @@ def rectangles(bars: DataFrame, within: float = 0.03) -> DataFrame:
     for flag, side in (("is_high", "high"), ("is_low", "low")):
         p = sw.where(flag).withColumn("i", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("d")))).where("i <= 2").groupBy("symbol").agg(F.count("*").alias(f"n_{side}"), F.min(side).alias(f"{side}_min"), F.max(side).alias(f"{side}_max"))
         out = p if out is None else out.join(p, "symbol")
-    flat = lambda s: (F.col(f"n_{s}") == 2) & (F.col(f"{s}_max") / F.col(f"{s}_min") - 1 <= within)
+    flat = lambda s: (F.col(f"n_{s}") == 2) & (ratio(F.col(f"{s}_max"), F.col(f"{s}_min")) - 1 <= within)
     return out.where(flat("high") & flat("low") & (F.col("high_min") > F.col("low_max"))).select("symbol", F.col("low_min").alias("floor"), F.col("high_max").alias("ceiling"))
 
 
@@ -65,7 +66,7 @@ def triangles(bars: DataFrame, n: int = 5) -> DataFrame:
     sw = I.swings(bars).withColumn("rn", F.row_number().over(I.in_order()).cast("double"))
     out = None
     for flag, side in (("is_high", "high"), ("is_low", "low")):
-        p = sw.where(flag).withColumn("i", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("d")))).where(F.col("i") <= n).groupBy("symbol").agg(F.round(F.regr_slope(side, "rn") / F.avg(side) * 100, 6).alias(side))
+        p = sw.where(flag).withColumn("i", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("d")))).where(F.col("i") <= n).groupBy("symbol").agg(F.round(ratio(F.regr_slope(side, "rn"), F.avg(side)) * 100, 6).alias(side))
         out = p if out is None else out.join(p, "symbol")
     h, low, flat = F.col("high"), F.col("low"), 0.02
     kind = F.when((F.abs(h) <= flat) & (low > flat), "ascending").when((F.abs(low) <= flat) & (h < -flat), "descending").when((h < 0) & (low > 0), "symmetrical").when((h > flat) & (low > flat), "rising").when((h < -flat) & (low < -flat), "falling").otherwise("none")
@@ -74,8 +75,8 @@ def triangles(bars: DataFrame, n: int = 5) -> DataFrame:
 
 def flags(bars: DataFrame, impulse: float = 0.05, n: int = 8) -> DataFrame:
     """DOM19: bars after a move of 5 % within eight bars that is followed by eight quieter ones (half its daily range at most)."""
-    df = bars.withColumn("move", F.col("close") / I.back("close", n) - 1).withColumn("rng", (F.col("high") - F.col("low")) / F.col("close"))
-    df = df.withColumn("before", F.avg("rng").over(I.last(n))).withColumn("after", F.avg("rng").over(I.in_order().rowsBetween(1, n))).withColumn("whole", F.count("*").over(I.in_order().rowsBetween(1, n)) == n).withColumn("drift", F.lead("close", n).over(I.in_order()) / F.col("close") - 1)
+    df = bars.withColumn("move", ratio(F.col("close"), I.back("close", n)) - 1).withColumn("rng", ratio(F.col("high") - F.col("low"), F.col("close")))
+    df = df.withColumn("before", F.avg("rng").over(I.last(n))).withColumn("after", F.avg("rng").over(I.in_order().rowsBetween(1, n))).withColumn("whole", F.count("*").over(I.in_order().rowsBetween(1, n)) == n).withColumn("drift", ratio(F.lead("close", n).over(I.in_order()), F.col("close")) - 1)
     hit = F.col("whole") & (F.abs("move") >= impulse) & (F.col("after") <= 0.5 * F.col("before")) & (F.abs("drift") <= 0.5 * F.abs("move"))
     return df.where(hit).select("symbol", "d", F.when(F.col("move") > 0, "bull").otherwise("bear").alias("side"), F.round("move", 6).alias("move"))
 
@@ -90,8 +91,8 @@ def volatility_regime(bars: DataFrame) -> DataFrame:
 def watchlist_monitor(watchlist: DataFrame, last: DataFrame) -> DataFrame:
     """DOM13, JOI17: watchlist(symbol, ref_price, target, risk_line) with the last close: change, upside, and how near the risk line is."""
     got = watchlist.join(last.select("symbol", "close"), "symbol", "left")
-    room = F.col("close") / F.col("risk_line") - 1
-    return got.select("symbol", F.round(F.col("close") / F.col("ref_price") - 1, 6).alias("change"), F.round(F.col("target") / F.col("close") - 1, 6).alias("upside"), F.when(F.col("close").isNull(), "no price").when(room < 0, "broken").when(room < 0.03, "near").otherwise("clear").alias("risk"))
+    room = ratio(F.col("close"), F.col("risk_line")) - 1
+    return got.select("symbol", F.round(ratio(F.col("close"), F.col("ref_price")) - 1, 6).alias("change"), F.round(ratio(F.col("target"), F.col("close")) - 1, 6).alias("upside"), F.when(F.col("close").isNull(), "no price").when(room < 0, "broken").when(room < 0.03, "near").otherwise("clear").alias("risk"))
 
 
 def sector_fit(beta_class: Column, stress: Column) -> Column:
