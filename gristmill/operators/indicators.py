@@ -77,13 +77,18 @@ def support_resistance(bars: DataFrame, n: int = 20) -> DataFrame:
     return bars.select("symbol", "d", full(lo, n).alias("support"), full(hi, n).alias("resistance"), r6(full(F.when(hi > lo, (F.col("close") - lo) / (hi - lo) * 100), n), "range_pct"))
 
 
+#: Chunks of e**-40 that take the largest double (e**709.8) below the smallest (e**-744.5).
+CHUNKS = 37
+
+
 def with_ewm(df: DataFrame, value: str, alpha: float, out: str) -> DataFrame:
     """df with out: the exponential average y[t] = (1 - alpha) y[t - 1] + alpha x[t] of the non-null values so far, from the first on.
 
     The recursion unfolds to a running sum with weights that grow by
     1 / (1 - alpha) a bar.  Weights start anew in chunks, so that they stay in
-    range on any history; a chunk takes over the one before it by its end, and
-    what is older weighs less than a double resolves.
+    range on any history; a chunk takes over those before it by their ends.
+    From one end to the next a value falls by e**40 or more, so that behind
+    CHUNKS of them the largest double is 0.
     """
     chunk = math.ceil(40 / -math.log1p(-alpha))
     i = F.sum(F.when(F.col(value).isNotNull(), 1).otherwise(0)).over(in_order()) - 1
@@ -91,11 +96,10 @@ def with_ewm(df: DataFrame, value: str, alpha: float, out: str) -> DataFrame:
     growth = F.pow(F.lit(1 / (1 - alpha)), F.col("_at"))
     weighted = F.col(value) * F.when(F.col("_i") == 0, F.lit(1.0)).otherwise(F.lit(alpha)) * growth
     df = df.withColumn("_own", F.sum(weighted).over(Window.partitionBy("symbol", "_chunk").orderBy("d")) / growth)
-    end = F.when((F.col("_at") == chunk - 1) & F.col(value).isNotNull(), F.struct("_chunk", "_own"))
-    before = F.last(end, True).over(in_order().rowsBetween(Window.unboundedPreceding, -1))
-    df = df.withColumn("_before", before)
-    taken = F.when(F.col("_before._chunk") == F.col("_chunk") - 1, F.col("_before._own") * F.pow(F.lit(1 - alpha), F.col("_at") + 1))
-    df = df.withColumn(out, F.when(F.col("_i") >= 0, F.col("_own") + F.coalesce(taken, F.lit(0.0))))
+    end = F.when((F.col("_at") == chunk - 1) & F.col(value).isNotNull(), F.col("_own"))
+    df = df.withColumn("_before", F.collect_list(end).over(Window.partitionBy("symbol").orderBy("_chunk").rangeBetween(-CHUNKS, -1)))
+    taken = F.aggregate("_before", F.lit(0.0), lambda a, x: a * F.lit((1 - alpha) ** chunk) + x) * F.pow(F.lit(1 - alpha), F.col("_at") + 1)
+    df = df.withColumn(out, F.when(F.col("_i") >= 0, F.col("_own") + taken))
     return df.drop("_i", "_at", "_chunk", "_own", "_before")
 
 
@@ -120,7 +124,7 @@ def macd(bars: DataFrame) -> DataFrame:
 def max_drawdown(bars: DataFrame, n: int = 60) -> DataFrame:
     """WIN9: the deepest fall below the running peak inside the last n bars."""
     closes = F.collect_list("close").over(last(n))
-    fold = F.aggregate(closes, F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("dd")), lambda a, x: F.struct(F.greatest(a["peak"], x).alias("peak"), F.least(a["dd"], ratio(x, F.greatest(a["peak"], x)) - 1).alias("dd")), lambda a: a["dd"])
+    fold = F.aggregate(closes, F.struct(F.lit(0.0).alias("peak"), F.lit(None).cast("double").alias("dd")), lambda a, x: F.struct(F.greatest(a["peak"], x).alias("peak"), F.least(a["dd"], ratio(x, F.greatest(a["peak"], x)) - 1).alias("dd")), lambda a: a["dd"])
     return bars.withColumn("dd", fold).select("symbol", "d", r6(full(F.col("dd"), n), "drawdown"))
 
 

@@ -83,7 +83,7 @@ def event_window(days: Column) -> Column:
     return F.when(days.between(0, 7), 100.0).when(days.between(8, 21), 70.0).when(days < 0, 80.0).when(days.isNotNull(), 30.0)
 
 
-#: Bars that decide a symbol's features to a double's resolution: exponential averages beyond them weigh nothing.
+#: Bars that decide a symbol's features but for its exponential averages, which take all: more than the longest frames one upon another.
 ENOUGH_BARS = 640
 
 
@@ -92,8 +92,8 @@ def price_features(bars: DataFrame, market: DataFrame, least: int = 25, last_onl
 
     Point in time: every frame ends at the row's own bar.  All windows are by
     symbol and date, so one exchange serves them; the market's returns are
-    joined by date.  last_only gives each symbol's last bar only, from its last
-    ENOUGH_BARS bars.  Features are rounded to digits, unless None.
+    joined by date.  last_only gives each symbol's last bar only: exponential
+    averages of all its bars, the rest of its last ENOUGH_BARS.  Features are rounded to digits, unless None.
     """
     w = I.in_order()
     by_day = Window.partitionBy("symbol").orderBy("d")
@@ -106,13 +106,13 @@ def price_features(bars: DataFrame, market: DataFrame, least: int = 25, last_onl
     df = I.with_returns(bars).withColumn("rn", F.row_number().over(w))
     prior = I.back("close")
     df = df.withColumn("tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prior), F.abs(F.col("low") - prior)))
-    if last_only:
-        df = df.withColumn("end", F.max("rn").over(Window.partitionBy("symbol"))).where(F.col("rn") > F.col("end") - ENOUGH_BARS)
     df = I.with_ewm(I.with_ewm(df, "close", 2 / 13, "fast"), "close", 2 / 27, "slow").withColumn("macd", F.col("fast") - F.col("slow"))
     df = I.with_ewm(df, "macd", 2 / 10, "signal")
     change = F.col("close") - prior
     df = df.withColumn("gain", F.when(change.isNotNull(), F.greatest(change, F.lit(0.0)))).withColumn("loss", F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))))
     df = I.with_ewm(I.with_ewm(df, "gain", 1 / 14, "up"), "loss", 1 / 14, "down")
+    if last_only:
+        df = df.withColumn("end", F.max("rn").over(Window.partitionBy("symbol"))).where(F.col("rn") > F.col("end") - ENOUGH_BARS)
     df = df.withColumn("x", F.col("rn").cast("double")).withColumn("sd20", F.stddev_samp("ret").over(I.last(20)))
     df = df.withColumn("sd", F.round(I.full(F.col("sd20"), 20, "ret"), 9))
     avg = lambda c, n: F.avg(c).over(I.last(n))
@@ -136,7 +136,7 @@ def price_features(bars: DataFrame, market: DataFrame, least: int = 25, last_onl
     )
     df = df.where((F.col("rn") >= least) & ((F.col("rn") == F.col("end")) if last_only else F.lit(True))).join(m, "d", "left")
     close, atr = F.col("close"), F.col("atr")
-    peak = F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("dd"))
+    peak = F.struct(F.lit(0.0).alias("peak"), F.lit(None).cast("double").alias("dd"))
     drawdown = F.aggregate("closes", peak, lambda a, c: F.struct(F.greatest(a["peak"], c).alias("peak"), F.least(a["dd"], ratio(c, F.greatest(a["peak"], c)) - 1).alias("dd")), lambda a: a["dd"])
     got = {
         **{f"rs_{k}m": F.col(f"r{n}") - F.col(f"m{n}") for k, n in ((1, 21), (3, 63), (6, 126), (12, 252))},

@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from gristmill.operators import indicators as I, scoring as S
 from gristmill.plans.registry import ORACLE_SQL, QUERIES
 from gristmill.sources import views as V
 
@@ -88,3 +89,38 @@ def test_ticks_beyond_bigint(spark, steepest, name):
         steepest[1].execute(sql)
     wide = V.SQL["bars"].replace("CAST(ROUND(1E6", "(ROUND(1E6").replace(" AS BIGINT) AS ct", ") AS ct").replace("CAST(FLOOR", "(FLOOR").replace("(n*1E3)) AS BIGINT)", "(n*1E3)))")
     assert_same(spark, name, *steepest, sql.replace(V.SQL["bars"], wide))
+
+
+def daily(spark, closes, symbol="A"):
+    day = np.datetime64("2000-01-01")
+    return spark.createDataFrame([(symbol, (day + i).item(), *[float(c)] * 4, 1000) for i, c in enumerate(closes)], "symbol string, d date, open double, high double, low double, close double, volume bigint")
+
+
+def fall(n: int) -> np.ndarray:
+    """Closes that fall steeply from 1E80, faster than averages forget, and end level."""
+    return np.maximum(1e80 * 0.5 ** np.arange(n), 1.0) + np.arange(n) % 3
+
+
+@pytest.mark.parametrize("alpha", [2 / 10, 2 / 13, 1 / 14])
+def test_averages_remember_a_steep_fall(spark, alpha):
+    x = fall(1400)
+    got = I.with_ewm(daily(spark, x), "close", alpha, "y").orderBy("d").toPandas()["y"]
+    want = [x[0]]
+    for v in x[1:]:
+        want.append((1 - alpha) * want[-1] + alpha * v)
+    np.testing.assert_allclose(got, want, rtol=1e-9)
+
+
+def test_last_features_remember_a_steep_fall(spark):
+    bars = daily(spark, fall(1000))
+    every, last = (S.price_features(bars, bars, last_only=x).orderBy("d").toPandas().iloc[-1] for x in (False, True))
+    np.testing.assert_allclose(last[list(S.PRICE_FIELDS)].astype(float), every[list(S.PRICE_FIELDS)].astype(float), rtol=1e-9)
+
+
+def test_drawdown_of_closes_of_zero(spark):
+    bars = daily(spark, [1.0] * 5 + [0.0] * 70)
+    got = I.max_drawdown(bars).orderBy("d").toPandas()["drawdown"]
+    want = duckdb.sql("SELECT i, MIN(c / peak - 1) AS dd FROM (SELECT i, c, MAX(c) OVER (PARTITION BY i ORDER BY j) AS peak FROM (SELECT i, j, CASE WHEN j < 5 THEN 1E0 ELSE 0E0 END AS c FROM range(59, 75) a(i), range(75) b(j) WHERE j BETWEEN i - 59 AND i) x) y GROUP BY 1 ORDER BY 1").df()["dd"]
+    np.testing.assert_array_equal(got[59:], want)
+    feature = S.price_features(bars, daily(spark, [1.0] * 75, "MKT")).orderBy("d").toPandas()
+    np.testing.assert_array_equal(feature.set_index("rn").loc[60:, "max_dd_60d"], want)
