@@ -40,6 +40,7 @@ def frame(bars: DataFrame) -> DataFrame:
         F.count("ret").over(so_far).alias("n_ret"),
         F.sum(F.col("is_high").cast("int")).over(so_far).alias("stretch_high"),
         F.sum(F.col("is_low").cast("int")).over(so_far).alias("stretch_low"),
+        F.array(*(F.stddev_samp("ret").over(I.last(k)) for k in FLAG_BARS)).alias("calms"),
         F.collect_list(F.struct("rn", "close", "high", "low", "ret")).over(I.last(31)).alias("recent"),
         *(F.lead("close", k).over(I.in_order()).alias(f"close_{k}") for k in AHEAD),
     )
@@ -52,7 +53,7 @@ def at_last(f: DataFrame) -> DataFrame:
 
 def as_of_bars(f: DataFrame, when: Column) -> DataFrame:
     """The bars of a frame at which patterns are looked for, as if no later bar were known."""
-    return f.where(when).select("symbol", F.col("rn").alias("n"), F.col("d").alias("as_of"), F.col("close").alias("spot"), "rvol", F.col("calm").alias("contraction"), "sum_ret", "sum_sq", "n_ret", "recent", *(f"close_{k}" for k in AHEAD))
+    return f.where(when).select("symbol", F.col("rn").alias("n"), F.col("d").alias("as_of"), F.col("close").alias("spot"), "rvol", F.col("calm").alias("contraction"), "sum_ret", "sum_sq", "n_ret", "calms", "recent", *(f"close_{k}" for k in AHEAD))
 
 
 def _in_sight(found: DataFrame, ends: DataFrame, first: Column, last: Column) -> DataFrame:
@@ -172,6 +173,8 @@ def top_pattern(found: DataFrame) -> DataFrame:
 CHART_BACK, TRIANGLE_TOUCHES, TRIANGLE_DAYS, TRIANGLE_RANGE = 90, 3, 14, 0.30
 RECTANGLE_TOUCHES, RECTANGLE_DAYS, RECTANGLE_SD = 2, 10, 0.35
 FLAG_IMPULSE, FLAG_LONGEST, FLAG_CALM = 0.05, 20, 0.6
+#: Bars from an impulse's end to the as-of bar.
+FLAG_BARS = range(5, FLAG_LONGEST)
 
 
 def _sd(n: Column, s: Column, sq: Column) -> Column:
@@ -238,25 +241,26 @@ def rectangles_at(f: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def impulses(f: DataFrame) -> DataFrame:
-    """Moves of 5 % and more within 5 to 10 bars: (symbol, s, e, move, wild) with the first and last bar and the yearly deviation of the returns between them, and the sums of returns up to e."""
+    """Moves of 5 % and more within 5 to 10 bars: (symbol, s, e, move, wild) with the first and last bar and the yearly deviation of the returns between them."""
     by = I.in_order()
     year = F.sqrt(F.lit(252.0))
     each = [F.struct(F.lit(k).alias("k"), (ratio(F.col("close"), F.lag("close", k).over(by)) - 1).alias("move"), (F.stddev_samp("ret").over(by.rowsBetween(-(k - 1), -1)) * year).alias("wild")) for k in range(5, 11)]
-    df = f.select("symbol", F.col("rn").alias("e"), F.col("n_ret").alias("n0"), F.col("sum_ret").alias("s0"), F.col("sum_sq").alias("q0"), F.array(*each).alias("each"))
-    df = df.select("symbol", "e", "n0", "s0", "q0", F.explode("each").alias("x")).where(F.abs(F.col("x.move")) >= FLAG_IMPULSE)
-    return df.select("symbol", (F.col("e") - F.col("x.k")).alias("s"), "e", "x.move", "x.wild", "n0", "s0", "q0")
+    df = f.select("symbol", F.col("rn").alias("e"), F.array(*each).alias("each"))
+    df = df.select("symbol", "e", F.explode("each").alias("x")).where(F.abs(F.col("x.move")) >= FLAG_IMPULSE)
+    return df.select("symbol", (F.col("e") - F.col("x.k")).alias("s"), "e", "x.move", "x.wild")
 
 
 def flags_at(f: DataFrame, ends: DataFrame) -> DataFrame:
     """DOM19: an impulse of 5 % within 5 to 10 bars of the last 30, then 5 to 20 bars up to the as-of bar with at most 0.6 of its deviation; the first start, then the first end that fits.
 
     Impulses are found once a symbol and meet the as-of bars that they are in
-    sight of; deviations are differences of running sums, and only the flag
-    that is found takes the last bars' array.
+    sight of; deviations are of the as-of bar's own frames, since running sums
+    would lose a calm behind a steep move, and only the flag that is found
+    takes the last bars' array.
     """
     seen = _in_sight(impulses(f), ends.where("n >= 30"), F.col("e") + 5, F.least(F.col("e") + FLAG_LONGEST - 1, F.col("s") + 29))
-    seen = seen.join(ends.select("symbol", "n", "sum_ret", "sum_sq", "n_ret"), ["symbol", "n"])
-    calm = _sd(F.col("n_ret") - F.col("n0"), F.col("sum_ret") - F.col("s0"), F.col("sum_sq") - F.col("q0"))
+    seen = seen.join(ends.select("symbol", "n", "calms"), ["symbol", "n"])
+    calm = F.get("calms", (F.col("n") - F.col("e") - FLAG_BARS[0]).cast("int")) * F.sqrt(F.lit(252.0))
     seen = seen.where(calm < F.col("wild") * FLAG_CALM)
     first = seen.groupBy("symbol", "n").agg(F.min_by(F.struct("move", "e"), F.struct("s", "e")).alias("p")).select("symbol", "n", "p.*")
     first = first.join(ends.select("symbol", "n", "spot", "rvol", "recent"), ["symbol", "n"])

@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from gristmill.operators import indicators as I, scoring as S
+from gristmill.operators import charts as C, indicators as I, scoring as S
 from gristmill.plans.registry import ORACLE_SQL, QUERIES
 from gristmill.sources import views as V
 
@@ -124,3 +124,14 @@ def test_drawdown_of_closes_of_zero(spark):
     np.testing.assert_array_equal(got[59:], want)
     feature = S.price_features(bars, daily(spark, [1.0] * 75, "MKT")).orderBy("d").toPandas()
     np.testing.assert_array_equal(feature.set_index("rn").loc[60:, "max_dd_60d"], want)
+
+
+def test_flag_behind_a_steep_move(spark):
+    level = [1.0, 1e-9, 1.0] + [1.0 + 0.001 * (i % 2) for i in range(60)]  # a return of 1E9 long before
+    pole = [1.0 + 0.02 * i for i in range(1, 9)]
+    calm = [1.16 + 0.0005 * (i % 2) for i in range(8)]
+    bars = daily(spark, level + pole + calm)
+    got = C.flags(bars).toPandas()
+    assert list(got["pattern"]) == ["bull_flag"]
+    near = C.flags(daily(spark, level[3:] + pole + calm)).toPandas()
+    assert got.drop(columns="symbol").equals(near.drop(columns="symbol"))
