@@ -22,7 +22,7 @@ SIGHT_BLOCK = 64
 
 
 def frame(bars: DataFrame) -> DataFrame:
-    """Every bar with what the detectors ask of it: number, swings, volume ratios, running sums of returns, and its last 31 bars.
+    """Every bar with what the detectors ask of it: number, swings, volume ratios, deviations of returns, and its last bars.
 
     All windows are partitioned by symbol and ordered by date: one exchange and
     one sort, whatever a detector takes of it.
@@ -35,9 +35,8 @@ def frame(bars: DataFrame) -> DataFrame:
         F.count("*").over(Window.partitionBy("symbol")).alias("bars"),
         F.try_divide(F.col("volume").cast("double"), F.nullif(v20, F.lit(0.0))).alias("rvol"),
         (v5 <= 0.7 * v20).alias("calm"),
-        F.sum("ret").over(so_far).alias("sum_ret"),
-        F.sum(F.col("ret") * F.col("ret")).over(so_far).alias("sum_sq"),
-        F.count("ret").over(so_far).alias("n_ret"),
+        F.stddev_samp("ret").over(I.in_order().rowsBetween(Window.unboundedPreceding, -1)).alias("wild_before"),
+        F.collect_list("ret").over(I.last(CHART_BACK)).alias("rets"),
         F.sum(F.col("is_high").cast("int")).over(so_far).alias("stretch_high"),
         F.sum(F.col("is_low").cast("int")).over(so_far).alias("stretch_low"),
         F.array(*(F.stddev_samp("ret").over(I.last(k)) for k in FLAG_BARS)).alias("calms"),
@@ -53,7 +52,7 @@ def at_last(f: DataFrame) -> DataFrame:
 
 def as_of_bars(f: DataFrame, when: Column) -> DataFrame:
     """The bars of a frame at which patterns are looked for, as if no later bar were known."""
-    return f.where(when).select("symbol", F.col("rn").alias("n"), F.col("d").alias("as_of"), F.col("close").alias("spot"), "rvol", F.col("calm").alias("contraction"), "sum_ret", "sum_sq", "n_ret", "calms", "recent", *(f"close_{k}" for k in AHEAD))
+    return f.where(when).select("symbol", F.col("rn").alias("n"), F.col("d").alias("as_of"), F.col("close").alias("spot"), "rvol", F.col("calm").alias("contraction"), "rets", "calms", "recent", *(f"close_{k}" for k in AHEAD))
 
 
 def _in_sight(found: DataFrame, ends: DataFrame, first: Column, last: Column) -> DataFrame:
@@ -177,28 +176,36 @@ FLAG_IMPULSE, FLAG_LONGEST, FLAG_CALM = 0.05, 20, 0.6
 FLAG_BARS = range(5, FLAG_LONGEST)
 
 
-def _sd(n: Column, s: Column, sq: Column) -> Column:
-    """Sample deviation a year from a count, a sum and a sum of squares; null for fewer than two."""
-    var = F.greatest((sq - s * s / n) / (n - 1), F.lit(0.0))
-    return F.when(n >= 2, F.sqrt(var) * F.sqrt(F.lit(252.0)))
+def _sd(xs: Column) -> Column:
+    """Sample deviation a year of an array, in one pass by its running mean; null for fewer than two."""
+    def step(a: Column, x: Column) -> Column:
+        mean = a["mean"] + (x - a["mean"]) / (a["n"] + 1)
+        return F.struct((a["n"] + 1).alias("n"), mean.alias("mean"), (a["m2"] + (x - a["mean"]) * (x - mean)).alias("m2"))
+
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    return F.aggregate(xs, start, step, lambda a: F.when(a["n"] >= 2, F.sqrt(a["m2"] / (a["n"] - 1)) * F.sqrt(F.lit(252.0))))
 
 
 def _sides(f: DataFrame, ends: DataFrame, touches: int) -> DataFrame:
     """At each as-of bar the last touches + 2 swings of each side known within its last 90 bars, as slope, first point, mean, extreme and dates,
-    with the yearly deviation of returns since the first upper swing and before it; bars with fewer than touches on a side are left out."""
+    with the yearly deviation of returns since the first upper swing and before it; bars with fewer than touches on a side are left out.
+
+    Deviations are of the returns themselves: differences of running sums would
+    lose a calm chart behind a steep move.
+    """
     out = None
     for side, flag, k in (("high", "is_high", "u"), ("low", "is_low", "l")):
-        s = f.where(F.col(flag)).select("symbol", "rn", "d", F.col(side).alias("v"), F.col("rn").cast("double").alias("x"), (F.col("n_ret") - 1).alias("n0"), (F.col("sum_ret") - F.col("ret")).alias("s0"), (F.col("sum_sq") - F.col("ret") * F.col("ret")).alias("q0"))
+        s = f.where(F.col(flag)).select("symbol", "rn", "d", F.col(side).alias("v"), F.col("rn").cast("double").alias("x"), "wild_before")
         s = _in_sight(s, ends, F.col("rn") + KNOWN_AFTER, F.col("rn") + CHART_BACK - 1)
         s = s.withColumn("i", F.row_number().over(Window.partitionBy("symbol", "n").orderBy(F.desc("rn")))).where(F.col("i") <= touches + 2).groupBy("symbol", "n").agg(
             F.count("*").alias(f"{k}_n"), F.regr_slope("v", "x").alias(f"{k}_slope"), F.min("rn").alias(f"{k}_rn"), F.min_by("v", "rn").alias(f"{k}_first"), F.avg("v").alias(f"{k}_mean"),
-            F.max("v").alias(f"{k}_max"), F.min("v").alias(f"{k}_min"), F.min("d").alias(f"{k}_d0"), F.max("d").alias(f"{k}_d1"), F.min_by(F.struct("n0", "s0", "q0"), "rn").alias(f"{k}_before"),
+            F.max("v").alias(f"{k}_max"), F.min("v").alias(f"{k}_min"), F.min("d").alias(f"{k}_d0"), F.max("d").alias(f"{k}_d1"), F.min_by("wild_before", "rn").alias(f"{k}_before"),
         ).where(F.col(f"{k}_n") >= touches)
         out = s if out is None else out.join(s.drop("l_before"), ["symbol", "n"])
-    out = out.join(ends.select("symbol", "n", "spot", "rvol", "contraction", "sum_ret", "sum_sq", "n_ret"), ["symbol", "n"])
-    b = lambda c: F.col(f"u_before.{c}")
-    inside = _sd(F.col("n_ret") - b("n0"), F.col("sum_ret") - b("s0"), F.col("sum_sq") - b("q0"))
-    return out.withColumn("inside", inside).withColumn("outside", F.when(F.col("u_rn") > 6, _sd(b("n0"), b("s0"), b("q0"))).otherwise(F.col("inside")))
+    out = out.join(ends.select("symbol", "n", "spot", "rvol", "contraction", "rets"), ["symbol", "n"])
+    since = F.col("n") - F.col("u_rn") + 1  # at most CHART_BACK, and no bar without a return: a swing has bars before it
+    out = out.withColumn("inside", _sd(F.slice("rets", F.size("rets") - since + 1, since))).drop("rets")
+    return out.withColumn("outside", F.when(F.col("u_rn") > 6, F.col("u_before") * F.sqrt(F.lit(252.0))).otherwise(F.col("inside")))
 
 
 def _out(df: DataFrame, pattern: Column, up: Column, trigger: Column, stop: Column, times: float, failed: Column, confirmed_by: Column, range_pct: Column, contracting: Column) -> DataFrame:

@@ -135,3 +135,12 @@ def test_flag_behind_a_steep_move(spark):
     assert list(got["pattern"]) == ["bull_flag"]
     near = C.flags(daily(spark, level[3:] + pole + calm)).toPandas()
     assert got.drop(columns="symbol").equals(near.drop(columns="symbol"))
+
+
+@pytest.mark.parametrize("steep, size, found", [([1.0, 0.0], 0.01, ["rectangle"]), ([1.0, 1e-9], 0.4, [])], ids=["calm", "wild"])
+def test_chart_behind_a_steep_move(spark, steep, size, found):
+    level = [1.0 + size * abs((i % 16) - 8) / 8 for i in range(120)]  # swings every 16 bars, below and above the deviation of a rectangle
+    got = C.rectangles(daily(spark, steep + level)).toPandas()
+    assert list(got["pattern"]) == found
+    near = C.rectangles(daily(spark, [1.0, 1.5] + level)).toPandas()  # as many bars, without a steep move
+    assert got.equals(near)
