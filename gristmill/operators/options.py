@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import indicators as I
 from ..functions import normal
+from ..functions.ieee import ratio
 
 KEY = ["underlying", "dte"]
 
@@ -293,7 +294,7 @@ def expected_moves(chain: DataFrame, real: DataFrame) -> DataFrame:
     s = at_the_money(near).groupBy(*KEY).agg(F.sum("mid").alias("straddle"), F.first("spot").alias("spot"))
     s = s.where("straddle > 0").join(real, "underlying")
     t, spot = years(F.col("dte")), F.col("spot")
-    iv = F.col("straddle") / (spot * F.sqrt(2 * t / F.lit(math.pi)))
+    iv = ratio("straddle", spot * F.sqrt(2 * t / F.lit(math.pi)))
     ahead = 0.05 * F.col("variance") + 0.10 * F.col("last_ret") * F.col("last_ret") + 0.85 * F.col("variance")
     moves = F.array(F.col("straddle") * F.sqrt(F.lit(math.pi / 2)), spot * iv * F.sqrt(t), spot * F.col("rv21") * F.sqrt(t), spot * F.col("rv60") * F.sqrt(t), spot * F.sqrt(ahead * 252.0) * F.sqrt(t))
     known = F.filter(moves, lambda m: m.isNotNull())

@@ -77,6 +77,7 @@ def assert_same(spark, name: str, sf_dir: str, con, sql: str) -> None:
     "agg15_pattern_stats",
     "agg16_pattern_calibration",
     "agg18_gate",
+    "dom25_expected_moves",
 ])
 def test_closes_of_zero(spark, steep, name):
     assert_same(spark, name, *steep, ORACLE_SQL[name])
