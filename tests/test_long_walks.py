@@ -78,6 +78,7 @@ def assert_same(spark, name: str, sf_dir: str, con, sql: str) -> None:
     "agg16_pattern_calibration",
     "agg18_gate",
     "dom25_expected_moves",
+    "dom36_deep_layers",
 ])
 def test_closes_of_zero(spark, steep, name):
     assert_same(spark, name, *steep, ORACLE_SQL[name])
