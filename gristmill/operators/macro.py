@@ -76,20 +76,26 @@ def positioning(fundamentals: DataFrame) -> DataFrame:
 def volatility_states(bars: DataFrame, k: int = 3, seed: int = 7) -> DataFrame:
     """DOM33: Gaussian mixture states of regime features, numbered by mean volatility, with how long the state has lasted.
 
-    A mixture, not a hidden Markov chain: transitions are counted afterwards.
+    A mixture, not a hidden Markov chain: transitions are counted afterwards.  A
+    bar whose window has an infinite or undefined return, as around a close of
+    0, has no volatility: it stays, but takes no part in the fit and has no state.
     """
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    rows = VectorAssembler(inputCols=["rv", "moved"], outputCol="raw").transform(I.regime_features(bars))
-    rows = StandardScaler(inputCol="raw", outputCol="features").fit(rows).transform(rows)
-    got = GaussianMixture(k=k, seed=seed, maxIter=30).fit(rows).transform(rows)
-    order = got.groupBy("prediction").agg(F.avg("rv").alias("mean_rv")).withColumn("state", F.row_number().over(Window.orderBy("mean_rv")) - 1)  # k rows
-    return I.run_lengths(got.join(F.broadcast(order), "prediction").select("symbol", "d", "rv", "state"), "state")
+    columns = ["rv", "moved"]
+    known = F.lit(True)
+    for c in columns:
+        known = known & (F.abs(c) < float("inf"))  # NaN is above all numbers
+    rows = VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="keep").transform(I.regime_features(bars))
+    rows = StandardScaler(inputCol="raw", outputCol="features").fit(rows.where(known)).transform(rows)
+    got = GaussianMixture(k=k, seed=seed, maxIter=30).fit(rows.where(known)).transform(rows)
+    order = got.where(known).groupBy("prediction").agg(F.avg("rv").alias("mean_rv")).withColumn("state", F.row_number().over(Window.orderBy("mean_rv")) - 1)  # k rows
+    return I.run_lengths(got.join(F.broadcast(order), "prediction", "left").select("symbol", "d", "rv", F.when(known, F.col("state")).alias("state")), "state")
 
 
 def transitions(states: DataFrame) -> DataFrame:
-    """The transition shares between states of neighbouring bars of a symbol."""
-    pairs = states.select(F.lag("state").over(I.in_order()).alias("from"), F.col("state").alias("to")).where("`from` is not null")
+    """The transition shares between states of neighbouring bars of a symbol that have one."""
+    pairs = states.select(F.lag("state").over(I.in_order()).alias("from"), F.col("state").alias("to")).where("`from` is not null and `to` is not null")
     n = pairs.groupBy("from", "to").agg(F.count("*").alias("n"))
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("from")), 6))

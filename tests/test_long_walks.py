@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from gristmill.operators import charts as C, indicators as I, scoring as S
+from gristmill.operators import charts as C, indicators as I, macro as M, scoring as S
 from gristmill.plans.registry import ORACLE_SQL, QUERIES
 from gristmill.sources import views as V
 
@@ -146,3 +146,23 @@ def test_chart_behind_a_steep_move(spark, steep, size, found):
     assert list(got["pattern"]) == found
     near = C.rectangles(daily(spark, [1.0, 1.5] + level)).toPandas()  # as many bars, without a steep move
     assert got.equals(near)
+
+
+def test_states_around_closes_of_zero(spark):
+    rnd = np.random.default_rng(3)
+    walk_of = lambda n: 100 * np.exp(np.cumsum(rnd.normal(0, np.repeat([0.01, 0.03, 0.09], n // 3))))
+    closes = np.concatenate([walk_of(120), np.zeros(5), walk_of(150)])
+    bars = daily(spark, closes).union(daily(spark, walk_of(240), "B"))
+    got = M.volatility_states(bars).orderBy("symbol", "d").toPandas()
+    assert got["symbol"].value_counts().to_dict() == {"A": 275 - 21, "B": 240 - 21}  # no bar with 21 returns is lost
+    returns = np.arange(1, 275)
+    bad = (returns >= 120) & (returns <= 125)  # into, within and out of the closes of 0
+    undefined = np.array([bad[i - 20 : i + 1].any() for i in range(20, 274)])
+    assert 0 < undefined.sum() < len(undefined)
+    np.testing.assert_array_equal(got.loc[got["symbol"] == "A", "state"].isna(), undefined)
+    known = got.dropna(subset="state")
+    assert set(known["state"]) == {0, 1, 2} and known.groupby("state")["rv"].mean().is_monotonic_increasing
+    moves = M.transitions(spark.createDataFrame(got[["symbol", "d", "state"]].astype({"state": object}).where(got.notna(), None), "symbol string, d date, state double")).toPandas()
+    pairs = int((~undefined[1:] & ~undefined[:-1]).sum()) + 240 - 22  # none across the gap
+    assert moves["n"].sum() == pairs and moves.notna().all().all()
+    np.testing.assert_allclose(moves.groupby("from")["share"].sum(), 1, atol=1e-5)
