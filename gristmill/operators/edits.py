@@ -83,7 +83,8 @@ def edit_spans(pages: DataFrame, client: str = "ca-pub-0000000000000000") -> Dat
 
     at counts code points from 0 in the page as it is; a null html counts as
     empty.  Links are replaced in their href attributes, as link_repairs()
-    proposes; the ad tag is put in only where findings() misses one.
+    proposes, but for scores of NaN, which share no word; the ad tag is put in
+    only where findings() misses one.
     """
     html = F.coalesce("html", F.lit(""))
     local = F.array(*(F.struct(F.lit(k).alias("fix"), edits(html).alias("edits")) for k, edits in (("ga4_typo", id_edits), ("dedup_ad_slots", slot_edits), ("dedup_footer", footer_edits))))
@@ -91,7 +92,7 @@ def edit_spans(pages: DataFrame, client: str = "ca-pub-0000000000000000") -> Dat
     bare = A.findings(pages).where("class = 'missing_ad_unit'").select("page_id").distinct()
     units = pages.join(bare, "page_id", "left_semi").select("page_id", "site", F.lit("missing_ad_unit").alias("fix"), F.posexplode(unit_edit(html, F.lit(client))).alias("nth", "e"))
     # a link is looked for by its whole attribute, so targets that begin alike are not confused
-    links = A.link_repairs(pages).join(pages.select("page_id", html.alias("html")), "page_id")
+    links = A.link_repairs(pages).where(~F.isnan("score")).join(pages.select("page_id", html.alias("html")), "page_id")
     quoted = F.concat(F.lit('href="'), F.col("target"), F.lit('"'))
     pieces = F.split(F.col("html"), F.concat(F.lit("(?=\\Q"), quoted, F.lit("\\E)|(?<=\\Q"), quoted, F.lit("\\E)")))
     found = links.select("page_id", "site", F.explode(_walk(pieces, lambda p, i: F.when(p == quoted, F.concat(F.lit('href="'), F.col("to"), F.lit('"'))))).alias("e"))
