@@ -24,7 +24,7 @@ def numbered(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["joi20_link_repairs"])
+@pytest.mark.parametrize("name", ["joi20_link_repairs", "dom45_repairs"])
 def test_links_without_words(spark, numbered, name):
     assert_same(spark, name, *numbered, ORACLE_SQL[name])
 
